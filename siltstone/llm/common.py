@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: they bound what a Python worker holds of a partition.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
-#: A side of a join is broadcast only when it was counted and has at most this many narrow rows.
-BROADCAST_ROWS = 200_000
+#: Bits of a KeyFilter, and bytes of the blocks in which tasks send their part of it.
+FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 16
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -49,10 +49,46 @@ def materialize(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def narrow(df: DataFrame, measured_by: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast if the (materialized) frame, or the one it was grouped from, is known to have few rows of
-    fixed width; else Spark shuffles the join."""
-    return F.broadcast(df) if (measured_by or df).limit(rows + 1).count() <= rows else df
+class KeyFilter:
+    """A Bloom filter of fixed size over 64-bit keys: what is broadcast does not grow with the keys. A full filter
+    lets every key through, so whatever it prunes must be joined exactly afterwards."""
+
+    def __init__(self, bitmap: np.ndarray):
+        self.bitmap = bitmap
+
+    @staticmethod
+    def positions(keys: np.ndarray, bits: int) -> np.ndarray:
+        a = mix64(keys.astype(np.uint64))
+        b = mix64(a + np.uint64(0x9E3779B97F4A7C15))
+        return np.stack([a % np.uint64(bits), b % np.uint64(bits)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, keys: DataFrame, bits: int = FILTER_BITS) -> KeyFilter:
+        """Over the single long column of keys."""
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bitmap = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for at in cls.positions(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
+                    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            used = [k for k in range(0, len(bitmap), FILTER_BLOCK) if bitmap[k : k + FILTER_BLOCK].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([bitmap[k : k + FILTER_BLOCK].tobytes() for k in used], pa.binary())], names=["start", "bits"])
+
+        def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(FILTER_BLOCK, np.uint8)
+            for b in batches:
+                for c in b.column("bits"):
+                    total |= np.frombuffer(c.as_py(), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["start", "bits"])
+
+        whole = np.zeros(bits // 8, np.uint8)
+        for r in keys.mapInArrow(fill, "start long, bits binary").groupBy("start").applyInArrow(merged, "start long, bits binary").toLocalIterator():
+            whole[r.start : r.start + FILTER_BLOCK] = np.frombuffer(r.bits, np.uint8)
+        return cls(whole)
+
+    def __contains__(self, key: int) -> bool:
+        at = self.positions(np.array([key], np.int64).view(np.uint64), len(self.bitmap) * 8)
+        return bool(((self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all())
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_texts, materialize, narrow, workspace
+from .common import doc_texts, map_texts, materialize, workspace
 
 STRIP = " \t\n\r\x0b\x0c"
 MIN_POINTS, MIN_DOCS = 40, 5
@@ -109,7 +109,7 @@ def seen_twice(docs: DataFrame, min_points: int, bits: int) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, key): the line keys, as digests, that a document loses. Materialized."""
+    """(doc_id, key): the line keys, as digests, that a document loses. Hot keys meet their counts in a join that Spark can split."""
     spark = docs.sparkSession
     folder = workspace(spark)
     twice = spark.sparkContext.broadcast(seen_twice(docs, min_points, bits))
@@ -129,15 +129,15 @@ def repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int
 
     suspected = materialize(map_texts(docs, make, "doc_id long, key binary"), folder + "/suspects")
     counted = suspected.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = suspected.join(counted.select("key", "keeper"), "key").where(F.col("doc_id") < F.col("keeper"))
-    return materialize(lost.select("doc_id", "key").distinct(), folder + "/lost")
+    counted = materialize(counted.select("key", "keeper"), folder + "/common")
+    return suspected.join(counted, "key").where(F.col("doc_id") < F.col("keeper")).select("doc_id", "key")
 
 
 def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, kept_text, n_lines (before), n_dropped, for every row of docs."""
     lost = repeated_lines(docs, min_points, min_docs, bits)
-    per_doc = materialize(lost.groupBy("doc_id").agg(F.collect_list("key").alias("lost")), workspace(docs.sparkSession))
-    return doc_texts(docs).join(narrow(per_doc, lost), "doc_id", "left").mapInArrow(_rewriter(min_points), "doc_id long, kept_text string, n_lines long, n_dropped long")
+    per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    return doc_texts(docs).join(per_doc.hint("merge"), "doc_id", "left").mapInArrow(_rewriter(min_points), "doc_id long, kept_text string, n_lines long, n_dropped long")
 
 
 def _rewriter(min_points: int):
