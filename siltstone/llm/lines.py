@@ -140,6 +140,16 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     return doc_texts(docs).join(per_doc.hint("merge"), "doc_id", "left").mapInArrow(_rewriter(min_points), "doc_id long, kept_text string, n_lines long, n_dropped long")
 
 
+def kept_of(lines: list[str], lost, min_points: int) -> list[str]:
+    gone, digests = set(lost), long_keys(lines, min_points)
+    return [x for x in lines if digests.get(x) not in gone]
+
+
+def kept_lines(text: str, lost, min_points: int = MIN_POINTS) -> str:
+    """The text without the lines whose key digest is in lost."""
+    return "\n".join(kept_of(text.split("\n"), lost, min_points))
+
+
 def _rewriter(min_points: int):
     def run(batches):
         for b in batches:
@@ -148,9 +158,7 @@ def _rewriter(min_points: int):
                 lines = text.split("\n")
                 before.append(len(lines))
                 if lost:
-                    gone = set(lost)
-                    digests = long_keys(lines, min_points)
-                    kept = [x for x in lines if digests.get(x) not in gone]
+                    kept = kept_of(lines, lost, min_points)
                     dropped.append(len(lines) - len(kept))
                     kept_texts.append("\n".join(kept))
                 else:

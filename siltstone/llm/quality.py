@@ -11,7 +11,8 @@ rows are scored alike; with no labels, or labels of one class only, the verdict
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, window_hashes, word_hashes
@@ -185,5 +186,20 @@ def score(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Dat
     return map_texts(docs, make, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, quality_score double, kept boolean")
 
 
+def verdicts(spark: SparkSession, forest: Forest | None, threshold: float = 0.5):
+    """A function of a text column: whether to keep the document."""
+    shared = spark.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        pairs = [statistics(t) for t in texts]
+        fine = np.array([p[0][0] >= 50 and 100 * p[0][4] <= 50 * p[0][0] for p in pairs], bool)
+        if shared.value is not None and len(pairs):
+            fine &= shared.value.score(np.array([p[1] for p in pairs])) >= threshold
+        return pd.Series(fine)
+
+    return keep
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     return score(docs, train(docs, labels, max_train), threshold)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .ngram_join import ngram_join
+from .packing import pack_documents
+from .pii import find_pii
 from .quality import quality_rules
 from .secrets import scan_secrets
 from .token_files import token_files
@@ -39,6 +41,10 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id FROM sets s JOIN
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents")).withColumn("spans", spans_text())
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -75,6 +81,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -82,10 +92,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_pii": op2_pii,
         "op3_line_dedup": op3_line_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
         "op7_token_files": op7_token_files,
+        "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
