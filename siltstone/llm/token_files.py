@@ -2,9 +2,9 @@
 
 Every document becomes token ids plus an end id. Documents are dealt to files by ranges of doc_id, so that files in
 name order hold the corpus in doc_id order. A file is one Arrow stream; each of its batches has the columns ids
-(fixed-size list of uint32) and mask (fixed-size list of uint8, 0 where the last sequence is padded). Sequences have
-equal length, so sequence k of a batch is at a fixed offset of its buffer and is read without a copy from a memory
-map. Documents run on from one sequence to the next; an index table tells where each one lies.
+(fixed-size list of the narrowest unsigned integer that holds the vocabulary) and mask (fixed-size list of booleans,
+false where the last sequence is padded). Sequences have equal length, so sequence k of a batch is at a fixed offset
+of its buffer and is read without a copy from a memory map. Documents run on from one sequence to the next; an index table tells where each one lies.
 
 Encoding: white-space-separated chunks repeat a lot, and this tokenizer drops white space before it merges, so a
 document's ids are its chunks' ids one after another; each task keeps a bounded memory of chunks it has encoded.
@@ -33,7 +33,7 @@ SEQUENCE, BATCH_SEQUENCES = 2_048, 64
 END_ID = 1
 #: Rows that one file gets on average.
 FILE_ROWS = 20_000
-MEMORY = 600_000
+MEMORY = 1_000_000
 #: Chunks of one call to the tokenizer, and the sign between them: alone between spaces it is a token by itself.
 TOGETHER, SIGN = 200, "→"
 _memory: dict[tuple, dict[str, bytes]] = {}
@@ -54,25 +54,26 @@ class ChunkEncoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), memory
         self.known = _memory.setdefault((path, memory), {})
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.sign = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
 
     def _ids(self, chunks: list[str]) -> dict[str, bytes]:
         plain = [c for c in chunks if SIGN not in c]
         parts = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        out = {}
+        out, size = {}, self.type.itemsize
         for part, got in zip(parts, self.tokenizer.encode_batch_fast([f" {SIGN} ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(got.ids, np.uint32)
+            ids = np.array(got.ids, self.type)
             ends = np.flatnonzero(ids == self.sign[0])
             if len(self.sign) == 1 and len(ends) == len(part) - 1:
-                raw, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-                out.update({c: raw[i:j] for c, i, j in zip(part, starts, [*(4 * ends).tolist(), len(raw)])})
+                raw, starts = ids.tobytes(), [0, *(size * (ends + 1)).tolist()]
+                out.update({c: raw[i:j] for c, i, j in zip(part, starts, [*(size * ends).tolist(), len(raw)])})
         for c in chunks:  # those with the sign in them, and all if the sign isn't a token by itself here
             if c not in out:
-                out[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes()
+                out[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.type).tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text. What is met first is remembered, up to the limit; the most common
+        """The ids of each text, as bytes of self.type. What is met first is remembered, up to the limit; the most common
         chunks come early, and the rest is encoded once a batch."""
         split = [t.split(" ") for t in texts]
         new = self._ids(list(set().union(*split) - self.known.keys()))
@@ -85,11 +86,11 @@ class ChunkEncoder:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian uint32, the end id included), text_hash."""
+    """doc_id, ids (bytes of the encoder's type, the end id included), text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
         for b in batches:
             ids = [x + end for x in encoder.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), b.column(2)], names=["doc_id", "ids", "text_hash"])
@@ -120,6 +121,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, sequence: int = S
     at = F.lit(0)
     if ends:
         at = F.size(F.filter(F.lit(ends), lambda e: e < F.col("doc_id")))
+    kind = ChunkEncoder(path).type
     dealt = rows.withColumn("file", at.cast("int")).repartitionById(len(ends) + 1, F.col("file")).sortWithinPartitions("doc_id", "text_hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +134,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, sequence: int = S
             if out is None:
                 number = b.column(3)[0].as_py()
                 name, own = f"tokens-{number:08d}.arrows", f"{base}/.{uuid.uuid4().hex}"
-                out = SequenceWriter(files.open_output_stream(own), sequence)
-            sizes = np.array([len(x) // 4 for x in b.column(1).to_pylist()], np.int64)
+                out = SequenceWriter(files.open_output_stream(own), sequence, kind)
+            sizes = np.array([len(x) // kind.itemsize for x in b.column(1).to_pylist()], np.int64)
             starts = out.length + np.cumsum(sizes) - sizes
             first = out.documents
-            out.write(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4"), len(sizes))
+            out.write(np.frombuffer(b"".join(b.column(1).to_pylist()), kind), len(sizes))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * len(sizes)), pa.array(starts), pa.array(sizes), pa.array(np.arange(first, first + len(sizes)))], names=["doc_id", "file", "position", "n_tokens", "row"])
         if out is not None:
             out.close()
@@ -149,16 +151,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str, sequence: int = S
 class SequenceWriter:
     """Cuts a run of ids into sequences and writes them in batches of BATCH_SEQUENCES."""
 
-    def __init__(self, sink, sequence: int):
-        ids, mask = pa.list_(pa.uint32(), sequence), pa.list_(pa.uint8(), sequence)
+    def __init__(self, sink, sequence: int, kind: np.dtype):
+        ids, mask = pa.list_(pa.from_numpy_dtype(kind), sequence), pa.list_(pa.bool_(), sequence)
         self.schema = pa.schema([pa.field("ids", ids), pa.field("mask", mask)])
         self.sink, self.sequence, self.length, self.documents = sink, sequence, 0, 0
         self.writer = pa.ipc.new_stream(sink, self.schema)
-        self.rest = np.empty(0, np.uint32)
+        self.rest = np.empty(0, kind)
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(ids)) < real
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -174,7 +175,7 @@ class SequenceWriter:
 
     def close(self) -> None:
         if len(self.rest):
-            padded = np.zeros(-(-len(self.rest) // self.sequence) * self.sequence, np.uint32)
+            padded = np.zeros(-(-len(self.rest) // self.sequence) * self.sequence, self.rest.dtype)
             padded[: len(self.rest)] = self.rest
             self._batch(padded, len(self.rest))
         self.writer.close()
@@ -189,15 +190,12 @@ def read_sequences(folder: str, file: str) -> tuple[list[pa.RecordBatch], np.nda
     return batches, np.cumsum([0] + [b.num_rows for b in batches])
 
 
-def sequence_at(batches: list[pa.RecordBatch], firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence_at(batches: list[pa.RecordBatch], firsts: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
     """Views (no copy) of the ids and the mask of sequence k."""
     b = int(np.searchsorted(firsts, k, side="right")) - 1
-    out = []
-    for name in ("ids", "mask"):
-        column = batches[b].column(name)
-        size = column.type.list_size
-        out.append(column.flatten().to_numpy()[(k - firsts[b]) * size : (k - firsts[b] + 1) * size])
-    return out[0], out[1]
+    columns = [batches[b].column(name) for name in ("ids", "mask")]
+    at = [c.flatten().slice((k - firsts[b]) * c.type.list_size, c.type.list_size) for c in columns]
+    return at[0], at[1]
 
 
 def read_documents(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
@@ -223,7 +221,7 @@ def read_documents(spark: SparkSession, folder: str, index: DataFrame) -> DataFr
                     k = int(np.searchsorted(ends, at, side="right"))
                     offset = at - (ends[k] - len(stream[k]))
                     piece = stream[k][offset : offset + left]
-                    crc = zlib.crc32(piece, crc)
+                    crc = zlib.crc32(piece.astype("<u4"), crc)
                     at, left = at + len(piece), left - len(piece)
                 crcs.append(crc)
                 starts.append(shared.value[file] + position)
