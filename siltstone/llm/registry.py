@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from .licenses import scan_licenses
 from .lines import dedup_lines
+from .nearest import nearest
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .pieces import digest_documents
 from .pii import find_pii
 from .quality import quality_rules
 from .secrets import scan_secrets
@@ -65,6 +67,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(_table(spark, sf_dir, "documents"))
+
+
 def spans_text(column: str = "spans"):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -81,6 +87,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -94,9 +104,11 @@ def queries() -> dict:
         "op1_ngram_join": op1_ngram_join,
         "op2_pii": op2_pii,
         "op3_line_dedup": op3_line_dedup,
+        "op4_pieces": op4_pieces,
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
         "op7_token_files": op7_token_files,
+        "op8_nearest": op8_nearest,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
