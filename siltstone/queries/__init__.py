@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "relational"]
+MODULES = ["text", "relational", "retrieval"]
 
 
 def load() -> None:
