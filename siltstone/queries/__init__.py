@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "relational", "retrieval"]
+MODULES = ["text", "relational", "retrieval", "mining"]
 
 
 def load() -> None:
