@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import assembly, discourse, graph, segment, state, units
-from ..sources import html
+from ..operators import assembly, discourse, graph, retrieval, segment, state, units
+from ..sources import html, records
+from ..streaming import ingest as streaming
 
 TOK = "regexp_extract_all(lower(text), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
 
@@ -70,11 +74,47 @@ def questions(t):
     return units.questions(c.where(F.length(F.trim("text")) >= 15), g).select(F.col("document").alias("conv_id"), F.col("segment_index").alias("turn"), F.col("text").alias("question"))
 
 
-@query("m10_table_rows")
+@query("m10_table_rows", "SELECT n_regionkey::VARCHAR AS document, 'n_nationkey为' || n_nationkey || '，n_name为' || n_name || '。' AS text FROM nation")
 def table_rows(t):
-    """Row units of the tables in the pages."""
-    p = t.pages.select(F.col("page_id").cast("string").alias("document"), F.col("url").alias("title"), html.markdown("html").alias("text"))
-    return units.table_rows(segment.segment_documents(p)).select("document", "segment_index", "text")
+    """A region's nations as one pipe table, and its row units."""
+    rows = F.array_sort(F.collect_list(F.concat_ws(" | ", F.col("n_nationkey").cast("string"), "n_name")))
+    head = F.array(F.lit("n_nationkey | n_name"), F.lit("--- | ---"))
+    table = F.array_join(F.transform(F.concat(head, rows), lambda x: F.concat(F.lit("| "), x, F.lit(" |"))), "\n")
+    d = t.nation.groupBy(F.col("n_regionkey").cast("string").alias("document")).agg(table.alias("text"))
+    return units.table_rows(d.select("document", F.lit(0).alias("segment_index"), F.lit("table").alias("block_type"), F.lit("").alias("breadcrumb"), "text")).select("document", "text")
+
+
+@query("s10_section_search", """SELECT doc_id, score FROM (SELECT doc_id, sum(CASE WHEN contains(lower(source), w) THEN 1000 ELSE 0 END + least(h, 50))::BIGINT AS score, count(*) FILTER (WHERE contains(lower(source), w) OR h > 0) AS met FROM (SELECT doc_id, source, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS h FROM documents, (VALUES ('the'), ('1')) v(w)) GROUP BY doc_id) WHERE met = 2 ORDER BY score DESC, doc_id LIMIT 10""")
+def section_search(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+    return records.search_sections(d, ["the", "1"]).select(F.col("id").alias("doc_id"), "score")
+
+
+@query("s15_query_log", """WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents)
+SELECT lang, '[' || string_agg('{"unit_id":' || doc_id || ',"score":' || n_chars || '.0}', ',' ORDER BY k) || ']' AS items FROM r WHERE k <= 5 GROUP BY lang""")
+def query_log(t):
+    d = t.documents.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("unit_id"), F.col("n_chars").cast("double").alias("score"))
+    return records.compact_log(retrieval.top_per_query(d, 5)).select(F.col("query_id").alias("lang"), "items")
+
+
+@query("st1_stream_ingest", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents")
+def stream_ingest(t):
+    """The documents' files as a stream that ends when all are in."""
+    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+    lines = lambda d: d.select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    return streaming.ingest(t.spark, f"{t.folder}/documents.parque[t]", t.documents.schema, lines, f"{at}/out", f"{at}/state")
+
+
+@query("st5_hourly_failures", "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly(t):
+    return streaming.hourly_counts(t.events, "ts", "event_type").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("st4_expired_leases", "SELECT event_id FROM events WHERE event_type = 'error' AND ts + INTERVAL 5 MINUTE <= TIMESTAMP '2024-01-10 00:00:00'")
+def leases(t):
+    q = t.events.select("event_id", F.when(F.col("event_type") == "error", "running").otherwise("done").alias("status"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("lease_expires_at"))
+    return streaming.expired(q, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).select("event_id")
 
 
 @query("s04_html_markdown")
