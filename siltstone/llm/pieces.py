@@ -64,7 +64,8 @@ class PieceModel:
                 self.raw[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 rank = min(-sp.get_score(i), size)
-                self.id[piece], self.score[piece] = i, -math.log(rank + OFFSET) - total
+                # multiples of 2**-20: sums are exact, so equal segmentations compare as equal
+                self.id[piece], self.score[piece] = i, round((-math.log(rank + OFFSET) - total) * (1 << 20)) / (1 << 20)
                 self.raw[i] = piece.replace(SIGN, " ").encode()
         self.longest = max(map(len, self.id))
         pieces = list(self.id)
@@ -175,7 +176,7 @@ class PieceModel:
         """The n best segmentations of the chunks one after another: (score, ids of each chunk), best first."""
         lattices = [_lattice(self, c) for c in chunks]
         before = list(itertools.accumulate((a[-1] for _, a in lattices), initial=0.0))
-        counter = itertools.count()
+        counter = itertools.count(0, -1)  # of equal nodes the latest goes first: ties don't widen the search
         # a node is (chunk, position); what is known of a path is the part behind it
         heap = [(-before[-1], next(counter), len(chunks), 0, 0.0, None)]
         out: list[tuple[float, list[bytes]]] = []
@@ -228,7 +229,7 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=5_000)
 def _lattice(model: PieceModel, chunk: str):
     edges = model.edges(chunk)
     return edges, model.forward(edges)
