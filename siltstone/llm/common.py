@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,46 +50,71 @@ def materialize(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-class KeyFilter:
-    """A Bloom filter of fixed size over 64-bit keys: what is broadcast does not grow with the keys. A full filter
-    lets every key through, so whatever it prunes must be joined exactly afterwards."""
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables that were written and have been used up, by way of the folder's own file system."""
+    for f in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes % np.uint64(bits)).astype(np.int64)
+
+
+def _bits_at(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def two_hashes(keys: np.ndarray) -> np.ndarray:
+    """Two hashes of each 64-bit key, as a 2 x n array."""
+    a = mix64(keys.astype(np.int64, copy=False).view(np.uint64) if keys.dtype != np.uint64 else keys)
+    return np.stack([a, mix64(a + np.uint64(0x9E3779B97F4A7C15))])
+
+
+class BloomFilter:
+    """A Bloom filter of fixed size: what is broadcast does not grow with the keys. A full one lets every key through,
+    so whatever it prunes must be settled exactly afterwards."""
 
     def __init__(self, bitmap: np.ndarray):
         self.bitmap = bitmap
 
-    @staticmethod
-    def positions(keys: np.ndarray, bits: int) -> np.ndarray:
-        a = mix64(keys.astype(np.uint64))
-        b = mix64(a + np.uint64(0x9E3779B97F4A7C15))
-        return np.stack([a % np.uint64(bits), b % np.uint64(bits)]).astype(np.int64)
-
-    @classmethod
-    def of(cls, keys: DataFrame, bits: int = FILTER_BITS) -> KeyFilter:
-        """Over the single long column of keys."""
-
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = np.zeros(bits // 8, np.uint8)
-            for b in batches:
-                for at in cls.positions(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
-                    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            used = [k for k in range(0, len(bitmap), FILTER_BLOCK) if bitmap[k : k + FILTER_BLOCK].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([bitmap[k : k + FILTER_BLOCK].tobytes() for k in used], pa.binary())], names=["start", "bits"])
-
-        def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(FILTER_BLOCK, np.uint8)
-            for b in batches:
-                for c in b.column("bits"):
-                    total |= np.frombuffer(c.as_py(), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["start", "bits"])
-
-        whole = np.zeros(bits // 8, np.uint8)
-        for r in keys.mapInArrow(fill, "start long, bits binary").groupBy("start").applyInArrow(merged, "start long, bits binary").toLocalIterator():
-            whole[r.start : r.start + FILTER_BLOCK] = np.frombuffer(r.bits, np.uint8)
-        return cls(whole)
-
-    def __contains__(self, key: int) -> bool:
-        at = self.positions(np.array([key], np.int64).view(np.uint64), len(self.bitmap) * 8)
-        return bool(((self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all())
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """For 2 x n hashes."""
+        return _bits_at(self.bitmap, _positions(hashes[0], len(self.bitmap) * 8)) & _bits_at(self.bitmap, _positions(hashes[1], len(self.bitmap) * 8))
+
+
+def bloom_filters(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int = FILTER_BITS, twice: bool = False) -> BloomFilter:
+    """A filter of the keys of rows, or with twice of those that occur twice; hashes_of gives a batch's 2 x n hashes.
+
+    Each task fills bitmaps of its own for keys seen once and twice. They merge block by block with
+    (a1|b1, a2|b2|(a1&b1)), which is associative: a key of two tasks always reaches the twice-seen map.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for at in _positions(hashes_of(b), bits):
+                if twice:
+                    at, n = np.unique(at, return_counts=True)
+                    met = _bits_at(once, at) | (n > 1)
+                    np.bitwise_or.at(again, at[met] >> 3, (1 << (at[met] & 7)).astype(np.uint8))
+                np.bitwise_or.at(once, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        blocks = [[zlib.compress(x[k : k + FILTER_BLOCK].tobytes(), 1) for x in (once, again)] + [k] for k in range(0, len(once), FILTER_BLOCK) if once[k : k + FILTER_BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in blocks], t) for i, t in ((2, pa.int64()), (0, pa.binary()), (1, pa.binary()))], names=["start", "once", "again"])
+
+    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, again = np.zeros(min(FILTER_BLOCK, bits // 8), np.uint8), np.zeros(min(FILTER_BLOCK, bits // 8), np.uint8)
+        for t in batches:
+            for x, y in zip(t.column("once"), t.column("again")):
+                x, y = (np.frombuffer(zlib.decompress(v.as_py()), np.uint8) for v in (x, y))
+                again |= y | (once & x)
+                once |= x
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([(again if twice else once).tobytes()], pa.binary())], names=["start", "bits"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in rows.mapInArrow(fill, "start long, once binary, again binary").groupBy("start").applyInArrow(merged, "start long, bits binary").toLocalIterator():
+        whole[r.start : r.start + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return BloomFilter(whole)
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:

@@ -16,19 +16,17 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_texts, materialize, workspace
+from .common import BloomFilter, bloom_filters, doc_texts, map_texts, materialize, workspace
 
 STRIP = " \t\n\r\x0b\x0c"
 MIN_POINTS, MIN_DOCS = 40, 5
 FILTER_BITS = 1 << 27
-BLOCK_BYTES = 1 << 16
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -43,69 +41,17 @@ def long_keys(lines: list[str], min_points: int) -> dict[str, bytes]:
     return out
 
 
-def _positions(digests: list[bytes], bits: int) -> np.ndarray:
-    """Two bit positions for each digest, as a 2 x n array."""
-    h = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
-    return np.stack([h[:, 0] % np.uint64(bits), h[:, 1] % np.uint64(bits)]).astype(np.int64)
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2).T
 
 
-class SeenTwice:
-    """A pair of bitmaps; add() takes the distinct keys of one document or of a batch, with repeats for documents."""
+def seen_twice(docs: DataFrame, min_points: int, bits: int) -> BloomFilter:
+    """The twice-seen filter of the documents' long line keys."""
 
-    def __init__(self, bits: int):
-        self.bits, self.once, self.twice = bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
+        return _hashes([k for text in batch.column(1).to_pylist() for k in set(long_keys(text.split("\n"), min_points).values())])
 
-    def add(self, digests: list[bytes]) -> None:
-        if not digests:
-            return
-        for at in _positions(digests, self.bits):
-            # a position set before, or met twice here, was seen twice
-            u, n = np.unique(at, return_counts=True)
-            byte, bit = u >> 3, (1 << (u & 7)).astype(np.uint8)
-            again = ((self.once[byte] & bit) > 0) | (n > 1)
-            np.bitwise_or.at(self.twice, byte[again], bit[again])
-            np.bitwise_or.at(self.once, byte, bit)
-
-    def blocks(self):
-        for k in range(0, len(self.once), BLOCK_BYTES):
-            if self.once[k : k + BLOCK_BYTES].any():
-                yield k // BLOCK_BYTES, self.once[k : k + BLOCK_BYTES].tobytes(), self.twice[k : k + BLOCK_BYTES].tobytes()
-
-
-def suspects(twice: np.ndarray, digests: list[bytes]) -> np.ndarray:
-    if not digests:
-        return np.empty(0, bool)
-    a, b = _positions(digests, len(twice) * 8)
-    hit = lambda at: (twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-    return (hit(a) & hit(b)).astype(bool)
-
-
-def seen_twice(docs: DataFrame, min_points: int, bits: int) -> np.ndarray:
-    """The merged twice-seen bitmap: at most bits / 8 bytes reach the driver."""
-
-    def fill(batches):
-        seen = SeenTwice(bits)
-        for b in batches:
-            keys: list[bytes] = []
-            for text in b.column(1).to_pylist():
-                keys += set(long_keys(text.split("\n"), min_points).values())
-            seen.add(keys)
-        rows = list(seen.blocks())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["block", "once", "twice"])
-
-    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = twice = None
-        for t in batches:
-            for a, b in zip(t.column("once"), t.column("twice")):
-                a, b = np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint8)
-                once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["block", "twice"])
-
-    parts = doc_texts(docs).mapInArrow(fill, "block int, once binary, twice binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in parts.groupBy("block").applyInArrow(merged, "block int, twice binary").toLocalIterator():
-        whole[r.block * BLOCK_BYTES : r.block * BLOCK_BYTES + len(r.twice)] = np.frombuffer(r.twice, np.uint8)
-    return whole
+    return bloom_filters(doc_texts(docs), hashes_of, bits, twice=True)
 
 
 def repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
@@ -119,7 +65,7 @@ def repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int
             out_ids, out_keys = [], []
             for i, text in zip(ids, texts):
                 keys = list(dict.fromkeys(long_keys(text.split("\n"), min_points).values()))
-                hit = suspects(twice.value, keys)
+                hit = twice.value.has(_hashes(keys))
                 found = [k for k, h in zip(keys, hit) if h]
                 out_ids += [i] * len(found)
                 out_keys += found

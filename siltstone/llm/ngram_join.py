@@ -1,8 +1,7 @@
 """N-gram Jaccard join by vertical partitioning (operator 1).
 
 Every document is the set of its distinct five-word shingles. Documents with equal sets are one vertex. The shingles
-have one global order: the estimated document frequency first (a count sketch over all documents, in logarithmic
-classes), then the hash. Two sets with Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of
+have one global order: document frequency first (in logarithmic classes), then the hash. Two sets with Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of
 each, so an inverted index over these prefixes finds every candidate. The order is cut into FRAGMENTS ranges; each
 candidate pair's overlap is counted in each range on its own, and the partial counts are summed per pair.
 
@@ -10,8 +9,9 @@ Classes only need a spanning set of links, so candidates inside a class that is
 rounds of hub pairs (each list of the index against a few hash-chosen members) connect the bulk of a large group in
 linear work; after them, every pair that shares a list and is still in different classes is checked.
 
-The sketch has a fixed size. When it fills up, the order says less about frequency and more candidates are checked;
-results do not change, since any fixed order is right.
+Frequencies are counted over all documents, as sorted runs of 40-bit fingerprints dealt by their leading bits. Only
+the FREQUENT most frequent fingerprints are told apart in the order, which bounds what is broadcast; all others come
+first, by hash. Results do not depend on that, since any fixed order is right; only the number of candidates does.
 
 Cases: a null or empty text, or one of white space only, is an empty set and linked with nothing; fewer than five
 words are one shingle; rows that repeat a doc_id are vertices of their own text; an empty table gives an empty
@@ -20,6 +20,7 @@ result. Shingles are 64-bit hashes; vertices are (set size, 64-bit hash of the s
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,17 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, doc_texts, map_texts, materialize, mix64, window_hashes, word_hashes, workspace
+from .common import bloom_filters, discard, doc_texts, map_texts, materialize, mix64, two_hashes, window_hashes, word_hashes, workspace
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
-CELLS = 1 << 24
-BLOCK = 1 << 16
+FINGERPRINT_BITS = 40
+#: Fingerprints that the order tells apart at most, and documents that one of them needs at least.
+FREQUENT, LEAST_DOCS = 1 << 21, 3
+#: Documents for which there is one bucket of fingerprints.
+BUCKET_DOCS = 256
+#: Tokens that a task gathers before it writes a run.
+RUN_TOKENS = 1_500_000
+#: Bits of the filter that spares the index its tokens of one vertex.
+INDEX_BITS = 1 << 27
+#: Bits of the filter of the vertices that take part in a turn.
+PAIR_BITS = 1 << 23
 FRAGMENTS = 4
 #: Hub choices tried at once in a round, and rounds at most.
-HUBS, ROUNDS = 6, 5
+HUBS, ROUNDS = 10, 3
+#: Vertices of a list that gives all its pairs in the first turn.
+SMALL = 8
 #: Hub rounds go on while the pairs left to check outnumber the rows of the index by this factor.
-LINEAR = 2
+LINEAR = 4
 
 
 def shingle_set(text: str, width: int = WORDS) -> np.ndarray:
@@ -62,71 +74,125 @@ def prefix_size(n: int, numerator: int, denominator: int) -> int:
 
 @dataclass
 class GlobalOrder:
-    """Frequency class by sketch cell, and the keys at which the order is cut into fragments."""
+    """Frequency classes of the frequent fingerprints, and the keys at which the order is cut into fragments."""
 
+    frequent: np.ndarray
     classes: np.ndarray
     cuts: np.ndarray
 
+    @functools.cached_property
+    def maybe(self) -> np.ndarray:
+        """Whether any frequent fingerprint has these low bits: small enough for a cache, it spares most searches."""
+        out = np.zeros(1 << 23, bool)
+        out[(self.frequent & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
+        return out
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        shift = np.uint64(64 - (len(self.classes).bit_length() - 1))
-        return (self.classes[tokens >> shift].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
+        """The place of each shingle in the global order."""
+        key = tokens >> np.uint64(8)
+        prints = tokens >> np.uint64(64 - FINGERPRINT_BITS)
+        some = np.flatnonzero(self.maybe[(prints & np.uint64((1 << 23) - 1)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.frequent, prints[some]), len(self.frequent) - 1)
+            key[some] |= np.where(self.frequent[at] == prints[some], self.classes[at], 0).astype(np.uint64) << np.uint64(56)
+        return key
+
+
+def pack_run(values: np.ndarray) -> bytes:
+    """Sorted unsigned numbers as differences of as few bytes as the largest one needs."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_run(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    steps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def describe(docs: DataFrame, folder: str, cells: int = CELLS) -> tuple[DataFrame, GlobalOrder]:
-    """(doc_id, v) of every row, materialized, and the global order. A set that a task meets again is counted once."""
-    shift = np.uint64(64 - (cells.bit_length() - 1))
+def describe(docs: DataFrame, folder: str) -> tuple[DataFrame, GlobalOrder]:
+    """(doc_id, n, id) of every row, materialized, and the global order. A set that a task meets again is counted once."""
+    shift = np.uint64(64 - FINGERPRINT_BITS)
+    buckets = 1 << min(16, max(4, (docs.count() // BUCKET_DOCS).bit_length()))
+    part = np.uint64(FINGERPRINT_BITS - (buckets.bit_length() - 1))
+    names = ["doc_id", "n", "id", "bucket", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.int32)
         seen = set()
+        fresh: list[np.ndarray] = []
+
+        def runs() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(fresh))
+            fresh.clear()
+            own = (every >> part).astype(np.int64)
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            packed = [pack_run(x) for x in np.split(every, starts[1:])]
+            rows = len(starts)
+            return pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.array(own[starts].astype(np.int32)), pa.array(packed, pa.binary())], names=names)
+
+        held = 0
         for b in batches:
-            n, ids, fresh = [], [], []
+            n, ids = [], []
             for text in b.column(1).to_pylist():
                 g = shingle_set(text)
                 n.append(len(g))
                 ids.append(set_id(g))
-                if (n[-1], ids[-1]) not in seen:
+                if len(g) and (n[-1], ids[-1]) not in seen:
                     seen.add((n[-1], ids[-1]))
                     fresh.append(g >> shift)
-            if fresh:
-                at, k = np.unique(np.concatenate(fresh), return_counts=True)
-                counts[at.astype(np.int64)] += k.astype(np.int32)
+                    held += len(g)
             rows = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
-        small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, min(BLOCK, cells))
-        used = np.flatnonzero(small.any(axis=1))
-        rows = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.array(used, pa.int32()), pa.array([small[k].tobytes() for k in used], pa.binary())], names=names)
-
-    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for c in b.column("counts"):
-                c = np.frombuffer(c.as_py(), np.uint8).astype(np.int64)
-                total = c if total is None else total + c
-        classes = np.minimum(255, 4 * np.log2(1 + total)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["block", "classes"])
-
-    names = ["doc_id", "n", "id", "block", "counts"]
-    rows = materialize(doc_texts(docs).mapInArrow(run, "doc_id long, n int, id long, block int, counts binary"), folder + "/sets")
-    classes = np.zeros(cells, np.uint8)
-    size = min(BLOCK, cells)
-    blocks = rows.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(merged, "block int, classes binary")
-    for r in blocks.toLocalIterator():
-        classes[r.block * size : (r.block + 1) * size] = np.frombuffer(r.classes, np.uint8)
-    mass = np.bincount(classes, minlength=256) * (2.0 ** (np.arange(256) / 4) - 1)
+            if held > RUN_TOKENS:
+                yield runs()
+                held = 0
+        if fresh:
+            yield runs()
+
+    def counted(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate([unpack_run(r.as_py()) for b in batches for r in b.column("run")])
+        prints, docs_of = np.unique(every, return_counts=True)
+        often = docs_of >= LEAST_DOCS
+        classes = np.minimum(255, 4 * np.log2(docs_of[often])).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([len(every)], pa.int64()), pa.array([prints[often].astype("<u8").tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary())], names=["total", "prints", "classes"])
+
+    rows = materialize(doc_texts(docs).mapInArrow(run, "doc_id long, n int, id long, bucket int, run binary"), folder + "/sets")
+    frequent = rows.where("bucket IS NOT NULL").select("bucket", "run").groupBy("bucket").applyInArrow(counted, "total long, prints binary, classes binary")
+    frequent = materialize(frequent, folder + "/frequent")
+    # how many fingerprints of each class there are decides which classes fit
+    sizes = np.zeros(256, np.int64)
+    total = 0
+    for r in frequent.toLocalIterator():
+        sizes += np.bincount(np.frombuffer(r.classes, np.uint8), minlength=256)
+        total += r.total
+    fits = int(np.flatnonzero(np.cumsum(sizes[::-1])[::-1] <= FREQUENT)[0])
+    prints, classes = [np.empty(0, np.uint64)], [np.empty(0, np.uint8)]
+    for r in frequent.toLocalIterator():
+        c = np.frombuffer(r.classes, np.uint8)
+        prints.append(np.frombuffer(r.prints, "<u8")[c >= fits])
+        classes.append(c[c >= fits])
+    prints, classes = np.concatenate(prints), np.concatenate(classes)
+    by = np.argsort(prints)
+    prints, classes = prints[by], classes[by]
+    mass = np.bincount(classes, minlength=256) * 2.0 ** (np.arange(256) / 4)
+    mass[0] += max(0.0, total - mass.sum())
     ends = np.cumsum(mass) / max(1.0, mass.sum())
     cuts = []
     for q in np.arange(1, FRAGMENTS) / FRAGMENTS:
-        c = int(np.searchsorted(ends, q))
+        c = min(255, int(np.searchsorted(ends, q)))
         below = ends[c - 1] if c else 0.0
-        cuts.append((c << 56) + int((q - below) / max(1e-12, ends[c] - below) * (2**56 - 1)))
-    vertices = rows.where("block IS NULL").select("doc_id", F.struct("n", "id").alias("v"))
-    return vertices, GlobalOrder(classes, np.array(cuts, np.uint64))
+        share = (q - below) / max(1e-12, ends[c] - below)
+        cuts.append((c << 56) + min(2**56 - 1, int(share * 2**56)))
+    vertices = materialize(rows.where("bucket IS NULL").select("doc_id", "n", "id"), folder + "/vertices")
+    discard(docs.sparkSession, folder + "/sets", folder + "/frequent")
+    return vertices, GlobalOrder(prints, classes, np.array(cuts, np.uint64))
 
 
-def prefix_index(docs: DataFrame, order, folder: str, numerator: int, denominator: int) -> DataFrame:
-    """(token, v): the lists of the prefix index that hold two vertices or more, materialized."""
+def prefix_index(docs: DataFrame, order, folder: str, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """The lists of the prefix index that hold two vertices or more, as (token, size, node, n), and the numbers of
+    the vertices in them, as (n, id, node); materialized."""
 
     def make():
         seen = set()
@@ -149,54 +215,95 @@ def prefix_index(docs: DataFrame, order, folder: str, numerator: int, denominato
         return each
 
     every = materialize(map_texts(docs, make, "token long, n int, id long"), folder + "/prefixes")
-    met = every.groupBy("token").count().where("count > 1").select("token")
-    lists = materialize(every.join(met, "token").distinct(), folder + "/lists")
-    shared = lists.groupBy("token").agg(F.min(F.struct("n", "id")).alias("a"), F.max(F.struct("n", "id")).alias("b")).where("a <> b").select("token")
-    return materialize(lists.join(shared, "token").select("token", F.struct("n", "id").alias("v")), folder + "/index")
+    twice = docs.sparkSession.sparkContext.broadcast(bloom_filters(every.select("token"), lambda b: two_hashes(b.column(0).to_numpy()), INDEX_BITS, twice=True))
 
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(twice.value.has(two_hashes(b.column(0).to_numpy()))))
 
-def segments(docs: DataFrame, index: DataFrame, order, folder: str) -> DataFrame:
-    """(v, fragment, tokens) of the vertices in the index (and of a few more that its filter lets through),
-    materialized. No text is shuffled: tasks ask a filter of fixed size which documents to cut."""
-    needed = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(index.select("v.id").distinct()))
+    lists = materialize(every.mapInArrow(suspected, "token long, n int, id long").distinct(), folder + "/lists")
+    met = lists.groupBy("token").count().where("count > 1")
+    met = materialize(lists.join(met, "token"), folder + "/met")
+    # vertices of the index get numbers, so that all that follows joins on one long
+    nodes = materialize(met.select("n", "id").distinct().withColumn("node", F.monotonically_increasing_id()), folder + "/nodes")
+    index = materialize(met.join(nodes, ["n", "id"]).select("token", F.col("count").alias("size"), "node", "n"), folder + "/index")
+    discard(docs.sparkSession, folder + "/prefixes", folder + "/lists", folder + "/met")
+    return index, nodes
 
-    def make():
-        seen = set()
 
-        def each(_, texts):
+def segments(docs: DataFrame, vertices: DataFrame, nodes: DataFrame, order, folder: str) -> DataFrame:
+    """(n, id, fragment, tokens) for every vertex in the index and every fragment, materialized.
+
+    No text is shuffled: each vertex has one source document, and tasks ask a filter of fixed size whether a document
+    is one. A document let through by chance, or a repeated row, gives a segment twice; the join allows for that.
+    """
+    sources = vertices.join(nodes, ["n", "id"]).groupBy("n", "id").agg(F.min("doc_id").alias("doc_id"))
+    needed = docs.sparkSession.sparkContext.broadcast(bloom_filters(sources.select("id", "doc_id"), lambda b: two_hashes(_source_keys(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+
+    def make():
+        def each(doc_ids, texts):
             out = {"n": [], "id": [], "fragment": [], "tokens": []}
-            for text in texts:
-                g = shingle_set(text)
-                v = (len(g), set_id(g))
-                if v in seen or v[1] not in needed.value:
-                    continue
-                seen.add(v)
+            sets = [shingle_set(t) for t in texts]
+            ids = np.array([set_id(g) for g in sets], np.int64)
+            for k in np.flatnonzero(needed.value.has(two_hashes(_source_keys(ids, np.array(doc_ids, np.int64))))):
+                g = sets[k]
                 part = np.searchsorted(order.value.cuts, order.value.keys(g), side="right")
-                for k in np.unique(part):
-                    out["n"].append(v[0])
-                    out["id"].append(v[1])
-                    out["fragment"].append(int(k))
-                    out["tokens"].append(g[part == k].view(np.int64))
+                out["n"] += [len(g)] * FRAGMENTS
+                out["id"] += [int(ids[k])] * FRAGMENTS
+                out["fragment"] += range(FRAGMENTS)
+                out["tokens"] += [g[part == f].view(np.int64) for f in range(FRAGMENTS)]
             return out
 
         return each
 
     rows = map_texts(docs, make, "n int, id long, fragment int, tokens array<long>")
-    rows = rows.select(F.struct("n", "id").alias("v"), "fragment", "tokens")
-    return materialize(rows.dropDuplicates(["v", "fragment"]), folder + "/segments")
+    rows.write.partitionBy("fragment").parquet(folder + "/segments")
+    return docs.sparkSession.read.schema(rows.schema).parquet(folder + "/segments")
+
+
+def _source_keys(ids: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    return mix64(ids.view(np.uint64)) ^ doc_ids.view(np.uint64)
+
+
+def partial_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
+    """(a, b, common, x, y): for each pair and fragment, the shared tokens and the size of either segment, summed."""
+    left = segs.select(F.col("n").alias("na"), F.col("id").alias("ida"), "fragment", F.col("tokens").alias("x"))
+    right = segs.select(F.col("n").alias("nb"), F.col("id").alias("idb"), "fragment", F.col("tokens").alias("y"))
+    met = pairs.select("a", "b", "na", "nb", "ida", "idb").join(left, ["na", "ida"]).join(right, ["nb", "idb", "fragment"])
+    met = met.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("x"), F.size("y").alias("y"))
+    once = met.groupBy("a", "b", "fragment").agg(*[F.max(c).alias(c) for c in ("common", "x", "y")])
+    return once.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("common", "x", "y")])
+
+
+def only(segs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The segments of the pairs' vertices (and a few more), by a filter of fixed size, so that a join shuffles no
+    others."""
+    ends = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id")))
+    needed = segs.sparkSession.sparkContext.broadcast(bloom_filters(ends, lambda b: two_hashes(b.column(0).to_numpy()), PAIR_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(needed.value.has(two_hashes(b.column(1).to_numpy()))))
+
+    return segs.mapInArrow(run, segs.schema)
+
 
+def links_among(pairs: DataFrame, segs: DataFrame, folder: str, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair.
 
-def links_among(pairs: DataFrame, segs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: partial overlaps by fragment, summed per pair."""
-    left = segs.select(F.col("v").alias("a"), "fragment", F.col("tokens").alias("x"))
-    right = segs.select(F.col("v").alias("b"), "fragment", F.col("tokens").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"))
-    total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return total.where(F.col("common") * denominator >= (F.col("a.n") + F.col("b.n") - F.col("common")) * numerator).select("a", "b")
+    The fragment of the rarest tokens goes first; a pair that could not reach the overlap it needs even if all its
+    other tokens were shared is out before the other fragments are joined.
+    """
+    needs = (F.col("na") + F.col("nb")) * numerator / (numerator + denominator)
+    first = partial_overlaps(pairs, only(segs.where("fragment = 0"), pairs)).join(pairs, ["a", "b"])
+    rest = F.least(F.col("na") - F.col("x"), F.col("nb") - F.col("y"))
+    first = materialize(first.where(F.col("common") + rest >= needs - 1e-6).select(*pairs.columns, F.col("common").alias("rare")), folder)
+    total = partial_overlaps(first, only(segs.where("fragment > 0"), first)).join(first, ["a", "b"]).withColumn("common", F.col("common") + F.col("rare"))
+    return total.where(F.col("common") * denominator >= (F.col("na") + F.col("nb") - F.col("common")) * numerator).select("a", "b")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(v, root): the smallest vertex of each class, by alternating large and small stars until nothing changes.
+    """(node, root): the smallest node of each class, by alternating large and small stars until nothing changes.
 
     Every step is a groupBy with map-side minima and a join back, so that a vertex of very many links is never one
     task's group.
@@ -223,51 +330,74 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     while (state := hash_of(now)) != before:
         before, k = state, k + 1
         now = materialize(hooked(hooked(now, True), False), f"{folder}/{k}")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root"))).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def candidate_pairs(at: DataFrame, last: bool, turn: int) -> DataFrame:
+    """(a, b, na, nb) of one turn; at: token, size, node, n, root. Lists of at most SMALL vertices give all their pairs
+    at once; of larger ones each vertex meets a few hubs, or in the last turn all vertices of other classes."""
+    if last or turn == 0:
+        some = at if last else at.where(F.col("size") <= SMALL)
+        y = some.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+        pairs = some.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(y, "token").where("a < b AND ra <> rb").select("a", "b", "na", "nb")
+    if not last:
+        large = at.where(F.col("size") > SMALL)
+        salts = [turn * HUBS + k for k in range(HUBS)]
+        own = F.struct("node", "n", "root")
+        hubs = large.groupBy("token").agg(*[F.min_by(own, F.xxhash64(F.lit(s), "node")).alias(f"s{s}") for s in salts])
+        hubs = hubs.select("token", F.array_distinct(F.array(*[f"s{s}" for s in salts])).alias("hubs"))
+        met = large.join(hubs, "token").select("node", "n", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
+        lower = F.col("node") < F.col("hub.node")
+        ends = [F.when(lower, F.col(x)).otherwise(F.col(y)) for x, y in (("node", "hub.node"), ("hub.node", "node"), ("n", "hub.n"), ("hub.n", "n"))]
+        star = met.select(*[e.alias(c) for e, c in zip(ends, ("a", "b", "na", "nb"))])
+        pairs = pairs.unionByName(star) if turn == 0 else star
+    return pairs.distinct()
 
 
 def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, v, n_shingles, component_id) of every row, and the links (a, b) that were verified and span all classes."""
+    """(doc_id, n, id, n_shingles, component_id) of every row, where (n, id) names its set, and the links (a, b)
+    between sets that were verified and span all classes, each end as (n, id)."""
     spark = docs.sparkSession
     folder = workspace(spark)
     vertices, order = describe(docs, folder)
     order = spark.sparkContext.broadcast(order)
-    index = prefix_index(docs, order, folder, numerator, denominator)
-    segs = segments(docs, index, order, folder)
+    index, nodes = prefix_index(docs, order, folder, numerator, denominator)
+    segs = segments(docs, vertices, nodes, order, folder)
     rows = index.count()
-    links = materialize(spark.createDataFrame([], "a struct<n:int,id:long>, b struct<n:int,id:long>"), folder + "/links-none")
-    roots = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    alike = F.least("a.n", "b.n") * denominator >= F.greatest("a.n", "b.n") * numerator
+    links = materialize(spark.createDataFrame([], "a long, b long"), folder + "/links-none")
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    alike = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
     for turn in range(ROUNDS + 1 if rows else 0):
-        at = materialize(index.join(roots, "v", "left").select("token", "v", F.coalesce("root", "v").alias("root")), f"{folder}/at-{turn}")
-        open_lists = at.groupBy("token", "root").count().groupBy("token").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("left")).where("left > 0")
-        open_lists = materialize(open_lists, f"{folder}/open-{turn}")
-        left = open_lists.agg(F.sum("left")).first()[0] or 0
-        if not left:
-            break
-        last = left <= LINEAR * rows or turn == ROUNDS
-        at = at.join(open_lists.select("token"), "token")
-        if last:
-            y = at.select("token", F.col("v").alias("b"), F.col("root").alias("rb"))
-            pairs = at.select("token", F.col("v").alias("a"), F.col("root").alias("ra")).join(y, "token").where("a < b AND ra <> rb")
-        else:
-            salts = [turn * HUBS + k for k in range(HUBS)]
-            hubs = at.groupBy("token").agg(*[F.min(F.struct(F.xxhash64(F.lit(s), "v").alias("h"), "v", "root")).alias(f"s{s}") for s in salts])
-            hubs = hubs.select("token", F.array_distinct(F.array(*[F.struct(f"s{s}.v", f"s{s}.root") for s in salts])).alias("hubs"))
-            pairs = at.join(hubs, "token").select(F.col("v").alias("a"), F.col("root").alias("ra"), F.explode("hubs").alias("hub"))
-            pairs = pairs.where("ra <> hub.root").select(F.least("a", "hub.v").alias("a"), F.greatest("a", "hub.v").alias("b"))
-        pairs = materialize(pairs.where(alike).select("a", "b").distinct(), f"{folder}/pairs-{turn}")
-        found = links_among(pairs, segs, numerator, denominator)
+        at = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        last = False
+        if turn:  # small lists are done
+            at = materialize(at.where(F.col("size") > SMALL), f"{folder}/at-{turn}")
+            by_root = at.groupBy("token", "root").count()
+            open_lists = by_root.groupBy("token").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("left")).where("left > 0")
+            open_lists = materialize(open_lists, f"{folder}/open-{turn}")
+            left = open_lists.agg(F.sum("left")).first()[0] or 0
+            if not left:
+                break
+            last = left <= LINEAR * rows or turn == ROUNDS
+            at = at.join(open_lists.select("token"), "token")
+        pairs = candidate_pairs(at, last, turn).where(alike)
+        for end in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("id").alias(f"id{end}")), end)
+        pairs = materialize(pairs, f"{folder}/pairs-{turn}")
+        found = links_among(pairs, segs, f"{folder}/rare-{turn}", numerator, denominator)
         links = materialize(links.unionByName(found), f"{folder}/links-{turn}")
         roots = materialize(components(links, f"{folder}/stars-{turn}"), f"{folder}/roots-{turn}")
         if last:
             break
-    first = vertices.where("v.n > 0").groupBy("v").agg(F.min("doc_id").alias("first"))
-    classes = first.join(roots, "v", "left").select("v", "first", F.coalesce("root", "v").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(classes.join(least, "root").select("v", "component_id"), folder + "/named")
-    out = vertices.join(named, "v", "left").select("doc_id", "v", F.col("v.n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out, links
+    first = vertices.where("n > 0").groupBy("n", "id").agg(F.min("doc_id").alias("first"))
+    rooted = nodes.join(roots, "node").select("n", "id", "root")
+    classes = materialize(first.join(rooted, ["n", "id"], "left"), folder + "/classes")
+    least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
+    named = classes.join(least, "root", "left").select("n", "id", F.coalesce("least", "first").alias("component_id"))
+    named = materialize(named, folder + "/named")
+    out = vertices.join(named, ["n", "id"], "left").select("doc_id", "n", "id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ends = [nodes.select(F.col("node").alias(c), F.struct("n", "id").alias(f"{c}_set")) for c in ("a", "b")]
+    return out, links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
 
 
 def ngram_join(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
