@@ -78,7 +78,7 @@ def tiers(t):
 
 
 @query("r07_entity_exact", r"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{1,3}(?:\.[0-9]{1,3}){3}'))) AS name, n_chars FROM documents), q AS (SELECT min(name) AS a, max(name) AS b FROM m)
-SELECT query_id, doc_id AS unit_id, 0.95 AS score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT 1::BIGINT AS query_id, a AS name FROM q UNION SELECT 2, b FROM q) JOIN m USING (name)) WHERE r <= 20""")
+SELECT query_id, doc_id AS unit_id, 0.95::DOUBLE AS score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT 1::BIGINT AS query_id, a AS name FROM q UNION SELECT 2, b FROM q) JOIN m USING (name)) WHERE r <= 20""")
 def entity_exact(t):
     found = F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), 0)
     m = t.documents.select(F.col("doc_id").alias("unit_id"), F.explode(F.array_distinct(found)).alias("name"), F.col("n_chars").alias("weight"))
@@ -112,7 +112,7 @@ def fu3(t):
     return R.identity_fusion(_routed(t))
 
 
-@query("fu4_route_plan", "SELECT lang, source, weight FROM (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'complex' WHEN 'de' THEN 'medium' ELSE 'simple' END AS complexity FROM documents) JOIN (VALUES ('simple','fts',1.0),('simple','dense',0.6),('medium','fts',1.0),('medium','dense',0.9),('medium','entity',0.8),('complex','fts',1.0),('complex','dense',1.0),('complex','entity',0.9),('complex','graph',0.7)) r(complexity, source, weight) USING (complexity)")
+@query("fu4_route_plan", "SELECT lang, source, weight::DOUBLE AS weight FROM (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'complex' WHEN 'de' THEN 'medium' ELSE 'simple' END AS complexity FROM documents) JOIN (VALUES ('simple','fts',1.0),('simple','dense',0.6),('medium','fts',1.0),('medium','dense',0.9),('medium','entity',0.8),('complex','fts',1.0),('complex','dense',1.0),('complex','entity',0.9),('complex','graph',0.7)) r(complexity, source, weight) USING (complexity)")
 def fu4(t):
     d = t.documents.select("lang").distinct().withColumn("complexity", F.when(F.col("lang") == "en", "complex").when(F.col("lang") == "de", "medium").otherwise("simple"))
     return d.join(F.broadcast(R.route_table(t.spark)), "complexity").select("lang", "source", "weight")

@@ -159,10 +159,10 @@ def rule_entities(t):
     return t.documents.select("doc_id", F.explode(F.array_distinct(found)).alias("entity"), F.lit("address").alias("kind"))
 
 
-@query("x40_dictionary_match", r"SELECT doc_id, regexp_matches(text, '(?i)\bthe\b') AS has_the, regexp_matches(text, '(?i)\bund\b') AS has_und FROM documents")
+@query("x40_dictionary_match", r"SELECT doc_id, regexp_matches(text, '(?i)(^|[^0-9A-Za-zÀ-ÿ])the($|[^0-9A-Za-zÀ-ÿ])') AS has_the, regexp_matches(text, '(?i)(^|[^0-9A-Za-zÀ-ÿ])und($|[^0-9A-Za-zÀ-ÿ])') AS has_und FROM documents")
 def dictionary_match(t):
     """Whole-word, case-blind matches of dictionary terms."""
-    return t.documents.select("doc_id", *[F.col("text").rlike(rf"(?i)\b{w}\b").alias(f"has_{w}") for w in ("the", "und")])
+    return t.documents.select("doc_id", *[F.col("text").rlike(f"(?i)(^|[^0-9A-Za-zÀ-ÿ]){w}($|[^0-9A-Za-zÀ-ÿ])").alias(f"has_{w}") for w in ("the", "und")])
 
 
 @query("x41_epoch", "SELECT event_id, (epoch_us(ts) // 1000)::BIGINT AS ms, strftime(ts, '%Y-%m-%d %H:%M:%S') AS iso FROM events")
