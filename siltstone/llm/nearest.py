@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves (operator 8).
 
 Each of CURVES curves rotates the vectors at random, keeps a few coordinates, shifts them by its own offset and reads
-off a Hilbert key. A curve's keys are cut into WINDOWS ranges; a query is compared with its own range and the ones on
-either side, and what all curves bring together is ranked by the exact inner product. Largest inner product becomes
+off a Hilbert key. A curve's keys are cut into WINDOWS ranges, at every size of the table; a query is compared with its
+own range and the ones on either side (on small tables with as many around it as hold LEAST times k rows), and what all
+curves bring together is ranked by the exact inner product. Largest inner product becomes
 nearness on a sphere by one more coordinate: candidates get sqrt(M^2 - |x|^2), queries 0.
 
 Cuts are fitted on a bounded sample (SAMPLE rows by hash), every row is indexed. A range holds a fixed share of the
@@ -11,8 +12,7 @@ given recall. Ranges are dealt to tasks in tiles of bounded size (TILE_ROWS cand
 
 Cases: vectors that are null, zero, of another dimension than the most frequent one, or with a null or non-finite
 component take no part; rows that repeat a vec_id are candidates once each but not for their own id; ties go to the
-smaller vec_id; with fewer candidates than k all are returned if a range meets them, and tables of up to TILE_ROWS rows
-use one range; an empty table gives an empty result.
+smaller vec_id; with fewer candidates than k all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 CURVES, WINDOWS = 24, 48
+#: Rows, as a multiple of k, that a query meets on each curve at least (in the mean), if the table has them.
+LEAST = 4
 AXES, BITS = 6, 10
 SAMPLE = 20_000
 TILE_ROWS, TILE_QUERIES = 8_000, 4_000
@@ -110,6 +112,11 @@ class Curves:
         return np.stack(out)
 
 
+def reach(count: int, windows: int, k: int) -> int:
+    """How many neighbouring windows a query looks at: three, or more where these hold too few rows."""
+    return min(windows, max(3, -(-LEAST * k * windows // count) | 1))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v, tie) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -134,11 +141,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CUR
     index = Curves(fitted.shape[1], curves)
     most = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     index.fit_scale(fitted, most)
-    windows = 1 if count <= TILE_ROWS else windows
     index.fit_cuts(index.keys(fitted, np.zeros(len(fitted), bool)), picked.tie.to_numpy(), windows)
     shared = spark.sparkContext.broadcast(index)
     tiles = max(1, -(-count // (windows * TILE_ROWS)))
-    query_tiles = max(1, -(-3 * queries // (windows * TILE_QUERIES)))
+    width = reach(count, windows, k)
+    query_tiles = max(1, -(-width * queries // (windows * TILE_QUERIES)))
 
     def deal(queries: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +157,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CUR
                 at = shared.value.windows(shared.value.keys(v, np.full(len(v), queries)), ties)
                 tile = (ties.view(np.uint64) >> np.uint64(20)) % np.uint64(query_tiles if queries else tiles)
                 for c in range(len(at)):
-                    near = [at[c] - 1, at[c], at[c] + 1] if queries else [at[c]]
-                    for w in near:
+                    first = np.clip(at[c] - width // 2, 0, windows - width) if queries else at[c]
+                    for w in (first + j for j in range(width if queries else 1)):
                         for t in range(tiles if queries else query_tiles):
-                            keep = np.flatnonzero((w >= 0) & (w < windows))
-                            own = tile[keep].astype(np.int32)
-                            other = np.full(len(keep), t, np.int32)
+                            own = tile.astype(np.int32)
+                            other = np.full(len(w), t, np.int32)
                             n, m = (other, own) if queries else (own, other)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), c, np.int32)), pa.array(w[keep].astype(np.int32)), pa.array(n), pa.array(m), pa.array(ids[keep]), b.column(1).take(pa.array(keep))], names=["curve", "window", "tile", "query_tile", "vec_id", "v"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), c, np.int32)), pa.array(w.astype(np.int32)), pa.array(n), pa.array(m), pa.array(ids), b.column(1)], names=["curve", "window", "tile", "query_tile", "vec_id", "v"])
 
         return run
 

@@ -324,6 +324,26 @@ def test_nearest_windows_reach_recall(spark, monkeypatch):
     assert np.mean([len(got[q] & {v for v, _ in x}) / 10 for q, x in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_nearest_recall_on_given_vectors(spark, monkeypatch, sf):
+    """The registered parameters on the given 64-dimensional vectors, with the windows of every size in use."""
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.registry import queries
+
+    asked = []
+    whole = nearest.Curves.fit_cuts
+    monkeypatch.setattr(nearest.Curves, "fit_cuts", lambda self, keys, ties, windows: asked.append(windows) or whole(self, keys, ties, windows))
+    got = {}
+    for r in queries()["op8_nearest"](spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").where(F.col("vec_id").isNotNull()).collect()
+    want = exact_nearest([tuple(r) for r in rows], 20)
+    recall = np.mean([len(got[q] & {v for v, _ in x}) / 20 for q, x in want.items()])
+    print("recall", sf, recall)
+    assert asked and set(asked) == {nearest.WINDOWS} and recall >= 0.95
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(0)
     for _ in range(200):
