@@ -6,7 +6,11 @@ own range and the ones on either side (on small tables with as many around it as
 curves bring together is ranked by the exact inner product. Largest inner product becomes
 nearness on a sphere by one more coordinate: candidates get sqrt(M^2 - |x|^2), queries 0.
 
-Cuts are fitted on a bounded sample (SAMPLE rows by hash), every row is indexed. A range holds a fixed share of the
+Equal vectors are one: each distinct vector stands for its k + 1 smallest vec_ids, which are all that can be among a
+query's k best (one may be the query). The curves order distinct vectors, the best ones are expanded to their ids, and a
+query's own vector is always among them.
+
+Cuts are fitted on a bounded sample (SAMPLE vectors by hash), every one is indexed. A range holds a fixed share of the
 rows, so the work grows with queries times rows: on vectors without cluster structure no curve can do better at a
 given recall. Ranges are dealt to tasks in tiles of bounded size (TILE_ROWS candidates by TILE_QUERIES queries).
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, mix64, small_batches, workspace
 
 CURVES, WINDOWS = 24, 48
 #: Rows, as a multiple of k, that a query meets on each curve at least (in the mean), if the table has them.
@@ -62,6 +66,10 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def _curve_ties(ties: np.ndarray, curve: int) -> np.ndarray:
+    return mix64(ties.view(np.uint64) + np.uint64(curve))
+
+
 class Curves:
     """Rotations, shifts and the fitted cuts; keys(v) gives an array of curves by rows."""
 
@@ -95,19 +103,23 @@ class Curves:
 
     def fit_cuts(self, keys: np.ndarray, ties: np.ndarray, windows: int) -> None:
         """Cuts between windows of equal share, as (key, tie) pairs: equal keys are parted by the tie, a hash of the
-        id, so that a very common vector still fills several windows."""
+        vector that is mixed anew for each curve, so that a dense spot still fills several windows."""
         at = (np.arange(1, windows) * keys.shape[1]) // windows
-        order = [np.lexsort((ties, k)) for k in keys]
-        self.cuts = [(k[o][at], ties[o][at]) for k, o in zip(keys, order)]
+        self.cuts = []
+        for c, k in enumerate(keys):
+            t = _curve_ties(ties, c)
+            o = np.lexsort((t, k))[at]
+            self.cuts.append((k[o], t[o]))
 
     def windows(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """The window of each row on each curve."""
         out = []
-        for k, (ck, ct) in zip(keys, self.cuts):
+        for c, (k, (ck, ct)) in enumerate(zip(keys, self.cuts)):
+            t = _curve_ties(ties, c)
             first, last = np.searchsorted(ck, k, side="left"), np.searchsorted(ck, k, side="right")
             w = first.copy()
             for r in np.flatnonzero(last > first):
-                w[r] = first[r] + np.searchsorted(ct[first[r] : last[r]], ties[r], side="right")
+                w[r] = first[r] + np.searchsorted(ct[first[r] : last[r]], t[r], side="right")
             out.append(w)
         return np.stack(out)
 
@@ -118,28 +130,41 @@ def reach(count: int, windows: int, k: int) -> int:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, tie) of the rows that take part."""
+    """(vec_id, v) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (common.d if common else 0)).withColumn("tie", F.xxhash64("vec_id"))
+    return rows.where(F.size("v") == (common.d if common else 0))
+
+
+def distinct_vectors(rows: DataFrame, k: int, folder: str) -> DataFrame:
+    """(node, v, tie, first, ids): every vector once, with its k + 1 smallest vec_ids; materialized. The ranks are
+    limited before the shuffle too, so a very common vector sends few rows."""
+    rank = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    some = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    return materialize(some.select(F.monotonically_increasing_id().alias("node"), "v", F.xxhash64("v").alias("tie"), F.col("ids")[0].alias("first"), "ids"), folder)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CURVES, windows: int = WINDOWS, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row with is_query (over vec_id) the k best found."""
     spark = vectors.sparkSession
     small_batches(spark)
+    folder = workspace(spark)
     rows = usable(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).toPandas()
+    groups = distinct_vectors(rows, k, folder + "/vectors")
+    picked = groups.orderBy(F.xxhash64("v", F.lit(1)), "tie").limit(sample).select("v", "tie").toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if picked.empty:
         return spark.createDataFrame([], schema)
-    count = rows.count()
-    queries = rows.where(is_query).count()
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
+    asked = materialize(asked.join(groups.select("v", "node"), "v").select("query_id", "node"), folder + "/queries")
+    searched = groups.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v", "tie", "first")
+    count = groups.count()
+    queries = asked.select("node").distinct().count()
     fitted = np.stack(picked.v.to_numpy()).astype(float)
     index = Curves(fitted.shape[1], curves)
-    most = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
+    most = groups.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     index.fit_scale(fitted, most)
     index.fit_cuts(index.keys(fitted, np.zeros(len(fitted), bool)), picked.tie.to_numpy(), windows)
     shared = spark.sparkContext.broadcast(index)
@@ -152,7 +177,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CUR
             for b in batches:
                 if not b.num_rows:
                     continue
-                ids, ties = b.column(0).to_numpy(), b.column(2).to_numpy()
+                ties = b.column(2).to_numpy()
                 v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
                 at = shared.value.windows(shared.value.keys(v, np.full(len(v), queries)), ties)
                 tile = (ties.view(np.uint64) >> np.uint64(20)) % np.uint64(query_tiles if queries else tiles)
@@ -163,33 +188,46 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CUR
                             own = tile.astype(np.int32)
                             other = np.full(len(w), t, np.int32)
                             n, m = (other, own) if queries else (own, other)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), c, np.int32)), pa.array(w.astype(np.int32)), pa.array(n), pa.array(m), pa.array(ids), b.column(1)], names=["curve", "window", "tile", "query_tile", "vec_id", "v"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), c, np.int32)), pa.array(w.astype(np.int32)), pa.array(n), pa.array(m), b.column(0), b.column(3), b.column(1)], names=["curve", "window", "tile", "query_tile", "node", "first", "v"])
 
         return run
 
-    places = "curve int, window int, tile int, query_tile int, vec_id long, v array<double>"
+    places = "curve int, window int, tile int, query_tile int, node long, first long, v array<double>"
     key = ["curve", "window", "tile", "query_tile"]
-    left = rows.where(is_query).mapInArrow(deal(True), places)
-    right = rows.mapInArrow(deal(False), places)
+    left = searched.mapInArrow(deal(True), places)
+    right = groups.select("node", "v", "tie", "first").mapInArrow(deal(False), places)
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
             x, y = np.stack(q.v.to_numpy()), np.stack(c.v.to_numpy())
-            ids = c.vec_id.to_numpy()
+            nodes, firsts = c.node.to_numpy(), c["first"].to_numpy()
+            slack = 1e-12 * np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1).max())
             for start in range(0, len(x), 256):
                 scores = x[start : start + 256] @ y.T
-                for r, row in enumerate(scores):
-                    own = int(q.vec_id.iat[start + r])
-                    row = np.where(ids == own, -np.inf, row)
-                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    some = np.flatnonzero((row >= least - 1e-9) & (ids != own))
-                    exact = (x[start + r] * y[some]).sum(axis=1)
-                    some, exact = (z[np.lexsort((ids[some], -exact))[:k]] for z in (some, exact))
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[some], "score": exact}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for r, row in enumerate(scores, start):
+                    least = np.partition(row, len(row) - k - 1)[len(row) - k - 1] if len(row) > k + 1 else -np.inf
+                    some = np.flatnonzero(row >= least - slack[r])
+                    exact = (x[r] * y[some]).sum(axis=1)
+                    some, exact = (z[np.lexsort((firsts[some], -exact))[: k + 1]] for z in (some, exact))
+                    out.append(pd.DataFrame({"query": q.node.iat[r], "node": nodes[some], "first": firsts[some], "score": exact}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "node": [], "first": [], "score": []})
+
+    def own_vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(3), pa.array((v * v).sum(axis=1))], names=["query", "node", "first", "score"])
+
+    pairs = "query long, node long, first long, score double"
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, pairs).unionByName(searched.mapInArrow(own_vector, pairs))
+
+    def best(scored: DataFrame, query: str, item: list[str], order: str, n: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), order))
+        return scored.groupBy(query, *item).agg(F.max("score").alias("score")).withColumn("rank", rank.cast("int")).where(F.col("rank") <= n)
+
+    vectors_found = best(found, "query", ["node", "first"], "first", k + 1).join(groups.select("node", "ids"), "node")
+    ids_found = best(vectors_found.select("query", F.explode("ids").alias("vec_id"), "score"), "query", ["vec_id"], "vec_id", k + 1)
+    answers = ids_found.groupBy(F.col("query").alias("node")).agg(F.collect_list(F.struct("vec_id", "score")).alias("hits"))
+    every = asked.join(answers, "node").select("query_id", F.inline("hits")).where("vec_id <> query_id")
+    return best(every, "query_id", ["vec_id"], "vec_id", k).select("query_id", "rank", "vec_id", "score")

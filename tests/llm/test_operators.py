@@ -344,6 +344,30 @@ def test_nearest_recall_on_given_vectors(spark, monkeypatch, sf):
     assert asked and set(asked) == {nearest.WINDOWS} and recall >= 0.95
 
 
+def nearest_recall(spark, rows, of=lambda i: True):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {q: x for q, x in exact_nearest(rows, 20).items() if of(q)}
+    got = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return np.mean([len(got.get(q, set()) & {v for v, _ in x}) / 20 for q, x in want.items()])
+
+
+def unit_vectors(n, seed):
+    v = np.random.default_rng(seed).normal(size=(n, 64))
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
+def test_nearest_of_very_common_vector(spark):
+    v = unit_vectors(1500, 13)
+    rows = [(i, (v[0] if i % 3 == 0 else v[i]).tolist()) for i in range(1500)]
+    recall = nearest_recall(spark, rows, lambda i: i % 3 == 0)
+    print("recall common", recall)
+    assert recall == 1
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(0)
     for _ in range(200):
