@@ -4,13 +4,15 @@ Each of CURVES curves rotates the vectors at random, keeps a few coordinates, sh
 off a Hilbert key. A curve's keys are cut into WINDOWS ranges, at every size of the table; a query is compared with its
 own range and the ones on either side (on small tables with as many around it as hold LEAST times k rows), and what all
 curves bring together is ranked by the exact inner product. Largest inner product becomes
-nearness on a sphere by one more coordinate: candidates get sqrt(M^2 - |x|^2), queries 0.
+nearness on a sphere by one more coordinate: candidates get sqrt(M^2 - |x|^2), queries, scaled to norm M, 0. Candidates
+are split into bands of norms that differ by less than a factor of two, each with its own M, curves and cuts, and every
+query searches every band: a few very long vectors change nothing for the others.
 
 Equal vectors are one: each distinct vector stands for its k + 1 smallest vec_ids, which are all that can be among a
 query's k best (one may be the query). The curves order distinct vectors, the best ones are expanded to their ids, and a
 query's own vector is always among them.
 
-Cuts are fitted on a bounded sample (SAMPLE vectors by hash), every one is indexed. A range holds a fixed share of the
+Cuts are fitted on a bounded sample (SAMPLE vectors by hash, shared out among the bands), every one is indexed. A range holds a fixed share of the
 rows, so the work grows with queries times rows: on vectors without cluster structure no curve can do better at a
 given recall. Ranges are dealt to tasks in tiles of bounded size (TILE_ROWS candidates by TILE_QUERIES queries).
 
@@ -66,6 +68,16 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def norms_of(v: np.ndarray) -> np.ndarray:
+    most = np.abs(v).max(axis=1)
+    return most * np.sqrt(((v / most[:, None]) ** 2).sum(axis=1))
+
+
+def bands_of(v: np.ndarray) -> np.ndarray:
+    """The band of each row: norms from 2^(b - 1/2) to below 2^(b + 1/2)."""
+    return np.rint(np.log2(norms_of(v))).astype(np.int32)
+
+
 def _curve_ties(ties: np.ndarray, curve: int) -> np.ndarray:
     return mix64(ties.view(np.uint64) + np.uint64(curve))
 
@@ -82,8 +94,8 @@ class Curves:
         self.cuts: np.ndarray | None = None
 
     def lift(self, v: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """The extra coordinate, for rows scaled to the greatest norm."""
-        v = v / self.norm
+        """The extra coordinate, for candidates scaled to the greatest norm and queries of norm 1."""
+        v = v / np.where(queries, norms_of(v), self.norm)[:, None]
         rest = np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1)))
         return np.hstack([v, np.where(queries, 0, rest)[:, None]])
 
@@ -139,11 +151,16 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, k: int, folder: str) -> DataFrame:
-    """(node, v, tie, first, ids): every vector once, with its k + 1 smallest vec_ids; materialized. The ranks are
-    limited before the shuffle too, so a very common vector sends few rows."""
+    """(node, v, tie, first, ids, band): every vector once, with its k + 1 smallest vec_ids and its band of norms;
+    materialized. The ranks are limited before the shuffle too, so a very common vector sends few rows."""
+
+    @F.pandas_udf("int")
+    def band(v: pd.Series) -> pd.Series:
+        return pd.Series(bands_of(np.stack(v.to_numpy())) if len(v) else np.empty(0, np.int32))
+
     rank = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     some = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    return materialize(some.select(F.monotonically_increasing_id().alias("node"), "v", F.xxhash64("v").alias("tie"), F.col("ids")[0].alias("first"), "ids"), folder)
+    return materialize(some.select(F.monotonically_increasing_id().alias("node"), "v", F.xxhash64("v").alias("tie"), F.col("ids")[0].alias("first"), "ids", band("v").alias("band")), folder)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CURVES, windows: int = WINDOWS, sample: int = SAMPLE) -> DataFrame:
@@ -153,49 +170,54 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CUR
     folder = workspace(spark)
     rows = usable(vectors)
     groups = distinct_vectors(rows, k, folder + "/vectors")
-    picked = groups.orderBy(F.xxhash64("v", F.lit(1)), "tie").limit(sample).select("v", "tie").toPandas()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if picked.empty:
-        return spark.createDataFrame([], schema)
+    counts = {r.band: r["count"] for r in groups.groupBy("band").count().collect()}
+    if not counts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = materialize(asked.join(groups.select("v", "node"), "v").select("query_id", "node"), folder + "/queries")
-    searched = groups.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v", "tie", "first")
-    count = groups.count()
+    searched = groups.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v", "tie", "first", "band")
     queries = asked.select("node").distinct().count()
-    fitted = np.stack(picked.v.to_numpy()).astype(float)
-    index = Curves(fitted.shape[1], curves)
-    most = groups.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
-    index.fit_scale(fitted, most)
-    index.fit_cuts(index.keys(fitted, np.zeros(len(fitted), bool)), picked.tie.to_numpy(), windows)
-    shared = spark.sparkContext.broadcast(index)
-    tiles = max(1, -(-count // (windows * TILE_ROWS)))
-    width = reach(count, windows, k)
-    query_tiles = max(1, -(-width * queries // (windows * TILE_QUERIES)))
+    drawn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("v", F.lit(1)), "tie"))
+    picked = groups.select("v", "tie", "band", drawn.alias("drawn")).where(F.col("drawn") <= max(windows, sample // len(counts))).drop("drawn").toPandas()
+    # for each band its curves, tiles of candidates, windows that a query looks at, and tiles of queries
+    plan = {}
+    for band, some in picked.groupby("band"):
+        fitted = np.stack(some.v.to_numpy())
+        width = reach(counts[band], windows, k)
+        index = Curves(fitted.shape[1], curves if width < windows else 1)  # one curve will do where all windows are seen
+        index.fit_scale(fitted, norms_of(fitted).max())
+        index.fit_cuts(index.keys(fitted, np.zeros(len(fitted), bool)), some.tie.to_numpy(), windows)
+        plan[int(band)] = index, max(1, -(-counts[band] // (windows * TILE_ROWS))), width, max(1, -(-width * queries // (windows * TILE_QUERIES)))
+    shared = spark.sparkContext.broadcast(plan)
+
+    def dealt(b: pa.RecordBatch, band: int, queries: bool) -> Iterator[pa.RecordBatch]:
+        index, tiles, width, query_tiles = shared.value[band]
+        ties = b.column(2).to_numpy()
+        v = np.stack(b.column(1).to_numpy(zero_copy_only=False))
+        at = index.windows(index.keys(v, np.full(len(v), queries)), ties)
+        own = ((ties.view(np.uint64) >> np.uint64(20)) % np.uint64(query_tiles if queries else tiles)).astype(np.int32)
+        for c in range(len(at)):
+            first = np.clip(at[c] - width // 2, 0, windows - width) if queries else at[c]
+            for w in (first + j for j in range(width if queries else 1)):
+                for t in range(tiles if queries else query_tiles):
+                    other = np.full(len(w), t, np.int32)
+                    n, m = (other, own) if queries else (own, other)
+                    head = [pa.array(np.full(len(w), x, np.int32)) for x in (band, c)]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(w.astype(np.int32)), pa.array(n), pa.array(m), b.column(0), b.column(3), b.column(1)], names=[*key, "node", "first", "v"])
 
     def deal(queries: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ties = b.column(2).to_numpy()
-                v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
-                at = shared.value.windows(shared.value.keys(v, np.full(len(v), queries)), ties)
-                tile = (ties.view(np.uint64) >> np.uint64(20)) % np.uint64(query_tiles if queries else tiles)
-                for c in range(len(at)):
-                    first = np.clip(at[c] - width // 2, 0, windows - width) if queries else at[c]
-                    for w in (first + j for j in range(width if queries else 1)):
-                        for t in range(tiles if queries else query_tiles):
-                            own = tile.astype(np.int32)
-                            other = np.full(len(w), t, np.int32)
-                            n, m = (other, own) if queries else (own, other)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), c, np.int32)), pa.array(w.astype(np.int32)), pa.array(n), pa.array(m), b.column(0), b.column(3), b.column(1)], names=["curve", "window", "tile", "query_tile", "node", "first", "v"])
+                bands = b.column(4).to_numpy()
+                for band in (shared.value if queries else np.unique(bands).tolist()) if len(bands) else ():
+                    yield from dealt(b if queries else b.filter(pa.array(bands == band)), band, queries)
 
         return run
 
-    places = "curve int, window int, tile int, query_tile int, node long, first long, v array<double>"
-    key = ["curve", "window", "tile", "query_tile"]
+    key = ["band", "curve", "window", "tile", "query_tile"]
+    places = "band int, curve int, window int, tile int, query_tile int, node long, first long, v array<double>"
     left = searched.mapInArrow(deal(True), places)
-    right = groups.select("node", "v", "tie", "first").mapInArrow(deal(False), places)
+    right = groups.select("node", "v", "tie", "first", "band").mapInArrow(deal(False), places)
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -368,6 +368,14 @@ def test_nearest_of_very_common_vector(spark):
     assert recall == 1
 
 
+def test_nearest_with_few_very_long_vectors(spark):
+    v = unit_vectors(1500, 14)
+    rows = [(i, (v[i] * (100 if i in (7, 500, 1001) else 1)).tolist()) for i in range(1500)]
+    recall = nearest_recall(spark, rows)
+    print("recall long", recall)
+    assert recall >= 0.95
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(0)
     for _ in range(200):
