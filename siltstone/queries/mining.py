@@ -84,6 +84,16 @@ def table_rows(t):
     return units.table_rows(d.select("document", F.lit(0).alias("segment_index"), F.lit("table").alias("block_type"), F.lit("").alias("breadcrumb"), "text")).select("document", "text")
 
 
+@query("m10_part_rows", "SELECT p_brand AS document, 'p_partkey为' || p_partkey || '，p_name为' || p_name || '。' AS text FROM part")
+def part_rows(t):
+    """A brand's parts as one pipe table, and its row units."""
+    rows = F.array_sort(F.collect_list(F.concat_ws(" | ", F.col("p_partkey").cast("string"), "p_name")))
+    head = F.array(F.lit("p_partkey | p_name"), F.lit("--- | ---"))
+    table = F.array_join(F.transform(F.concat(head, rows), lambda x: F.concat(F.lit("| "), x, F.lit(" |"))), "\n")
+    d = t.part.groupBy(F.col("p_brand").alias("document")).agg(table.alias("text"))
+    return units.table_rows(d.select("document", F.lit(0).alias("segment_index"), F.lit("table").alias("block_type"), F.lit("").alias("breadcrumb"), "text")).select("document", "text")
+
+
 @query("s10_section_search", """SELECT doc_id, score FROM (SELECT doc_id, sum(CASE WHEN contains(lower(source), w) THEN 1000 ELSE 0 END + least(h, 50))::BIGINT AS score, count(*) FILTER (WHERE contains(lower(source), w) OR h > 0) AS met FROM (SELECT doc_id, source, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS h FROM documents, (VALUES ('the'), ('1')) v(w)) GROUP BY doc_id) WHERE met = 2 ORDER BY score DESC, doc_id LIMIT 10""")
 def section_search(t):
     d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")

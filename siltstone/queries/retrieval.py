@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import SQL, query
 from ..operators import retrieval as R
 
 TOK = "regexp_extract_all(lower({0}), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
@@ -48,6 +48,36 @@ def hybrid_search(t):
     return fused.select("unit_id", F.round("fused", 8).alias("fused")).orderBy(F.desc("fused"), "unit_id").limit(10)
 
 
+DENSE_ALL = """pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS unit_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND len(q.embedding) = 64 AND len(c.embedding) = 64),
+dense AS (SELECT query_id, unit_id, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rk FROM pairs) WHERE rk <= 50)"""
+
+
+def _dense_all(t, k=50):
+    """Every query vector against all rows; the queries grow with the table, so Spark picks the join."""
+    e = t.embeddings.where(F.size("embedding") == 64)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    d = e.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("v")).crossJoin(q)
+    return R.top_per_query(d.select("query_id", "unit_id", R.cosine(F.col("q"), F.col("v")).alias("score"), F.lit("dense").alias("source")), k)
+
+
+@query("r05_dense_all", f"WITH {DENSE_ALL} SELECT query_id, unit_id, round(score, 6) AS score FROM dense")
+def dense_all(t):
+    return _dense_all(t).select("query_id", "unit_id", F.round("score", 6).alias("score"))
+
+
+@query("hybrid_search_all", f"""WITH {LEX}, {DENSE_ALL}, asked AS (SELECT DISTINCT query_id FROM dense),
+routes AS (SELECT a.query_id, unit_id, 1.0 / (60 + row_number() OVER (PARTITION BY a.query_id ORDER BY round(score, 9) DESC, unit_id)) AS part FROM asked a, lex UNION ALL SELECT query_id, unit_id, 0.9 / (60 + rk) FROM dense),
+f AS (SELECT query_id, unit_id, round(sum(part)::DOUBLE, 8) AS fused FROM routes GROUP BY ALL)
+SELECT query_id, unit_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, unit_id) AS rk FROM f) WHERE rk <= 10""")
+def hybrid_search_all(t):
+    """The flagship's routes for every query vector, each with the same words."""
+    d = _dense_all(t)
+    lexical = _lexical(t).drop("query_id").crossJoin(d.select("query_id").distinct())
+    fused = R.rrf(lexical.unionByName(d), {"fts": 1.0, "dense": 0.9}).withColumn("fused", F.round("fused", 8))
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), "unit_id"))
+    return fused.withColumn("r", r).where("r <= 10").select("query_id", "unit_id", "fused")
+
+
 BATCH = [(1, "the thand version"), (2, "qqq zzz"), (3, "assword"), (4, "Esndha reedes")]
 
 
@@ -67,6 +97,13 @@ def ladder(t):
     return d.select("query_id", "unit_id", "level", F.round("score", 9).alias("score"))
 
 
+@query("r01_ladder_documents", SQL["r01_ladder"].replace("benchmark", "documents").replace("item_id", "doc_id"))
+def ladder_documents(t):
+    q = t.spark.createDataFrame(BATCH, "query_id long, text string")
+    d = R.full_text_ladder(q, t.documents.select(F.col("doc_id").alias("unit_id"), "text"))
+    return d.select("query_id", "unit_id", "level", F.round("score", 9).alias("score"))
+
+
 @query("r02_tiers", """WITH c AS (SELECT lang, doc_id, n_chars, (source = 'src3')::INT + (source = 'src3' AND n_chars > 30000)::INT AS met FROM documents)
 SELECT lang, doc_id, met::BIGINT AS met FROM (SELECT *, max(met) OVER (PARTITION BY lang) AS best FROM c) WHERE met = best""")
 def tiers(t):

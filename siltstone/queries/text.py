@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import SQL, query
 from ..functions import text as T
 
 TOKENS = "regexp_extract_all(lower(text), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
@@ -102,6 +102,11 @@ def bigram_overlap(t):
     return t.benchmark.select("item_id", F.round(T.bigram_overlap(F.col("text"), F.lit("the other thing")), 9).alias("overlap"))
 
 
+@query("x14_bigram_overlap_documents", SQL["x14_bigram_overlap"].replace("benchmark", "documents").replace("item_id", "doc_id"))
+def bigram_overlap_documents(t):
+    return t.documents.select("doc_id", F.round(T.bigram_overlap(F.col("text"), F.lit("the other thing")), 9).alias("overlap"))
+
+
 @query("x16_truncate", "SELECT doc_id, sha256(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END) AS h, substr(text, 1, 120) AS preview FROM documents")
 def truncate(t):
     return t.documents.select("doc_id", F.sha2(T.truncate(F.col("text"), 200), 256).alias("h"), F.substring("text", 1, 120).alias("preview"))
@@ -141,6 +146,13 @@ def trigram_similarity(t):
     return g.join(F.broadcast(q)).select("item_id", F.round(T.set_jaccard(F.col("g"), F.col("q")), 9).alias("similarity"))
 
 
+@query("x33_trigram_similarity_documents", SQL["x33_trigram_similarity"].replace("benchmark", "documents").replace("item_id", "doc_id"))
+def trigram_similarity_documents(t):
+    g = t.documents.select("doc_id", T.trigrams(F.col("text")).alias("g"))
+    q = g.orderBy("doc_id").limit(1).select(F.col("g").alias("q"))
+    return g.join(F.broadcast(q)).select("doc_id", F.round(T.set_jaccard(F.col("g"), F.col("q")), 9).alias("similarity"))
+
+
 @query("x36_state_token", "SELECT o_orderkey, sha256(o_orderkey::VARCHAR || chr(10) || o_custkey::VARCHAR || chr(10) || o_orderstatus || chr(10) || o_orderpriority) AS token FROM orders")
 def state_token(t):
     return t.orders.select("o_orderkey", T.state_token(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("token"))

@@ -33,6 +33,16 @@ def rows(columns, data):
     return sorted([tuple(plain(r[i]) for i in order) for r in data], key=repr)
 
 
+def test_whole_tables_are_asked(spark):
+    """Every query vector and every document, not one vector or the fixed benchmark."""
+    embeddings, documents = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("embeddings", "documents"))
+    asked = {r.vec_id for r in embeddings.where("vec_id % 100 = 0").collect()}
+    for name in ("r05_dense_all", "hybrid_search_all"):
+        assert {r.query_id for r in catalog.QUERIES[name](spark, SF).select("query_id").distinct().collect()} == asked and len(asked) > 1
+    for name in ("x14_bigram_overlap_documents", "x33_trigram_similarity_documents"):
+        assert catalog.QUERIES[name](spark, SF).count() == documents.count()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
