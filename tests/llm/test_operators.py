@@ -253,6 +253,21 @@ def test_secrets(spark, odd_rows):
     assert [s.kind for s in got[5003].spans] == ["hosttoken"] and not got[5004].spans
 
 
+def test_secrets_of_any_length():
+    import base64
+
+    words = secrets.automaton()
+    head = base64.urlsafe_b64encode(b'{"alg":"x","x5c":"' + b"a" * 9000 + b'"}').decode().rstrip("=")
+    short = base64.urlsafe_b64encode(b'{"alg":"ML-DSA-87"}').decode().rstrip("=")
+    for token in (f"{head}.{'b' * 50}.{'c' * 50}", f"{short}.{'b' * 200_000}.{'c' * 50}", f"{short}.{'b' * 50}.{'C' * 6200}"):
+        assert (2, 2 + len(token), "webtoken") in secrets.scan(f"x {token} y", words)
+    for name in ("RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        key = f"-----BEGIN {name}-----\n" + "MIIEow+/=\n" * 300 + f"-----END {name}-----"
+        assert [s for s in secrets.scan(f"k {key} {key} y", words) if s[2] == "privatekey"] == [(2, 2 + len(key), "privatekey"), (3 + len(key), 3 + 2 * len(key), "privatekey")]
+    assert secrets.scan("eyJ" * 300_000, words) == []  # linear, or this takes hours
+    assert secrets.scan("-----BEGIN PRIVATE KEY-----\nabc", words) == [(0, 27, "privatekey")]
+
+
 @pytest.mark.parametrize("file_rows", [7, 10_000])
 def test_token_files(spark, odd_rows, tmp_path, file_rows):
     from tokenizers import Tokenizer
