@@ -2,18 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns the rows that the next one works on, with
 the columns of documents; the last one returns the packing plan. A changed text brings n_chars up to date. Rows without
-doc_id are left out by the first stage; of rows that repeat a doc_id the near-duplicate stage keeps one.
+doc_id are left out by the first stage; rows that repeat a doc_id are documents of their own text, and of those that are
+near duplicates of each other the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches
+from siltstone.llm.common import materialize, small_batches, workspace
 from siltstone.llm.lines import MIN_POINTS, kept_lines, repeated_lines
-from siltstone.llm.ngram_join import ngram_join
+from siltstone.llm.ngram_join import set_id, shingle_set, similar_sets
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.pii import redacted
 from siltstone.llm.quality import train, verdicts
@@ -44,9 +45,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each class of near duplicates the document with the smallest doc_id stays."""
-    stays = ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Operator 1: of each class of near duplicates one row stays: by doc_id, then set, then text and the other columns.
+    Empty sets are one class for each doc_id."""
+    small_batches(spark)
+    alone = F.col("root").isNull()
+    least = similar_sets(docs)[0].where("doc_id = component_id").groupBy("doc_id", "root", F.when(alone, F.col("n")), F.when(alone, F.col("id"))).agg(F.min(F.struct("n", "id")).alias("__set"))
+    stays = least.select("doc_id", "__set.n", "__set.id").toDF("doc_id", "__n", "__id")
+
+    @F.pandas_udf("n int, id long")
+    def name(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"n": pd.Series([len(g) for g in sets], dtype="int32"), "id": pd.Series([set_id(g) for g in sets], dtype="int64")})
+
+    some = docs.join(stays.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    named = some.withColumn("__set", name(F.coalesce(F.col("text").cast("string"), F.lit("")))).select(*docs.columns, F.col("__set.n").alias("__n"), F.col("__set.id").alias("__id"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "__n", "__id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    kept = named.join(stays.hint("merge"), ["doc_id", "__n", "__id"], "left_semi").withColumn("__first", first)
+    return kept.where("__first = 1").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,6 +89,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = workspace(spark)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):  # written and read again, so that every later evaluation sees the same rows
+            docs = materialize(docs, f"{folder}/stage-{k}")
     return docs

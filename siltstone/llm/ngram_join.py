@@ -355,8 +355,9 @@ def candidate_pairs(at: DataFrame, last: bool, turn: int) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, id, n_shingles, component_id) of every row, where (n, id) names its set, and the links (a, b)
-    between sets that were verified and span all classes, each end as (n, id)."""
+    """(doc_id, n, id, n_shingles, component_id, root) of every row, where (n, id) names its set and root its class (null
+    for a set without links), and the links (a, b) between sets that were verified and span all classes, each end as
+    (n, id)."""
     spark = docs.sparkSession
     folder = workspace(spark)
     vertices, order = describe(docs, folder)
@@ -393,9 +394,9 @@ def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int =
     rooted = nodes.join(roots, "node").select("n", "id", "root")
     classes = materialize(first.join(rooted, ["n", "id"], "left"), folder + "/classes")
     least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    named = classes.join(least, "root", "left").select("n", "id", F.coalesce("least", "first").alias("component_id"))
+    named = classes.join(least, "root", "left").select("n", "id", "root", F.coalesce("least", "first").alias("component_id"))
     named = materialize(named, folder + "/named")
-    out = vertices.join(named, ["n", "id"], "left").select("doc_id", "n", "id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = vertices.join(named, ["n", "id"], "left").select("doc_id", "n", "id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
     ends = [nodes.select(F.col("node").alias(c), F.struct("n", "id").alias(f"{c}_set")) for c in ("a", "b")]
     return out, links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
 

@@ -43,6 +43,16 @@ def test_stages(spark, odd_rows, tmp_path):
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == sorted(seen[4].select("doc_id").collect())
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda s: " ".join(f"{s}{k}" for k in range(120))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(5, a), (5, b), (5, a + " z"), (6, b + " y"), (7, c), (7, c), (8, ""), (8, ""), (9, None)]
+    got = corpus_pipeline.near_duplicate_stage(spark, make_docs(spark, rows), "")
+    assert got.columns == make_docs(spark, rows).columns
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(5, a), (5, b), (7, c)]
+    assert sorted(r.doc_id for r in got.collect() if not r.text) == [8, 9]
+
+
 def test_registry():
     names = sorted(queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
