@@ -1,57 +1,59 @@
 """N-gram Jaccard join by vertical partitioning (operator 1).
 
-Every document is the set of its distinct five-word shingles. Documents with equal sets are one vertex. The shingles
-have one global order: document frequency first (in logarithmic classes), then the hash. Two sets with Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of
-each, so an inverted index over these prefixes finds every candidate. The order is cut into FRAGMENTS ranges; each
-candidate pair's overlap is counted in each range on its own, and the partial counts are summed per pair.
-
-Classes only need a spanning set of links, so candidates inside a class that is already connected are never formed:
-rounds of hub pairs (each list of the index against a few hash-chosen members) connect the bulk of a large group in
-linear work; after them, every pair that shares a list and is still in different classes is checked.
-
-Frequencies are counted over all documents, as sorted runs of 40-bit fingerprints dealt by their leading bits. Only
-the FREQUENT most frequent fingerprints are told apart in the order, which bounds what is broadcast; all others come
-first, by hash. Results do not depend on that, since any fixed order is right; only the number of candidates does.
+Every document is the set of its distinct five-word shingles; documents with equal sets are one vertex. Three exact
+facts keep the work near the size of the duplicated part of the corpus:
+
+* A shingle of one set only is in no intersection. Tasks gather their shingles as sorted runs; buckets of the hash
+  range count them over all documents and send back, to each run, those found twice or more. A set whose shared
+  shingles are fewer than its share of the threshold is linked with nothing and leaves here, before any join.
+* The shingles have one global order: document frequency (in half octaves), then the hash. Two sets of Jaccard
+  similarity t share a shingle among the first m - ceil(t n) + 1 of the m shared shingles of each, so an inverted index
+  over these prefixes finds every candidate. The order is cut into FRAGMENTS ranges; each candidate pair's overlap is
+  counted in each range on its own, and the partial counts are summed per pair.
+* Classes only need a spanning set of links. Members of a large list of the index first meet a few hubs (the most
+  central one, by the frequency of its shingles, and some chosen by hash). After that, only members outside the list's
+  largest class meet the others, and a pair goes on only if sizes and a parity sketch allow it: cells of the sketch that
+  differ are shingles of the symmetric difference, so it bounds the similarity from above.
+
+Nothing is collected but counts per frequency class; nothing that grows with the corpus is broadcast. A shingle that
+very many sets share reaches its bucket as one number per run.
 
 Cases: a null or empty text, or one of white space only, is an empty set and linked with nothing; fewer than five
 words are one shingle; rows that repeat a doc_id are vertices of their own text; an empty table gives an empty
-result. Shingles are 64-bit hashes; vertices are (set size, 64-bit hash of the set).
+result; a very long text is one set in one run, whole; ties in the order are broken by the hash, ties between hubs by
+the vertex. Shingles are 56-bit hashes; vertices are (set size, 64-bit hash of the set). The input is read once, and a
+lost task must meet the same rows again: pass a table, or a frame that reads one.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filters, discard, doc_texts, map_texts, materialize, mix64, two_hashes, window_hashes, word_hashes, workspace
+from .common import discard, doc_texts, materialize, mix64, window_hashes, word_hashes, workspace
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
-FINGERPRINT_BITS = 40
-#: Fingerprints that the order tells apart at most, and documents that one of them needs at least.
-FREQUENT, LEAST_DOCS = 1 << 21, 3
-#: Documents for which there is one bucket of fingerprints.
-BUCKET_DOCS = 256
-#: Tokens that a task gathers before it writes a run.
-RUN_TOKENS = 1_500_000
-#: Bits of the filter that spares the index its tokens of one vertex.
-INDEX_BITS = 1 << 27
-#: Bits of the filter of the vertices that take part in a turn.
-PAIR_BITS = 1 << 23
+TOKEN_BITS = 56
+#: Shingles and documents that a task gathers before it writes a run.
+RUN_TOKENS, RUN_DOCS = 1_500_000, 200_000
+#: Characters of text for which there is one bucket of the hash range, and buckets at most.
+BUCKET_CHARS, BUCKETS = 12_000_000, 1 << 17
 FRAGMENTS = 4
-#: Hub choices tried at once in a round, and rounds at most.
-HUBS, ROUNDS = 10, 3
+#: Hubs that members of a large list meet in a round (the central one and others by hash), and rounds at most.
+HUBS, ROUNDS = 3, 2
 #: Vertices of a list that gives all its pairs in the first turn.
 SMALL = 8
 #: Hub rounds go on while the pairs left to check outnumber the rows of the index by this factor.
 LINEAR = 4
+#: 64-bit words of a parity sketch.
+SKETCH = 8
 
 
 def shingle_set(text: str, width: int = WORDS) -> np.ndarray:
@@ -68,237 +70,251 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def prefix_size(n: int, numerator: int, denominator: int) -> int:
-    return n + (-numerator * n) // denominator + 1
-
-
-@dataclass
-class GlobalOrder:
-    """Frequency classes of the frequent fingerprints, and the keys at which the order is cut into fragments."""
-
-    frequent: np.ndarray
-    classes: np.ndarray
-    cuts: np.ndarray
-
-    @functools.cached_property
-    def maybe(self) -> np.ndarray:
-        """Whether any frequent fingerprint has these low bits: small enough for a cache, it spares most searches."""
-        out = np.zeros(1 << 23, bool)
-        out[(self.frequent & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
-        return out
-
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """The place of each shingle in the global order."""
-        key = tokens >> np.uint64(8)
-        prints = tokens >> np.uint64(64 - FINGERPRINT_BITS)
-        some = np.flatnonzero(self.maybe[(prints & np.uint64((1 << 23) - 1)).astype(np.int64)])
-        if len(some):
-            at = np.minimum(np.searchsorted(self.frequent, prints[some]), len(self.frequent) - 1)
-            key[some] |= np.where(self.frequent[at] == prints[some], self.classes[at], 0).astype(np.uint64) << np.uint64(56)
-        return key
-
-
 def pack_run(values: np.ndarray) -> bytes:
-    """Sorted unsigned numbers as differences of as few bytes as the largest one needs."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted unsigned numbers: the width of the steps, the first number, and the steps in as few bytes as the largest needs."""
+    steps = np.diff(values).astype("<u8")
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_run(raw: bytes) -> np.ndarray:
     width = raw[0]
-    steps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
-
-
-def describe(docs: DataFrame, folder: str) -> tuple[DataFrame, GlobalOrder]:
-    """(doc_id, n, id) of every row, materialized, and the global order. A set that a task meets again is counted once."""
-    shift = np.uint64(64 - FINGERPRINT_BITS)
-    buckets = 1 << min(16, max(4, (docs.count() // BUCKET_DOCS).bit_length()))
-    part = np.uint64(FINGERPRINT_BITS - (buckets.bit_length() - 1))
-    names = ["doc_id", "n", "id", "bucket", "run"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        fresh: list[np.ndarray] = []
-
-        def runs() -> pa.RecordBatch:
-            every = np.sort(np.concatenate(fresh))
-            fresh.clear()
-            own = (every >> part).astype(np.int64)
-            starts = np.flatnonzero(np.diff(own, prepend=-1))
-            packed = [pack_run(x) for x in np.split(every, starts[1:])]
-            rows = len(starts)
-            return pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.array(own[starts].astype(np.int32)), pa.array(packed, pa.binary())], names=names)
-
-        held = 0
+    steps = np.zeros(((len(raw) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1, offset=1), steps.reshape(-1).view("<u8")]), dtype=np.uint64)
+
+
+ROW = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("kind", pa.int32()), ("sets", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+ROW_DDL = "bucket long, run long, kind int, sets int, a binary, b binary, c binary, d binary"
+SET_DDL = "doc_id long, n int, id long, m int, score double, tokens array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+HEAD, MANY, BLOCK = 0, 1, 2
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ROW)], schema=ROW)
+
+
+def _gatherer(buckets: int):
+    """Runs of the shingles of a task's distinct sets. A run has a HEAD (documents and sets), a MANY row (shingles that
+    several sets of the run have, with these sets) and a BLOCK for each bucket: its distinct shingles, each with the
+    number of its set, or with the number of sets as a mark if it stands in the MANY row, and then with their count."""
+    shift = np.uint64(TOKEN_BITS - (buckets.bit_length() - 1))
+
+    def run_of(run: int, docs: list[tuple], at: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        doc_ids, n, ids = zip(*docs)
+        head = [np.array(x, t).tobytes() for x, t in ((doc_ids, "<i8"), (n, "<i4"), (ids, "<i8"), (at, "<i4"))]
+        rows = [(-1 - run, run, HEAD, len(sets), *head)]
+        if sets:
+            tokens = np.concatenate(sets) >> np.uint64(64 - TOKEN_BITS)
+            owner = np.repeat(np.arange(len(sets), dtype="<u2" if len(sets) < 1 << 16 else "<u4"), [len(g) for g in sets])
+            by = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[by], owner[by]
+            starts = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+            counts = np.diff(starts, append=len(tokens)).astype("<i4")
+            tokens, many = tokens[starts], counts > 1
+            if many.any():
+                rows.append((-1 - run, run, MANY, len(sets), pack_run(tokens[many]), owner[np.repeat(many, counts)].tobytes(), counts[many].tobytes(), None))
+            owner = owner[starts]
+            owner[many] = len(sets)
+            bucket = (tokens >> shift).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for i, j in zip(cuts, np.append(cuts[1:], len(tokens))):
+                rows.append((int(bucket[i]), run, BLOCK, len(sets), pack_run(tokens[i:j]), owner[i:j].tobytes(), counts[i:j][many[i:j]].tobytes(), None))
+        return _rows(rows)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, seen, held = TaskContext.get().partitionId() << 32, set(), 0
+        docs, at, sets = [], [], []
         for b in batches:
-            n, ids = [], []
-            for text in b.column(1).to_pylist():
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = shingle_set(text)
-                n.append(len(g))
-                ids.append(set_id(g))
-                if len(g) and (n[-1], ids[-1]) not in seen:
-                    seen.add((n[-1], ids[-1]))
-                    fresh.append(g >> shift)
+                v = (len(g), set_id(g))
+                if len(g) and v not in seen:
+                    seen.add(v)
+                    at.append(len(docs))
+                    sets.append(g)
                     held += len(g)
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
-            if held > RUN_TOKENS:
-                yield runs()
-                held = 0
-        if fresh:
-            yield runs()
-
-    def counted(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = np.concatenate([unpack_run(r.as_py()) for b in batches for r in b.column("run")])
-        prints, docs_of = np.unique(every, return_counts=True)
-        often = docs_of >= LEAST_DOCS
-        classes = np.minimum(255, 4 * np.log2(docs_of[often])).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([len(every)], pa.int64()), pa.array([prints[often].astype("<u8").tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary())], names=["total", "prints", "classes"])
-
-    rows = materialize(doc_texts(docs).mapInArrow(run, "doc_id long, n int, id long, bucket int, run binary"), folder + "/sets")
-    frequent = rows.where("bucket IS NOT NULL").select("bucket", "run").groupBy("bucket").applyInArrow(counted, "total long, prints binary, classes binary")
-    frequent = materialize(frequent, folder + "/frequent")
-    # how many fingerprints of each class there are decides which classes fit
-    sizes = np.zeros(256, np.int64)
-    total = 0
-    for r in frequent.toLocalIterator():
-        sizes += np.bincount(np.frombuffer(r.classes, np.uint8), minlength=256)
-        total += r.total
-    fits = int(np.flatnonzero(np.cumsum(sizes[::-1])[::-1] <= FREQUENT)[0])
-    prints, classes = [np.empty(0, np.uint64)], [np.empty(0, np.uint8)]
-    for r in frequent.toLocalIterator():
-        c = np.frombuffer(r.classes, np.uint8)
-        prints.append(np.frombuffer(r.prints, "<u8")[c >= fits])
-        classes.append(c[c >= fits])
-    prints, classes = np.concatenate(prints), np.concatenate(classes)
-    by = np.argsort(prints)
-    prints, classes = prints[by], classes[by]
-    mass = np.bincount(classes, minlength=256) * 2.0 ** (np.arange(256) / 4)
-    mass[0] += max(0.0, total - mass.sum())
-    ends = np.cumsum(mass) / max(1.0, mass.sum())
+                docs.append((doc_id, *v))
+                if held >= RUN_TOKENS or len(docs) >= RUN_DOCS:
+                    yield run_of(run, docs, at, sets)
+                    run, held, docs, at, sets = run + 1, 0, [], [], []
+        if docs:
+            yield run_of(run, docs, at, sets)
+
+    return gather
+
+
+def _owners(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u4")
+
+
+def count_bucket(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run, the shingles of its block that two sets or more have, with the class of their frequency."""
+    if key[0].as_py() < 0:
+        yield from batches
+        return
+    runs, sets, tokens, owners, counts = [], [], [], [], []
+    for b in batches:
+        for r in b.to_pylist():
+            t = unpack_run(r["a"])
+            own = _owners(r["b"], len(t))
+            n = np.ones(len(t), np.int64)
+            n[own == r["sets"]] = np.frombuffer(r["c"], "<i4")
+            runs.append(r["run"])
+            sets.append(r["sets"])
+            tokens.append(t)
+            owners.append(own)
+            counts.append(n)
+    every = np.concatenate(tokens)
+    by = np.argsort(every, kind="stable")
+    starts = np.flatnonzero(np.diff(every[by], prepend=~every[by[:1]]))
+    totals = np.add.reduceat(np.concatenate(counts)[by], starts)
+    total = np.empty(len(every), np.int64)
+    total[by] = np.repeat(totals, np.diff(starts, append=len(every)))
+    out, at, held = [], 0, 0
+    for run, of, t, own in zip(runs, sets, tokens, owners):
+        shared = total[at : at + len(t)] >= 2
+        if shared.any():
+            classes = np.minimum(127, 2 * np.log2(total[at : at + len(t)][shared])).astype(np.uint8)
+            out.append((0, run, BLOCK, of, pack_run(t[shared]), own[shared].tobytes(), classes.tobytes(), None))
+            held += len(classes)
+        at += len(t)
+        if held > RUN_TOKENS:
+            yield _rows(out)
+            out, held = [], 0
+    if out:
+        yield _rows(out)
+
+
+def _assembler(numerator: int, denominator: int):
+    """Of each run: (doc_id, n, id) of its documents and, with doc_id null, its sets that may have links: number m of
+    shared shingles, mean class of all, the shared ones in the global order, and the parity sketch of these."""
+
+    def assemble(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, many, blocks = None, None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == HEAD:
+                    head = r
+                elif r["kind"] == MANY:
+                    many = r
+                else:
+                    blocks.append(r)
+        doc_ids, n, ids, at = (np.frombuffer(head[c], t) for c, t in zip("abcd", ("<i8", "<i4", "<i8", "<i4")))
+        names = [x.split()[0] for x in SET_DDL.split(", ")]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64())] + [pa.int64()] * SKETCH
+
+        def table(doc_id, n, id_, *rest) -> pa.RecordBatch:
+            size = len(n)
+            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip([doc_id, n, id_, *rest, *[None] * (len(types) - 3 - len(rest))], types)], names=names)
+
+        yield table(doc_ids, n, ids)
+        if not blocks:
+            return
+        if many is not None:
+            many_tokens, spans = unpack_run(many["a"]), np.frombuffer(many["c"], "<i4").astype(np.int64)
+            many_owners, begins = _owners(many["b"], int(spans.sum())), np.cumsum(spans) - spans
+        keys, owners = [], []
+        for r in blocks:
+            t = unpack_run(r["a"])
+            own = _owners(r["b"], len(t)).astype(np.int64)
+            k = t | (np.frombuffer(r["c"], np.uint8).astype(np.uint64) << np.uint64(TOKEN_BITS))
+            marked = own == head["sets"]
+            keys.append(k[~marked])
+            owners.append(own[~marked])
+            if marked.any():
+                of = np.searchsorted(many_tokens, t[marked])
+                size = spans[of]
+                places = np.repeat(begins[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                keys.append(np.repeat(k[marked], size))
+                owners.append(many_owners[places].astype(np.int64))
+        keys, owners = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+        m, sizes = np.bincount(owners, minlength=head["sets"]), n[at].astype(np.int64)
+        stays = m * denominator >= sizes * numerator
+        if not stays.any():
+            return
+        keys, owners = keys[stays[owners]], (np.cumsum(stays) - 1)[owners[stays[owners]]]
+        by = np.lexsort((keys, owners))
+        keys, owners = keys[by], owners[by]
+        m, sizes = m[stays], sizes[stays]
+        score = np.bincount(owners, weights=keys >> TOKEN_BITS, minlength=len(m)) / sizes
+        cells = mix64(keys.view(np.uint64)) % np.uint64(64 * SKETCH)
+        sketch = np.zeros((len(m), SKETCH), np.uint64)
+        np.bitwise_xor.at(sketch, (owners, (cells >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (cells & np.uint64(63)))
+        ends = np.concatenate([[0], np.cumsum(m)])
+        for i in range(0, len(m), 2_000):
+            j = min(i + 2_000, len(m))
+            lists = pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), pa.array(keys[ends[i] : ends[j]]))
+            yield table(None, sizes[i:j], ids[at][stays][i:j], m[i:j], score[i:j], lists, *sketch[i:j].T.copy().view(np.int64))
+
+    return assemble
+
+
+def shared_sets(docs: DataFrame, folder: str, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, id) of every row, and the distinct sets that may have links, numbered: node, n, id, m, score, tokens,
+    sketch; both materialized."""
+    texts = doc_texts(docs)
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = 1 << min(BUCKETS.bit_length() - 1, max(3, (chars // BUCKET_CHARS).bit_length()))
+    runs = texts.mapInArrow(_gatherer(buckets), ROW_DDL)
+    counted = runs.groupBy("bucket").applyInArrow(count_bucket, ROW_DDL)
+    rows = materialize(counted.groupBy("run").applyInArrow(_assembler(numerator, denominator), SET_DDL), folder + "/sets")
+    own = rows.where("doc_id IS NULL").drop("doc_id")
+    # a set found by several tasks is one vertex; vertices get numbers, so that all that follows joins on one long
+    nodes = materialize(own.dropDuplicates(["n", "id"]).withColumn("node", F.monotonically_increasing_id()), folder + "/nodes")
+    return rows.where("doc_id IS NOT NULL").select("doc_id", "n", "id"), nodes
+
+
+def prefix_index(nodes: DataFrame, folder: str, numerator: int, denominator: int) -> DataFrame:
+    """The lists of the prefix index that hold two vertices or more, as (token, size, node, n, m, score); materialized."""
+    length = F.expr(f"m - ({numerator}L * n + {denominator - 1}) div {denominator} + 1").cast("int")
+    every = nodes.select(F.explode(F.slice("tokens", F.lit(1), length)).alias("token"), "node", "n", "m", "score")
+    met = every.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    return materialize(every.join(met, "token"), folder + "/index")
+
+
+def fragment_cuts(nodes: DataFrame) -> list[int]:
+    """The keys at which the global order is cut, so that each of the FRAGMENTS ranges holds about as many shingles."""
+    counts = nodes.select(F.explode("tokens").alias("key")).groupBy(F.shiftright("key", TOKEN_BITS).alias("class")).count().collect()
+    sizes = np.zeros(128)
+    for r in counts:
+        sizes[r["class"]] = r["count"]
+    ends = np.cumsum(sizes) / max(1.0, sizes.sum())
     cuts = []
     for q in np.arange(1, FRAGMENTS) / FRAGMENTS:
-        c = min(255, int(np.searchsorted(ends, q)))
+        c = min(127, int(np.searchsorted(ends, q)))
         below = ends[c - 1] if c else 0.0
         share = (q - below) / max(1e-12, ends[c] - below)
-        cuts.append((c << 56) + min(2**56 - 1, int(share * 2**56)))
-    vertices = materialize(rows.where("bucket IS NULL").select("doc_id", "n", "id"), folder + "/vertices")
-    discard(docs.sparkSession, folder + "/sets", folder + "/frequent")
-    return vertices, GlobalOrder(prints, classes, np.array(cuts, np.uint64))
-
-
-def prefix_index(docs: DataFrame, order, folder: str, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
-    """The lists of the prefix index that hold two vertices or more, as (token, size, node, n), and the numbers of
-    the vertices in them, as (n, id, node); materialized."""
-
-    def make():
-        seen = set()
-
-        def each(_, texts):
-            tokens, sizes, ids, runs = [], [], [], []
-            for text in texts:
-                g = shingle_set(text)
-                v = (len(g), set_id(g))
-                if len(g) and v not in seen:
-                    seen.add(v)
-                    p = prefix_size(len(g), numerator, denominator)
-                    tokens.append(np.partition(order.value.keys(g), p - 1)[:p])
-                    sizes.append(v[0])
-                    ids.append(v[1])
-                    runs.append(p)
-            flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
-            return {"token": flat, "n": np.repeat(np.array(sizes, np.int32), runs), "id": np.repeat(np.array(ids, np.int64), runs)}
-
-        return each
-
-    every = materialize(map_texts(docs, make, "token long, n int, id long"), folder + "/prefixes")
-    twice = docs.sparkSession.sparkContext.broadcast(bloom_filters(every.select("token"), lambda b: two_hashes(b.column(0).to_numpy()), INDEX_BITS, twice=True))
-
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(twice.value.has(two_hashes(b.column(0).to_numpy()))))
+        cuts.append((c << TOKEN_BITS) + min((1 << TOKEN_BITS) - 1, int(share * (1 << TOKEN_BITS))))
+    return cuts
 
-    lists = materialize(every.mapInArrow(suspected, "token long, n int, id long").distinct(), folder + "/lists")
-    met = lists.groupBy("token").count().where("count > 1")
-    met = materialize(lists.join(met, "token"), folder + "/met")
-    # vertices of the index get numbers, so that all that follows joins on one long
-    nodes = materialize(met.select("n", "id").distinct().withColumn("node", F.monotonically_increasing_id()), folder + "/nodes")
-    index = materialize(met.join(nodes, ["n", "id"]).select("token", F.col("count").alias("size"), "node", "n"), folder + "/index")
-    discard(docs.sparkSession, folder + "/prefixes", folder + "/lists", folder + "/met")
-    return index, nodes
 
+def partial_overlaps(pairs: DataFrame, nodes: DataFrame, cuts: list[int], fragments: list[int]) -> DataFrame:
+    """(a, b, common, x, y): shared shingles and the size of either side, counted in each fragment and summed per pair."""
+    lows, highs = [-1, *cuts], [*cuts, 2**63 - 1]
 
-def segments(docs: DataFrame, vertices: DataFrame, nodes: DataFrame, order, folder: str) -> DataFrame:
-    """(n, id, fragment, tokens) for every vertex in the index and every fragment, materialized.
+    def part(f: int) -> Column:
+        return F.filter("tokens", lambda t: (t >= lows[f]) & (t < highs[f]))
 
-    No text is shuffled: each vertex has one source document, and tasks ask a filter of fixed size whether a document
-    is one. A document let through by chance, or a repeated row, gives a segment twice; the join allows for that.
-    """
-    sources = vertices.join(nodes, ["n", "id"]).groupBy("n", "id").agg(F.min("doc_id").alias("doc_id"))
-    needed = docs.sparkSession.sparkContext.broadcast(bloom_filters(sources.select("id", "doc_id"), lambda b: two_hashes(_source_keys(b.column(0).to_numpy(), b.column(1).to_numpy()))))
-
-    def make():
-        def each(doc_ids, texts):
-            out = {"n": [], "id": [], "fragment": [], "tokens": []}
-            sets = [shingle_set(t) for t in texts]
-            ids = np.array([set_id(g) for g in sets], np.int64)
-            for k in np.flatnonzero(needed.value.has(two_hashes(_source_keys(ids, np.array(doc_ids, np.int64))))):
-                g = sets[k]
-                part = np.searchsorted(order.value.cuts, order.value.keys(g), side="right")
-                out["n"] += [len(g)] * FRAGMENTS
-                out["id"] += [int(ids[k])] * FRAGMENTS
-                out["fragment"] += range(FRAGMENTS)
-                out["tokens"] += [g[part == f].view(np.int64) for f in range(FRAGMENTS)]
-            return out
-
-        return each
-
-    rows = map_texts(docs, make, "n int, id long, fragment int, tokens array<long>")
-    rows.write.partitionBy("fragment").parquet(folder + "/segments")
-    return docs.sparkSession.read.schema(rows.schema).parquet(folder + "/segments")
-
-
-def _source_keys(ids: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
-    return mix64(ids.view(np.uint64)) ^ doc_ids.view(np.uint64)
-
-
-def partial_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
-    """(a, b, common, x, y): for each pair and fragment, the shared tokens and the size of either segment, summed."""
-    left = segs.select(F.col("n").alias("na"), F.col("id").alias("ida"), "fragment", F.col("tokens").alias("x"))
-    right = segs.select(F.col("n").alias("nb"), F.col("id").alias("idb"), "fragment", F.col("tokens").alias("y"))
-    met = pairs.select("a", "b", "na", "nb", "ida", "idb").join(left, ["na", "ida"]).join(right, ["nb", "idb", "fragment"])
-    met = met.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("x"), F.size("y").alias("y"))
-    once = met.groupBy("a", "b", "fragment").agg(*[F.max(c).alias(c) for c in ("common", "x", "y")])
-    return once.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("common", "x", "y")])
-
-
-def only(segs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The segments of the pairs' vertices (and a few more), by a filter of fixed size, so that a join shuffles no
-    others."""
-    ends = pairs.select(F.col("ida").alias("id")).unionByName(pairs.select(F.col("idb").alias("id")))
-    needed = segs.sparkSession.sparkContext.broadcast(bloom_filters(ends, lambda b: two_hashes(b.column(0).to_numpy()), PAIR_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(needed.value.has(two_hashes(b.column(1).to_numpy()))))
-
-    return segs.mapInArrow(run, segs.schema)
+    segments = nodes.select("node", F.explode(F.array(*[F.struct(F.lit(f).alias("fragment"), part(f).alias("tokens")) for f in fragments])).alias("s")).select("node", "s.fragment", "s.tokens")
+    left = segments.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("x"))
+    right = segments.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("y"))
+    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
+    counts = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("x"), F.size("y").alias("y"))
+    return counts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("common", "x", "y")])
 
 
-def links_among(pairs: DataFrame, segs: DataFrame, folder: str, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair.
+def links_among(pairs: DataFrame, nodes: DataFrame, cuts: list[int], folder: str, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, na, nb, ma, mb) that are similar enough: partial overlaps by fragment, summed per pair.
 
-    The fragment of the rarest tokens goes first; a pair that could not reach the overlap it needs even if all its
-    other tokens were shared is out before the other fragments are joined.
+    The fragment of the rarest shingles goes first; a pair that could not reach the overlap it needs even if all its
+    other shingles were shared is out before the other fragments are joined.
     """
     needs = (F.col("na") + F.col("nb")) * numerator / (numerator + denominator)
-    first = partial_overlaps(pairs, only(segs.where("fragment = 0"), pairs)).join(pairs, ["a", "b"])
-    rest = F.least(F.col("na") - F.col("x"), F.col("nb") - F.col("y"))
-    first = materialize(first.where(F.col("common") + rest >= needs - 1e-6).select(*pairs.columns, F.col("common").alias("rare")), folder)
-    total = partial_overlaps(first, only(segs.where("fragment > 0"), first)).join(first, ["a", "b"]).withColumn("common", F.col("common") + F.col("rare"))
+    first = partial_overlaps(pairs, nodes, cuts, [0]).join(pairs, ["a", "b"])
+    rest = F.least(F.col("ma") - F.col("x"), F.col("mb") - F.col("y"))
+    first = materialize(first.where(F.col("common") + rest >= needs - 1e-6).select("a", "b", "na", "nb", F.col("common").alias("rare")), folder)
+    total = partial_overlaps(first, nodes, cuts, list(range(1, FRAGMENTS))).join(first, ["a", "b"]).withColumn("common", F.col("common") + F.col("rare"))
     return total.where(F.col("common") * denominator >= (F.col("na") + F.col("nb") - F.col("common")) * numerator).select("a", "b")
 
 
@@ -333,25 +349,55 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def candidate_pairs(at: DataFrame, last: bool, turn: int) -> DataFrame:
-    """(a, b, na, nb) of one turn; at: token, size, node, n, root. Lists of at most SMALL vertices give all their pairs
-    at once; of larger ones each vertex meets a few hubs, or in the last turn all vertices of other classes."""
-    if last or turn == 0:
-        some = at if last else at.where(F.col("size") <= SMALL)
-        y = some.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = some.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(y, "token").where("a < b AND ra <> rb").select("a", "b", "na", "nb")
-    if not last:
-        large = at.where(F.col("size") > SMALL)
-        salts = [turn * HUBS + k for k in range(HUBS)]
-        own = F.struct("node", "n", "root")
-        hubs = large.groupBy("token").agg(*[F.min_by(own, F.xxhash64(F.lit(s), "node")).alias(f"s{s}") for s in salts])
-        hubs = hubs.select("token", F.array_distinct(F.array(*[f"s{s}" for s in salts])).alias("hubs"))
-        met = large.join(hubs, "token").select("node", "n", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
-        lower = F.col("node") < F.col("hub.node")
-        ends = [F.when(lower, F.col(x)).otherwise(F.col(y)) for x, y in (("node", "hub.node"), ("hub.node", "node"), ("n", "hub.n"), ("hub.n", "n"))]
-        star = met.select(*[e.alias(c) for e, c in zip(ends, ("a", "b", "na", "nb"))])
-        pairs = pairs.unionByName(star) if turn == 0 else star
-    return pairs.distinct()
+def _may_link(numerator: int, denominator: int, sketches: bool = False) -> Column:
+    """Whether (na, ma), (nb, mb) and the sketches leave room for the similarity."""
+    sizes = (F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator) & (F.least("ma", "mb") * (numerator + denominator) >= (F.col("na") + F.col("nb")) * numerator)
+    if not sketches:
+        return sizes
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    alone = F.col("na") - F.col("ma") + F.col("nb") - F.col("mb")
+    return sizes & ((apart + alone) * (numerator + denominator) <= (F.col("na") + F.col("nb")) * (denominator - numerator))
+
+
+def _side(at: DataFrame, node: str, *more: str) -> DataFrame:
+    return at.select(*more, F.col("node").alias(node), *[F.col(c).alias(f"{c[0]}{node}") for c in ("n", "m", "root")])
+
+
+def _sketched(rows: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
+    return rows.join(nodes.select(F.col("node").alias(end), *[F.col(f"s{k}").alias(f"{end}{k}") for k in range(SKETCH)]), end)
+
+
+PAIR = ["a", "b", "na", "nb", "ma", "mb"]
+
+
+def hub_pairs(at: DataFrame, turn: int) -> DataFrame:
+    """Pairs of one round; at: token, size, node, n, m, score, root. In the first turn lists of at most SMALL vertices
+    give all their pairs; each vertex of a larger list meets the list's hubs."""
+    large = at.where(F.col("size") > SMALL)
+    own = F.struct("node", "n", "m", "root")
+    salts = [turn * HUBS + k for k in range(HUBS - 1)]
+    chosen = [F.max_by(own, F.struct("score", "node")).alias("h0"), *[F.min_by(own, F.xxhash64(F.lit(s), "node")).alias(f"h{k + 1}") for k, s in enumerate(salts)]]
+    if turn:  # the most central of those outside the list's largest class
+        chosen[0] = F.max_by(own, F.struct(F.col("root") != F.col("major"), "score", "node")).alias("h0")
+    hubs = large.groupBy("token").agg(*chosen).select("token", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
+    met = large.join(hubs, "token").select("node", "n", "m", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
+    lower = F.col("node") < F.col("hub.node")
+    ends = [F.when(lower, F.col(x)).otherwise(F.col(y)) for c in ("node", "n", "m") for x, y in ((c, f"hub.{c}"), (f"hub.{c}", c))]
+    pairs = met.select(*[e.alias(c) for e, c in zip(ends, PAIR)])
+    if not turn:
+        small = at.where(F.col("size") <= SMALL)
+        pairs = pairs.unionByName(_side(small, "a", "token").join(_side(small, "b", "token"), "token").where("a < b").select(*PAIR))
+    return pairs
+
+
+def pairs_left(at: DataFrame, nodes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs of the last turn; at has major, the root of the list's largest class, besides: every vertex outside the
+    largest class meets all vertices of other classes that its size and sketch allow."""
+    x = _sketched(_side(at.where("root <> major"), "a", "token"), nodes, "a")
+    y = _sketched(_side(at, "b", "token", (F.col("root") == F.col("major")).alias("large")), nodes, "b")
+    met = x.join(y, "token").where((F.col("ra") != F.col("rb")) & (F.col("large") | (F.col("a") < F.col("b"))) & _may_link(numerator, denominator, True))
+    swap = F.col("a") > F.col("b")
+    return met.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["b", "a", "nb", "na", "mb", "ma"])])
 
 
 def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
@@ -360,38 +406,41 @@ def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int =
     (n, id)."""
     spark = docs.sparkSession
     folder = workspace(spark)
-    vertices, order = describe(docs, folder)
-    order = spark.sparkContext.broadcast(order)
-    index, nodes = prefix_index(docs, order, folder, numerator, denominator)
-    segs = segments(docs, vertices, nodes, order, folder)
+    vertices, nodes = shared_sets(docs, folder, numerator, denominator)
+    index = prefix_index(nodes, folder, numerator, denominator)
+    cuts = fragment_cuts(nodes)
     rows = index.count()
     links = materialize(spark.createDataFrame([], "a long, b long"), folder + "/links-none")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    alike = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
     for turn in range(ROUNDS + 1 if rows else 0):
         at = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         last = False
         if turn:  # small lists are done
             at = materialize(at.where(F.col("size") > SMALL), f"{folder}/at-{turn}")
             by_root = at.groupBy("token", "root").count()
-            open_lists = by_root.groupBy("token").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("left")).where("left > 0")
+            whole = F.sum("count")
+            open_lists = by_root.groupBy("token").agg(((whole * whole - F.sum(F.col("count") * F.col("count"))) / 2).alias("left"), F.max_by("root", F.struct("count", "root")).alias("major")).where("left > 0")
             open_lists = materialize(open_lists, f"{folder}/open-{turn}")
             left = open_lists.agg(F.sum("left")).first()[0] or 0
             if not left:
                 break
             last = left <= LINEAR * rows or turn == ROUNDS
-            at = at.join(open_lists.select("token"), "token")
-        pairs = candidate_pairs(at, last, turn).where(alike)
-        for end in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("id").alias(f"id{end}")), end)
+            at = at.join(open_lists.select("token", "major"), "token")
+        if last:
+            pairs = pairs_left(at, nodes, numerator, denominator).distinct()
+        else:
+            pairs = hub_pairs(at, turn).where(_may_link(numerator, denominator)).distinct()
+            pairs = _sketched(_sketched(pairs, nodes, "a"), nodes, "b").where(_may_link(numerator, denominator, True)).select(*PAIR)
         pairs = materialize(pairs, f"{folder}/pairs-{turn}")
-        found = links_among(pairs, segs, f"{folder}/rare-{turn}", numerator, denominator)
-        links = materialize(links.unionByName(found), f"{folder}/links-{turn}")
-        roots = materialize(components(links, f"{folder}/stars-{turn}"), f"{folder}/roots-{turn}")
+        found = materialize(links_among(pairs, nodes, cuts, f"{folder}/rare-{turn}", numerator, denominator), f"{folder}/found-{turn}")
+        links = links.unionByName(found)
+        known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = materialize(components(known.unionByName(found), f"{folder}/stars-{turn}"), f"{folder}/roots-{turn}")
+        discard(spark, *[f"{folder}/{x}-{turn}" for x in ("pairs", "rare", "stars", "at", "open")])
         if last:
             break
     first = vertices.where("n > 0").groupBy("n", "id").agg(F.min("doc_id").alias("first"))
-    rooted = nodes.join(roots, "node").select("n", "id", "root")
+    rooted = nodes.select("n", "id", "node").join(roots, "node").select("n", "id", "root")
     classes = materialize(first.join(rooted, ["n", "id"], "left"), folder + "/classes")
     least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     named = classes.join(least, "root", "left").select("n", "id", "root", F.coalesce("least", "first").alias("component_id"))
