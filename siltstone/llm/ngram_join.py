@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, doc_texts, materialize, mix64, window_hashes, word_hashes, workspace
@@ -47,13 +47,14 @@ RUN_TOKENS, RUN_DOCS = 1_500_000, 200_000
 BUCKET_CHARS, BUCKETS = 12_000_000, 1 << 17
 FRAGMENTS = 4
 #: Hubs that members of a large list meet in a round (the central one and others by hash), and rounds at most.
-HUBS, ROUNDS = 3, 2
+HUBS, ROUNDS = 3, 4
 #: Vertices of a list that gives all its pairs in the first turn.
 SMALL = 8
-#: Hub rounds go on while the pairs left to check outnumber the rows of the index by this factor.
+#: Hub rounds go on while the pairs left to verify outnumber the rows of the index by this factor.
 LINEAR = 4
 #: 64-bit words of a parity sketch.
 SKETCH = 8
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
 
 def shingle_set(text: str, width: int = WORDS) -> np.ndarray:
@@ -86,7 +87,7 @@ def unpack_run(raw: bytes) -> np.ndarray:
 
 ROW = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("kind", pa.int32()), ("sets", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 ROW_DDL = "bucket long, run long, kind int, sets int, a binary, b binary, c binary, d binary"
-SET_DDL = "doc_id long, n int, id long, m int, score double, tokens array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+SET_DDL = "doc_id long, n int, id long, m int, score double, tokens array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)
 HEAD, MANY, BLOCK = 0, 1, 2
 
 
@@ -266,9 +267,9 @@ def shared_sets(docs: DataFrame, folder: str, numerator: int, denominator: int)
 
 
 def prefix_index(nodes: DataFrame, folder: str, numerator: int, denominator: int) -> DataFrame:
-    """The lists of the prefix index that hold two vertices or more, as (token, size, node, n, m, score); materialized."""
+    """The lists of the prefix index that hold two vertices or more, as (token, size, node, n, m, score, sketch); materialized."""
     length = F.expr(f"m - ({numerator}L * n + {denominator - 1}) div {denominator} + 1").cast("int")
-    every = nodes.select(F.explode(F.slice("tokens", F.lit(1), length)).alias("token"), "node", "n", "m", "score")
+    every = nodes.select(F.explode(F.slice("tokens", F.lit(1), length)).alias("token"), "node", "n", "m", "score", *SKETCHES)
     met = every.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     return materialize(every.join(met, "token"), folder + "/index")
 
@@ -289,33 +290,20 @@ def fragment_cuts(nodes: DataFrame) -> list[int]:
     return cuts
 
 
-def partial_overlaps(pairs: DataFrame, nodes: DataFrame, cuts: list[int], fragments: list[int]) -> DataFrame:
-    """(a, b, common, x, y): shared shingles and the size of either side, counted in each fragment and summed per pair."""
+def links_among(pairs: DataFrame, nodes: DataFrame, cuts: list[int], numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, na, nb) that are similar enough: shared shingles are counted in each fragment of the
+    global order on its own, and the partial counts are summed per pair."""
     lows, highs = [-1, *cuts], [*cuts, 2**63 - 1]
 
     def part(f: int) -> Column:
-        return F.filter("tokens", lambda t: (t >= lows[f]) & (t < highs[f]))
+        return F.struct(F.lit(f).alias("fragment"), F.filter("tokens", lambda t: (t >= lows[f]) & (t < highs[f])).alias("tokens"))
 
-    segments = nodes.select("node", F.explode(F.array(*[F.struct(F.lit(f).alias("fragment"), part(f).alias("tokens")) for f in fragments])).alias("s")).select("node", "s.fragment", "s.tokens")
+    segments = nodes.select("node", F.explode(F.array(*map(part, range(FRAGMENTS)))).alias("s")).select("node", "s.fragment", "s.tokens").where(F.size("tokens") > 0)
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("x"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("y"))
-    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    counts = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("x"), F.size("y").alias("y"))
-    return counts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("common", "x", "y")])
-
-
-def links_among(pairs: DataFrame, nodes: DataFrame, cuts: list[int], folder: str, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, na, nb, ma, mb) that are similar enough: partial overlaps by fragment, summed per pair.
-
-    The fragment of the rarest shingles goes first; a pair that could not reach the overlap it needs even if all its
-    other shingles were shared is out before the other fragments are joined.
-    """
-    needs = (F.col("na") + F.col("nb")) * numerator / (numerator + denominator)
-    first = partial_overlaps(pairs, nodes, cuts, [0]).join(pairs, ["a", "b"])
-    rest = F.least(F.col("ma") - F.col("x"), F.col("mb") - F.col("y"))
-    first = materialize(first.where(F.col("common") + rest >= needs - 1e-6).select("a", "b", "na", "nb", F.col("common").alias("rare")), folder)
-    total = partial_overlaps(first, nodes, cuts, list(range(1, FRAGMENTS))).join(first, ["a", "b"]).withColumn("common", F.col("common") + F.col("rare"))
-    return total.where(F.col("common") * denominator >= (F.col("na") + F.col("nb") - F.col("common")) * numerator).select("a", "b")
+    met = pairs.select("a", "b", "na", "nb").join(left, "a").join(right, ["b", "fragment"])
+    common = met.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("common"))
+    return common.where(F.col("common") * denominator >= (F.col("na") + F.col("nb") - F.col("common")) * numerator).select("a", "b")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -325,8 +313,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     task's group.
     """
 
-    def hash_of(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def written(e: DataFrame, k: int) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), f"{folder}/{k}")
+        return out, (seen.get["n"], seen.get["h"])
 
     def hooked(e: DataFrame, by_larger: bool) -> DataFrame:
         # a > b in every edge; large star: neighbours above u go to the least around u; small star: those below do
@@ -338,66 +328,61 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         if by_larger:
             out = rows.where("w > u").select(F.col("w").alias("a"), F.col("m").alias("b"))
         else:
-            out = rows.select(F.col("w").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a > b").distinct()
+            out = rows.select(F.explode(F.array(F.struct(F.col("w").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        return out.where("a > b")
 
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), f"{folder}/0")
+    now, state = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), 0)
     before, k = None, 0
-    while (state := hash_of(now)) != before:
+    while state != before:
         before, k = state, k + 1
-        now = materialize(hooked(hooked(now, True), False), f"{folder}/{k}")
+        now, state = written(hooked(hooked(now, True), False).distinct(), k)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def _may_link(numerator: int, denominator: int, sketches: bool = False) -> Column:
-    """Whether (na, ma), (nb, mb) and the sketches leave room for the similarity."""
+def may_link_by(numerator: int, denominator: int) -> Column:
+    """Whether (na, ma), (nb, mb) and the sketches of a pair leave room for the similarity."""
     sizes = (F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator) & (F.least("ma", "mb") * (numerator + denominator) >= (F.col("na") + F.col("nb")) * numerator)
-    if not sketches:
-        return sizes
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     alone = F.col("na") - F.col("ma") + F.col("nb") - F.col("mb")
     return sizes & ((apart + alone) * (numerator + denominator) <= (F.col("na") + F.col("nb")) * (denominator - numerator))
 
 
-def _side(at: DataFrame, node: str, *more: str) -> DataFrame:
-    return at.select(*more, F.col("node").alias(node), *[F.col(c).alias(f"{c[0]}{node}") for c in ("n", "m", "root")])
+PAIR = ["a", "b", "na", "nb", "ma", "mb"]
 
 
-def _sketched(rows: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
-    return rows.join(nodes.select(F.col("node").alias(end), *[F.col(f"s{k}").alias(f"{end}{k}") for k in range(SKETCH)]), end)
+def _side(at: DataFrame, node: str, *more: str | Column) -> DataFrame:
+    """The index with its columns named after the end of a pair: node, and n, m, root and sketch with it as a suffix."""
+    return at.select(*more, F.col("node").alias(node), *[F.col(c).alias(f"{c[0]}{node}") for c in ("n", "m", "root")], *[F.col(s).alias(f"{node}{s[1:]}") for s in SKETCHES])
 
 
-PAIR = ["a", "b", "na", "nb", "ma", "mb"]
+def _ordered(met: DataFrame) -> DataFrame:
+    swap = F.col("a") > F.col("b")
+    return met.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["b", "a", "nb", "na", "mb", "ma"])])
 
 
-def hub_pairs(at: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one round; at: token, size, node, n, m, score, root. In the first turn lists of at most SMALL vertices
-    give all their pairs; each vertex of a larger list meets the list's hubs."""
+def hub_pairs(at: DataFrame, turn: int, may_link: Column) -> DataFrame:
+    """Pairs of one round; at: token, size, node, n, m, score, root, sketch. In the first turn lists of at most SMALL
+    vertices give all their pairs; each vertex of a larger list meets the list's hubs."""
     large = at.where(F.col("size") > SMALL)
-    own = F.struct("node", "n", "m", "root")
+    own = F.struct("node", "n", "m", "root", *SKETCHES)
     salts = [turn * HUBS + k for k in range(HUBS - 1)]
-    chosen = [F.max_by(own, F.struct("score", "node")).alias("h0"), *[F.min_by(own, F.xxhash64(F.lit(s), "node")).alias(f"h{k + 1}") for k, s in enumerate(salts)]]
-    if turn:  # the most central of those outside the list's largest class
-        chosen[0] = F.max_by(own, F.struct(F.col("root") != F.col("major"), "score", "node")).alias("h0")
-    hubs = large.groupBy("token").agg(*chosen).select("token", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
-    met = large.join(hubs, "token").select("node", "n", "m", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
-    lower = F.col("node") < F.col("hub.node")
-    ends = [F.when(lower, F.col(x)).otherwise(F.col(y)) for c in ("node", "n", "m") for x, y in ((c, f"hub.{c}"), (f"hub.{c}", c))]
-    pairs = met.select(*[e.alias(c) for e, c in zip(ends, PAIR)])
+    # the most central vertex; in later turns, of those outside the list's largest class
+    central = F.struct(F.col("root") != F.col("major"), "score", "node") if turn else F.struct("score", "node")
+    chosen = [F.max_by(own, central), *[F.min_by(own, F.xxhash64(F.lit(s), "node")) for s in salts]]
+    hubs = large.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("hubs")).select("token", F.explode("hubs").alias("h")).select("token", "h.*")
+    pairs = _side(large, "a", "token").join(_side(hubs, "b", "token"), "token").where((F.col("ra") != F.col("rb")) & may_link).select(*PAIR)
     if not turn:
         small = at.where(F.col("size") <= SMALL)
-        pairs = pairs.unionByName(_side(small, "a", "token").join(_side(small, "b", "token"), "token").where("a < b").select(*PAIR))
-    return pairs
+        pairs = pairs.unionByName(_side(small, "a", "token").join(_side(small, "b", "token"), "token").where((F.col("a") < F.col("b")) & may_link).select(*PAIR))
+    return _ordered(pairs)
 
 
-def pairs_left(at: DataFrame, nodes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def pairs_left(at: DataFrame, may_link: Column) -> DataFrame:
     """Pairs of the last turn; at has major, the root of the list's largest class, besides: every vertex outside the
     largest class meets all vertices of other classes that its size and sketch allow."""
-    x = _sketched(_side(at.where("root <> major"), "a", "token"), nodes, "a")
-    y = _sketched(_side(at, "b", "token", (F.col("root") == F.col("major")).alias("large")), nodes, "b")
-    met = x.join(y, "token").where((F.col("ra") != F.col("rb")) & (F.col("large") | (F.col("a") < F.col("b"))) & _may_link(numerator, denominator, True))
-    swap = F.col("a") > F.col("b")
-    return met.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, ["b", "a", "nb", "na", "mb", "ma"])])
+    x = _side(at.where("root <> major"), "a", "token")
+    y = _side(at, "b", "token", (F.col("root") == F.col("major")).alias("large"))
+    return _ordered(x.join(y, "token").where((F.col("ra") != F.col("rb")) & (F.col("large") | (F.col("a") < F.col("b"))) & may_link))
 
 
 def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
@@ -409,34 +394,29 @@ def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int =
     vertices, nodes = shared_sets(docs, folder, numerator, denominator)
     index = prefix_index(nodes, folder, numerator, denominator)
     cuts = fragment_cuts(nodes)
+    may_link = may_link_by(numerator, denominator)
     rows = index.count()
-    links = materialize(spark.createDataFrame([], "a long, b long"), folder + "/links-none")
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    links = roots = spark.createDataFrame([], "a long, b long")
+    roots = roots.toDF("node", "root")
+    at = index.withColumn("root", F.col("node"))
     for turn in range(ROUNDS + 1 if rows else 0):
-        at = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         last = False
         if turn:  # small lists are done
-            at = materialize(at.where(F.col("size") > SMALL), f"{folder}/at-{turn}")
+            at = index.where(F.col("size") > SMALL).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             by_root = at.groupBy("token", "root").count()
             whole = F.sum("count")
             open_lists = by_root.groupBy("token").agg(((whole * whole - F.sum(F.col("count") * F.col("count"))) / 2).alias("left"), F.max_by("root", F.struct("count", "root")).alias("major")).where("left > 0")
-            open_lists = materialize(open_lists, f"{folder}/open-{turn}")
-            left = open_lists.agg(F.sum("left")).first()[0] or 0
+            at = materialize(at.join(open_lists, "token"), f"{folder}/at-{turn}")
+            left = at.groupBy("token").agg(F.max("left").alias("left")).agg(F.sum("left")).first()[0] or 0
             if not left:
                 break
-            last = left <= LINEAR * rows or turn == ROUNDS
-            at = at.join(open_lists.select("token", "major"), "token")
-        if last:
-            pairs = pairs_left(at, nodes, numerator, denominator).distinct()
-        else:
-            pairs = hub_pairs(at, turn).where(_may_link(numerator, denominator)).distinct()
-            pairs = _sketched(_sketched(pairs, nodes, "a"), nodes, "b").where(_may_link(numerator, denominator, True)).select(*PAIR)
-        pairs = materialize(pairs, f"{folder}/pairs-{turn}")
-        found = materialize(links_among(pairs, nodes, cuts, f"{folder}/rare-{turn}", numerator, denominator), f"{folder}/found-{turn}")
+            last = turn == ROUNDS or left <= LINEAR * rows or pairs_left(at, may_link).count() <= LINEAR * rows
+        pairs = (pairs_left(at, may_link) if last else hub_pairs(at, turn, may_link)).distinct()
+        found = materialize(links_among(pairs, nodes, cuts, numerator, denominator), f"{folder}/found-{turn}")
         links = links.unionByName(found)
         known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = materialize(components(known.unionByName(found), f"{folder}/stars-{turn}"), f"{folder}/roots-{turn}")
-        discard(spark, *[f"{folder}/{x}-{turn}" for x in ("pairs", "rare", "stars", "at", "open")])
+        discard(spark, f"{folder}/stars-{turn}", f"{folder}/at-{turn}")
         if last:
             break
     first = vertices.where("n > 0").groupBy("n", "id").agg(F.min("doc_id").alias("first"))
@@ -444,7 +424,6 @@ def similar_sets(docs: DataFrame, numerator: int = NUMERATOR, denominator: int =
     classes = materialize(first.join(rooted, ["n", "id"], "left"), folder + "/classes")
     least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     named = classes.join(least, "root", "left").select("n", "id", "root", F.coalesce("least", "first").alias("component_id"))
-    named = materialize(named, folder + "/named")
     out = vertices.join(named, ["n", "id"], "left").select("doc_id", "n", "id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
     ends = [nodes.select(F.col("node").alias(c), F.struct("n", "id").alias(f"{c}_set")) for c in ("a", "b")]
     return out, links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
