@@ -11,6 +11,7 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zlib
@@ -39,9 +40,12 @@ def _local_folder() -> str:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; local runs without that setting get a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder()
-    return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared checkpoint folder. A session on this machine alone may do without that
+    setting; on a cluster its absence is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or _local_folder()).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, folder: str) -> DataFrame:
@@ -117,6 +121,21 @@ def bloom_filters(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndar
     return BloomFilter(whole)
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """docs in two parts: rows whose doc_id may be in ids (one column), and rows whose doc_id is surely not, null ones
+    among them. Each row asks a filter of fixed size where it is read, so that only rows of the first part, which hold a few
+    others by chance, need to meet ids in a join; a filter that is full sends all rows there."""
+    spark = docs.sparkSession
+    some = spark.sparkContext.broadcast(bloom_filters(ids.toDF("id").where("id IS NOT NULL").select(F.col("id").cast("long")), lambda b: two_hashes(b.column(0).to_numpy()), bits))
+
+    @F.pandas_udf("boolean")
+    def listed(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(some.value.has(two_hashes(doc_id.to_numpy(np.int64))))
+
+    hit = listed(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    return docs.where(F.col("doc_id").isNotNull() & hit), docs.where(F.col("doc_id").isNull() | ~hit)
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.where(F.col("doc_id").isNotNull()).select(

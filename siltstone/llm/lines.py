@@ -3,14 +3,16 @@
 Pass 1 puts the 64-bit hash of every long line key of every document into a pair of bitmaps: seen once, seen twice.
 Each task fills its own pair; pairs merge block by block with (a1|b1, a2|b2|(a1&b1)), which is associative, so a
 key in two documents always reaches the twice-seen map. Pass 2 shuffles only keys that the twice-seen map suspects,
-as (128-bit key digest, doc_id), and counts their documents exactly. Pass 3 rewrites the documents that lose lines.
+as (128-bit key digest, doc_id), and counts their documents exactly. Pass 3 rewrites the documents that lose lines; the
+texts of all others stay where they are read.
 
 The bitmaps have a fixed size (FILTER_BITS): that bounds what is broadcast. When they fill up, more unique lines are
-suspected and shuffled, and nothing else changes.
+suspected and shuffled, as 24 bytes each, and nothing else changes.
 
 Cases: a null or empty text is one empty line; several equal lines of a document count it once, and all of them go or
-stay together; rows that repeat a doc_id are one document for the count and each is rewritten; an empty table gives
-an empty result.
+stay together; rows that repeat a doc_id are one document for the count and each is rewritten; a very long text or line
+is one value in one task, whole; of equal keys the largest doc_id decides, so there are no ties; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BloomFilter, bloom_filters, doc_texts, map_texts, materialize, workspace
+from .common import BloomFilter, bloom_filters, doc_texts, map_texts, materialize, split_by_ids, workspace
 
 STRIP = " \t\n\r\x0b\x0c"
 MIN_POINTS, MIN_DOCS = 40, 5
@@ -79,11 +81,18 @@ def repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int
     return suspected.join(counted, "key").where(F.col("doc_id") < F.col("keeper")).select("doc_id", "key")
 
 
+def with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs with lost, the array of line keys that a row loses (null: none). Only texts that may lose lines are shuffled."""
+    lost = materialize(lost, workspace(docs.sparkSession) + "/lost")
+    touched, others = split_by_ids(docs, lost.select("doc_id"))
+    per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    return touched.join(per_doc.hint("merge"), "doc_id", "left").select(*docs.columns, "lost").unionByName(others.withColumn("lost", F.lit(None).cast("array<binary>")))
+
+
 def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, kept_text, n_lines (before), n_dropped, for every row of docs."""
-    lost = repeated_lines(docs, min_points, min_docs, bits)
-    per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
-    return doc_texts(docs).join(per_doc.hint("merge"), "doc_id", "left").mapInArrow(_rewriter(min_points), "doc_id long, kept_text string, n_lines long, n_dropped long")
+    texts = doc_texts(docs)
+    return with_lost(texts, repeated_lines(docs, min_points, min_docs, bits)).mapInArrow(_rewriter(min_points), "doc_id long, kept_text string, n_lines long, n_dropped long")
 
 
 def kept_of(lines: list[str], lost, min_points: int) -> list[str]:
