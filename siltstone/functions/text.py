@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,22 +104,43 @@ def simhash(words: Column) -> Column:
     return _simhash(words)
 
 
+#: Words whose votes are added at once; it bounds a batch's memory.
+VOTES = 200_000
+
+
 @F.pandas_udf(LongType())
 def _simhash(words: pd.Series) -> pd.Series:
     import hashlib
 
     import numpy as np
 
-    seen: dict[str, bytes] = {}
-
-    def one(ws) -> int:
-        if ws is None or not len(ws):
-            return 0
-        raw = b"".join(seen[w] if w in seen else seen.setdefault(w, hashlib.md5(w.encode()).digest()[8:]) for w in ws)
-        votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) * 2 - len(ws)
-        return int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
-
-    return words.map(one)
+    lists = [[] if w is None else w for w in words]
+    sizes = np.array([len(w) for w in lists], np.int64)
+    out = np.zeros(len(lists), np.int64)
+    i = 0
+    while i < len(lists):
+        j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), VOTES, side="right")))
+        some = np.flatnonzero(sizes[i:j]) + i
+        if len(some):
+            codes, distinct = pd.factorize(np.concatenate([np.asarray(lists[k], dtype=object) for k in some]))
+            raw = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[8:] for w in distinct), np.uint8).reshape(-1, 8)
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            votes = np.add.reduceat(np.unpackbits(raw, axis=1)[codes], starts, axis=0, dtype=np.int64) * 2 - sizes[some][:, None]
+            out[some] = np.packbits(votes > 0, axis=1).view(">i8").ravel()
+        i = j
+    return pd.Series(out)
+
+
+def near_keys(fingerprint: Column, bits: int = 3, blocks: int = 6) -> Column:
+    """Array of (choice, value): fingerprints that differ in at most `bits` bits share one. The bits are cut into blocks; so
+    many differing bits leave blocks - bits of them whole, and each choice of these is a key, here of about 32 bits."""
+    ends = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << ends[k + 1]) - 1) ^ ((1 << ends[k]) - 1) for k in range(blocks)]
+    keys = []
+    for i, some in enumerate(combinations(range(blocks), blocks - bits)):
+        mask = sum(masks[k] for k in some)
+        keys.append(F.struct(F.lit(i).alias("choice"), fingerprint.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("value")))
+    return F.array(*keys)
 
 
 def hamming(a: Column, b: Column) -> Column:

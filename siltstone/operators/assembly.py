@@ -60,6 +60,45 @@ def greedy_budget(found: DataFrame, budget: int = 4_800, least: int = 100) -> Da
     return found.withColumn("given", F.when(give >= F.least(F.lit(least), F.length("text")), give).otherwise(0))
 
 
-def evidence_role(score, discourse, relation):
-    """primary, supporting or background; contrasts are opposing."""
-    return F.when(relation == "contrasts_with", "opposing").when(score >= 0.7, "primary").when((score >= 0.4) | (discourse == "nucleus"), "supporting").otherwise("background")
+#: Relations whose expansion items support a seed.
+SUPPORTING = ("elaborates", "conditions", "causes", "results_in")
+
+
+def evidence_role(role, score, discourse, relation, high: float = 0.7, medium: float = 0.4):
+    """direct_answer, support, contrast or background. Seeds go by score, but a satellite is never a direct answer; an item
+    that a relation led to goes by that relation; any other by score, and a satellite is background."""
+    satellite = F.coalesce(discourse, F.lit("standalone")) == "satellite"
+    near = F.when(score >= medium, "support").otherwise("background")
+    seed = F.when(~satellite & (score >= high), "direct_answer").otherwise(near)
+    expanded = F.when(relation == "contrasts_with", "contrast").when(relation.isin(*SUPPORTING), "support").otherwise("background")
+    return F.when(role == "seed", seed).when(F.coalesce(relation, F.lit("")) != "", expanded).when(satellite, "background").otherwise(near)
+
+
+def section_prefix(path, levels: int = 1):
+    """The lower-cased titles of a section path's first levels, as tree navigation names chapters."""
+    return F.lower(F.array_join(F.slice(path, 1, levels), "/"))
+
+
+def order_seeds(found: DataFrame) -> DataFrame:
+    """Adds place, from 1: seeds of navigated chapters first, then nuclei before standalone ones before satellites, then
+    by score. found: query_id, item_id, score, navigated, discourse."""
+    tier = F.when(F.col("discourse") == "nucleus", 0).when(F.col("discourse") == "satellite", 2).otherwise(1)
+    w = Window.partitionBy("query_id").orderBy(F.when(F.col("navigated"), 0).otherwise(1), tier, F.desc("score"), "item_id")
+    return found.withColumn("place", F.row_number().over(w))
+
+
+def source_segments(candidates: DataFrame) -> DataFrame:
+    """query_id, unit_id, segment_id: of each candidate its own segment, else the segments of its source reference, else
+    those of its target reference if it has a target type; none without any. candidates: query_id, unit_id,
+    source_segment_id, source_refs, target_type, target_ref (JSON with raw_segment_ids or a list)."""
+
+    def ids(column: str):
+        text = F.coalesce(F.col(column), F.lit("{}"))
+        named = F.from_json(F.get_json_object(text, "$.raw_segment_ids"), "array<string>")
+        return F.filter(F.coalesce(named, F.from_json(text, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+
+    own = F.when(F.trim(F.coalesce("source_segment_id", F.lit(""))) != "", F.array("source_segment_id"))
+    source = F.when(F.size(ids("source_refs")) > 0, ids("source_refs"))
+    target = F.when(F.trim(F.coalesce("target_type", F.lit(""))) != "", ids("target_ref"))
+    found = F.array_distinct(F.coalesce(own, source, target))
+    return candidates.select("query_id", "unit_id", F.explode(found).alias("segment_id"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .relational import best_of
 
-#: Relation labels and the nucleus they mark ("both", "source" or "target").
+#: Relation labels and which end is the nucleus: the earlier segment, the later one, or both.
 NUCLEUS = {
-    "elaborates": "source", "evidences": "source", "exemplifies": "source", "explains": "source", "summarizes": "source", "prerequisite": "target",
-    "causes": "target", "results_in": "target", "enables": "target", "contrasts_with": "both", "parallels": "both", "sequences": "both",
+    "elaborates": "earlier", "exemplifies": "earlier", "evidences": "earlier", "justifies": "earlier", "purposes": "earlier", "results_in": "earlier",
+    "backgrounds": "later", "conditions": "later", "enables": "later", "causes": "later", "concedes": "later",
+    "summarizes": "both", "sequences": "both", "contrasts_with": "both", "parallels": "both",
 }
 
 
@@ -36,14 +37,14 @@ def clean_relations(labelled: DataFrame, labels: Sequence[str] = tuple(NUCLEUS),
 
 
 def roles(segments: DataFrame, relations: DataFrame) -> DataFrame:
-    """document, segment, role: nucleus if any relation makes it one, else satellite if it is in one, else
-    standalone."""
+    """document, segment, role: nucleus if any relation makes it one, else satellite if it is in one, else standalone.
+    Which end is earlier is a matter of segment order; a label's source and target do not count."""
     nucleus = F.create_map(*[F.lit(x) for kv in NUCLEUS.items() for x in kv])[F.col("type")]
 
-    def end(column: str, side: str) -> DataFrame:
+    def end(segment: Column, side: str) -> DataFrame:
         rank: Column = F.when(nucleus.isin(side, "both"), 2).otherwise(1)
-        return relations.select("document", F.col(column).alias("segment"), rank.alias("rank"))
+        return relations.select("document", segment.alias("segment"), rank.alias("rank"))
 
-    best = end("src", "source").unionByName(end("dst", "target")).groupBy("document", "segment").agg(F.max("rank").alias("rank"))
+    best = end(F.least("src", "dst"), "earlier").unionByName(end(F.greatest("src", "dst"), "later")).groupBy("document", "segment").agg(F.max("rank").alias("rank"))
     named = F.when(F.col("rank") == 2, "nucleus").when(F.col("rank") == 1, "satellite").otherwise("standalone")
     return segments.join(best, ["document", "segment"], "left").select("document", "segment", named.alias("role"))

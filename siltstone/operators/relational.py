@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a frame that is sent to every executor at most.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows (counting stops there); a larger one is left to the optimizer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key: the first in the given order (which must break ties). A hot key costs a sort of its rows
     in one task; where only a few columns are needed, best_of() combines before the shuffle."""

@@ -14,24 +14,54 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scoring import cosine
+from .relational import bounded
 
 RRF_K = 60
 CANDIDATE = ["query_id", "unit_id", "score", "source"]
 #: Routes, weights and sizes by the query's complexity.
 ROUTES = {
-    "simple": [("fts", 1.0, 10), ("dense", 0.6, 10)],
-    "medium": [("fts", 1.0, 20), ("dense", 0.9, 20), ("entity", 0.8, 10)],
-    "complex": [("fts", 1.0, 30), ("dense", 1.0, 30), ("entity", 0.9, 20), ("graph", 0.7, 20)],
+    "simple": [("entity_exact", 1.5, 20), ("lexical_bm25", 1.0, 50)],
+    "medium": [("lexical_bm25", 1.0, 50), ("dense_vector", 0.9, 50)],
+    "complex": [("lexical_bm25", 1.0, 50), ("dense_vector", 0.9, 50), ("entity_exact", 0.7, 20), ("entity_graph", 0.6, 20)],
 }
-#: Intents in the order in which they are tried, with the words that show them.
+#: Intents that are reranked by the cascade whatever their complexity, and the relations they expand along.
+CASCADE = ("troubleshooting", "comparison", "procedure")
+EXPANSION = {
+    "troubleshooting": ("causes", "results_in", "enables", "conditions", "elaborates", "backgrounds"),
+    "comparison": ("contrasts_with", "parallels", "elaborates"),
+    "procedure": ("purposes", "enables", "sequences", "conditions", "elaborates"),
+}
+#: Intents in the order in which they are tried, with the substrings that show them.
 INTENTS = {
-    "command": ["run", "execute", "configure"],
-    "comparison": ["compare", "difference", "versus"],
-    "troubleshooting": ["error", "failed", "alarm"],
-    "procedure": ["how", "steps", "install"],
-    "concept": ["what", "explain", "definition"],
-    "navigation": ["where", "find", "list"],
+    "comparison": ("区别", "差异", "对比", "比较", "不同"),
+    "troubleshooting": ("故障", "排查", "告警", "错误", "异常", "处理"),
+    "procedure": ("步骤", "流程", "操作", "怎么做", "如何操作"),
+    "concept_lookup": ("是什么", "什么是", "概念", "介绍", "概述", "原理"),
+    "navigational": ("在哪里", "如何找到", "路径"),
 }
+#: Labels of language models and their internal intents; any other is general.
+MODEL_INTENTS = {
+    "conceptual": "concept_lookup", "factoid": "general", "procedural": "procedure", "comparative": "comparison", "troubleshooting": "troubleshooting",
+    "navigational": "general", "general": "general", "concept_lookup": "concept_lookup", "procedure": "procedure", "comparison": "comparison", "command_usage": "command_usage",
+}
+#: Commands as verb and object, and the words that stand for a verb.
+COMMAND = r"(?i)(ADD|MOD|DEL|SET|SHOW|LST|DSP|REG|DEREG)\s+([A-Z][A-Z0-9_]*)"
+VERBS = {
+    "新增": "ADD", "添加": "ADD", "创建": "ADD", "修改": "MOD", "更改": "MOD", "编辑": "MOD", "删除": "DEL", "移除": "DEL",
+    "查询": "SHOW", "查看": "DSP", "显示": "LST", "设置": "SET", "配置": "SET",
+}
+#: Network elements and products that narrow a query's scope.
+ELEMENTS = ("AMF", "SMF", "UPF", "UDM", "PCF", "NRF", "AUSF", "BSF", "NSSF", "SCP", "UDSF", "UDR")
+PRODUCTS = ("UDG", "UNC", "CloudCore")
+#: Words that are no keywords.
+STOP = (
+    "的", "了", "在", "是", "和", "与", "及", "或", "也", "都", "这", "那", "有", "没", "不", "会", "能", "要", "可以",
+    "什么", "怎么", "如何", "哪些", "为什么", "吗", "呢", "啊", "个", "一", "到", "把", "被", "让", "给", "从", "对", "等",
+    "请问", "帮我", "告诉", "知道", "想", "应该", "需要",
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "do", "does", "did", "has", "have", "had",
+    "and", "or", "but", "not", "no", "in", "on", "at", "to", "of", "for", "with", "from", "by", "as",
+    "what", "which", "how", "why", "when", "where", "who",
+)
 
 
 def top_per_query(candidates: DataFrame, k: int) -> DataFrame:
@@ -47,26 +77,52 @@ def terms(query: Column, stop: Sequence[str] = ()) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """token, unit_id, hits: how often a unit (unit_id, text) has a token."""
-    return units.select("unit_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token", "unit_id").agg(F.count("*").alias("hits"))
+def postings(units: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """token, unit_id, hits: how often a unit (unit_id, text) has a token; of the tokens of wanted (token) only, which are
+    picked out before anything is shuffled."""
+    every = units.select("unit_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    every = every if wanted is None else every.join(bounded(wanted.select("token").distinct()), "token", "left_semi")
+    return every.groupBy("token", "unit_id").agg(F.count("*").alias("hits"))
 
 
 def full_text(queries: DataFrame, units: DataFrame, k: int = 20, most_hits: int = 5) -> DataFrame:
-    """Units that have a term of the query; a term adds its hits (at most most_hits) over the number of terms. Only
-    postings of the queries' terms reach the shuffle: their distinct terms are a broadcast set, the batch is bounded."""
+    """Units that have a term of the query; a term adds its hits (at most most_hits) over the number of terms."""
     q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("token"), F.size(terms(F.col("text"))).alias("n"))
-    found = postings(units.where(F.col("text").isNotNull())).join(F.broadcast(q), "token")
+    found = postings(units.where(F.col("text").isNotNull()), q).join(bounded(q), "token")
     score = F.sum(F.least(F.col("hits"), F.lit(most_hits)) / F.col("n"))
     return top_per_query(found.groupBy("query_id", "unit_id").agg(score.alias("score")).withColumn("source", F.lit("fts")), k).select(*CANDIDATE)
 
 
+#: How much a term counts in each field.
+FIELDS = {"title": 1.0, "search_text": 0.4, "text": 0.2}
+
+
+def weighted_search(queries: DataFrame, units: DataFrame, k: int = 20, most_hits: int = 5) -> DataFrame:
+    """Like full_text over several fields: a term adds its hits (at most most_hits) in each field, times the field's
+    weight, over the number of terms. units: unit_id and the columns of FIELDS."""
+    q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("token"), F.size(terms(F.col("text"))).alias("n"))
+    parts = F.array(*[F.struct(F.lit(w).alias("weight"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c, w in FIELDS.items()])
+    every = units.select("unit_id", F.explode(parts).alias("f")).select("unit_id", "f.weight", F.explode(T.tokens(F.col("f.text"))).alias("token"))
+    hits = every.join(bounded(q.select("token").distinct()), "token", "left_semi").groupBy("token", "unit_id", "weight").agg(F.count("*").alias("hits"))
+    score = F.sum(F.least(F.col("hits"), F.lit(most_hits)) * F.col("weight") / F.col("n"))
+    found = hits.join(bounded(q), "token").groupBy("query_id", "unit_id").agg(score.alias("score"))
+    return top_per_query(found.withColumn("source", F.lit("fts")), k).select(*CANDIDATE)
+
+
+def search_terms(queries: DataFrame) -> DataFrame:
+    """query_id, words: the keywords and the words of the sub-queries, in order and once each; the whole text if there
+    are none. queries: query_id, text, keywords, sub_queries (arrays)."""
+    parts = F.flatten(F.transform(F.coalesce("sub_queries", F.array().cast("array<string>")), lambda s: F.split(s, r"\s+")))
+    words = F.array_distinct(F.filter(F.concat(F.coalesce("keywords", F.array().cast("array<string>")), parts), lambda w: F.trim(w) != ""))
+    return queries.select("query_id", F.when(F.size(words) > 0, words).otherwise(F.array("text")).alias("words"))
+
+
 def full_text_ladder(queries: DataFrame, units: DataFrame, threshold: float = 0.3, k: int = 20) -> DataFrame:
     """Weighted tokens, else trigram similarity, else substring share: a query takes the first level that finds
     something. One pass over query-unit pairs of the batch computes all levels, so no level waits for another's action."""
     q = queries.select("query_id", F.col("text").alias("q"), terms(F.col("text")).alias("t"), T.trigrams(F.col("text")).alias("g"))
     u = units.select("unit_id", F.lower("text").alias("text"), T.tokens(F.col("text")).alias("tokens"), T.trigrams(F.col("text")).alias("ug"))
-    d = u.join(F.broadcast(q))
+    d = u.join(bounded(q))
     hits = F.size(F.array_intersect("tokens", "t")) / F.size("t")
     parts = F.size(F.filter("t", lambda x: F.contains(F.col("text"), x))) / F.size("t")
     d = d.select("query_id", "unit_id", hits.alias("s1"), T.set_jaccard(F.col("ug"), F.col("g")).alias("s2"), parts.alias("s3"))
@@ -77,9 +133,8 @@ def full_text_ladder(queries: DataFrame, units: DataFrame, threshold: float = 0.
 
 
 def dense(query_vectors: DataFrame, vectors: DataFrame, dimension: int, k: int = 20) -> DataFrame:
-    """Greatest cosine among vectors of the dimension; a batch of query vectors (query_id, q) is broadcast in blocks by
-    the caller. vectors: unit_id, v."""
-    d = vectors.where(F.size("v") == dimension).join(F.broadcast(query_vectors.where(F.size("q") == dimension)))
+    """Greatest cosine among vectors of the dimension, for a batch of query vectors (query_id, q). vectors: unit_id, v."""
+    d = vectors.where(F.size("v") == dimension).join(bounded(query_vectors.where(F.size("q") == dimension)))
     d = d.select("query_id", "unit_id", cosine(F.col("q"), F.col("v")).alias("score"), F.lit("dense").alias("source"))
     return top_per_query(d, k)
 
@@ -88,7 +143,7 @@ def entity_exact(queries: DataFrame, mentions: DataFrame, k: int = 20) -> DataFr
     """Units that mention one of the query's names, at a constant score, heavier units first. queries: query_id, name;
     mentions: unit_id, name, weight."""
     q = queries.select("query_id", T.alias_form(F.col("name")).alias("form")).distinct()
-    d = mentions.withColumn("form", T.alias_form(F.col("name"))).join(F.broadcast(q), "form").groupBy("query_id", "unit_id").agg(F.max("weight").alias("weight"))
+    d = mentions.withColumn("form", T.alias_form(F.col("name"))).join(bounded(q), "form").groupBy("query_id", "unit_id").agg(F.max("weight").alias("weight"))
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "unit_id"))
     return d.withColumn("r", r).where(F.col("r") <= k).select("query_id", "unit_id", F.lit(0.95).alias("score"), F.lit("entity").alias("source"))
 
@@ -147,16 +202,15 @@ def cascade(candidates: DataFrame, model: DataFrame | None = None, llm: DataFram
     return out.withColumn("score", score).drop("__own", "__s1", "__s2", "__s3")
 
 
-def rerank_finish(candidates: DataFrame, near: float = 0.9, least: float = 0.01, k: int = 10, pool: int = 200) -> DataFrame:
+def rerank_finish(candidates: DataFrame, near: float = 0.9, least: float = 0.01, k: int = 10) -> DataFrame:
     """Keeps the best unit of a segment, halves headings and the like, removes near duplicates of better units, drops
     weak ones and cuts to k. candidates: query_id, unit_id, segment_id, block_type, text, score.
 
-    The near-duplicate step is greedy (a unit is compared with kept ones only), so each query's best `pool` candidates
-    are one bounded group."""
+    The near-duplicate step is greedy (a unit is compared with kept ones only), so a query's candidates are one group:
+    they are what its routes gave, which the routes' sizes bound."""
     w = Window.partitionBy("query_id", "segment_id").orderBy(F.desc("score"), "unit_id")
     d = candidates.withColumn("__r", F.row_number().over(w)).where("segment_id IS NULL OR __r = 1").drop("__r")
     d = d.withColumn("score", F.col("score") * F.when(F.col("block_type").isin("heading", "toc", "link"), 0.5).otherwise(1.0))
-    d = top_per_query(d, pool)
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "unit_id"], ascending=[False, True], kind="stable")
@@ -183,16 +237,50 @@ def semantic_cache(queries: DataFrame, cache: DataFrame, now: Column, hours: int
     return best.select("query_id", "b.entry_id", "b.similarity").where(F.col("similarity") >= threshold)
 
 
-def understand(queries: DataFrame, stop: Sequence[str] = ("the", "a", "of", "to", "and", "is", "in")) -> DataFrame:
-    """Adds intent (first that shows), keywords and complexity."""
-    words = T.tokens(F.col("text"))
-    intent = F.lit("general")
-    for name, shown in reversed(INTENTS.items()):
-        intent = F.when(F.arrays_overlap(words, F.array(*map(F.lit, shown))), name).otherwise(intent)
-    keywords = F.array_distinct(F.filter(words, lambda x: (F.length(x) >= 2) & ~x.isin(*stop)))
-    n = F.size(keywords)
-    complexity = F.when(F.col("intent").isin("comparison", "troubleshooting") | (n > 8), "complex").when((n > 3) | (F.col("intent") == "procedure"), "medium").otherwise("simple")
-    return queries.withColumn("intent", intent).withColumn("keywords", keywords).withColumn("complexity", complexity)
+def command_of(text: Column) -> Column:
+    """The query's command as VERB OBJECT: written out, else by the first of VERBS that occurs, with the first name after
+    it if there is one; null without a command."""
+    verb, object_ = (F.upper(F.regexp_extract(text, COMMAND, i)) for i in (1, 2))
+    said = F.lit(None).cast("string")
+    for word, short in reversed(VERBS.items()):
+        after = F.substring(text, F.position(F.lit(word), text) + len(word), F.length(text))
+        name = F.upper(F.regexp_extract(after, "([A-Za-z][A-Za-z0-9_]*)", 1))
+        said = F.when(F.contains(text, F.lit(word)), F.when(name != "", F.concat(F.lit(short + " "), name)).otherwise(short)).otherwise(said)
+    return F.when(verb != "", F.concat(verb, F.lit(" "), object_)).otherwise(said)
+
+
+def named(text: Column, names: Sequence[str]) -> Column:
+    """The names that stand in the text as words, in capitals, sorted."""
+    found = [F.when(text.rlike(rf"(?i)(?<![A-Za-z0-9_]){n}(?![A-Za-z0-9_])"), n.upper()) for n in sorted(names, key=str.upper)]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def understand(queries: DataFrame) -> DataFrame:
+    """Adds command, intent, keywords, products, elements and complexity, by rule. A command decides the intent; then the
+    first of INTENTS that shows. Keywords are words without commands and stop words, of two characters or one ideograph.
+    Complexity depends on the intent alone here, since rules find no sub-queries and no need of comparison."""
+    text = F.coalesce("text", F.lit(""))
+    shown = F.lit("general")
+    for name, words in reversed(INTENTS.items()):
+        any_of = F.lit(False)
+        for w in words:
+            any_of = any_of | F.contains(text, F.lit(w))
+        shown = F.when(any_of, name).otherwise(shown)
+    words = F.split(F.regexp_replace(text, COMMAND, ""), r"[\s,，、？?。.！!]+")
+    keywords = F.filter(words, lambda x: (F.trim(x) != "") & ~x.isin(*STOP) & ((F.length(x) >= 2) | x.rlike(T.IDEOGRAPH)))
+    out = queries.withColumn("command", command_of(text)).withColumn("keywords", keywords).withColumn("products", named(text, PRODUCTS)).withColumn("elements", named(text, ELEMENTS))
+    out = out.withColumn("intent", model_intent(F.when(F.col("command").isNotNull(), "command_usage").otherwise(shown)))
+    return out.withColumn("complexity", complexity_of(F.col("intent"), F.col("command").isNotNull()))
+
+
+def model_intent(label: Column) -> Column:
+    """The internal intent of a label."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in MODEL_INTENTS.items() for x in kv])[label], F.lit("general"))
+
+
+def complexity_of(intent: Column, has_command: Column, sub_queries: Column | None = None, compares: Column | None = None) -> Column:
+    many = (F.coalesce(F.size(sub_queries), F.lit(0)) > 0 if sub_queries is not None else F.lit(False)) | (F.coalesce(compares, F.lit(False)) if compares is not None else F.lit(False))
+    return F.when(intent.isin("comparison", "troubleshooting") | many, "complex").when((intent == "command_usage") & has_command, "simple").when(intent == "navigational", "simple").otherwise("medium")
 
 
 def route_table(spark) -> DataFrame:
@@ -200,3 +288,63 @@ def route_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "complexity string, source string, weight double, top_k int")
 
 
+def route_plan(queries: DataFrame, policy: DataFrame | None = None) -> DataFrame:
+    """query_id, source, weight, top_k, fusion, rerank: the routes of each query (query_id, intent, complexity). A policy
+    (intent, source, weight, top_k) takes the table's place for the intents it names; an unknown complexity counts as
+    medium. A missing weight is 1, a missing size 50; one route alone needs no fusion."""
+    spark = queries.sparkSession
+    q = queries.select("query_id", "intent", F.when(F.col("complexity").isin(*ROUTES), F.col("complexity")).otherwise("medium").alias("complexity"))
+    table = F.broadcast(route_table(spark))
+    if policy is None:
+        routed = q.join(table, "complexity")
+    else:
+        own = F.broadcast(policy.select("intent", "source", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("top_k", F.lit(50)).alias("top_k")))
+        ruled = F.broadcast(policy.select("intent").distinct())
+        routed = q.join(own, "intent").unionByName(q.join(ruled, "intent", "left_anti").join(table, "complexity"))
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    rerank = F.when(F.col("intent").isin(*CASCADE) | (F.col("complexity") == "complex"), "cascade").otherwise("score")
+    return routed.select("query_id", "source", "weight", "top_k", F.when(n > 1, "weighted_rrf").otherwise("identity").alias("fusion"), rerank.alias("rerank"))
+
+
+def orchestrate(plan: DataFrame, routes: Mapping[str, DataFrame]) -> DataFrame:
+    """Candidates of all planned routes, each cut to its size for the query, with the route as their source and the
+    plan's weight. A planned route that is absent from routes (a search that failed, or one without a query vector)
+    gives nothing and stops no other. routes: query_id, unit_id, score."""
+    parts = []
+    for name, found in routes.items():
+        own = plan.where(F.col("source") == name).select("query_id", "weight", "top_k")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id"))
+        met = found.select("query_id", "unit_id", "score").join(own, "query_id").withColumn("__r", rank).where("__r <= top_k")
+        parts.append(met.select("query_id", "unit_id", "score", F.lit(name).alias("source"), "weight"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def rerank_scored(candidates: DataFrame, scores: DataFrame, most: int = 200) -> DataFrame:
+    """query_id, unit_id, place: a model's order. The first `most` candidates with a text are asked; those that got a score
+    come first, by it, and all others follow in their own order. candidates: query_id, unit_id, text, place; scores:
+    query_id, unit_id, score. A language model is asked for fewer (20), and shown the first 200 characters."""
+    has_text = F.trim(F.coalesce("text", F.lit(""))) != ""
+    asked = F.when(has_text, F.sum(has_text.cast("int")).over(Window.partitionBy("query_id").orderBy("place", "unit_id")))
+    d = candidates.withColumn("__n", asked).join(scores.select("query_id", "unit_id", F.col("score").alias("__s")), ["query_id", "unit_id"], "left")
+    scored = F.col("__s").isNotNull() & (F.col("__n") <= most)
+    w = Window.partitionBy("query_id").orderBy(F.when(scored, 0).otherwise(1), F.when(scored, -F.col("__s")), "place", "unit_id")
+    return d.select("query_id", "unit_id", F.row_number().over(w).alias("place"))
+
+
+def dense_units(query_vectors: DataFrame, vectors: DataFrame, dimension: int, kinds: Sequence[str] = (), k: int = 20) -> DataFrame:
+    """Dense search over units with several embeddings: of the wanted kinds, the nearest embedding counts for its unit.
+    vectors: unit_id, unit_type, v; query_vectors: query_id, q."""
+    fine = vectors.where((F.size("v") == dimension) & (F.col("unit_type").isin(*kinds) if kinds else F.lit(True)))
+    d = fine.join(bounded(query_vectors.where(F.size("q") == dimension))).select("query_id", "unit_id", cosine(F.col("q"), F.col("v")).alias("score"))
+    return top_per_query(d.groupBy("query_id", "unit_id").agg(F.max("score").alias("score")).withColumn("source", F.lit("dense")), k)
+
+
+def recall_at(ranked_hits: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
+    """questions, recall_K for each K, misses: over the first rank at which a question found its evidence (null: never).
+    ranked_hits: question, rank; several rows of a question count by their least rank."""
+    first = ranked_hits.groupBy("question").agg(F.min("rank").alias("rank"))
+    at = [F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in ks]
+    return first.agg(F.count("*").alias("questions"), *at, F.count_if(F.col("rank").isNull()).alias("misses"))

@@ -6,6 +6,7 @@ documents. All later steps (breadcrumbs, windows, indices) are column expression
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,19 +17,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-STANDALONE = ("table", "html_table", "code", "list", "blockquote")
-#: Which block type a merged segment takes: the first of these that occurs.
-PRIORITY = ("table", "list", "code", "paragraph")
+#: The rank of block types; a merged segment takes the higher one, the earlier of equals.
+RANK = {"table": 4, "html_table": 4, "list": 3, "code": 2, "blockquote": 1, "paragraph": 1, "raw_html": 1, "unknown": 0}
+#: Types that take in no neighbour.
+CLOSED = ("table", "html_table", "code")
 _WIDE = re.compile("[一-鿿]")
 _WORD = re.compile("[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
-_STOP = re.compile(r"(?<=[。！？.!?\n])")
+_STOP = re.compile(r"(?<=[。！？\n])")
 
 
 @dataclass
 class Policy:
-    """Sizes are token estimates."""
+    """Sizes are token estimates: below merge_below a segment joins a neighbour of its section, below chunk_below one of
+    another section."""
 
-    merge_below: int = 80
+    merge_below: int = 100
+    chunk_below: int = 128
     most: int = 512
     table_alone: int = 300
     absorb_orphans: bool = True
@@ -105,70 +109,99 @@ def walk(text: str) -> list[Segment]:
     return out
 
 
+def stronger(a: str, b: str) -> str:
+    return a if RANK.get(a, 0) >= RANK.get(b, 0) else b
+
+
 def merge_small(segments: list[Segment], p: Policy) -> list[Segment]:
-    """In order, a small segment and its neighbour of the same section become one, up to the limit; large tables stay
-    alone."""
+    """In order, within a section and up to the limit: a small paragraph takes the list or table after it (but no table
+    above table_alone), and a small segment joins the one before it unless either is a table or code."""
     out: list[Segment] = []
     for s in segments:
         last = out[-1] if out else None
-        alone = lambda x: x.kind in ("table", "html_table") and x.tokens > p.table_alone
-        if last and last.path == s.path and min(last.tokens, s.tokens) < p.merge_below and last.tokens + s.tokens <= p.most and not alone(last) and not alone(s):
-            kinds = {last.kind, s.kind}
-            out[-1] = Segment(next((k for k in PRIORITY if k in kinds), s.kind), s.path, last.text + "\n\n" + s.text)
+        joins = False
+        if last and last.path == s.path and last.tokens + s.tokens <= p.most:
+            table = s.kind in ("table", "html_table")
+            lead = last.kind == "paragraph" and last.tokens < p.merge_below and (s.kind == "list" or table and s.tokens <= p.table_alone)
+            joins = lead or s.tokens < p.merge_below and s.kind not in CLOSED and last.kind not in CLOSED
+        if joins:
+            out[-1] = Segment(stronger(last.kind, s.kind), s.path, last.text + "\n\n" + s.text)
         else:
             out.append(s)
     return out
 
 
 def absorb_orphans(segments: list[Segment], p: Policy) -> list[Segment]:
-    """From the end, a small segment joins the nearest segment of its closest ancestor section, if there is room."""
-    out = list(segments)
-    i = len(out) - 1
-    while i >= 0:
-        s = out[i]
-        done = False
-        if s.tokens < p.merge_below:
-            for depth in range(len(s.path) - 1, -1, -1):
-                near = sorted((abs(j - i), j) for j, o in enumerate(out) if j != i and o.path == s.path[:depth] and o.tokens + s.tokens <= p.most)
-                if near:
-                    j = near[0][1]
-                    pair = (out[j].text, s.text) if j < i else (s.text, out[j].text)
-                    out[j] = Segment(out[j].kind, out[j].path, "\n\n".join(pair))
-                    del out[i]
-                    done = True
-                    break
-        i = min(i - 1, len(out) - 1) if done else i - 1
-    return out
+    """From the end, each segment that is small at the start joins the nearest segment of its closest ancestor section
+    whose nearest one has room and is no table or code. Of two equally near ones the earlier counts. Segments of a
+    section are in order, so the nearest one is found by bisection, past segments that are gone."""
+    at: dict[tuple[str, ...], list[int]] = {}
+    for i, s in enumerate(segments):
+        at.setdefault(tuple(s.path), []).append(i)
+    out: list[Segment | None] = list(segments)
+    small = [i for i, s in enumerate(segments) if s.tokens < p.chunk_below and s.kind not in CLOSED]
+    for i in reversed(small):
+        orphan = out[i]
+        for depth in range(len(orphan.path) - 1, -1, -1):
+            there = at.get(tuple(orphan.path[:depth]), [])
+            k = bisect.bisect_left(there, i)
+            near = [j for j in (there[k - 1] if k else None, there[k] if k < len(there) else None) if j is not None]
+            if not near:
+                continue
+            j = min(near, key=lambda j: (abs(j - i), j))
+            host = out[j]
+            if host.tokens + orphan.tokens <= p.most and host.kind not in CLOSED:
+                out[j] = Segment(stronger(host.kind, orphan.kind), host.path, host.text + "\n\n" + orphan.text)
+                out[i] = None
+                own = at[tuple(orphan.path)]
+                del own[bisect.bisect_left(own, i)]
+                break
+    return [s for s in out if s is not None]
 
 
 def lead_forward(segments: list[Segment], p: Policy) -> list[Segment]:
-    """A small lead-in joins the next segment if that lies in its section or below."""
+    """A small paragraph joins the next segment if that is no table or code and lies above or below it in the section
+    tree, not in the same section. What it becomes part of may be a small paragraph again."""
     out: list[Segment] = []
     for s in segments:
         last = out[-1] if out else None
-        if last and last.tokens < p.merge_below and s.path[: len(last.path)] == last.path and s.path != last.path and last.tokens + s.tokens <= p.most:
-            out[-1] = Segment(s.kind, s.path, last.text + "\n\n" + s.text)
-        else:
-            out.append(s)
+        if last and last.kind == "paragraph" and last.tokens < p.chunk_below and s.kind not in CLOSED and last.tokens + s.tokens <= p.most:
+            shared = min(len(last.path), len(s.path))
+            if last.path != s.path and last.path[:shared] == s.path[:shared]:
+                out[-1] = Segment(s.kind, s.path, last.text + "\n\n" + s.text)
+                continue
+        out.append(s)
     return out
 
 
+def _packed(parts: list[str], most: int, glue: str) -> list[str]:
+    out: list[list[str]] = []
+    size = 0
+    for x in parts:
+        n = estimate(x)
+        if not out or size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(x)
+        size += n
+    return [glue.join(x) for x in out]
+
+
 def split_large(segment: Segment, p: Policy) -> list[Segment]:
-    """Paragraphs, then sentences, packed greedily up to the limit; a sentence beyond it stays whole."""
+    """Paragraphs packed up to the limit; one beyond it gives its sentences, packed alike; a sentence beyond it stays
+    whole."""
     if segment.tokens <= p.most:
         return [segment]
-    pieces: list[str] = []
-    for para in re.split(r"\n\s*\n", segment.text):
-        pieces += [para] if estimate(para) <= p.most else [x for x in _STOP.split(para) if x.strip()]
-    out, held, size = [], [], 0
-    for x in pieces:
-        n = estimate(x)
-        if held and size + n > p.most:
-            out.append(Segment(segment.kind, segment.path, "\n".join(held)))
-            held, size = [], 0
-        held.append(x.strip())
-        size += n
-    return out + ([Segment(segment.kind, segment.path, "\n".join(held))] if held else [])
+    texts: list[str] = []
+    held: list[str] = []
+    for para in segment.text.split("\n\n"):
+        if estimate(para) > p.most:
+            texts += _packed(held, p.most, "\n\n") + _packed([x.strip() for x in _STOP.split(para) if x.strip()], p.most, "")
+            held = []
+        else:
+            held.append(para)
+    texts += _packed(held, p.most, "\n\n")
+    return [Segment(segment.kind, segment.path, x) for x in texts if x.strip()]
 
 
 def segment_text(text: str, p: Policy) -> list[Segment]:
@@ -206,5 +239,6 @@ def clean(text: Column) -> Column:
 def token_windows(docs: DataFrame, size: int = 300, overlap: int = 30) -> DataFrame:
     """document, window, tokens: overlapping runs of tokens; the last one that starts inside the text ends it."""
     t = docs.select("document", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    d = t.select("document", "t", F.posexplode(F.sequence(F.lit(1), F.size("t"), F.lit(size - overlap))).alias("window", "start"))
-    return d.select("document", "window", F.slice("t", F.col("start"), F.lit(size)).alias("tokens"))
+    # windows are cut before they become rows, so that no row carries the whole text's tokens
+    runs = F.transform(F.sequence(F.lit(1), F.size("t"), F.lit(size - overlap)), lambda i: F.slice("t", i, size))
+    return t.select("document", F.posexplode(runs).alias("window", "tokens"))

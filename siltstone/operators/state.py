@@ -56,16 +56,32 @@ def latest_selections(builds: DataFrame) -> DataFrame:
     return first_per(builds, ["document"], [F.desc("build_no")]).where("status <> 'removed'")
 
 
+#: What is done by default with a document of each class.
+DEFAULT_ACTION = {
+    "NEW": "NEW", "REUSED": "REUSED", "IN_PROGRESS": "JOINED_EXISTING", "RESTORABLE": "RESTORED",
+    "RESTORABLE_CONFLICT": "KEPT_CURRENT", "WORKFLOW_CONFLICT": "KEPT_CURRENT", "HISTORY_UNAVAILABLE": "REMINED",
+}
+
+
 def preflight(requested: DataFrame, snapshots: DataFrame, running: DataFrame, workflow: str) -> DataFrame:
-    """document, classification of each requested (document, hash) against snapshots (hash, workflow, active, complete)
-    and running (hash, workflow)."""
+    """document, classification, default_action of each requested (document, hash) against snapshots (hash, workflow,
+    active, complete) and running (hash, workflow); workflow names id, version and graph.
+
+    A complete active snapshot of this workflow is reused, before any running job counts; then a running job of this
+    workflow; then complete history of it, which an active snapshot of another kind opposes; then that active snapshot;
+    then any row at all."""
     same = F.col("workflow") == workflow
-    s = snapshots.groupBy("hash").agg(F.max(same & F.col("active") & F.col("complete")).alias("exact"), F.max(same & F.col("active") & ~F.col("complete")).alias("partial"), F.max(~same & F.col("active")).alias("other"), F.max(same & ~F.col("active") & F.col("complete")).alias("past"))
-    r = running.groupBy("hash").agg(F.max(same).alias("same_run"), F.max(~same).alias("other_run"))
+    flags = {"exact": same & F.col("active") & F.col("complete"), "current": F.col("active"), "past": same & ~F.col("active") & F.col("complete")}
+    s = snapshots.groupBy("hash").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()], F.lit(True).alias("any"))
+    r = running.where(same).select("hash").distinct().withColumn("run", F.lit(True))
     d = requested.join(s, "hash", "left").join(r, "hash", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    c = F.when(yes("same_run"), "IN_PROGRESS").when(yes("other_run"), "IN_PROGRESS_CONFLICT").when(yes("exact"), "REUSED").when(yes("partial"), "INCOMPLETE").when(yes("other"), "WORKFLOW_CONFLICT").when(yes("past"), "RESTORABLE").otherwise("NEW")
-    return d.select("document", c.alias("classification"))
+    kind = (
+        F.when(yes("exact"), "REUSED").when(yes("run"), "IN_PROGRESS").when(yes("past") & ~yes("current"), "RESTORABLE").when(yes("past"), "RESTORABLE_CONFLICT")
+        .when(yes("current"), "WORKFLOW_CONFLICT").when(yes("any"), "HISTORY_UNAVAILABLE").otherwise("NEW")
+    )
+    action = F.create_map(*[F.lit(x) for kv in DEFAULT_ACTION.items() for x in kv])
+    return d.select("document", kind.alias("classification")).withColumn("default_action", action[F.col("classification")])
 
 
 def move_subtree(folders: DataFrame, old: str, new: str) -> DataFrame:

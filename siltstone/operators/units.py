@@ -16,13 +16,16 @@ def raw_text(segments: DataFrame) -> DataFrame:
 
 
 def table_rows(segments: DataFrame) -> DataFrame:
-    """A unit for each body row of a pipe table: column and value pairs in one sentence."""
+    """A unit for each body row of a pipe table: column and value pairs in one sentence, under the row's number and first
+    three values."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x).startswith("|"))
     cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
     d = segments.where("block_type = 'table'").withColumn("c", cells).where(F.size("c") >= 3)
-    d = d.withColumn("head", F.col("c")[0]).select("*", F.posexplode(F.slice("c", 3, 100_000)).alias("row", "cell"))
+    d = d.withColumn("head", F.col("c")[0]).select("*", F.posexplode(F.slice("c", F.lit(3), F.size("c"))).alias("row", "cell"))
     said = F.array_join(F.filter(F.zip_with("head", "cell", lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(h, F.lit("为"), v))), lambda x: x.isNotNull()), "，")
-    return d.select("document", "segment_index", F.lit("table_row").alias("unit_type"), F.col("breadcrumb").alias("title"), F.concat(said, F.lit("。")).alias("text"), F.lit(0.8).alias("weight"))
+    values = F.slice(F.filter("cell", lambda v: F.coalesce(v, F.lit("")) != ""), 1, 3)
+    title = F.concat(F.lit("行"), (F.col("row") + 1).cast("string"), F.lit(": "), F.array_join(values, "、"))
+    return d.select("document", "segment_index", F.lit("table_row").alias("unit_type"), title.alias("title"), F.concat(said, F.lit("。")).alias("text"), F.lit(0.8).alias("weight"))
 
 
 def questions(segments: DataFrame, generated: DataFrame, most: int = 2, least_tokens: int = 50) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -32,11 +31,10 @@ def clean(t):
     return t.pages.select("page_id", F.sha2(segment.clean(F.col("html")), 256).alias("h"))
 
 
-@query("p15_breadcrumb", r"SELECT page_id, 'site' AS first, len(list_distinct(['site'] || list_filter(string_split(regexp_extract(url, '^https?://[^/]+/([^?]*)', 1), '/'), lambda x: x <> ''))) AS parts FROM pages")
+@query("p15_breadcrumb", r"SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' > ') AS breadcrumb FROM (SELECT page_id, ['site'] || list_filter(string_split(regexp_extract(url, '^https?://[^/]+/([^?]*)', 1), '/'), lambda x: x <> '') AS l FROM pages)")
 def crumbs(t):
     path = F.split(F.regexp_extract("url", r"^https?://[^/]+/([^?]*)", 1), "/")
-    b = F.split(segment.breadcrumb(F.lit("site"), path), " > ")
-    return t.pages.select("page_id", b[0].alias("first"), F.size(b).alias("parts"))
+    return t.pages.select("page_id", segment.breadcrumb(F.lit("site"), path).alias("breadcrumb"))
 
 
 @query("p11_segments")
@@ -66,10 +64,10 @@ def cards(t):
     return units.entity_cards(m).select("document", "segment_index", "title", "weight")
 
 
-@query("m09_questions", "SELECT conv_id, turn, trim(regexp_replace(text, '^Q[0-9]+[:：.]\\s*', '')) AS question FROM conversations WHERE role = 'user' AND length(trim(text)) >= 15")
+@query("m09_questions", "SELECT conv_id, turn, trim(regexp_replace(text, '^Q[0-9]+[:：.]\\s*', '')) AS question FROM conversations WHERE role = 'user' AND length(trim(text)) >= 15 AND length(text) // 4 >= 50")
 def questions(t):
     """User turns as generated questions of their turn."""
-    c = t.conversations.where("role = 'user'").select(F.col("conv_id").alias("document"), F.col("turn").alias("segment_index"), F.lit("paragraph").alias("block_type"), F.lit("").alias("breadcrumb"), "text", F.lit(50).alias("token_count"))
+    c = t.conversations.where("role = 'user'").select(F.col("conv_id").alias("document"), F.col("turn").alias("segment_index"), F.lit("paragraph").alias("block_type"), F.lit("").alias("breadcrumb"), "text", F.floor(F.length("text") / 4).alias("token_count"))
     g = c.select("document", "segment_index", F.array("text").alias("questions"))
     return units.questions(c.where(F.length(F.trim("text")) >= 15), g).select(F.col("document").alias("conv_id"), F.col("segment_index").alias("turn"), F.col("text").alias("question"))
 
@@ -84,14 +82,14 @@ def table_rows(t):
     return units.table_rows(d.select("document", F.lit(0).alias("segment_index"), F.lit("table").alias("block_type"), F.lit("").alias("breadcrumb"), "text")).select("document", "text")
 
 
-@query("m10_part_rows", "SELECT p_brand AS document, 'p_partkey为' || p_partkey || '，p_name为' || p_name || '。' AS text FROM part")
+@query("m10_part_rows", "SELECT p_brand AS document, '行' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey::VARCHAR || ' | ' || p_name) || ': ' || p_partkey || '、' || p_name AS title, 'p_partkey为' || p_partkey || '，p_name为' || p_name || '。' AS text FROM part")
 def part_rows(t):
     """A brand's parts as one pipe table, and its row units."""
     rows = F.array_sort(F.collect_list(F.concat_ws(" | ", F.col("p_partkey").cast("string"), "p_name")))
     head = F.array(F.lit("p_partkey | p_name"), F.lit("--- | ---"))
     table = F.array_join(F.transform(F.concat(head, rows), lambda x: F.concat(F.lit("| "), x, F.lit(" |"))), "\n")
     d = t.part.groupBy(F.col("p_brand").alias("document")).agg(table.alias("text"))
-    return units.table_rows(d.select("document", F.lit(0).alias("segment_index"), F.lit("table").alias("block_type"), F.lit("").alias("breadcrumb"), "text")).select("document", "text")
+    return units.table_rows(d.select("document", F.lit(0).alias("segment_index"), F.lit("table").alias("block_type"), F.lit("").alias("breadcrumb"), "text")).select("document", "title", "text")
 
 
 @query("s10_section_search", """SELECT doc_id, score FROM (SELECT doc_id, sum(CASE WHEN contains(lower(source), w) THEN 1000 ELSE 0 END + least(h, 50))::BIGINT AS score, count(*) FILTER (WHERE contains(lower(source), w) OR h > 0) AS met FROM (SELECT doc_id, source, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS h FROM documents, (VALUES ('the'), ('1')) v(w)) GROUP BY doc_id) WHERE met = 2 ORDER BY score DESC, doc_id LIMIT 10""")
@@ -110,8 +108,7 @@ def query_log(t):
 @query("st1_stream_ingest", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents")
 def stream_ingest(t):
     """The documents' files as a stream that ends when all are in."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{streaming.shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     lines = lambda d: d.select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
     return streaming.ingest(t.spark, f"{t.folder}/documents.parque[t]", t.documents.schema, lines, f"{at}/out", f"{at}/state")
 
@@ -121,6 +118,11 @@ def hourly(t):
     return streaming.hourly_counts(t.events, "ts", "event_type").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+@query("st5_rolling_failures", "SELECT until, count(*) AS failures FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) + unnest(range(1, 13)) * INTERVAL 5 MINUTE AS until FROM events WHERE event_type = 'error') GROUP BY until")
+def rolling(t):
+    return streaming.rolling_failures(t.events, "ts", F.col("event_type") == "error").withColumn("until", F.col("until").cast("timestamp_ntz"))
+
+
 @query("st4_expired_leases", "SELECT event_id FROM events WHERE event_type = 'error' AND ts + INTERVAL 5 MINUTE <= TIMESTAMP '2024-01-10 00:00:00'")
 def leases(t):
     q = t.events.select("event_id", F.when(F.col("event_type") == "error", "running").otherwise("done").alias("status"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("lease_expires_at"))
@@ -151,22 +153,29 @@ def candidates(t):
     return graph.relation_candidates(m, rules).groupBy("head_type", "tail_type", "relation_type").agg(F.count("*").alias("n"))
 
 
-@query("m05_discourse", """WITH r AS (SELECT conv_id, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst, CASE turn % 4 WHEN 0 THEN 'elaborates' WHEN 1 THEN 'causes' WHEN 2 THEN 'contrasts_with' ELSE 'unknown' END AS type, (length(text) % 100) / 100.0::DOUBLE AS c FROM conversations)
-SELECT conv_id, src, dst, type, max(c) AS confidence, max(abs(src - dst))::BIGINT AS distance FROM r WHERE dst IS NOT NULL AND type <> 'unknown' AND c >= 0.5 GROUP BY ALL""")
+#: Labels in turn, one of them unknown, so that every rule for nuclei occurs, from either end.
+LABELS = (*discourse.NUCLEUS, "unknown")
+LABELLED = f"""r AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next, list_extract({list(LABELS)}, ((conv_id * 5 + turn) % {len(LABELS)} + 1)::INT) AS type, (length(text) % 100) / 100.0::DOUBLE AS c FROM conversations),
+s AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN turn ELSE next END AS src, CASE WHEN conv_id % 2 = 0 THEN next ELSE turn END AS dst, type, c FROM r WHERE next IS NOT NULL AND type <> 'unknown' AND c >= 0.5)"""
+
+
+@query("m05_discourse", f"WITH {LABELLED} SELECT conv_id, src, dst, type, max(c) AS confidence, max(abs(src - dst))::BIGINT AS distance FROM s GROUP BY ALL")
 def relations(t):
     return _relations(t).select(F.col("document").alias("conv_id"), "src", "dst", "type", "confidence", "distance")
 
 
 def _relations(t):
+    """Each turn and the next, named from either end."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    kind = F.when(F.col("turn") % 4 == 0, "elaborates").when(F.col("turn") % 4 == 1, "causes").when(F.col("turn") % 4 == 2, "contrasts_with").otherwise("unknown")
-    r = t.conversations.select(F.col("conv_id").alias("document"), F.col("turn").alias("src"), F.lead("turn").over(w).alias("dst"), kind.alias("type"), ((F.length("text") % 100) / F.lit(100.0)).alias("confidence"))
-    return discourse.clean_relations(r.where("dst IS NOT NULL"))
+    kind = F.element_at(F.array(*map(F.lit, LABELS)), ((F.col("conv_id") * 5 + F.col("turn")) % len(LABELS) + 1).cast("int"))
+    r = t.conversations.select(F.col("conv_id").alias("document"), "turn", F.lead("turn").over(w).alias("next"), kind.alias("type"), ((F.length("text") % 100) / F.lit(100.0)).alias("confidence")).where("next IS NOT NULL")
+    even = F.col("document") % 2 == 0
+    return discourse.clean_relations(r.select("document", F.when(even, F.col("turn")).otherwise(F.col("next")).alias("src"), F.when(even, F.col("next")).otherwise(F.col("turn")).alias("dst"), "type", "confidence"))
 
 
-@query("m06_roles", """WITH r AS (SELECT conv_id, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst, turn % 4 AS k, (length(text) % 100) / 100.0::DOUBLE AS c FROM conversations), f AS (SELECT * FROM r WHERE dst IS NOT NULL AND k < 3 AND c >= 0.5),
-e AS (SELECT conv_id, src AS turn, CASE WHEN k IN (0, 2) THEN 2 ELSE 1 END AS rk FROM f UNION ALL SELECT conv_id, dst, CASE WHEN k IN (1, 2) THEN 2 ELSE 1 END FROM f), b AS (SELECT conv_id, turn, max(rk) AS rk FROM e GROUP BY ALL)
-SELECT c.conv_id, c.turn, CASE b.rk WHEN 2 THEN 'nucleus' WHEN 1 THEN 'satellite' ELSE 'standalone' END AS role FROM conversations c LEFT JOIN b ON c.conv_id = b.conv_id AND c.turn = b.turn""")
+@query("m06_roles", f"""WITH {LABELLED}, k AS (SELECT *, type IN ('summarizes', 'sequences', 'contrasts_with', 'parallels') AS two, type IN ('elaborates', 'exemplifies', 'evidences', 'justifies', 'purposes', 'results_in') AS earlier FROM s),
+e AS (SELECT conv_id, least(src, dst) AS turn, two OR earlier AS nucleus FROM k UNION ALL SELECT conv_id, greatest(src, dst), two OR NOT earlier FROM k), b AS (SELECT conv_id, turn, bool_or(nucleus) AS nucleus FROM e GROUP BY ALL)
+SELECT c.conv_id, c.turn, CASE WHEN b.nucleus IS NULL THEN 'standalone' WHEN b.nucleus THEN 'nucleus' ELSE 'satellite' END AS role FROM conversations c LEFT JOIN b ON c.conv_id = b.conv_id AND c.turn = b.turn""")
 def roles(t):
     s = t.conversations.select(F.col("conv_id").alias("document"), F.col("turn").alias("segment"))
     return discourse.roles(s, _relations(t)).select(F.col("document").alias("conv_id"), F.col("segment").alias("turn"), "role")
@@ -185,18 +194,24 @@ def graph_recall(t):
     return r.select("seed", "node", "hop", F.round("confidence", 9).alias("confidence"))
 
 
-@query("d02_classify", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'NEW' WHEN doc_id % 5 = 1 THEN 'UPDATE' WHEN doc_id % 5 = 2 THEN 'REMOVE' ELSE 'SKIP' END AS action FROM documents")
+OLD = "old AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN sha256(text || 'x') ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 5 <> 0)"
+
+
+@query("d02_classify", f"""WITH {OLD}, new AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 5 <> 2)
+SELECT doc_id, CASE WHEN o.hash IS NULL THEN 'NEW' WHEN n.hash IS NULL THEN 'REMOVE' WHEN o.hash = n.hash THEN 'SKIP' ELSE 'UPDATE' END AS action FROM old o FULL JOIN new n USING (doc_id)""")
 def classify(t):
-    d = t.documents.select(F.col("doc_id").alias("document"), F.sha2("text", 256).alias("hash"))
-    old = d.where("document % 5 <> 0").withColumn("hash", F.when(F.col("document") % 5 == 1, "other").otherwise(F.col("hash")))
-    return state.classify(old, d.where("document % 5 <> 2")).select(F.col("document").alias("doc_id"), "action")
+    d = t.documents.select(F.col("doc_id").alias("document"), F.sha2("text", 256).alias("hash"), "text")
+    old = d.where("document % 5 <> 0").withColumn("hash", F.when(F.col("document") % 5 == 1, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("hash")))
+    return state.classify(old.drop("text"), d.where("document % 5 <> 2").drop("text")).select(F.col("document").alias("doc_id"), "action")
 
 
-@query("d03_lifecycle", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'SKIP' WHEN doc_id % 4 = 1 THEN 'RESTORE' WHEN doc_id % 4 = 2 THEN 'UPDATE' ELSE 'NEW' END AS action FROM documents")
+@query("d03_lifecycle", """WITH d AS (SELECT doc_id, sha256(text) AS hash, sha256(text || 'x') AS other FROM documents), a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN hash ELSE other END AS hash FROM d WHERE doc_id % 4 <> 3), h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN hash ELSE other END AS hash FROM d)
+SELECT d.doc_id, CASE WHEN a.hash = d.hash THEN 'SKIP' WHEN EXISTS (SELECT 1 FROM h WHERE h.doc_id = d.doc_id AND h.hash = d.hash) THEN 'RESTORE' WHEN a.hash IS NOT NULL THEN 'UPDATE' ELSE 'NEW' END AS action FROM d LEFT JOIN a ON a.doc_id = d.doc_id""")
 def lifecycle(t):
-    d = t.documents.select(F.col("doc_id").alias("document"), F.sha2("text", 256).alias("hash"))
-    active = d.where("document % 4 <> 3").withColumn("hash", F.when(F.col("document") % 4 == 0, F.col("hash")).otherwise("other"))
-    return state.lifecycle(d, active, d.where("document % 4 = 1")).select(F.col("document").alias("doc_id"), "action")
+    d = t.documents.select(F.col("doc_id").alias("document"), F.sha2("text", 256).alias("hash"), F.sha2(F.concat("text", F.lit("x")), 256).alias("other"))
+    pick = lambda same: F.when(same, F.col("hash")).otherwise(F.col("other")).alias("hash")
+    active = d.where("document % 4 <> 3").select("document", pick(F.col("document") % 2 == 0))
+    return state.lifecycle(d.select("document", "hash"), active, d.select("document", pick(F.col("document") % 3 == 0))).select(F.col("document").alias("doc_id"), "action")
 
 
 @query("d05_assemble", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE 'old' END AS snapshot FROM orders")
@@ -224,12 +239,23 @@ def latest_selection(t):
     return state.latest_selections(b).select(F.col("document").alias("o_custkey"), F.col("build_no").alias("o_orderkey"))
 
 
-@query("d04_preflight", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'REUSED' WHEN 1 THEN 'INCOMPLETE' WHEN 2 THEN 'WORKFLOW_CONFLICT' WHEN 3 THEN 'RESTORABLE' WHEN 4 THEN 'IN_PROGRESS' ELSE 'NEW' END AS classification FROM documents")
+#: Snapshots of contents: an active one and an old one for some, each of this workflow or another, complete or not.
+SNAPSHOTS = """s AS (SELECT 'h' || doc_id // 2 AS hash, CASE WHEN n_chars % 3 = 0 THEN 'other' ELSE 'w' END AS workflow, doc_id % 2 = 0 AS active, n_chars % 5 <> 0 AS complete FROM documents WHERE n_chars % 7 < 4),
+r AS (SELECT 'h' || doc_id // 2 AS hash, CASE WHEN n_chars % 2 = 0 THEN 'w' ELSE 'other' END AS workflow FROM documents WHERE doc_id % 11 = 0)"""
+
+
+@query("d04_preflight", f"""WITH {SNAPSHOTS}, d AS (SELECT doc_id, 'h' || doc_id AS hash FROM documents), c AS (SELECT doc_id, CASE
+WHEN EXISTS (SELECT 1 FROM s WHERE s.hash = d.hash AND active AND complete AND workflow = 'w') THEN 'REUSED'
+WHEN EXISTS (SELECT 1 FROM r WHERE r.hash = d.hash AND workflow = 'w') THEN 'IN_PROGRESS'
+WHEN EXISTS (SELECT 1 FROM s WHERE s.hash = d.hash AND NOT active AND complete AND workflow = 'w') THEN CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.hash = d.hash AND active) THEN 'RESTORABLE_CONFLICT' ELSE 'RESTORABLE' END
+WHEN EXISTS (SELECT 1 FROM s WHERE s.hash = d.hash AND active) THEN 'WORKFLOW_CONFLICT' WHEN EXISTS (SELECT 1 FROM s WHERE s.hash = d.hash) THEN 'HISTORY_UNAVAILABLE' ELSE 'NEW' END AS classification FROM d)
+SELECT doc_id, classification, CASE classification WHEN 'IN_PROGRESS' THEN 'JOINED_EXISTING' WHEN 'RESTORABLE' THEN 'RESTORED' WHEN 'RESTORABLE_CONFLICT' THEN 'KEPT_CURRENT' WHEN 'WORKFLOW_CONFLICT' THEN 'KEPT_CURRENT' WHEN 'HISTORY_UNAVAILABLE' THEN 'REMINED' ELSE classification END AS default_action FROM c""")
 def preflight(t):
     d = t.documents.select(F.col("doc_id").alias("document"), F.concat(F.lit("h"), "doc_id").alias("hash"))
-    k = F.col("document") % 6
-    s = d.where(k < 4).select("hash", F.when(k == 2, "other").otherwise("w").alias("workflow"), (k < 3).alias("active"), (k != 1).alias("complete"))
-    return state.preflight(d, s, d.where(k == 4).select("hash", F.lit("w").alias("workflow")), "w").select(F.col("document").alias("doc_id"), "classification")
+    h = F.concat(F.lit("h"), F.floor(F.col("doc_id") / 2)).alias("hash")
+    s = t.documents.where("n_chars % 7 < 4").select(h, F.when(F.col("n_chars") % 3 == 0, "other").otherwise("w").alias("workflow"), (F.col("doc_id") % 2 == 0).alias("active"), (F.col("n_chars") % 5 != 0).alias("complete"))
+    r = t.documents.where("doc_id % 11 = 0").select(h, F.when(F.col("n_chars") % 2 == 0, "w").otherwise("other").alias("workflow"))
+    return state.preflight(d, s, r, "w").withColumnRenamed("document", "doc_id")
 
 
 @query("o04_items", """WITH e AS (SELECT lang AS q, doc_id AS i, 1.0 / (1 + n_chars % 50) AS s, 0 AS o FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT lang, doc_id, 0.5, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT lang, doc_id, 0.25, 2 FROM documents),

@@ -149,10 +149,10 @@ def fu3(t):
     return R.identity_fusion(_routed(t))
 
 
-@query("fu4_route_plan", "SELECT lang, source, weight::DOUBLE AS weight FROM (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'complex' WHEN 'de' THEN 'medium' ELSE 'simple' END AS complexity FROM documents) JOIN (VALUES ('simple','fts',1.0),('simple','dense',0.6),('medium','fts',1.0),('medium','dense',0.9),('medium','entity',0.8),('complex','fts',1.0),('complex','dense',1.0),('complex','entity',0.9),('complex','graph',0.7)) r(complexity, source, weight) USING (complexity)")
+@query("fu4_route_plan", "SELECT lang, source, weight::DOUBLE AS weight, top_k FROM (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'complex' WHEN 'de' THEN 'medium' ELSE 'simple' END AS complexity FROM documents) JOIN (VALUES ('simple', 'entity_exact', 1.5, 20::BIGINT), ('simple', 'lexical_bm25', 1.0, 50), ('medium', 'lexical_bm25', 1.0, 50), ('medium', 'dense_vector', 0.9, 50), ('complex', 'lexical_bm25', 1.0, 50), ('complex', 'dense_vector', 0.9, 50), ('complex', 'entity_exact', 0.7, 20), ('complex', 'entity_graph', 0.6, 20)) r(complexity, source, weight, top_k) USING (complexity)")
 def fu4(t):
     d = t.documents.select("lang").distinct().withColumn("complexity", F.when(F.col("lang") == "en", "complex").when(F.col("lang") == "de", "medium").otherwise("simple"))
-    return d.join(F.broadcast(R.route_table(t.spark)), "complexity").select("lang", "source", "weight")
+    return d.join(F.broadcast(R.route_table(t.spark)), "complexity").select("lang", "source", "weight", "top_k")
 
 
 @query("rr1_cascade", f"""WITH {ROUTED}, f AS (SELECT query_id, unit_id, max(score) AS score FROM c GROUP BY ALL), m AS (SELECT doc_id AS unit_id, quality::DOUBLE AS q FROM labels JOIN documents USING (doc_id) WHERE lang IN ('en', 'de'))
@@ -165,16 +165,29 @@ def rr1(t):
 
 @query("rr2_finish")
 def rr2(t):
-    """Best unit of each segment, penalties, greedy near-duplicate removal, floor and cut."""
-    d = t.documents.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("unit_id"), F.col("source").alias("segment_id"), F.when(F.col("doc_id") % 7 == 0, "heading").otherwise("paragraph").alias("block_type"), F.col("text"), (1.0 / (1.0 + F.col("n_chars") % 97)).alias("score"))
-    return R.rerank_finish(d).select("query_id", "unit_id", F.round("score", 9).alias("score"))
+    """Best unit of each segment, penalties, greedy near-duplicate removal, floor and cut, over what a route gives for
+    each source: its 200 best documents."""
+    d = t.documents.select(F.col("source").alias("query_id"), F.col("doc_id").alias("unit_id"), F.floor(F.col("doc_id") / 2).alias("segment_id"), F.when(F.col("doc_id") % 7 == 0, "heading").otherwise("paragraph").alias("block_type"), F.col("text"), (1.0 / (1.0 + F.col("n_chars") % 97)).alias("score"))
+    return R.rerank_finish(R.top_per_query(d, 200), k=50).select("query_id", "unit_id", F.round("score", 9).alias("score"))
 
 
-@query("qu2_understanding", f"""WITH w AS (SELECT conv_id, turn, {TOK.format('text')} AS t FROM conversations), k AS (SELECT *, list_distinct(list_filter(t, lambda x: length(x) >= 2 AND x NOT IN ('the','a','of','to','and','is','in'))) AS kw FROM w),
-i AS (SELECT *, CASE {' '.join(f"WHEN list_has_any(t, {words}) THEN '{name}'" for name, words in R.INTENTS.items())} ELSE 'general' END AS intent FROM k)
-SELECT conv_id, turn, intent, len(kw) AS n_keywords, CASE WHEN intent IN ('comparison', 'troubleshooting') OR len(kw) > 8 THEN 'complex' WHEN len(kw) > 3 OR intent = 'procedure' THEN 'medium' ELSE 'simple' END AS complexity FROM i""")
+#: What is said after a turn's text, by turn: every intent, command form and scope occurs.
+SAID = (" 有区别吗", " 故障", " 操作步骤", " 是什么", " 路径", " add apn_X1 now", " 新增 upf 规则", " 删除", " UDG smf cloudcore", "", " 怎么做，配置!", "")
+CMD = r"(?i)(add|mod|del|set|show|lst|dsp|reg|dereg)\s+([a-z][a-z0-9_]*)"
+
+
+@query("qu2_understanding", rf"""WITH c AS (SELECT conv_id, turn, text || list_extract({list(SAID)}, ((conv_id * 7 + turn) % {len(SAID)} + 1)::INT) AS text FROM conversations),
+m AS (SELECT *, regexp_extract(text, '{CMD}', 1) AS v, regexp_extract(text, '{CMD}', 2) AS o, list_filter([{', '.join(f"{{'w': '{w}', 's': '{v}'}}" for w, v in R.VERBS.items())}], lambda x: contains(text, x.w))[1] AS f,
+  list_filter(string_split_regex(regexp_replace(text, '{CMD}', '', 'g'), '[\s,，、？?。.！!]+'), lambda x: trim(x) <> '' AND NOT list_contains({list(R.STOP)}, x) AND (length(x) >= 2 OR regexp_matches(x, '[一-鿿]'))) AS k,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){n}($|[^A-Za-z0-9_])') THEN '{n.upper()}' END" for n in sorted(R.PRODUCTS + R.ELEMENTS, key=str.upper))}], lambda x: x IS NOT NULL), ',') AS scope FROM c),
+d AS (SELECT *, CASE WHEN v <> '' THEN upper(v) || ' ' || upper(o) WHEN f IS NOT NULL THEN f.s || coalesce(' ' || nullif(upper(regexp_extract(substr(text, strpos(text, f.w) + length(f.w)), '([A-Za-z][A-Za-z0-9_]*)', 1)), ''), '') END AS command FROM m),
+i AS (SELECT *, CASE WHEN command IS NOT NULL THEN 'command_usage' {' '.join(f"WHEN {' OR '.join(f"contains(text, '{w}')" for w in words)} THEN '{'general' if name == 'navigational' else name}'" for name, words in R.INTENTS.items())} ELSE 'general' END AS intent FROM d)
+SELECT conv_id, turn, command, intent, len(k) AS n_keywords, scope, CASE WHEN intent IN ('comparison', 'troubleshooting') THEN 'complex' WHEN intent = 'command_usage' THEN 'simple' ELSE 'medium' END AS complexity FROM i""")
 def understanding(t):
-    return R.understand(t.conversations).select("conv_id", "turn", "intent", F.size("keywords").alias("n_keywords"), "complexity")
+    said = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("conv_id") * 7 + F.col("turn")) % len(SAID) + 1).cast("int"))
+    u = R.understand(t.conversations.withColumn("text", F.concat("text", said)))
+    scope = F.array_join(F.array_sort(F.concat("products", "elements")), ",")
+    return u.select("conv_id", "turn", "command", "intent", F.size("keywords").alias("n_keywords"), scope.alias("scope"), "complexity")
 
 
 @query("c1_semantic_cache", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, TIMESTAMP '2024-01-02 00:00:00' - to_hours((vec_id % 48)::INT) AS created_at FROM embeddings),

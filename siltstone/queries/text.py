@@ -44,12 +44,12 @@ def simhash(t):
 
 @query("x05_near_fingerprints", SIMHASH + ", d AS (SELECT DISTINCT f FROM every) SELECT a.f AS a, b.f AS b, bit_count(xor(a.f, b.f))::BIGINT AS distance FROM d a JOIN d b ON a.f < b.f AND bit_count(xor(a.f, b.f)) <= 3")
 def near_fingerprints(t):
-    """Pairs of distinct fingerprints at most 3 bits apart: of four 16-bit bands at least one is equal."""
+    """Pairs of distinct fingerprints at most 3 bits apart, by keys of three of six blocks."""
     d = t.documents.select(T.simhash(T.tokens(F.col("text"))).alias("f")).distinct()
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("f", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4)])
-    d = d.select("f", F.explode(bands).alias("band"))
-    pairs = d.select("band", F.col("f").alias("a")).join(d.select("band", F.col("f").alias("b")), "band").where("a < b")
-    return pairs.select("a", "b", T.hamming(F.col("a"), F.col("b")).alias("distance")).where("distance <= 3").distinct()
+    d = d.select("f", F.explode(T.near_keys(F.col("f"))).alias("key"))
+    distance = T.hamming(F.col("a"), F.col("b"))
+    pairs = d.select("key", F.col("f").alias("a")).join(d.select("key", F.col("f").alias("b")), "key").where((F.col("a") < F.col("b")) & (distance <= 3))
+    return pairs.select("a", "b", distance.alias("distance")).distinct()
 
 
 @query("x06_set_jaccard", f"""WITH s AS (SELECT doc_id, list_distinct({TOKENS}) AS t FROM documents)

@@ -69,8 +69,7 @@ class Markdown(HTMLParser):
             t = self.tables[-1]
             if not t["rows"]:
                 t["rows"].append([])
-            span = lambda k: max(1, min(100, int(a[k]))) if (a.get(k) or "").isdigit() else 1
-            t["cell"] = {"text": "", "across": span("colspan"), "down": span("rowspan"), "head": tag == "th"}
+            t["cell"] = {"text": "", "across": span(a.get("colspan"), 1_000), "down": span(a.get("rowspan"), 65_534), "head": tag == "th"}
             t["rows"][-1].append(t["cell"])
 
     def handle_endtag(self, tag):
@@ -99,6 +98,12 @@ class Markdown(HTMLParser):
             self._add(data if self.code else re.sub(r"\s+", " ", data))
 
 
+def span(value: str | None, most: int) -> int:
+    """A cell's span, one where it isn't a number; most is what the HTML standard allows."""
+    value = (value or "").strip()
+    return max(1, min(most, int(value))) if value.isascii() and value.isdecimal() else 1
+
+
 def pipe_table(rows: list[list[dict]]) -> str:
     """Spans are filled with the cell they cover; the first row is the header."""
     grid: list[list[str]] = []

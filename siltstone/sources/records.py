@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def search_sections(sections: DataFrame, words: Sequence[str], k: int = 10) -> DataFrame:
@@ -25,9 +27,9 @@ def search_sections(sections: DataFrame, words: Sequence[str], k: int = 10) -> D
     return d.withColumn("score", score).orderBy(F.desc("score"), "id").limit(k)
 
 
-def unpack(archives: DataFrame, largest: int = 64 << 20) -> DataFrame:
+def unpack(archives: DataFrame, largest: int | None = None) -> DataFrame:
     """path, member, content of every file in the ZIP archives (path, content). Members that would leave the archive's
-    folder, or unpack to more than `largest` bytes, are left out; unreadable archives have none."""
+    folder are left out, and with `largest` those that unpack to more bytes; unreadable archives have none."""
 
     def members(batches):
         for b in batches:
@@ -39,13 +41,36 @@ def unpack(archives: DataFrame, largest: int = 64 << 20) -> DataFrame:
                     continue
                 for i in z.infolist():
                     name = i.filename.replace("\\", "/")
-                    if not i.is_dir() and not name.startswith("/") and ".." not in name.split("/") and i.file_size <= largest:
+                    if not i.is_dir() and not name.startswith("/") and ".." not in name.split("/") and (largest is None or i.file_size <= largest):
                         out.append((path, name, z.read(i)))
             yield pd.DataFrame(out, columns=["path", "member", "content"])
 
     return archives.select("path", "content").mapInPandas(members, "path string, member string, content binary")
 
 
+#: Charsets that are declared by a name but written in a larger one.
+LARGER = {"gb2312": "gb18030", "gbk": "gb18030", "iso-8859-1": "cp1252", "latin-1": "cp1252", "ascii": "cp1252"}
+_DECLARED = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
+
+
+def decoded(content: bytes | None, default: str = "utf-8") -> str | None:
+    """Bytes as text: in the charset that the first two thousand bytes declare, if there is one that is known, else in the
+    default; what is not valid in it becomes the replacement sign."""
+    if content is None:
+        return None
+    found = _DECLARED.search(content[:2_000])
+    name = found[1].decode("ascii").lower() if found else default
+    try:
+        return content.decode(LARGER.get(name, name), "replace")
+    except LookupError:
+        return content.decode(default, "replace")
+
+
+@F.pandas_udf(StringType())
+def declared_text(content: pd.Series) -> pd.Series:
+    return content.map(decoded)
+
+
 def export_tables(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")

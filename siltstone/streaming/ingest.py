@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a session on this machine alone may do without that setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="siltstone-")
+
+
 def ingest(spark: SparkSession, source: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataFrame:
     """Runs transform over the files of source that this checkpoint has not seen yet, appends to target and returns it.
 
@@ -24,6 +36,12 @@ def hourly_counts(events: DataFrame, at: str, kind: str, late: str = "1 hour") -
     return d.groupBy(F.window(at, "1 hour").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
 
 
+def rolling_failures(events: DataFrame, at: str, failed, every: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """until, failures: failed events of the hour up to each step of `every`; steps without any are absent."""
+    d = events.withWatermark(at, late) if events.isStreaming else events
+    return d.where(failed).groupBy(F.window(at, "1 hour", every).alias("w")).agg(F.count("*").alias("failures")).select(F.col("w.end").alias("until"), "failures")
+
+
 def expired(tasks: DataFrame, now, lease: str = "lease_expires_at") -> DataFrame:
     """Running tasks whose lease is over."""
     return tasks.where((F.col("status") == "running") & (F.col(lease) <= now))

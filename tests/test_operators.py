@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
-from siltstone.operators import assembly, discourse, graph, relational, retrieval, segment, state, units
+from siltstone.operators import assembly, discourse, graph, ontology, relational, retrieval, segment, state, units
 from siltstone.sources import html, records
 
 
@@ -16,20 +16,53 @@ def test_npmi(spark):
 
 
 def test_segments():
-    p = segment.Policy(merge_below=5, most=12)
-    got = segment.segment_text("# Top\n\nintro words here now please\n\n## Sub\n\nshort\n\n- a b c d e f\n- g\n\n```\nx = 1\n```\n\n" + "word " * 8 + ". " + "more " * 8, p)
+    p = segment.Policy(merge_below=5, chunk_below=5, most=12)
+    got = segment.segment_text("# Top\n\nintro words here now please\n\n## Sub\n\nshort\n\n- a b c d e f\n- g\n\n```\nx = 1\n```\n\n" + "word " * 8 + "。" + "more " * 8, p)
     assert all(s.path[:1] == ["Top"] for s in got) and all(s.tokens <= 12 for s in got)
     words = [w for s in got for w in s.text.split() if w.isalpha()]
     assert words.count("word") == 8 and words.count("more") == 8 and "short" in words
     assert [s.kind for s in segment.walk("a\n\nb\n| x |\n> q")] == ["paragraph", "table", "blockquote"]
 
 
-def test_merging_keeps_large_tables_alone():
-    p = segment.Policy(merge_below=10, most=1000, table_alone=5)
+def kinds(segments):
+    return [s.kind for s in segments]
+
+
+def test_merging_within_a_section():
+    """A small paragraph takes the list or table after it; small segments join what is before; tables and code take nothing."""
     table = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |"
-    kinds = [s.kind for s in segment.merge_small(segment.walk(f"small one\n\n{table}\n\nsmall two"), p)]
-    assert kinds == ["paragraph", "table", "paragraph"]
-    assert [s.kind for s in segment.merge_small(segment.walk(f"small one\n\n{table}"), segment.Policy(10, 1000))] == ["table"]
+    merge = lambda text, **p: segment.merge_small(segment.walk(text), segment.Policy(**p))
+    assert kinds(merge(f"small one\n\n{table}\n\nsmall two", merge_below=10, most=1000, table_alone=5)) == ["paragraph", "table", "paragraph"]
+    assert kinds(merge(f"small one\n\n{table}")) == ["table"]
+    assert kinds(merge(f"{table}\n\nsmall two")) == ["table", "paragraph"]
+    assert kinds(merge("small one\n\n```\nx = 1\n```\n\nsmall two")) == ["paragraph", "code", "paragraph"]
+    assert kinds(merge("- a\n- b\n\nsmall two\n\n> said")) == ["list"]
+    assert kinds(merge("> said\n\nsmall two")) == ["blockquote"]  # of equal ranks the earlier
+    assert kinds(merge("small one\n\n<table><tr><td>x</td></tr></table>")) == ["html_table"]
+    assert kinds(merge(f"{'long ' * 120}\n\n{table}")) == ["paragraph", "table"]
+    assert kinds(merge("one\n\n## s\n\ntwo")) == ["paragraph", "paragraph"]
+
+
+def test_orphans_join_the_nearest_ancestor():
+    long = "long " * 140
+    got = segment.absorb_orphans(segment.walk(f"# A\n\n{long}\n\n## B\n\nsmall\n\n## C\n\n{long}"), segment.Policy())
+    assert [(s.path, s.tokens) for s in got] == [(["A"], 141), (["A", "C"], 140)] and got[0].text.endswith("\n\nsmall")
+    full = segment.absorb_orphans(segment.walk(f"# A\n\n{'long ' * 512}\n\n## B\n\nsmall"), segment.Policy())
+    assert len(full) == 2  # no room
+    many = "# A\n\n" + long + "\n\n" + "\n\n".join(f"## S{k}\n\n### T\n\nword {k}" for k in range(20_000))
+    assert len(segment.absorb_orphans(segment.walk(many), segment.Policy())) < 20_000  # and in time
+
+
+def test_lead_ins_join_what_follows():
+    p = segment.Policy()
+    got = segment.lead_forward(segment.walk("# A\n\nthree parts:\n\n## B\n\n- one\n\n# C\n\nrest\n\n## D\n\n| x |"), p)
+    assert [(s.kind, s.path) for s in got] == [("list", ["A", "B"]), ("paragraph", ["C"]), ("table", ["C", "D"])]
+
+
+def test_large_segments_split_at_paragraphs_then_sentences():
+    p = segment.Policy(most=6)
+    got = segment.split_large(segment.Segment("paragraph", [], "a b c\n\nd e f\n\ng h。i j k l m。n\n\no"), p)
+    assert [s.text for s in got] == ["a b c\n\nd e f", "g h。", "i j k l m。n", "o"]
 
 
 def test_entity_cards_skip_but_do_not_mark(spark):
@@ -38,6 +71,19 @@ def test_entity_cards_skip_but_do_not_mark(spark):
     assert got == [(0, "a"), (0, "b"), (0, "c"), (1, "d")]
 
 
+def test_html_spans_are_numbers():
+    assert html.span("²", 10) == html.span("x", 10) == html.span(None, 10) == html.span("0", 10) == 1 and html.span(" 7 ", 5) == 5
+    assert html.to_markdown("<table><tr><td colspan='²'>a</td></tr></table>").startswith("| a |")
+    assert html.to_markdown("<table><tr><td colspan=150>a</td></tr></table>").count("a") == 150
+
+
+def test_declared_charsets():
+    page = "<meta charset='gb2312'>你好镕"
+    assert records.decoded(page.encode("gb18030")) == page and records.decoded("é".encode()) == "é"
+    assert records.decoded(b"\xff ok") == "\ufffd ok" and records.decoded(None) is None
+    assert records.decoded(b"<meta charset=nothing-known>\xc3\xa9") == "<meta charset=nothing-known>é"
+
+
 def test_html():
     page = "<h1>T</h1><script>x</script><p>a <b>b</b> c</p><ul><li>Item A</li><li>Item B</li></ul><table><tr><th>x</th><th>y</th></tr><tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr><tr><td colspan=2>w</td></tr></table>"
     got = html.to_markdown(page)
@@ -61,11 +107,38 @@ def test_weighted_rrf(spark):
 
 def test_roles(spark):
     s = spark.createDataFrame([("d", i) for i in range(3)], "document string, segment int")
-    for kind, want in (("elaborates", ["nucleus", "satellite", "standalone"]), ("causes", ["satellite", "nucleus", "standalone"]), ("contrasts_with", ["nucleus", "nucleus", "standalone"])):
-        r = spark.createDataFrame([("d", 0, 1, kind)], "document string, src int, dst int, type string")
+    for src, dst, kind, want in ((0, 1, "elaborates", ["nucleus", "satellite", "standalone"]), (1, 0, "elaborates", ["nucleus", "satellite", "standalone"]), (0, 1, "causes", ["satellite", "nucleus", "standalone"]), (1, 0, "concedes", ["satellite", "nucleus", "standalone"]), (0, 1, "contrasts_with", ["nucleus", "nucleus", "standalone"])):
+        r = spark.createDataFrame([("d", src, dst, kind)], "document string, src int, dst int, type string")
         assert [x.role for x in discourse.roles(s, r).orderBy("segment").collect()] == want
 
 
+def test_induction(spark):
+    """Members by name, support over documents, and the least support that the entities allow."""
+    e = spark.createDataFrame([(1, "UPF", 2, 5), (2, "smf", 1, 2), (3, "lone", 1, 1)], "entity int, name string, document_count int, mention_count int")
+    p = spark.createDataFrame([("nf", ["  upf ", "SMF", "nobody"]), ("weak", ["lone"]), (" ", ["upf"])], "type_name string, members array<string>")
+    assert [tuple(r) for r in ontology.induce_types(e, p).collect()] == [("nf", 3, 7, [1, 2])]
+    one = e.withColumn("document_count", F.lit(1))
+    assert {r.type_name for r in ontology.induce_types(one, p).collect()} == {"nf", "weak"}
+
+
+def test_merge_retype_and_delete(spark):
+    e = spark.createDataFrame([(1, "t", "a", 9, 9), (2, "t", "b", 9, 9), (3, "u", "a", 9, 9)], "entity int, type string, name string, mention_count long, document_count long")
+    m = spark.createDataFrame([(10, 1, 7, "auto"), (11, 2, 7, "human"), (12, 2, 8, "pending")], "mention int, entity int, document int, status string")
+    g = spark.createDataFrame([(1, 3), (2, 3)], "head int, tail int")
+    left, moved, edges = ontology.merge_entities(e, m, g, spark.createDataFrame([(2, 1), (1, 1)], "dropped int, kept int"))
+    assert sorted((r.entity, r.mention_count, r.document_count) for r in left.collect()) == [(1, 2, 1), (3, 9, 9)]
+    assert {r.entity for r in moved.collect()} == {1} and [tuple(r) for r in edges.collect()] == [(1, 3)]
+    plan = ontology.retype_plan(e, spark.createDataFrame([(1, "u"), (2, "u"), (3, "u")], "entity int, new_type string"))
+    assert sorted((r.entity, r.type, r.merge_into) for r in plan.collect()) == [(1, "t", 3), (2, "u", None)]
+    rest = ontology.delete_entities(e, m, g, spark.createDataFrame([(2,)], "entity int"))
+    assert [d.count() for d in rest] == [2, 1, 1]
+
+
+def test_promotion_without_candidates_changes_nothing(spark):
+    t = spark.createDataFrame([(1, "node_type", "x", "concept", "active")], "version int, kind string, name string, layer string, status string")
+    assert [tuple(r) for r in ontology.promote(t, t.select("kind", "name", "layer").where("false")).collect()] == [(1, "node_type", "x", "concept", "active")]
+
+
 def test_edges_need_npmi(spark):
     weak = [(s, "A", "t") for s in (0, 1, 2)] + [(s, "B", "t") for s in (2, 3, 4)]
     strong = [(9, "SMF", "t"), (9, "N4", "t")]
