@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "relational", "retrieval", "mining", "knowledge"]
+MODULES = ["text", "relational", "retrieval", "mining", "knowledge", "assets"]
 
 
 def load() -> None:

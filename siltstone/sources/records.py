@@ -85,3 +85,20 @@ def compact_log(results: DataFrame) -> DataFrame:
     are its top k, so the group is small. results: query_id, unit_id, score."""
     s = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "unit_id", "score")))
     return results.groupBy("query_id").agg(F.to_json(F.transform(s, lambda x: F.struct(x["unit_id"].alias("unit_id"), F.round(x["score"], 6).alias("score")))).alias("items"))
+
+
+def append_rows(rows: DataFrame, folder: str, kind: str) -> None:
+    """Adds rows of one kind of asset to its table; a table is a Parquet folder, its snapshots are folders in it."""
+    rows.write.mode("append").partitionBy("snapshot").parquet(f"{folder}/{kind}")
+
+
+#: MIME types by extension; any other is application/octet-stream.
+MIME = {
+    "md": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html", "pdf": "application/pdf", "json": "application/json",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "csv": "text/csv", "zip": "application/zip",
+}
+
+
+def mime_type(path):
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])[ext], F.lit("application/octet-stream"))
