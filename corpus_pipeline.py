@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, small_batches, workspace
-from siltstone.llm.lines import MIN_POINTS, kept_lines, repeated_lines
+from siltstone.llm.common import materialize, small_batches, split_by_ids, workspace
+from siltstone.llm.lines import MIN_POINTS, kept_lines, repeated_lines, with_lost
 from siltstone.llm.ngram_join import set_id, shingle_set, similar_sets
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.pii import redacted
@@ -34,34 +34,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: repeated lines go, but for those of the largest doc_id."""
-    lost = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("key").alias("__lost"))
-    every = docs.join(lost.hint("merge"), "doc_id", "left").select(*docs.columns, "__lost")
+    clash = "lost" in docs.columns  # a column of the operator's own name
+    named = docs.withColumnRenamed("lost", "__own_lost") if clash else docs
+    every = with_lost(named, repeated_lines(docs))
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, lost: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or gone is None else kept_lines(t, gone, MIN_POINTS) for t, gone in zip(texts, lost)], dtype=object)
 
-    return _with_text(every, rewrite("text", "__lost")).drop("__lost")
+    out = _with_text(every, F.when(F.col("lost").isNull(), F.col("text")).otherwise(rewrite("text", "lost"))).drop("lost")
+    return out.withColumnRenamed("__own_lost", "lost") if clash else out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each class of near duplicates one row stays: by doc_id, then set, then text and the other columns.
-    Empty sets are one class for each doc_id."""
+    Empty sets are one class for each doc_id. A document that is the only row of its doc_id and stays is not moved."""
     small_batches(spark)
+    rows = materialize(similar_sets(docs)[0], workspace(spark) + "/classes")
     alone = F.col("root").isNull()
-    least = similar_sets(docs)[0].where("doc_id = component_id").groupBy("doc_id", "root", F.when(alone, F.col("n")), F.when(alone, F.col("id"))).agg(F.min(F.struct("n", "id")).alias("__set"))
-    stays = least.select("doc_id", "__set.n", "__set.id").toDF("doc_id", "__n", "__id")
+    least = rows.where("doc_id = component_id").groupBy("doc_id", "root", F.when(alone, F.col("n")), F.when(alone, F.col("id"))).agg(F.min(F.struct("n", "id")).alias("__set"))
+    stays = materialize(least.select("doc_id", "__set.n", "__set.id").toDF("doc_id", "__n", "__id"), workspace(spark) + "/stays")
+    plain = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c = 1").join(stays, "doc_id", "left_semi")
+    doubtful = rows.select("doc_id").distinct().join(plain, "doc_id", "left_anti")
+    touched, others = split_by_ids(docs.where(F.col("doc_id").isNotNull()), doubtful)
 
     @F.pandas_udf("n int, id long")
     def name(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
         return pd.DataFrame({"n": pd.Series([len(g) for g in sets], dtype="int32"), "id": pd.Series([set_id(g) for g in sets], dtype="int64")})
 
-    some = docs.join(stays.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    some = touched.join(stays.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     named = some.withColumn("__set", name(F.coalesce(F.col("text").cast("string"), F.lit("")))).select(*docs.columns, F.col("__set.n").alias("__n"), F.col("__set.id").alias("__id"))
     first = F.row_number().over(Window.partitionBy("doc_id", "__n", "__id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
     kept = named.join(stays.hint("merge"), ["doc_id", "__n", "__id"], "left_semi").withColumn("__first", first)
-    return kept.where("__first = 1").select(*docs.columns)
+    return kept.where("__first = 1").select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
