@@ -11,12 +11,17 @@ spans are the reference. There the feature that gives a kind away (a plus sign,
 that shape and context carry weight of their own.
 
 Cases: a null or empty text has no spans; base matches that fail their check are dropped without another try; base
-spans of different kinds may overlap, added ones overlap nothing; without any region in the table nothing is added.
+spans of different kinds may overlap, added ones overlap nothing; of equally good choices the one found first stands (the
+shorter segment, then the kind as listed); a very long text is one value in one task, and its work is in proportion to
+its length; repeated rows are found each; without any region in the table, or in an empty one, nothing is added.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import heapq
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -25,11 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialize, workspace
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Atoms of the longest segment, characters that a region reaches beyond a sign that starts it, regions of the fit.
 MAX_ATOMS, REACH, MAX_REGIONS = 40, 64, 400
+#: Characters of the longest region of the fit; this bounds the sample in bytes. Longer regions are searched all the same.
+FIT_CHARS = 4 * REACH
 #: Score that an added segment must have.
 MARGIN = 1.0
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -41,6 +48,9 @@ _DIGITS = re.compile("[0-9]+")
 _ANCHOR = re.compile(r"[@0-9]+|\(at\)|\[at\]")
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _SPACE = re.compile(r"\s")
+#: What may stand before and after an at-sign with a space between, as far as a spelled-out address goes.
+_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]+\x20?\Z")
+_AFTER_AT = re.compile(r"\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+|\x20?(?:\(dot\)|\[dot\])\x20?[A-Za-z0-9-]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -98,6 +108,12 @@ def regions(text: str) -> list[tuple[int, int]]:
         a += space + 1
         after = _SPACE.search(text, m.end(), m.end() + REACH)
         b = after.start() if after else min(len(text), m.end() + REACH)
+        if not m[0][0].isdigit():
+            low = max(m.start() - REACH, out[-1][1] if out else 0)
+            if wide := _BEFORE_AT.search(text[low : m.start()]):
+                a = min(a, low + wide.start())
+            if wide := _AFTER_AT.match(text, m.end(), m.end() + REACH):
+                b = max(b, wide.end())
         if out and a - out[-1][1] <= 1:
             out[-1][1] = b
         else:
@@ -118,7 +134,9 @@ class Candidate:
 
 FEATURES = ["bias", "giveaway", "valid", "bounded", "digits_fit", "groups", "maximal", "letters"]
 _NUMBER = re.compile(r"\+?\(?[0-9][0-9 ().-]*[0-9]|[0-9]")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]+)+")
+_NUMBER_RUN = re.compile(r"\+?\(?[0-9][0-9 ().-]*")
+_LOCAL_AT = re.compile(r"[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])")
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]+)+")
 
 
 def features(kind: str, text: str, start: int, end: int) -> np.ndarray | None:
@@ -151,25 +169,43 @@ def features(kind: str, text: str, start: int, end: int) -> np.ndarray | None:
 
 
 def candidates(text: str, a: int, b: int, base: list[tuple[int, int, str]]) -> tuple[int, list[Candidate]]:
-    """Atoms in the region, and its candidates by their end."""
+    """Atoms in the region, and its candidates by their end; base is in order of starts."""
     atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, a, b)]
     at = {s: i for i, (s, _) in enumerate(atoms)} | {b: len(atoms)}
-    forced = {(s, e, KINDS.index(k)) for s, e, k in base if a <= s and e <= b and s in at and (e in at)}
+    inside = base[bisect.bisect_left(base, (a,)) : bisect.bisect_left(base, (b + 1,))]
+    forced = {(s, e, KINDS.index(k)) for s, e, k in inside if e <= b and s in at and (e in at)}
     out = {}
     for s, e, k in forced:
         f = features(KINDS[k], text, s, e)
         out[s, e, k] = Candidate(at[s], at[e], s, e, k, np.zeros(len(FEATURES)) if f is None else f, True)
+
+    def propose(k: int, i: int, j: int) -> None:
+        s, e = atoms[i][0], atoms[j][1]
+        if (s, e, k) not in out and (f := features(KINDS[k], text, s, e)) is not None:
+            out[s, e, k] = Candidate(i, j + 1, s, e, k, f)
+
     for i, (s, _) in enumerate(atoms):
-        if not (text[s] in "+(" or text[s].isalnum()):
-            continue
-        for j in range(i, min(len(atoms), i + MAX_ATOMS)):
-            e = atoms[j][1]
-            if not (text[e - 1].isascii() and text[e - 1].isalnum()):
-                continue
-            letters = text[s].isalpha() or any(c.isalpha() or c == "@" for c in text[s:e])
-            for k in (0,) if letters else (1, 2, 3):
-                if (s, e, k) not in out and (f := features(KINDS[k], text, s, e)) is not None:
-                    out[s, e, k] = Candidate(i, j + 1, s, e, k, f)
+        last = min(len(atoms), i + MAX_ATOMS)
+        # a number goes as far as its signs do, and has digits of a kind's range; an address as far as its domain
+        if number := _NUMBER_RUN.match(text, s, b):
+            digits = dots = 0
+            for j in range(i, last):
+                first, e = atoms[j]
+                if e > number.end() or digits > 19:
+                    break
+                dots += text[first] == "."
+                if text[first] in "0123456789":
+                    digits += e - first
+                    for k, fits in ((1, dots == 3), (2, 12 <= digits <= 19), (3, 7 <= digits <= 15)):
+                        if fits:
+                            propose(k, i, j)
+        if (text[s] == "+" or text[s].isalnum()) and (local := _LOCAL_AT.match(text, s, b)) and (domain := _AFTER_AT.match(text, local.end(), b)):
+            for j in range(i, last):
+                e = atoms[j][1]
+                if e > domain.end():
+                    break
+                if e > local.end() and text[e - 1].isascii() and text[e - 1].isalnum():
+                    propose(0, i, j)
     return len(atoms), sorted(out.values(), key=lambda c: (c.last, c.first, c.kind))
 
 
@@ -181,6 +217,9 @@ class SemiMarkov:
         self.weights = np.zeros((k, len(FEATURES))) if weights is None else weights
         self.follows = np.zeros((k + 1, k)) if follows is None else follows
 
+    def own(self, c: Candidate) -> float:
+        return float(self.weights[c.kind] @ c.features)
+
     def best(self, atoms: int, cands: list[Candidate]) -> list[Candidate]:
         """The highest-scoring disjoint segments; states are (atom, kind of the last segment)."""
         none = len(KINDS)
@@ -196,9 +235,7 @@ class SemiMarkov:
             while i < len(cands) and cands[i].last == p:
                 c = cands[i]
                 i += 1
-                own = 1e6 if c.forced else float(self.weights[c.kind] @ c.features)
-                if not c.forced and own < MARGIN:
-                    continue
+                own = 1e6 if c.forced else self.own(c)
                 options = score[c.first] + self.follows[:, c.kind] + own
                 s = int(options.argmax())
                 if options[s] > score[p, c.kind]:
@@ -214,7 +251,7 @@ class SemiMarkov:
     def expectations(self, atoms: int, cands: list[Candidate]) -> tuple[float, np.ndarray, np.ndarray]:
         """log Z, and the expected features and successions, by the forward and backward recursions."""
         none = len(KINDS)
-        own = [float(self.weights[c.kind] @ c.features) for c in cands]
+        own = [self.own(c) for c in cands]
         a = np.full((atoms + 1, none + 1), -np.inf)
         a[0, none] = 0
         i = 0
@@ -268,30 +305,32 @@ class SemiMarkov:
 def train(docs: DataFrame, max_regions: int = MAX_REGIONS) -> SemiMarkov:
     """Fits on at most max_regions regions, chosen by hash over all documents; only they reach the driver."""
 
+    half = max_regions // 2
+
     def make():
         def each(ids, texts):
-            out = {"doc_id": [], "piece": [], "at": [], "gold": []}
+            # of each batch, the regions that can be among the chosen: the least hashes with and without a reference
+            chosen: dict[bool, list[tuple]] = {True: [], False: []}
             for i, text in zip(ids, texts):
                 found = regions(text)
                 base = base_spans(text) if found else []
                 for a, b in found:
-                    if b - a <= 4 * REACH:
+                    if b - a <= FIT_CHARS:
                         left, right = max(0, a - 1), b + 2
-                        own = [(s - left, e - left, k) for s, e, k in base if a <= s and e <= b]
-                        out["doc_id"].append(i)
-                        out["piece"].append(text[left:right])
-                        out["at"].append([a - left, b - left])
-                        out["gold"].append([{"start": s, "end": e, "kind": k} for s, e, k in own])
-            return out
+                        inside = base[bisect.bisect_left(base, (a,)) : bisect.bisect_left(base, (b + 1,))]
+                        gold = [{"start": s - left, "end": e - left, "kind": k} for s, e, k in inside if e <= b]
+                        piece = text[left:right]
+                        h = int.from_bytes(hashlib.blake2b(f"{i}:{piece}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                        chosen[not gold].append((h, i, piece, [a - left, b - left], gold))
+            rows = [r for some in chosen.values() for r in heapq.nsmallest(half, some, key=lambda r: r[:3])]
+            return {c: [r[k] for r in rows] for k, c in enumerate(("h", "doc_id", "piece", "at", "gold"))}
 
         return each
 
-    rows = map_texts(docs, make, "doc_id long, piece string, at array<int>, gold array<struct<start:int,end:int,kind:string>>")
+    rows = map_texts(docs, make, "h long, doc_id long, piece string, at array<int>, gold array<struct<start:int,end:int,kind:string>>")
+    rows = materialize(rows, workspace(docs.sparkSession) + "/regions")
     # half of the sample are regions with a reference span, if there are as many
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "piece")).withColumn("bare", F.size("gold") == 0)
-    half = max_regions // 2
-    order = ["h", "doc_id", "piece"]
-    got = [r for bare in (False, True) for r in rows.where(F.col("bare") == bare).orderBy(*order).limit(half).collect()]
+    got = [r for bare in (False, True) for r in rows.where((F.size("gold") == 0) == F.lit(bare)).orderBy("h", "doc_id", "piece").limit(half).collect()]
     samples = []
     for r in got:
         atoms, cands = candidates(r.piece, r.at[0], r.at[1], [(g.start, g.end, g.kind) for g in r.gold])
@@ -303,12 +342,15 @@ def train(docs: DataFrame, max_regions: int = MAX_REGIONS) -> SemiMarkov:
 def find(text: str, model: SemiMarkov) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, each by start and kind."""
     base = base_spans(text)
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, e, _ in base), max))  # the greatest end so far
     added = []
     for a, b in regions(text):
         atoms, cands = candidates(text, a, b, base)
         if any(not c.forced for c in cands):
             for c in model.best(atoms, cands):
-                if not c.forced and not any(s < c.end and c.start < e for s, e, _ in base):
+                before = bisect.bisect_left(starts, c.end)
+                if not c.forced and model.own(c) >= MARGIN and not (before and reach[before - 1] > c.start):
                     added.append((c.start, c.end, KINDS[c.kind]))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
