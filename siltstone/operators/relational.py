@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,23 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def spread_rank(df: DataFrame, keys: Sequence[str], score: str, tie: str, bins: int = 4_096) -> DataFrame:
+    """Adds rank within keys, from 1: greatest score first (null last), then by tie, as a window over keys would; but no
+    group is one task's. Rows are dealt to bins of equal width of their group's scores, ranked in their bin, and moved by
+    the rows of the bins before it. The exact extremes decide the bins, so every evaluation deals alike."""
+    ends = df.groupBy(*keys).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    met = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+    width = F.nullif(F.col("__high") - F.col("__low"), F.lit(0))
+    at = F.coalesce(F.floor((F.col("__high") - F.col(score)) / width * (bins - 1)), F.when(F.col(score).isNull(), bins).otherwise(0)).cast("int")
+    all_of = lambda cs: functools.reduce(lambda x, y: x & y, cs)
+    dealt = df.alias("__l").join(ends.alias("__r"), all_of(met)).select("__l.*", at.alias("__bin"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys, "__bin").count().select(*keys, "__bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy(F.desc_nulls_last(score), tie))
+    placed = dealt.withColumn("rank", inside).alias("__l").join(offsets.alias("__r"), all_of([*met, F.col("__l.__bin") == F.col("__r.__bin")]))
+    return placed.select(*[F.col(f"__l.{c}") for c in df.columns], (F.col("__l.rank") + F.col("__r.__offset")).alias("rank"))
+
+
 def best_of(df: DataFrame, keys: Sequence[str], by: Sequence[Column], values: Sequence[str]) -> DataFrame:
     """For each key the values of the row with the greatest `by`; partial results combine before the shuffle."""
     best = F.max_by(F.struct(*values), F.struct(*[b.alias(f"o{i}") for i, b in enumerate(by)]))

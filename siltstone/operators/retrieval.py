@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scoring import cosine
-from .relational import bounded
+from .relational import bounded, spread_rank
 
 RRF_K = 60
 CANDIDATE = ["query_id", "unit_id", "score", "source"]
@@ -148,17 +148,20 @@ def entity_exact(queries: DataFrame, mentions: DataFrame, k: int = 20) -> DataFr
     return d.withColumn("r", r).where(F.col("r") <= k).select("query_id", "unit_id", F.lit(0.95).alias("score"), F.lit("entity").alias("source"))
 
 
-def ranked(candidates: DataFrame) -> DataFrame:
-    """Adds rank within (query, source), from 1."""
+def ranked(candidates: DataFrame, wide: bool = False) -> DataFrame:
+    """Adds rank within (query, source), from 1. Lists of a bounded size take a window; wide ones, of any size, are ranked
+    in bins that many tasks share."""
+    if wide:
+        return spread_rank(candidates, ["query_id", "source"], "score", "unit_id")
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "unit_id")))
 
 
-def rrf(candidates: DataFrame, weights: Mapping[str, float] | None = None, k: int = RRF_K) -> DataFrame:
+def rrf(candidates: DataFrame, weights: Mapping[str, float] | None = None, k: int = RRF_K, wide: bool = False) -> DataFrame:
     """query_id, unit_id, score (best original), fused (sum of weight / (k + rank)), sources; by fused, then unit."""
     w = F.lit(1.0)
     if weights:
         w = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")], F.lit(1.0))
-    d = ranked(candidates).withColumn("part", w / (F.lit(k) + F.col("rank")))
+    d = ranked(candidates, wide).withColumn("part", w / (F.lit(k) + F.col("rank")))
     return d.groupBy("query_id", "unit_id").agg(F.max("score").alias("score"), F.sum("part").alias("fused"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
@@ -183,23 +186,23 @@ def tiers(candidates: DataFrame, *conditions: Column) -> DataFrame:
         so_far = so_far & F.coalesce(c, F.lit(False))
         met = met + so_far.cast("int")
     d = candidates.withColumn("__met", met)
-    return d.withColumn("__best", F.max("__met").over(Window.partitionBy("query_id"))).where("__met = __best").drop("__met", "__best")
+    best = d.groupBy("query_id").agg(F.max("__met").alias("__met"))  # combines before the shuffle, whatever a query's size
+    return d.join(best, ["query_id", "__met"]).select(*candidates.columns)
 
 
 def cascade(candidates: DataFrame, model: DataFrame | None = None, llm: DataFrame | None = None) -> DataFrame:
     """Scores of the first reranker that has any for the query: model, then language model, then the fused score.
     model and llm: query_id, unit_id, score."""
-    out = candidates.withColumn("__own", F.lit(3)).withColumnRenamed("score", "__s3")
-    names = []
-    for i, df in ((1, model), (2, llm)):
+    out = candidates
+    score = F.col("score")
+    for i, df in reversed([(1, model), (2, llm)]):
         if df is not None:
             out = out.join(df.select("query_id", "unit_id", F.col("score").alias(f"__s{i}")), ["query_id", "unit_id"], "left")
-            has = F.max(F.col(f"__s{i}").isNotNull()).over(Window.partitionBy("query_id"))
-            names.append((has, f"__s{i}"))
-    score = F.col("__s3")
-    for has, name in reversed(names):
-        score = F.when(has, F.coalesce(F.col(name), F.lit(0.0))).otherwise(score)
-    return out.withColumn("score", score).drop("__own", "__s1", "__s2", "__s3")
+            # which queries have any score is an aggregate of the scores that met a candidate
+            has = out.where(F.col(f"__s{i}").isNotNull()).select("query_id").distinct().withColumn(f"__h{i}", F.lit(True))
+            out = out.join(has, "query_id", "left")
+            score = F.when(F.col(f"__h{i}"), F.coalesce(F.col(f"__s{i}"), F.lit(0.0))).otherwise(score)
+    return out.withColumn("score", score).select(*candidates.columns)
 
 
 def rerank_finish(candidates: DataFrame, near: float = 0.9, least: float = 0.01, k: int = 10) -> DataFrame:

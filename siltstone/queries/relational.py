@@ -268,7 +268,7 @@ def distinct_on(t):
 
 @query("w04_rank_in_source", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk FROM documents")
 def rank_in_source(t):
-    return t.documents.select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rk"))
+    return R.spread_rank(t.documents.select("doc_id", "source", "n_chars"), ["source"], "n_chars", "doc_id").select("doc_id", "source", F.col("rank").alias("rk"))
 
 
 @query("w06_sliding_windows", "WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) SELECT conv_id, turn, unnest(CASE WHEN i % 2 = 0 AND i > 0 THEN [i // 2 - 1, i // 2] ELSE [i // 2] END) AS w FROM s")

@@ -136,12 +136,12 @@ def _routed(t):
 
 @query("fu1_rrf", f"WITH {ROUTED} SELECT query_id, unit_id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS fused, max(score) AS score FROM r GROUP BY ALL")
 def fu1(t):
-    return R.rrf(_routed(t)).select("query_id", "unit_id", F.round("fused", 9).alias("fused"), "score")
+    return R.rrf(_routed(t), wide=True).select("query_id", "unit_id", F.round("fused", 9).alias("fused"), "score")
 
 
 @query("fu2_weighted_rrf", f"WITH {ROUTED} SELECT query_id, unit_id, round(sum((CASE source WHEN 'long' THEN 1.5 ELSE 0.5 END)::DOUBLE / (60 + rk)), 9) AS fused, string_agg(source, ',' ORDER BY source) AS sources FROM r GROUP BY ALL")
 def fu2(t):
-    return R.rrf(_routed(t), {"long": 1.5, "new": 0.5}).select("query_id", "unit_id", F.round("fused", 9).alias("fused"), F.array_join("sources", ",").alias("sources"))
+    return R.rrf(_routed(t), {"long": 1.5, "new": 0.5}, wide=True).select("query_id", "unit_id", F.round("fused", 9).alias("fused"), F.array_join("sources", ",").alias("sources"))
 
 
 @query("fu3_identity", f"WITH {ROUTED} SELECT query_id, unit_id, max(score) AS score FROM c GROUP BY ALL")

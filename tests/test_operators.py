@@ -105,6 +105,18 @@ def test_weighted_rrf(spark):
     assert got["u1"].fused == pytest.approx(1.5 / 61 + 0.5 / 62) and got["u1"].sources == ["bm25", "dense"] and got["u2"].fused == pytest.approx(0.5 / 61)
 
 
+def test_spread_rank_is_the_window_rank(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else f"k{i % 3}", None if i % 11 == 0 else float(rng.integers(0, 9)) if i % 2 else 1e6, i) for i in range(400)]
+    rows += [("one", 5.0, 900), ("none", None, 901), ("none", None, 902)]
+    d = spark.createDataFrame(rows, "k string, score double, id int")
+    from pyspark.sql import Window
+
+    want = d.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc_nulls_last("score"), "id")))
+    got = relational.spread_rank(d, ["k"], "score", "id", 5)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_roles(spark):
     s = spark.createDataFrame([("d", i) for i in range(3)], "document string, segment int")
     for src, dst, kind, want in ((0, 1, "elaborates", ["nucleus", "satellite", "standalone"]), (1, 0, "elaborates", ["nucleus", "satellite", "standalone"]), (0, 1, "causes", ["satellite", "nucleus", "standalone"]), (1, 0, "concedes", ["satellite", "nucleus", "standalone"]), (0, 1, "contrasts_with", ["nucleus", "nucleus", "standalone"])):
