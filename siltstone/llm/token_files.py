@@ -9,7 +9,8 @@ of its buffer and is read without a copy from a memory map. Documents run on fro
 Encoding: white-space-separated chunks repeat a lot, and this tokenizer drops white space before it merges, so a
 document's ids are its chunks' ids one after another; each task keeps a bounded memory of chunks it has encoded.
 
-Cases: a null or empty text has the end id alone; rows that repeat a doc_id follow each other, ordered by text hash;
+Cases: a null or empty text has the end id alone; rows that repeat a doc_id follow each other, ordered by text hash, and
+rows that tie in both are equal; a very long text is one value in one task, whole, and may fill many sequences;
 an empty table writes no file. Files are written under a name of their own and renamed, so a task that runs twice
 leaves one whole file.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ END_ID = 1
 #: Rows that one file gets on average.
 FILE_ROWS = 20_000
 MEMORY = 1_000_000
+#: Characters of the longest chunk that is remembered.
+LONG = 64
 #: Chunks of one call to the tokenizer, and the sign between them: alone between spaces it is a token by itself.
 TOGETHER, SIGN = 200, "→"
 _memory: dict[tuple, dict[str, bytes]] = {}
@@ -56,6 +59,9 @@ class ChunkEncoder:
         self.known = _memory.setdefault((path, memory), {})
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.sign = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        # only then are a text's ids those of its chunks; other tokenizers encode whole texts
+        self.drops_space = ids(" ab  cd ") == ids("ab") + ids("cd")
 
     def _ids(self, chunks: list[str]) -> dict[str, bytes]:
         plain = [c for c in chunks if SIGN not in c]
@@ -75,28 +81,33 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.type. What is met first is remembered, up to the limit; the most common
         chunks come early, and the rest is encoded once a batch."""
+        if not self.drops_space:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.type).tobytes() for t in texts]
         split = [t.split(" ") for t in texts]
         new = self._ids(list(set().union(*split) - self.known.keys()))
         room = self.limit - len(self.known)
         if room >= len(new):
-            self.known.update(new)
-            new = {}
+            self.known.update((c, x) for c, x in new.items() if len(c) <= LONG)
+            new = {c: x for c, x in new.items() if len(c) > LONG}
         known = self.known
         return [b"".join([known[c] if c in known else new[c] for c in chunks]) for chunks in split]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (bytes of the encoder's type, the end id included), text_hash."""
+def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, ends: Sequence[int] = ()) -> DataFrame:
+    """doc_id, ids (bytes of the encoder's type, the end id included), text_hash, file: the number of ends of ranges below
+    the doc_id."""
+    cuts = docs.sparkSession.sparkContext.broadcast(np.array(ends, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
         end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
         for b in batches:
             ids = [x + end for x in encoder.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), b.column(2)], names=["doc_id", "ids", "text_hash"])
+            file = np.searchsorted(cuts.value, b.column(0).to_numpy(), side="left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), b.column(2), pa.array(file)], names=["doc_id", "ids", "text_hash", "file"])
 
     rows = doc_texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, text_hash long")
+    return rows.mapInArrow(run, "doc_id long, ids binary, text_hash long, file int")
 
 
 def range_ends(docs: DataFrame, file_rows: int = FILE_ROWS) -> list[int]:
@@ -117,12 +128,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, sequence: int = S
     """Writes the files to folder and returns the index: doc_id, file, position in the file, n_tokens, row (the
     document's place in its file). Materialized."""
     ends = range_ends(docs, file_rows)
-    rows = encoded(docs, path, end_id)
-    at = F.lit(0)
-    if ends:
-        at = F.size(F.filter(F.lit(ends), lambda e: e < F.col("doc_id")))
+    rows = encoded(docs, path, end_id, ends)
     kind = ChunkEncoder(path).type
-    dealt = rows.withColumn("file", at.cast("int")).repartitionById(len(ends) + 1, F.col("file")).sortWithinPartitions("doc_id", "text_hash")
+    dealt = rows.repartitionById(len(ends) + 1, F.col("file")).sortWithinPartitions("doc_id", "text_hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _sink(folder)
