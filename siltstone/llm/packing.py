@@ -9,7 +9,9 @@ Lengths up to EXACT have a bin each; above, a bin is a 1/1024 of its octave, whi
 boundary is always the greatest length in it, so padding is never understated.
 
 Cases: a null or empty text has length 0 and is packed like length 1; a document longer than the budget is a batch by
-itself; repeated rows are packed each; an empty table gives an empty result.
+itself; of boundaries that pad as little the first stand, and rows of one cell and doc_id follow each other in the order
+in which they were read; a very long text counts in one task and moves nowhere; repeated rows are packed each; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ documents, its trees are flattened into numpy node arrays, and every document is
 monotone in the features listed in MONOTONE: more junk can never raise the score.
 
 Cases: a null or empty text has zero words and fails the base rule; a document without words is never kept; repeated
-rows are scored alike; with no labels, or labels of one class only, the verdict is the base rule alone.
+rows are scored alike; a score on the threshold is kept; a very long text is one value in one task, in proportion to
+its length; with no labels, or labels of one class only, the verdict is the base rule alone; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -158,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> For
     )
     ours = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = ours.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    rows = document_statistics(chosen).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "features").limit(max_train).toPandas()
+    rows = document_statistics(chosen).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "features").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_train).toPandas()
     if rows.empty or rows.quality.nunique() < 2:
         return None
     rows = rows.sort_values("doc_id", kind="stable")

@@ -5,11 +5,14 @@ only at its keyword's hits, in order, and a hit inside an earlier match of the s
 scanning for leftmost non-overlapping matches. Long hex runs have no keyword; every run of 24 or more covers a
 position that is a multiple of 24 less one, so only those positions are looked at. What a match must hold then
 decides: lengths for the base rules; for the method's own rules a checksum or a structure inside the secret
-(base-62 CRC-32 of the tokens of code hosts and package registries, a JSON header in a web token, the header of a
-private key). A private key's span reaches to its END line; without one it is the header alone.
+(base-62 CRC-32 of the tokens of code hosts and package registries, a JSON header in a web token). Private keys hold
+nothing that a public reader could check; their armour alone shows them, and a key's span reaches to its END line (the
+header alone without one).
 
 Cases: a null or empty text has no spans; matches that fail are dropped without another try at a later start inside
-them; spans of different rules may overlap.
+them; spans of different rules may overlap, and those that start together follow each other as the kinds are listed; a
+very long text is one value in one task, in proportion to its length; repeated rows are scanned each; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
