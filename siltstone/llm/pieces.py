@@ -2,7 +2,8 @@
 
 The pieces come from a model file; a piece's log-probability follows the Zipf-Mandelbrot law of its rank in the model.
 A text is normalised as the model does (a leading space sign, spaces to the sign) and no piece runs from a word into
-the next sign, so the lattice falls into chunks. Forward Viterbi scores of all new chunks of a batch are computed at
+the next sign, so the lattice falls into chunks; a long chunk without signs falls apart further wherever no piece runs
+across. Forward Viterbi scores of all new chunks of a batch are computed at
 once in numpy, together with each chunk's loss for its second-best segmentation. Only the n - 1 chunks with the least
 losses can differ from their best segmentation in one of the text's n best (any other change is beaten by n - 1
 single changes); over the lattice of these chunks, backward A-star search takes the forward scores as its exact
@@ -12,7 +13,8 @@ Characters without a piece become byte pieces. Decoding joins pieces, turns sign
 leading space, so that decode(encode(text)) is the text (a sign U+2581 in a text comes back as a space).
 
 Cases: a null or empty text has no pieces, one segmentation of score 0 and round-trips; a text with fewer than n
-segmentations returns all of them; equal scores keep a fixed order.
+segmentations returns all of them; equal scores keep a fixed order; a very long text is one value in one task, its work
+in proportion to its length, spaces or not; repeated rows are encoded each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ N_BEST = 4
 #: Zipf-Mandelbrot offset, and the score of a byte piece.
 OFFSET, BYTE_SCORE = 2.7, -16.0
 MEMORY = 300_000
+#: Characters of the longest chunk that is remembered, or scored beside others of its length.
+LONG = 64
 _CHUNK = re.compile(f"{SIGN}+[^{SIGN}]*")
 _BASE = 0x9E3779B97F4A7C15
 _known: dict[str, dict[str, tuple[bytes, float, float]]] = {}
@@ -102,6 +106,60 @@ class PieceModel:
             alpha.append(max(alpha[i] + s for i, s, _ in into))
         return alpha
 
+    def pieces_in(self, chunk: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, score, id) of all edges of a chunk's lattice, by size; -1 stands for byte pieces."""
+        points = np.frombuffer(chunk.encode("utf-32-le"), "<u4")
+        codes = mix64(points.astype(np.uint64))
+        n, h = len(points), np.zeros(len(points), np.uint64)
+        out = []
+        for size in range(1, min(self.longest, n) + 1):
+            h = h[: n - size + 1] * np.uint64(_BASE) + codes[size - 1 :]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            start = np.flatnonzero(self.hashes[at] == h)
+            out.append((start, np.full(len(start), size), self.table_score[at[start]], self.table_id[at[start]]))
+            if size == 1:
+                rest = np.flatnonzero(self.hashes[at] != h)
+                octets = 1 + (points[rest] >= 0x80) + (points[rest] >= 0x800) + (points[rest] >= 0x10000)
+                out.append((rest, np.ones(len(rest), int), BYTE_SCORE * octets, np.full(len(rest), -1)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def fall_apart(self, chunk: str) -> list[str]:
+        """The parts of a chunk across whose ends no piece runs: their lattices are independent."""
+        if len(chunk) <= LONG:
+            return [chunk]
+        start, size, _, _ = self.pieces_in(chunk)
+        inside = np.zeros(len(chunk) + 1, np.int64)
+        np.add.at(inside, start + 1, 1)
+        np.add.at(inside, start + size, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(inside)[1:-1] == 0) + 1).tolist(), len(chunk)]
+        return [chunk[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _learn_long(self, chunk: str) -> tuple[bytes, float, float]:
+        """What learn gives for one long chunk: edges come from numpy, the recursions go through them once."""
+        start, size, score, ids = self.pieces_in(chunk)
+        n = len(chunk)
+        by = np.lexsort((-size, start + size))
+        start, size, score, ids = start[by], size[by], score[by], ids[by]
+        alpha, taken = np.full(n + 1, -np.inf).tolist(), [0] * (n + 1)
+        alpha[0] = 0.0
+        for k, (i, w, s) in enumerate(zip(start.tolist(), size.tolist(), score.tolist())):
+            if alpha[i] + s > alpha[i + w]:
+                alpha[i + w], taken[i + w] = alpha[i] + s, k
+        beta = np.full(n + 1, -np.inf).tolist()
+        beta[n] = 0.0
+        back = np.argsort(-start, kind="stable")
+        for i, w, s in zip(start[back].tolist(), size[back].tolist(), score[back].tolist()):
+            beta[i] = max(beta[i], s + beta[i + w])
+        path, j = [], n
+        while j:
+            path.append(taken[j])
+            j = int(start[taken[j]])
+        path.reverse()
+        through = np.array(alpha)[start] + score + np.array(beta)[start + size]
+        through[path] = -np.inf
+        own = b"".join(np.array([ids[k]] if ids[k] >= 0 else [self.byte[b] for b in chunk[start[k]].encode()], "<u2").tobytes() for k in path)
+        return own, alpha[n], alpha[n] - float(through.max())
+
     def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, float, float]]:
         """Best ids, their score, and the loss of the second-best segmentation (infinite if there is none)."""
         out = {}
@@ -109,6 +167,9 @@ class PieceModel:
         for c in chunks:
             by_length.setdefault(len(c), []).append(c)
         for n, some in by_length.items():
+            if n > LONG:
+                out.update({c: self._learn_long(c) for c in some})
+                continue
             for k in range(0, len(some), step := max(1, 200_000 // n)):
                 self._learn(some[k : k + step], n, out)
         return out
@@ -172,9 +233,13 @@ class PieceModel:
                 own = b"".join(got)
             out[c] = (own, s, d)
 
+    def lattice(self, chunk: str) -> tuple[list[list[tuple[int, float, bytes]]], list[float]]:
+        edges = self.edges(chunk)
+        return edges, self.forward(edges)
+
     def best_paths(self, chunks: list[str], n: int) -> list[tuple[float, list[bytes]]]:
         """The n best segmentations of the chunks one after another: (score, ids of each chunk), best first."""
-        lattices = [_lattice(self, c) for c in chunks]
+        lattices = [_lattice(self, c) if len(c) <= LONG else self.lattice(c) for c in chunks]
         before = list(itertools.accumulate((a[-1] for _, a in lattices), initial=0.0))
         counter = itertools.count(0, -1)  # of equal nodes the latest goes first: ties don't widen the search
         # a node is (chunk, position); what is known of a path is the part behind it
@@ -199,10 +264,13 @@ class PieceModel:
     def encode(self, texts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
         """For each text its n best segmentations: (score, ids as little-endian uint16)."""
         split = [_CHUNK.findall(SIGN + t.replace(" ", SIGN)) if t else [] for t in texts]
+        for k, chunks in enumerate(split):
+            if chunks and max(map(len, chunks)) > LONG:
+                split[k] = [p for c in chunks for p in self.fall_apart(c)]
         new = self.learn(list(set().union(*split) - self.known.keys()))
         if len(self.known) + len(new) <= MEMORY:
-            self.known.update(new)
-            new = {}
+            self.known.update((c, x) for c, x in new.items() if len(c) <= LONG)
+            new = {c: x for c, x in new.items() if len(c) > LONG}
         known, out = self.known, []
         for chunks in split:
             got = [known[c] if c in known else new[c] for c in chunks]
@@ -231,8 +299,7 @@ class PieceModel:
 
 @lru_cache(maxsize=5_000)
 def _lattice(model: PieceModel, chunk: str):
-    edges = model.edges(chunk)
-    return edges, model.forward(edges)
+    return model.lattice(chunk)
 
 
 @lru_cache(maxsize=2)
