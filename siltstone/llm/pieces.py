@@ -25,6 +25,7 @@ import math
 import re
 import zlib
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -78,6 +79,9 @@ class PieceModel:
         self.hashes = h[order]
         self.table_id = np.array([self.id[p] for p in pieces], np.int32)[order]
         self.table_score = np.array([self.score[p] for p in pieces])[order]
+        # whether any piece's hash begins with these bits: small enough for a cache, it spares most searches
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
         self.known = _known.setdefault(path, {})
 
     @staticmethod
@@ -87,6 +91,13 @@ class PieceModel:
             h = (h * _BASE + c) % (1 << 64)
         return h
 
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and their places in the table."""
+        some = np.flatnonzero(self.maybe[(hashes >> np.uint64(42)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+        fine = self.hashes[at] == hashes[some]
+        return some[fine], at[fine]
+
     def edges(self, chunk: str) -> list[list[tuple[int, float, bytes]]]:
         """For each end position: (start, score, ids) of the lattice's edges into it, longest first."""
         out: list[list[tuple[int, float, bytes]]] = [[] for _ in range(len(chunk) + 1)]
@@ -114,11 +125,12 @@ class PieceModel:
         out = []
         for size in range(1, min(self.longest, n) + 1):
             h = h[: n - size + 1] * np.uint64(_BASE) + codes[size - 1 :]
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            start = np.flatnonzero(self.hashes[at] == h)
-            out.append((start, np.full(len(start), size), self.table_score[at[start]], self.table_id[at[start]]))
+            start, at = self.found(h)
+            out.append((start, np.full(len(start), size), self.table_score[at], self.table_id[at]))
             if size == 1:
-                rest = np.flatnonzero(self.hashes[at] != h)
+                miss = np.ones(n, bool)
+                miss[start] = False
+                rest = np.flatnonzero(miss)
                 octets = 1 + (points[rest] >= 0x80) + (points[rest] >= 0x800) + (points[rest] >= 0x10000)
                 out.append((rest, np.ones(len(rest), int), BYTE_SCORE * octets, np.full(len(rest), -1)))
         return tuple(np.concatenate(x) for x in zip(*out))
@@ -185,12 +197,14 @@ class PieceModel:
         for size in range(1, width + 1):
             for i in range(n - size + 1):
                 h[i] = h[i] * np.uint64(_BASE) + codes[:, i + size - 1]
-                at = np.minimum(np.searchsorted(self.hashes, h[i]), len(self.hashes) - 1)
-                hit = self.hashes[at] == h[i]
-                scores[i, size, hit], ids[i, size, hit] = self.table_score[at[hit]], self.table_id[at[hit]]
-                if size == 1 and not hit.all():
-                    octets = 1 + (points[:, i] >= 0x80) + (points[:, i] >= 0x800) + (points[:, i] >= 0x10000)
-                    scores[i, 1, ~hit] = BYTE_SCORE * octets[~hit]
+                hit, at = self.found(h[i])
+                scores[i, size, hit], ids[i, size, hit] = self.table_score[at], self.table_id[at]
+                if size == 1 and len(hit) < m:
+                    miss = np.ones(m, bool)
+                    miss[hit] = False
+                    rest = np.flatnonzero(miss)
+                    p = points[rest, i]
+                    scores[i, 1, rest] = BYTE_SCORE * (1 + (p >= 0x80).astype(int) + (p >= 0x800) + (p >= 0x10000))
         alpha, choice = np.full((n + 1, m), -np.inf), np.zeros((n + 1, m), np.int64)
         alpha[0] = 0
         for j in range(1, n + 1):
@@ -269,17 +283,17 @@ class PieceModel:
                 split[k] = [p for c in chunks for p in self.fall_apart(c)]
         new = self.learn(list(set().union(*split) - self.known.keys()))
         if len(self.known) + len(new) <= MEMORY:
-            self.known.update((c, x) for c, x in new.items() if len(c) <= LONG)
-            new = {c: x for c, x in new.items() if len(c) > LONG}
+            self.known.update(new)
+            new = {c: self.known.pop(c) for c in new if len(c) > LONG}
         known, out = self.known, []
         for chunks in split:
-            got = [known[c] if c in known else new[c] for c in chunks]
-            ids = [g[0] for g in got]
-            best = sum(g[1] for g in got)
+            got = [known.get(c) or new[c] for c in chunks] if new else list(map(known.__getitem__, chunks))
+            ids = list(map(itemgetter(0), got))
+            best = sum(map(itemgetter(1), got))
             if n == 1 or not chunks:
                 out.append([(best, b"".join(ids))])
                 continue
-            loss = np.array([g[2] for g in got])
+            loss = np.fromiter(map(itemgetter(2), got), float, len(got))
             free = np.flatnonzero(np.isfinite(loss))
             if len(free) > n - 1:
                 free = np.sort(free[np.argsort(loss[free], kind="stable")[: n - 1]])
