@@ -85,6 +85,16 @@ def latest_not_after(left: DataFrame, right: DataFrame, keys: Sequence[str], at:
     return met.select(*keys, "__l.*", F.col(f"__r.{event}").alias(event), *[F.col(f"__r.{v}").alias(v) for v in values])
 
 
+def contained_pairs(names: DataFrame) -> DataFrame:
+    """outer, inner: distinct names (one column, name) of which the outer one contains the other, which isn't empty. Names
+    meet where the beginning of the inner one, up to three characters, is a piece of the outer one."""
+    n = names.where("name <> ''").select("name").distinct()
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.array(*[F.substring("name", i, F.lit(k)) for k in (1, 2, 3)])))
+    outer = n.select(F.col("name").alias("outer"), F.explode(F.array_distinct(pieces)).alias("piece"))
+    inner = n.select(F.col("name").alias("inner"), F.substring("name", 1, 3).alias("piece"))
+    return outer.join(inner, "piece").where((F.col("outer") != F.col("inner")) & F.contains(F.col("outer"), F.col("inner"))).select("outer", "inner")
+
+
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 

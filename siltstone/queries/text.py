@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import SQL, query
 from ..functions import text as T
+from ..operators.relational import contained_pairs
 
 TOKENS = "regexp_extract_all(lower(text), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
 
@@ -80,10 +81,10 @@ def alias_form(t):
 @query("x12_duplicate_types", r"""WITH n AS (SELECT DISTINCT lower(regexp_replace(p_name, '[\s_-]+.*', '')) AS t FROM part UNION SELECT DISTINCT lower(regexp_replace(p_name, '[\s_-]+', '', 'g')) FROM part)
 SELECT a.t AS a, b.t AS b FROM n a JOIN n b ON a.t < b.t AND (contains(a.t, b.t) OR contains(b.t, a.t))""")
 def duplicate_types(t):
-    """Distinct type names of which one contains the other; the table of types is a small dimension."""
-    first = t.part.select(F.lower(F.regexp_replace("p_name", r"[\s_-]+.*", "")).alias("a"))
+    """Distinct type names of which one contains the other."""
+    first = t.part.select(F.lower(F.regexp_replace("p_name", r"[\s_-]+.*", "")).alias("name"))
     n = first.union(t.part.select(F.lower(F.regexp_replace("p_name", r"[\s_-]+", "")))).distinct()
-    return n.join(n.select(F.col("a").alias("b")), (F.col("a") < F.col("b")) & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))))
+    return contained_pairs(n).select(F.least("outer", "inner").alias("a"), F.greatest("outer", "inner").alias("b"))
 
 
 BIGRAMS = "list_distinct(list_transform(range(1, greatest(length({0}), 1)), lambda i: substr({0}, i, 2)))"
