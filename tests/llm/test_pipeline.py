@@ -53,6 +53,20 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sorted(r.doc_id for r in got.collect() if not r.text) == [8, 9]
 
 
+def test_stages_of_empty_and_odd_tables(spark, tmp_path):
+    """No rows; rows of null and empty texts only; a column with the name of one of the stages' own."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], [(1, None), (1, None), (2, ""), (None, "x")]):
+        docs = make_docs(spark, rows).withColumn("lost", F.lit("own"))
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns
+            if name == "line dedup":
+                assert out.where("lost = 'own'").count() == len(rows)
+            assert len({r.doc_id for r in out.collect()} - {None}) == min(2, len(rows))
+        assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count() == 0
+
+
 def test_registry():
     names = sorted(queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
