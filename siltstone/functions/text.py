@@ -63,7 +63,7 @@ def char_bigrams(text: Column) -> Column:
 def bigram_overlap(text: Column, query: Column) -> Column:
     """Share of the query's bigrams that the text has."""
     q = char_bigrams(query)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(char_bigrams(text), q)) / F.size(q))
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.filter(q, lambda g: F.contains(text, g))) / F.size(q))
 
 
 def trigrams(text: Column) -> Column:
