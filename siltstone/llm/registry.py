@@ -6,16 +6,19 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import digests
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .nearest import nearest
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .phrases import collocations
 from .pieces import digest_documents
 from .pii import find_pii
 from .quality import quality_rules
 from .secrets import scan_secrets
 from .token_files import token_files
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +102,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+runs AS (
+  SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM worded, (VALUES (1), (2), (3)) t(s) WHERE len(w) >= s),
+f AS MATERIALIZED (SELECT lang, s, list_slice(w, i, i + s - 1) AS p, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.p, c.s, c.a, k, x.a AS l, y.a AS r, (c.a::HUGEINT * c.a * 1000000) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM f WHERE s > 1) c
+  JOIN f x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, k) JOIN f y ON y.lang = c.lang AND y.p = list_slice(c.p, k + 1, c.s)),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, p, max(a) AS most FROM (
+    SELECT lang, list_slice(p, 1, 2) AS p, a FROM f WHERE s = 3 UNION ALL SELECT lang, list_slice(p, 2, 3), a FROM f WHERE s = 3) GROUP BY ALL),
+ranked AS (
+  SELECT c.lang, array_to_string(c.p, ' ') AS phrase, c.a, c.l, c.r, c.score FROM scored c LEFT JOIN longer g ON g.lang = c.lang AND g.p = c.p
+  WHERE g.most IS NULL OR 100 * g.most < 50 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -111,9 +152,12 @@ def queries() -> dict:
         "op8_nearest": op8_nearest,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_whitening": op12_whitening,
+        "op13_phrases": op13_phrases,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_line_dedup": OP3_SQL, "op13_phrases": OP13_SQL}
