@@ -49,6 +49,8 @@ HERE, BEFORE = 1, 2
 SIGN = "\ud800"
 #: Code points of a block of the scan.
 BLOCK = 128
+#: Characters of the texts that are scanned together.
+TOGETHER = 2_000_000
 #: Slices of each of the two generations of the memory, and characters of the longest that is remembered.
 MEMORY, LONG = 400_000, 64
 
@@ -309,7 +311,14 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and the number of ids of each."""
+        """The ids of all texts, one after another, and the number of ids of each. Texts are taken some TOGETHER characters at
+        a time, which bounds the arrays; a longer one is alone."""
+        part = (np.cumsum([len(t) for t in texts]) - 1) // TOGETHER if texts else np.empty(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        ids, counts = zip(*(self._encode(texts[i:j]) for i, j in zip(cuts, cuts[1:]) if i < j)) if texts else ([np.empty(0, "<i4")], [np.empty(0, np.int64)])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         slices = Slices(texts)
         models, like = slices.distinct()
         names = slices.strings(models)
