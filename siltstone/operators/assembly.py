@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: A role of an item and its order when an item has several.
 ROLE_ORDER = {"seed": 0, "context": 1, "support": 2}
 
@@ -46,18 +48,72 @@ def groups(found: DataFrame, relations: DataFrame) -> DataFrame:
     return found.groupBy("snapshot").agg(F.count_distinct("item_id").alias("items")).join(touch, "snapshot", "left").withColumn("relations", F.coalesce("relations", F.lit(0)))
 
 
+#: Semantic roles that contradict each other.
+OPPOSED = (("advantage", "disadvantage"), ("pro", "con"), ("benefit", "risk"))
+
+
+def conflicts(found: DataFrame) -> DataFrame:
+    """query_id, issue, item_ids: conflicting_evidence where two seeds have opposed semantic roles, with all seeds whose role is
+    one of those that can be opposed. found: query_id, item_id, role, semantic_role."""
+    said = F.lower("semantic_role")
+    d = found.where((F.col("role") == "seed") & said.isin(*[r for pair in OPPOSED for r in pair]))
+    d = d.groupBy("query_id").agg(F.collect_set(said).alias("roles"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))  # of a query's seeds
+    both = F.lit(False)
+    for one, other in OPPOSED:
+        both = both | (F.array_contains("roles", one) & F.array_contains("roles", other))
+    return d.where(both).select("query_id", F.lit("conflicting_evidence").alias("issue"), "item_ids")
+
+
 def seed_budget(found: DataFrame, budget: int = 12_000, share: float = 0.6, least: int = 200) -> DataFrame:
     """Adds given: the characters that a seed may keep, its share of the seeds' budget but never less than `least`."""
     n = F.count("*").over(Window.partitionBy("query_id"))
     return found.withColumn("given", F.least(F.length("text"), F.greatest(F.lit(least), F.floor(F.lit(budget * share) / n))))
 
 
-def greedy_budget(found: DataFrame, budget: int = 4_800, least: int = 100) -> DataFrame:
-    """Adds given: in score order items take what is left of the budget; one that would get too little gets none."""
-    before = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.greatest(F.lit(0), F.lit(budget) - F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-    give = F.least(F.length("text"), left)
-    return found.withColumn("given", F.when(give >= F.least(F.lit(least), F.length("text")), give).otherwise(0))
+def pack_sentences(text: Column) -> Column:
+    """Pieces after a stop or at line ends, without white space around them; empty ones are dropped."""
+    strip = lambda s: F.regexp_replace(s, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?])\s*|\n+"), strip), lambda s: s != "")
+
+
+def extract(text: Column, most: Column, asked: Column) -> Column:
+    """The text within `most` characters: sentences by the share of the query's bigrams (asked) that they have, the earlier one
+    of equals first, each if it still fits with a blank before it; in their own order. If none fits, the beginning of the best
+    one; a text of one sentence, or a query without bigrams, gives the beginning of the text and dots."""
+    parts = pack_sentences(text)
+    scored = F.transform(parts, lambda s, i: F.struct((-F.size(F.array_intersect(T.char_bigrams(s), asked))).alias("o"), i.alias("i"), s.alias("s")))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,s:string>>").alias("picked"))
+
+    def take(acc: Column, x: Column) -> Column:
+        need = F.length(x["s"]) + F.when(F.size(acc["picked"]) > 0, 1).otherwise(0)
+        more = F.struct((acc["used"] + need).alias("used"), F.array_append(acc["picked"], F.struct(x["i"].alias("i"), x["s"].alias("s"))).alias("picked"))
+        return F.when(acc["used"] + need <= most, more).otherwise(acc)
+
+    ranked = F.array_sort(scored)
+    picked = F.aggregate(ranked, start, take)["picked"]
+    joined = F.array_join(F.transform(F.array_sort(picked), lambda x: x["s"]), " ")
+    begun = F.substring(F.get(ranked, F.lit(0))["s"], F.lit(1), most)
+    cut = F.concat(F.substring(text, F.lit(1), most), F.lit("..."))
+    return F.when((F.size(parts) <= 1) | (F.size(asked) == 0), cut).when(F.size(picked) > 0, joined).otherwise(begun)
+
+
+def compress(found: DataFrame, queries: DataFrame, budget: int = 12_000, share: float = 0.6, least_seed: int = 200, least_other: int = 100) -> DataFrame:
+    """found with shorter texts, for queries whose items hold more than `budget` characters in all. Seeds have `share` of it in
+    equal parts and are cut off; all others have the rest in equal parts and keep the sentences nearest to the query.
+    Parts have their least sizes. Lengths are code points. found: query_id, item_id, role, text; queries: query_id, text,
+    keywords."""
+    w = Window.partitionBy("query_id")
+    seed = F.col("role") == "seed"
+    asked = T.char_bigrams(F.trim(F.array_join(F.concat(F.array(F.coalesce("text", F.lit(""))), F.coalesce("keywords", F.array().cast("array<string>"))), " ")))
+    d = found.join(queries.select("query_id", asked.alias("__asked")), "query_id", "left")
+    d = d.withColumn("__all", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(w))
+    d = d.withColumn("__seeds", F.count_if(seed).over(w)).withColumn("__others", F.count_if(~seed).over(w))
+    first = int(budget * share)
+    each = F.when(seed, F.greatest(F.lit(least_seed), F.floor(F.lit(first) / F.col("__seeds")))).otherwise(F.greatest(F.lit(least_other), F.floor(F.lit(budget - first) / F.col("__others")))).cast("int")
+    none = F.array().cast("array<string>")
+    short = F.when(seed, F.concat(F.substring("text", F.lit(1), each), F.lit("..."))).otherwise(extract(F.col("text"), each, F.coalesce("__asked", none)))
+    fits = (F.col("__all") <= budget) | F.col("text").isNull() | (F.length("text") <= each)
+    return d.withColumn("text", F.when(fits, F.col("text")).otherwise(short)).select(*found.columns)
 
 
 #: Relations whose expansion items support a seed.

@@ -3,19 +3,40 @@
 from __future__ import annotations
 
 import functools
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of a frame that is sent to every executor at most.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of their values, of a frame that is sent to every executor at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Has df at most so many rows, of at most so many bytes? Counting stops beyond the rows."""
+    sizes = [F.coalesce(F.length(F.to_json(F.struct(c)) if "<" in t else F.col(c).cast("string")), F.lit(0)) for c, t in ((f"`{c}`", t) for c, t in df.dtypes)]
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(functools.reduce(lambda x, y: x + y, sizes))).first()
+    return n <= rows and (size or 0) <= most_bytes
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows (counting stops there); a larger one is left to the optimizer."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df with a broadcast hint if it is small; a larger one is left to the optimizer."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's checkpoint folder, so that later steps neither compute it again nor lose it
+    with an executor. A session on this machine alone may do without that folder; on a cluster its absence is an error."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
+    return df.checkpoint()
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -25,6 +46,12 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of each key; up to a k of 1,000 tasks cut their own lists before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
 def spread_rank(df: DataFrame, keys: Sequence[str], score: str, tie: str, bins: int = 4_096) -> DataFrame:
     """Adds rank within keys, from 1: greatest score first (null last), then by tie, as a window over keys would; but no
     group is one task's. Rows are dealt to bins of equal width of their group's scores, ranked in their bin, and moved by

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scoring import cosine
-from .relational import bounded, spread_rank
+from .dense import blocked_top
+from .relational import bounded, is_small, settled, spread_rank
 
 RRF_K = 60
 CANDIDATE = ["query_id", "unit_id", "score", "source"]
@@ -89,7 +89,7 @@ def full_text(queries: DataFrame, units: DataFrame, k: int = 20, most_hits: int
     """Units that have a term of the query; a term adds its hits (at most most_hits) over the number of terms."""
     q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("token"), F.size(terms(F.col("text"))).alias("n"))
     found = postings(units.where(F.col("text").isNotNull()), q).join(bounded(q), "token")
-    score = F.sum(F.least(F.col("hits"), F.lit(most_hits)) / F.col("n"))
+    score = F.sum(F.least(F.col("hits"), F.lit(most_hits))) / F.any_value("n")  # whole numbers add up alike in any order
     return top_per_query(found.groupBy("query_id", "unit_id").agg(score.alias("score")).withColumn("source", F.lit("fts")), k).select(*CANDIDATE)
 
 
@@ -99,12 +99,12 @@ FIELDS = {"title": 1.0, "search_text": 0.4, "text": 0.2}
 
 def weighted_search(queries: DataFrame, units: DataFrame, k: int = 20, most_hits: int = 5) -> DataFrame:
     """Like full_text over several fields: a term adds its hits (at most most_hits) in each field, times the field's
-    weight, over the number of terms. units: unit_id and the columns of FIELDS."""
+    weight, over the number of terms, to nine decimals. units: unit_id and the columns of FIELDS."""
     q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("token"), F.size(terms(F.col("text"))).alias("n"))
     parts = F.array(*[F.struct(F.lit(w).alias("weight"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c, w in FIELDS.items()])
     every = units.select("unit_id", F.explode(parts).alias("f")).select("unit_id", "f.weight", F.explode(T.tokens(F.col("f.text"))).alias("token"))
     hits = every.join(bounded(q.select("token").distinct()), "token", "left_semi").groupBy("token", "unit_id", "weight").agg(F.count("*").alias("hits"))
-    score = F.sum(F.least(F.col("hits"), F.lit(most_hits)) * F.col("weight") / F.col("n"))
+    score = F.round(F.sum(F.least(F.col("hits"), F.lit(most_hits)) * F.col("weight")) / F.any_value("n"), 9)
     found = hits.join(bounded(q), "token").groupBy("query_id", "unit_id").agg(score.alias("score"))
     return top_per_query(found.withColumn("source", F.lit("fts")), k).select(*CANDIDATE)
 
@@ -117,26 +117,84 @@ def search_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.when(F.size(words) > 0, words).otherwise(F.array("text")).alias("words"))
 
 
-def full_text_ladder(queries: DataFrame, units: DataFrame, threshold: float = 0.3, k: int = 20) -> DataFrame:
-    """Weighted tokens, else trigram similarity, else substring share: a query takes the first level that finds
-    something. One pass over query-unit pairs of the batch computes all levels, so no level waits for another's action."""
-    q = queries.select("query_id", F.col("text").alias("q"), terms(F.col("text")).alias("t"), T.trigrams(F.col("text")).alias("g"))
-    u = units.select("unit_id", F.lower("text").alias("text"), T.tokens(F.col("text")).alias("tokens"), T.trigrams(F.col("text")).alias("ug"))
-    d = u.join(bounded(q))
-    hits = F.size(F.array_intersect("tokens", "t")) / F.size("t")
-    parts = F.size(F.filter("t", lambda x: F.contains(F.col("text"), x))) / F.size("t")
-    d = d.select("query_id", "unit_id", hits.alias("s1"), T.set_jaccard(F.col("ug"), F.col("g")).alias("s2"), parts.alias("s3"))
-    level = F.when(F.col("s1") > 0, 1).when(F.col("s2") >= threshold, 2).when(F.col("s3") > 0, 3)
-    d = d.withColumn("level", level).where("level IS NOT NULL").withColumn("first", F.min("level").over(Window.partitionBy("query_id"))).where("level = first")
-    score = F.when(F.col("level") == 1, F.col("s1")).when(F.col("level") == 2, F.col("s2")).otherwise(F.col("s3"))
-    return top_per_query(d.select("query_id", "unit_id", score.alias("score"), "level"), k)
+def trigram_sets(units: DataFrame) -> DataFrame:
+    """unit_id, grams, n: the distinct trigrams of each text and their number; texts without any are left out."""
+    return units.select("unit_id", T.trigrams(F.col("text")).alias("grams")).withColumn("n", F.size("grams")).where("n > 0")
+
+
+def trigram_index(sets: DataFrame) -> DataFrame:
+    """gram, n, unit_id: the inverted index of trigram sets. Write it, and pass what is read again, to serve many batches."""
+    return sets.select(F.explode("grams").alias("gram"), "n", "unit_id")
+
+
+def similar_texts(queries: DataFrame, sets: DataFrame, threshold: float = 0.3, index: DataFrame | None = None) -> DataFrame:
+    """query_id, unit_id, score: units whose trigrams have at least this Jaccard similarity with the query's text.
+
+    A text of m trigrams is that similar to sets of threshold * m to m / threshold trigrams only, and shares one of any
+    m - ceil(threshold * m) + 1 of its own with each: its rarest ones are looked up in the index, by size, and only what is found
+    there is compared as a whole."""
+    q = queries.select("query_id", T.trigrams(F.col("text")).alias("q")).withColumn("m", F.size("q")).where("m > 0")
+    ends = q.agg(F.min("m"), F.max("m")).first()
+    t, slack = F.lit(threshold), F.lit(1e-9)
+    some = sets.where(F.col("n").between(int(threshold * (ends[0] or 0)), int((ends[1] or 0) / threshold) + 1))
+    index = trigram_index(some) if index is None else index
+    own = q.select("query_id", "m", F.explode("q").alias("gram"))
+    small = is_small(own)  # what is made of some of its rows is small then, too
+    send = F.broadcast if small else (lambda df: df)
+    frequency = index.join(send(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("f"))
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("f", F.lit(0)), "gram"))
+    asked = own.join(send(frequency), "gram", "left").withColumn("r", rarest).where(F.col("f").isNotNull() & (F.col("r") <= F.col("m") - F.ceil(t * F.col("m") - slack) + 1))
+    fits = (F.col("n") >= t * F.col("m") - slack) & (F.col("n") * t <= F.col("m") + slack)
+    met = index.join(send(asked.select("query_id", "m", "gram")), "gram").where(fits).select("query_id", "unit_id").distinct()
+    both = sets.join(met, "unit_id").join(send(q), "query_id")
+    shared = F.size(F.array_intersect("grams", "q"))
+    return both.select("query_id", "unit_id", (shared / (F.col("n") + F.col("m") - shared)).alias("score")).where(F.col("score") >= threshold)
+
+
+def containing_units(queries: DataFrame, units: DataFrame) -> DataFrame:
+    """query_id, unit_id, score: the share of the query's terms that stand somewhere in the unit's text, inside words too,
+    if any does. A term lies in a text where it lies in one of its words, so the text's distinct words are looked at, and a
+    term meets those that have its beginning (up to three characters) as a piece."""
+    own = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term"), F.size(terms(F.col("text"))).alias("n"))
+    wanted = bounded(own.select("term", F.substring("term", 1, 3).alias("piece")).distinct())
+    words = units.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct()
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(*[F.substring("word", i, F.lit(k)) for k in (1, 2, 3)])))
+    holders = words.select("word", F.explode(F.array_distinct(pieces)).alias("piece")).join(wanted, "piece").where(F.contains("word", "term")).select("word", "term")
+    held = units.select("unit_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).join(holders, "word")
+    found = held.select("unit_id", "term").distinct().join(own, "term")
+    return found.groupBy("query_id", "unit_id").agg((F.count("*") / F.any_value("n")).alias("score"))
+
+
+def full_text_ladder(queries: DataFrame, units: DataFrame, threshold: float = 0.3, k: int = 20, recall: int = 5) -> DataFrame:
+    """query_id, unit_id, score, level: weighted terms (1), for queries without any hit the trigram similarity of the texts
+    (2), and for those still without one the share of terms that the text contains (3); the first k * recall of each
+    query. queries: query_id, text; units: unit_id and the columns of FIELDS."""
+    most = k * recall
+    plain = units.select("unit_id", F.coalesce("text", F.lit("")).alias("text"))
+    levels = [
+        lambda rest: weighted_search(rest, units, most),
+        lambda rest: top_per_query(similar_texts(rest, trigram_sets(plain), threshold), most),
+        lambda rest: top_per_query(containing_units(rest, plain), most),
+    ]
+    out, rest = None, queries
+    for level, search in enumerate(levels, 1):
+        found = settled(search(rest).select("query_id", "unit_id", "score", F.lit(level).alias("level")))
+        out = found if out is None else out.unionByName(found)
+        rest = settled(rest.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+        if rest.isEmpty():
+            break
+    return out
 
 
 def dense(query_vectors: DataFrame, vectors: DataFrame, dimension: int, k: int = 20) -> DataFrame:
-    """Greatest cosine among vectors of the dimension, for a batch of query vectors (query_id, q). vectors: unit_id, v."""
-    d = vectors.where(F.size("v") == dimension).join(bounded(query_vectors.where(F.size("q") == dimension)))
-    d = d.select("query_id", "unit_id", cosine(F.col("q"), F.col("v")).alias("score"), F.lit("dense").alias("source"))
-    return top_per_query(d, k)
+    """Greatest cosine among vectors of the dimension, for a batch of query vectors (query_id, q; scope and section if the
+    queries have them). vectors: unit_id, v, and scope and section likewise. Queries whose filters leave nothing drop
+    them, the section first."""
+    filters = [c for c in ("scope", "section") if c in query_vectors.columns and c in vectors.columns]
+    absent = {c: F.lit(None).cast("string") for c in ("scope", "section") if c not in filters}
+    q = query_vectors.select("query_id", F.col("q").alias("v"), *filters).withColumns(absent)
+    u = vectors.select("unit_id", "v", *filters).withColumns(absent)
+    return blocked_top(q, u, dimension, k, relax=bool(filters)).withColumn("source", F.lit("dense"))
 
 
 def entity_exact(queries: DataFrame, mentions: DataFrame, k: int = 20) -> DataFrame:
@@ -231,13 +289,15 @@ def rerank_finish(candidates: DataFrame, near: float = 0.9, least: float = 0.01,
     return top_per_query(d, k)
 
 
-def semantic_cache(queries: DataFrame, cache: DataFrame, now: Column, hours: int = 24, threshold: float = 0.92) -> DataFrame:
+def semantic_cache(queries: DataFrame, cache: DataFrame, now: Column, dimension: int, hours: int = 24, threshold: float = 0.92) -> DataFrame:
     """query_id, entry_id, similarity of the nearest live entry of the same scope, where it is near enough. queries:
     query_id, scope, q; cache: entry_id, scope, v, created_at."""
     live = cache.where(F.col("created_at") > now - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    d = queries.join(live, "scope").select("query_id", "entry_id", cosine(F.col("q"), F.col("v")).alias("similarity"))
-    best = d.groupBy("query_id").agg(F.max_by(F.struct("entry_id", "similarity"), F.struct("similarity", -F.col("entry_id"))).alias("b"))
-    return best.select("query_id", "b.entry_id", "b.similarity").where(F.col("similarity") >= threshold)
+    none = F.lit(None).cast("string")
+    asked = queries.select("query_id", "scope", none.alias("section"), F.col("q").alias("v"))
+    there = live.select(F.col("entry_id").alias("unit_id"), "scope", none.alias("section"), "v")
+    best = blocked_top(asked, there, dimension, 1)
+    return best.select("query_id", F.col("unit_id").alias("entry_id"), F.col("score").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def command_of(text: Column) -> Column:
@@ -340,9 +400,8 @@ def rerank_scored(candidates: DataFrame, scores: DataFrame, most: int = 200) ->
 def dense_units(query_vectors: DataFrame, vectors: DataFrame, dimension: int, kinds: Sequence[str] = (), k: int = 20) -> DataFrame:
     """Dense search over units with several embeddings: of the wanted kinds, the nearest embedding counts for its unit.
     vectors: unit_id, unit_type, v; query_vectors: query_id, q."""
-    fine = vectors.where((F.size("v") == dimension) & (F.col("unit_type").isin(*kinds) if kinds else F.lit(True)))
-    d = fine.join(bounded(query_vectors.where(F.size("q") == dimension))).select("query_id", "unit_id", cosine(F.col("q"), F.col("v")).alias("score"))
-    return top_per_query(d.groupBy("query_id", "unit_id").agg(F.max("score").alias("score")).withColumn("source", F.lit("dense")), k)
+    fine = vectors.where(F.col("unit_type").isin(*kinds)) if kinds else vectors
+    return dense(query_vectors, fine, dimension, k).select(*CANDIDATE)
 
 
 def recall_at(ranked_hits: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:

@@ -365,8 +365,7 @@ SELECT doc_id AS unit_id, round(score, 9) AS score FROM (SELECT doc_id, sum(leas
 def weighted_search(t):
     q = t.spark.createDataFrame([(0, "src3 en license version")], "query_id long, text string")
     u = t.documents.select(F.col("doc_id").alias("unit_id"), F.col("source").alias("title"), F.concat_ws(" ", "lang", F.substring("text", 1, 200)).alias("search_text"), "text")
-    d = R.weighted_search(q, u, 10**6).withColumn("score", F.round("score", 9))
-    return R.top_per_query(d, 50).select("unit_id", "score")
+    return R.weighted_search(q, u, 50).select("unit_id", "score")
 
 
 @query("r03_search_terms", f"SELECT conv_id, turn, array_to_string(CASE WHEN len(w) > 0 THEN w ELSE [text] END, ' ') AS words FROM (SELECT *, list_distinct_ordered FROM (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN ['alpha', 'beta'] ELSE [] END || CASE WHEN turn % 2 = 0 THEN ['beta', 'gamma', 'delta'] ELSE [] END AS a, list_filter(a, lambda x, i: list_position(a, x) = i) AS list_distinct_ordered, list_filter(a, lambda x, i: list_position(a, x) = i) AS w FROM conversations))")

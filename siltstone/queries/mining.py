@@ -93,10 +93,10 @@ def part_rows(t):
     return units.table_rows(d.select("document", F.lit(0).alias("segment_index"), F.lit("table").alias("block_type"), F.lit("").alias("breadcrumb"), "text")).select("document", "title", "text")
 
 
-@query("s10_section_search", """SELECT doc_id, score FROM (SELECT doc_id, sum(CASE WHEN contains(lower(source), w) THEN 1000 ELSE 0 END + least(h, 50))::BIGINT AS score, count(*) FILTER (WHERE contains(lower(source), w) OR h > 0) AS met FROM (SELECT doc_id, source, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS h FROM documents, (VALUES ('the'), ('1')) v(w)) GROUP BY doc_id) WHERE met = 2 ORDER BY score DESC, doc_id LIMIT 10""")
+@query("s10_section_search", """SELECT doc_id, score FROM (SELECT doc_id, sum(1000 * s + least(h, 50))::BIGINT AS score, count(*) FILTER (WHERE s > 0 OR h > 0) AS met FROM (SELECT doc_id, (length(source) - length(replace(lower(source), w, ''))) // length(w) AS s, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS h FROM documents, (VALUES ('s'), ('1')) v(w)) GROUP BY doc_id) WHERE met = 2 ORDER BY score DESC, doc_id LIMIT 10""")
 def section_search(t):
     d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
-    return records.search_sections(d, ["the", "1"]).select(F.col("id").alias("doc_id"), "score")
+    return records.search_sections(d, ["S", "1"]).select(F.col("id").alias("doc_id"), "score")
 
 
 @query("s15_query_log", """WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents)
@@ -278,10 +278,32 @@ def issues(t):
     return assembly.issues(t.customer.select(F.col("c_custkey").alias("query_id")), f, 200000).select(F.col("query_id").alias("c_custkey"), "issue")
 
 
-@query("o11_budget", "SELECT conv_id, turn, CASE WHEN give >= least(100, n) THEN give ELSE 0 END AS given FROM (SELECT *, least(n, greatest(0, 4800 - coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS give FROM (SELECT conv_id, turn, length(text) AS n FROM conversations))")
-def budget(t):
-    f = t.conversations.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("item_id"), F.col("turn").cast("double").alias("score"), "text")
-    return assembly.greedy_budget(f).select(F.col("query_id").alias("conv_id"), F.col("item_id").alias("turn"), F.col("given").cast("bigint").alias("given"))
+@query("o09_conflicts", """WITH f AS (SELECT conv_id, turn, ['advantage', 'Disadvantage', 'pro', 'con', 'benefit', 'unknown', NULL][(conv_id * 3 + turn * 5) % 7 + 1] AS sr FROM conversations WHERE role = 'user')
+SELECT conv_id, array_to_string(list(turn ORDER BY turn) FILTER (WHERE lower(sr) <> 'unknown'), ',') AS turns FROM f GROUP BY conv_id HAVING (bool_or(lower(sr) = 'advantage') AND bool_or(lower(sr) = 'disadvantage')) OR (bool_or(sr = 'pro') AND bool_or(sr = 'con'))""")
+def conflicts(t):
+    """User turns as seeds with a semantic role."""
+    roles = F.array(*[F.lit(r) for r in ("advantage", "Disadvantage", "pro", "con", "benefit", "unknown", None)])
+    f = t.conversations.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("item_id"), F.when(F.col("role") == "user", "seed").otherwise("context").alias("role"), F.get(roles, ((F.col("conv_id") * 3 + F.col("turn") * 5) % 7).cast("int")).alias("semantic_role"))
+    return assembly.conflicts(f).select(F.col("query_id").alias("conv_id"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("turns"))
+
+
+BIGRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+
+
+@query("o11_compression", rf"""WITH i AS (SELECT doc_id, doc_id // 10 AS q, doc_id % 10 < 3 AS seed, text FROM documents),
+a AS (SELECT i.*, b.text || ' ' || 'section' AS asked, sum(length(i.text)) OVER w AS size, greatest(200, 7200 // greatest(1, count(*) FILTER (WHERE seed) OVER w)) AS s, greatest(100, 4800 // greatest(1, count(*) FILTER (WHERE NOT seed) OVER w)) AS o
+  FROM i LEFT JOIN benchmark b ON item_id = q % 40 WINDOW w AS (PARTITION BY q)),
+l AS (SELECT *, s AS most FROM a WHERE seed UNION ALL SELECT *, o FROM a WHERE NOT seed),
+p AS (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？!?])\s*', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') AS parts, {BIGRAMS.format('asked')} AS g FROM l),
+r AS (SELECT *, list_transform(list_sort(list_transform(parts, lambda x, i: {{'o': -len(list_intersect({BIGRAMS.format('x')}, g)), 'i': i, 'x': x}})), lambda z: {{'used': length(z.x)::BIGINT, 'ids': [z.i]::BIGINT[]}}) AS ranked FROM p),
+f AS (SELECT *, list_reduce(ranked, lambda acc, z: CASE WHEN acc.used + z.used + (len(acc.ids) > 0)::BIGINT <= most THEN {{'used': acc.used + z.used + (len(acc.ids) > 0)::BIGINT, 'ids': acc.ids || z.ids}} ELSE acc END, {{'used': 0::BIGINT, 'ids': []::BIGINT[]}}).ids AS ids FROM r)
+SELECT doc_id, sha256(CASE WHEN size <= 12000 OR length(text) <= most THEN text WHEN seed OR len(parts) <= 1 OR len(g) = 0 THEN substr(text, 1, most) || '...' WHEN len(ids) > 0 THEN array_to_string(list_transform(list_sort(ids), lambda i: parts[i]), ' ') ELSE substr(parts[ranked[1].ids[1]], 1, most) END) AS h FROM f""")
+def compression(t):
+    """Packs of ten documents, three of them seeds; each pack's query is a benchmark passage and a keyword."""
+    f = t.documents.select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 10 < 3, "seed").otherwise("context").alias("role"), "text")
+    asked = f.select("query_id").distinct().withColumn("item", F.col("query_id") % 40)
+    q = asked.join(t.benchmark.select(F.col("item_id").alias("item"), "text"), "item", "left").select("query_id", "text", F.array(F.lit("section")).alias("keywords"))
+    return assembly.compress(f, q).select(F.col("item_id").alias("doc_id"), F.sha2("text", 256).alias("h"))
 
 
 @query("e1_quality_checks", "SELECT 'question prefix' AS name, count(*) FILTER (WHERE regexp_matches(text, '^Q[0-9]+[:.]')) AS violations FROM conversations UNION ALL SELECT 'empty text', count(*) FILTER (WHERE trim(text) = '') FROM conversations UNION ALL SELECT 'orphan label', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import SQL, query
+from ..catalog import query
 from ..operators import retrieval as R
 
 TOK = "regexp_extract_all(lower({0}), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
@@ -53,11 +53,9 @@ dense AS (SELECT query_id, unit_id, score, rk FROM (SELECT *, row_number() OVER
 
 
 def _dense_all(t, k=50):
-    """Every query vector against all rows; the queries grow with the table, so Spark picks the join."""
-    e = t.embeddings.where(F.size("embedding") == 64)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    d = e.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("v")).crossJoin(q)
-    return R.top_per_query(d.select("query_id", "unit_id", R.cosine(F.col("q"), F.col("v")).alias("score"), F.lit("dense").alias("source")), k)
+    """Every query vector against all rows."""
+    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.dense(q, t.embeddings.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("v")), 64, k)
 
 
 @query("r05_dense_all", f"WITH {DENSE_ALL} SELECT query_id, unit_id, round(score, 6) AS score FROM dense")
@@ -65,43 +63,95 @@ def dense_all(t):
     return _dense_all(t).select("query_id", "unit_id", F.round("score", 6).alias("score"))
 
 
-@query("hybrid_search_all", f"""WITH {LEX}, {DENSE_ALL}, asked AS (SELECT DISTINCT query_id FROM dense),
-routes AS (SELECT a.query_id, unit_id, 1.0 / (60 + row_number() OVER (PARTITION BY a.query_id ORDER BY round(score, 9) DESC, unit_id)) AS part FROM asked a, lex UNION ALL SELECT query_id, unit_id, 0.9 / (60 + rk) FROM dense),
+@query("r05_dense_scoped", """WITH e AS (SELECT vec_id, label, chr((97 + label % 5)::INT) || '/' || (vec_id % 7) AS section, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) = 64),
+q AS (SELECT vec_id AS query_id, CASE vec_id // 100 % 4 WHEN 1 THEN NULL WHEN 2 THEN -1 ELSE label END AS scope, CASE vec_id // 100 % 3 WHEN 0 THEN NULL WHEN 1 THEN section ELSE 'z/' END AS prefix, v FROM e WHERE vec_id % 100 = 0),
+p AS (SELECT query_id, vec_id AS unit_id, list_cosine_similarity(e.v, q.v) AS score, CASE WHEN NOT (scope IS NULL OR scope = label) THEN 0 WHEN prefix IS NULL OR starts_with(section, prefix) THEN 2 ELSE 1 END AS met FROM q, e),
+m AS (SELECT *, CASE WHEN met = 0 AND max(met) OVER w = 0 THEN 0 ELSE met END AS level, max(met) OVER w AS best FROM p WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, unit_id, round(score, 6) AS score FROM m WHERE level = best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) <= 20""")
+def dense_scoped(t):
+    """Queries with a scope (a label; none, or one that is nowhere) and a section (none, their own, or one that is nowhere)."""
+    section = F.concat(F.chr((97 + F.col("label") % 5).cast("int")), F.lit("/"), (F.col("vec_id") % 7).cast("string"))
+    e = t.embeddings.select("vec_id", F.col("label").cast("string").alias("scope"), section.alias("section"), F.col("embedding").alias("v"))
+    kind = F.floor(F.col("vec_id") / 100)
+    scope = F.when(kind % 4 == 1, None).when(kind % 4 == 2, "-1").otherwise(F.col("scope"))
+    prefix = F.when(kind % 3 == 0, None).when(kind % 3 == 1, F.col("section")).otherwise("z/")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), scope.alias("scope"), prefix.alias("section"), F.col("v").alias("q"))
+    return R.dense(q, e.withColumnRenamed("vec_id", "unit_id"), 64).select("query_id", "unit_id", F.round("score", 6).alias("score"))
+
+
+#: A query's terms, as SQL over a text.
+TERMS = f"CASE WHEN len(list_filter({TOK}, lambda x: length(x) >= 2 OR regexp_matches(x, '[一-鿿]'))) > 0 THEN list_distinct(list_filter({TOK}, lambda x: length(x) >= 2 OR regexp_matches(x, '[一-鿿]'))) ELSE list_distinct({TOK}) END"
+
+
+@query("hybrid_search_all", f"""WITH {DENSE_ALL}, asked AS (SELECT DISTINCT query_id FROM dense),
+terms AS (SELECT query_id, unnest(t) AS w, len(t) AS n FROM (SELECT query_id, {TERMS.format('text')} AS t FROM asked JOIN conversations ON conv_id = query_id // 100 AND turn = 0)),
+words AS (SELECT doc_id, w, count(*) AS hits FROM (SELECT doc_id, unnest({TOK.format('text')}) AS w FROM documents) GROUP BY ALL),
+lexical AS (SELECT query_id, doc_id AS unit_id, sum(least(hits, 5)) / any_value(n)::DOUBLE AS score FROM words JOIN terms USING (w) GROUP BY ALL),
+routes AS (SELECT query_id, unit_id, 1.0 / (60 + rk) AS part FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rk FROM lexical) WHERE rk <= 50 UNION ALL SELECT query_id, unit_id, 0.9 / (60 + rk) FROM dense),
 f AS (SELECT query_id, unit_id, round(sum(part)::DOUBLE, 8) AS fused FROM routes GROUP BY ALL)
 SELECT query_id, unit_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, unit_id) AS rk FROM f) WHERE rk <= 10""")
 def hybrid_search_all(t):
-    """The flagship's routes for every query vector, each with the same words."""
+    """The flagship for every query: its vector through the dense route, its words (a conversation's first turn)
+    through the lexical one."""
     d = _dense_all(t)
-    lexical = _lexical(t).drop("query_id").crossJoin(d.select("query_id").distinct())
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 100).alias("conv_id"))
+    q = asked.join(t.conversations.where("turn = 0").select("conv_id", "text"), "conv_id").select("query_id", "text")
+    lexical = R.full_text(q, t.documents.select(F.col("doc_id").alias("unit_id"), "text"), 50)
     fused = R.rrf(lexical.unionByName(d), {"fts": 1.0, "dense": 0.9}).withColumn("fused", F.round("fused", 8))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), "unit_id"))
-    return fused.withColumn("r", r).where("r <= 10").select("query_id", "unit_id", "fused")
+    return R.top_per_query(fused.select("query_id", "unit_id", F.col("fused").alias("score")), 10).select("query_id", "unit_id", F.col("score").alias("fused"))
 
 
-BATCH = [(1, "the thand version"), (2, "qqq zzz"), (3, "assword"), (4, "Esndha reedes")]
+TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^0-9a-zà-öø-ÿ]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-@query("r01_ladder", rf"""WITH q AS (SELECT * FROM (VALUES {','.join(f"({i}::BIGINT, '{x}')" for i, x in BATCH)}) v(query_id, q)),
-qt AS (SELECT query_id, q, list_distinct({TOK.format('q')}) AS t FROM q),
-tri AS (SELECT query_id AS id, 'q' AS k, q AS x FROM q UNION ALL SELECT item_id, 'u', text FROM benchmark),
-g AS (SELECT id, k, list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(x), '[^0-9a-zà-öø-ÿ]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM tri),
-d AS (SELECT query_id, item_id AS unit_id, len(list_intersect({TOK.format('text')}, t)) / len(t)::DOUBLE AS s1, len(list_intersect(a.g, b.g)) / greatest(1, len(list_distinct(a.g || b.g)))::DOUBLE AS s2, len(list_filter(t, lambda y: contains(lower(text), y))) / len(t)::DOUBLE AS s3
-  FROM qt, benchmark, g a, g b WHERE a.k = 'q' AND a.id = query_id AND b.k = 'u' AND b.id = item_id),
-l AS (SELECT *, CASE WHEN s1 > 0 THEN 1 WHEN s2 >= 0.3 THEN 2 WHEN s3 > 0 THEN 3 END AS level FROM d),
-f AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS first FROM l WHERE level IS NOT NULL),
-r AS (SELECT query_id, unit_id, level, CASE level WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS score FROM f WHERE level = first)
-SELECT query_id, unit_id, level::BIGINT AS level, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rk FROM r) WHERE rk <= 20""")
-def ladder(t):
-    q = t.spark.createDataFrame(BATCH, "query_id long, text string")
-    d = R.full_text_ladder(q, t.benchmark.select(F.col("item_id").alias("unit_id"), "text"))
-    return d.select("query_id", "unit_id", "level", F.round("score", 9).alias("score"))
+def _ladder_sql(queries: str, units: str) -> str:
+    """queries: (query_id, q); units: (unit_id, title, search_text, text)."""
+    return f"""WITH q AS ({queries}), u AS ({units}), qt AS (SELECT query_id, q, {TERMS.format('q')} AS t, {TRIGRAMS.format('q')} AS g FROM q),
+fields AS (SELECT unit_id, 1.0::DOUBLE AS w, title AS x FROM u UNION ALL SELECT unit_id, 0.4, search_text FROM u UNION ALL SELECT unit_id, 0.2, text FROM u),
+hits AS (SELECT unit_id, w, t, count(*) AS n FROM (SELECT unit_id, w, unnest({TOK.format("coalesce(x, '')")}) AS t FROM fields) GROUP BY ALL),
+one AS (SELECT query_id, unit_id, round(sum(least(n, 5) * w) / any_value(m), 9) AS score, 1 AS level FROM hits JOIN (SELECT query_id, unnest(t) AS t, len(t) AS m FROM qt) USING (t) GROUP BY query_id, unit_id),
+left2 AS (SELECT * FROM qt WHERE query_id NOT IN (SELECT query_id FROM one)),
+grams AS (SELECT unit_id, {TRIGRAMS.format("coalesce(text, '')")} AS ug FROM u),
+two AS (SELECT query_id, unit_id, len(list_intersect(ug, g)) / greatest(1, len(list_distinct(ug || g)))::DOUBLE AS score, 2 AS level FROM left2, grams WHERE len(ug) > 0 AND len(g) > 0 AND len(list_intersect(ug, g)) / greatest(1, len(list_distinct(ug || g)))::DOUBLE >= 0.3),
+left3 AS (SELECT * FROM left2 WHERE query_id NOT IN (SELECT query_id FROM two)),
+three AS (SELECT query_id, unit_id, len(list_filter(t, lambda y: contains(lower(coalesce(text, '')), y))) / len(t)::DOUBLE AS score, 3 AS level FROM left3, u WHERE len(list_filter(t, lambda y: contains(lower(coalesce(text, '')), y))) > 0),
+r AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)
+SELECT query_id, unit_id, level::BIGINT AS level, round(score, 9) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) <= 100"""
+
+
+def _ladder(q, u):
+    return R.full_text_ladder(q, u).select("query_id", "unit_id", "level", F.round("score", 9).alias("score"))
 
 
-@query("r01_ladder_documents", SQL["r01_ladder"].replace("benchmark", "documents").replace("item_id", "doc_id"))
+@query("r01_ladder_parts", _ladder_sql(
+    """SELECT p_partkey AS query_id, CASE p_partkey // 100 % 4 WHEN 0 THEN p_name WHEN 1 THEN regexp_replace(p_name, '([a-z])( |$)', '\\1\\1\\2', 'g') WHEN 2 THEN substr(p_name, 2, 3) ELSE 'qqq ' || p_partkey END AS q FROM part WHERE p_partkey % 100 = 0""",
+    "SELECT p_partkey AS unit_id, p_type AS title, p_brand AS search_text, p_name AS text FROM part"))
+def ladder_parts(t):
+    """Names of parts as they are, with their words' last letters doubled, a piece of one, and words that are nowhere."""
+    kind = F.floor(F.col("p_partkey") / 100) % 4
+    asked = F.when(kind == 0, F.col("p_name")).when(kind == 1, F.regexp_replace("p_name", "([a-z])( |$)", "$1$1$2")).when(kind == 2, F.substring("p_name", 2, 3)).otherwise(F.concat(F.lit("qqq "), F.col("p_partkey").cast("string")))
+    q = t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), asked.alias("text"))
+    return _ladder(q, t.part.select(F.col("p_partkey").alias("unit_id"), F.col("p_type").alias("title"), F.col("p_brand").alias("search_text"), F.col("p_name").alias("text")))
+
+
+@query("r01_ladder_documents", _ladder_sql(
+    """SELECT conv_id * 1000 + turn AS query_id, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '([a-z])([ .,]|$)', '\\1qx\\2', 'g') ELSE 'assword' END AS q FROM conversations WHERE conv_id % 100 = 0""",
+    "SELECT doc_id AS unit_id, source AS title, lang AS search_text, text FROM documents"))
 def ladder_documents(t):
+    """Turns of conversations: as they are, with endings that no word has, and a piece of a word."""
+    asked = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.regexp_replace("text", "([a-z])([ .,]|$)", "$1qx$2")).otherwise("assword")
+    q = t.conversations.where("conv_id % 100 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), asked.alias("text"))
+    return _ladder(q, t.documents.select(F.col("doc_id").alias("unit_id"), F.col("source").alias("title"), F.col("lang").alias("search_text"), "text"))
+
+
+BATCH = [(1, "the thand version"), (2, "qqq zzz"), (3, "assword"), (4, "Esndha reedes")]
+
+
+@query("r01_ladder", _ladder_sql(f"SELECT * FROM (VALUES {','.join(f"({i}::BIGINT, '{x}')" for i, x in BATCH)}) v(query_id, q)", "SELECT item_id AS unit_id, '' AS title, '' AS search_text, text FROM benchmark"))
+def ladder(t):
     q = t.spark.createDataFrame(BATCH, "query_id long, text string")
-    d = R.full_text_ladder(q, t.documents.select(F.col("doc_id").alias("unit_id"), "text"))
-    return d.select("query_id", "unit_id", "level", F.round("score", 9).alias("score"))
+    none = F.lit("")
+    return _ladder(q, t.benchmark.select(F.col("item_id").alias("unit_id"), none.alias("title"), none.alias("search_text"), "text"))
 
 
 @query("r02_tiers", """WITH c AS (SELECT lang, doc_id, n_chars, (source = 'src3')::INT + (source = 'src3' AND n_chars > 30000)::INT AS met FROM documents)
@@ -198,7 +248,7 @@ def cache(t):
     e = t.embeddings.select("vec_id", F.col("label").alias("scope"), F.col("embedding").alias("v"), (now - F.make_interval(hours=(F.col("vec_id") % 48).cast("int"))).alias("created_at"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "scope", F.col("v").alias("q"))
     c = e.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "entry_id")
-    return R.semantic_cache(q, c, now, 24, 0.2).select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+    return R.semantic_cache(q, c, now, 64, 24, 0.2).select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("r13_multi_query", """WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM q)

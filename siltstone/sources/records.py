@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def search_sections(sections: DataFrame, words: Sequence[str], k: int = 10) -> DataFrame:
-    """Sections (id, title, text) that hold all words: a thousand points for a word in the title, and up to fifty for
-    its hits in the text."""
+def search_sections(sections: DataFrame, words: Sequence[str], k: int = 10, history: bool = False) -> DataFrame:
+    """Sections (id, title, text) that hold all words: a thousand points for each time a word stands in the title, and up to
+    fifty for its times in the text. Sections about the change history are left out unless asked for."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    d = sections
+    d = sections if history else sections.where(~F.contains(low("title"), F.lit("change history")))
     score = F.lit(0)
     for w in words:
-        w = w.lower()
-        in_title, hits = F.contains(low("title"), F.lit(w)), F.regexp_count(low("text"), F.lit("\\Q" + w + "\\E"))
-        d = d.where(in_title | (hits > 0))
-        score = score + F.when(in_title, 1000).otherwise(0) + F.least(hits, F.lit(50))
+        titled, hits = (F.regexp_count(low(c), F.lit("\\Q" + w.lower() + "\\E")) for c in ("title", "text"))
+        d = d.where((titled > 0) | (hits > 0))
+        score = score + 1000 * titled + F.least(hits, F.lit(50))
     return d.withColumn("score", score).orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -33,33 +32,35 @@ def unpack(archives: DataFrame, largest: int | None = None) -> DataFrame:
 
     def members(batches):
         for b in batches:
-            out = []
             for path, content in zip(b["path"], b["content"]):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
                     continue
+                out = []
                 for i in z.infolist():
                     name = i.filename.replace("\\", "/")
                     if not i.is_dir() and not name.startswith("/") and ".." not in name.split("/") and (largest is None or i.file_size <= largest):
                         out.append((path, name, z.read(i)))
-            yield pd.DataFrame(out, columns=["path", "member", "content"])
+                yield pd.DataFrame(out, columns=["path", "member", "content"])
 
     return archives.select("path", "content").mapInPandas(members, "path string, member string, content binary")
 
 
-#: Charsets that are declared by a name but written in a larger one.
-LARGER = {"gb2312": "gb18030", "gbk": "gb18030", "iso-8859-1": "cp1252", "latin-1": "cp1252", "ascii": "cp1252"}
-_DECLARED = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
+#: Charsets that are declared by a name but written in a larger one.
+LARGER = {"gb2312": "gb18030", "gbk": "gb18030"}
+_DECLARED = re.compile(rb"""charset\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
+#: Bytes at the beginning of a file among which the declaration is looked for; it has to stand there by the format's rule.
+DECLARED_WITHIN = 4_096
 
 
 def decoded(content: bytes | None, default: str = "utf-8") -> str | None:
-    """Bytes as text: in the charset that the first two thousand bytes declare, if there is one that is known, else in the
-    default; what is not valid in it becomes the replacement sign."""
+    """Bytes as text: in the charset that their beginning declares, if there is one that is known, else in the default;
+    what is not valid in it becomes the replacement sign."""
     if content is None:
         return None
-    found = _DECLARED.search(content[:2_000])
-    name = found[1].decode("ascii").lower() if found else default
+    found = _DECLARED.search(content[:DECLARED_WITHIN])
+    name = found[1].decode("ascii", "replace").lower() if found else default
     try:
         return content.decode(LARGER.get(name, name), "replace")
     except LookupError:
