@@ -28,8 +28,6 @@ import base64
 import functools
 import heapq
 import itertools
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,9 +48,9 @@ SIGN = "\ud800"
 #: Code points of a block of the scan.
 BLOCK = 128
 #: Characters of the texts that are scanned together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: Slices of each of the two generations of the memory, and characters of the longest that is remembered.
-MEMORY, LONG = 400_000, 64
+MEMORY, LONG = 250_000, 64
 
 
 def step(state: str, c: int) -> tuple[str, int]:
@@ -350,55 +348,56 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in by_id])])
 
 
-def encode(docs: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """doc_id, ids array<int>, ends array<int>: where the bytes of each id end in the text's UTF-8."""
-    path = tokenizer_file(tokenizer)
+def encode_batch(b: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    ids, counts = _encoder(path).encode(b.column(1).to_pylist())
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    _, starts = token_bytes(path)
+    ends = np.concatenate([[0], np.cumsum((starts[1:] - starts[:-1])[ids])])
+    rows = pa.array(offsets.astype(np.int32))
+    in_text = ends[1:] - np.repeat(ends[offsets[:-1]], counts)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(rows, pa.array(ids)), pa.ListArray.from_arrays(rows, pa.array(in_text.astype(np.int32)))], names=["doc_id", "ids", "ends"])
+
+
+def decode_batch(b: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    table, starts = token_bytes(path)
+    ids, ends = (b.column(k).flatten().to_numpy() for k in (1, 2))
+    counts = b.column(1).value_lengths().to_numpy()
+    sizes = (starts[1:] - starts[:-1])[ids]
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    full = counts > 0
+    base = np.zeros(len(counts), np.int64)  # where the range begins in its text
+    base[full] = ends[first[full]] - sizes[first[full]]
+    length = np.zeros(len(counts), np.int64)
+    length[full] = ends[(first + counts - 1)[full]] - base[full]
+    rows = np.concatenate([[0], np.cumsum(length)])
+    to = ends - sizes + np.repeat(rows[:-1] - base, counts)
+    out = np.zeros(rows[-1], np.uint8)
+    for k in range(1, int(sizes.max(initial=0)) + 1):  # the k-th byte of every token that has one
+        some = np.flatnonzero(sizes >= k)
+        out[to[some] + (k - 1)] = table[starts[ids[some]] + (k - 1)]
+    binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(rows.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+    return pa.RecordBatch.from_arrays([*b.columns[:3], binary], names=["doc_id", "ids", "ends", "decoded"])
+
+
+ENCODED = "doc_id long, ids array<int>, ends array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                ids, counts = _encoder(path).encode(b.column(1).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                _, starts = token_bytes(path)
-                ends = np.concatenate([[0], np.cumsum((starts[1:] - starts[:-1])[ids])])
-                rows = pa.array(offsets.astype(np.int32))
-                in_text = ends[1:] - np.repeat(ends[offsets[:-1]], counts)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(rows, pa.array(ids)), pa.ListArray.from_arrays(rows, pa.array(in_text.astype(np.int32)))], names=["doc_id", "ids", "ends"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, ids array<int>, ends array<int>")
+def encode(docs: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """doc_id, ids, ends: where the bytes of each id end in the text's UTF-8."""
+    path = tokenizer_file(tokenizer)
+    return doc_texts(docs).mapInArrow(lambda batches: (encode_batch(b, path) for b in batches if b.num_rows), ENCODED)
 
 
 def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """Rows of encode, or ranges of theirs with the ends to match, with their bytes as column decoded; a token's bytes are copied to where ends says."""
     path = tokenizer_file(tokenizer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, starts = token_bytes(path)
-        for b in batches:
-            ids, ends = (b.column(k).flatten().to_numpy() for k in (1, 2))
-            counts = b.column(1).value_lengths().to_numpy()
-            sizes = (starts[1:] - starts[:-1])[ids]
-            first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-            full = counts > 0
-            base = np.zeros(len(counts), np.int64)  # where the range begins in its text
-            base[full] = ends[first[full]] - sizes[first[full]]
-            length = np.zeros(len(counts), np.int64)
-            length[full] = ends[(first + counts - 1)[full]] - base[full]
-            rows = np.concatenate([[0], np.cumsum(length)])
-            to = ends - sizes + np.repeat(rows[:-1] - base, counts)
-            out = np.zeros(rows[-1], np.uint8)
-            for k in range(1, int(sizes.max(initial=0)) + 1):  # the k-th byte of every token that has one
-                some = np.flatnonzero(sizes >= k)
-                out[to[some] + (k - 1)] = table[starts[ids[some]] + (k - 1)]
-            binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(rows.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], binary], names=["doc_id", "ids", "ends", "decoded"])
-
-    return encoded.select("doc_id", "ids", "ends").mapInArrow(run, "doc_id long, ids array<int>, ends array<int>, decoded binary")
+    return encoded.select("doc_id", "ids", "ends").mapInArrow(lambda batches: (decode_batch(b, path) for b in batches), ENCODED + ", decoded binary")
 
 
 def digests(docs: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256. One worker of a task encodes a
+    batch and decodes it again."""
+    path = tokenizer_file(tokenizer)
+    both = doc_texts(docs).mapInArrow(lambda batches: (decode_batch(encode_batch(b, path), path) for b in batches if b.num_rows), ENCODED + ", decoded binary")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs, tokenizer), tokenizer).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
