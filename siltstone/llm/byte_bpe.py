@@ -50,7 +50,7 @@ BLOCK = 128
 #: Characters of the texts that are scanned together.
 TOGETHER = 1_000_000
 #: Slices of each of the two generations of the memory, and characters of the longest that is remembered.
-MEMORY, LONG = 250_000, 64
+MEMORY, LONG = 600_000, 64
 
 
 def step(state: str, c: int) -> tuple[str, int]:
