@@ -7,6 +7,7 @@ documents. All later steps (breadcrumbs, windows, indices) are column expression
 from __future__ import annotations
 
 import bisect
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,73 +40,195 @@ class Policy:
     lead_in: bool = True
 
 
+@dataclass
+class Block:
+    """A heading (level 1 to 6), or content of another kind (level 0), on lines start to end (from 0, end exclusive)."""
+
+    kind: str
+    level: int
+    text: str
+    start: int = 0
+    end: int = 0
+    structure: dict = field(default_factory=dict)
+
+
 @dataclass
 class Segment:
     kind: str
     path: list[str]
     text: str
+    start: int | None = None
+    end: int | None = None
+    structure: dict = field(default_factory=dict)
     tokens: int = field(default=0)
 
     def __post_init__(self):
         self.tokens = estimate(self.text)
 
+    def joined(self, kind: str, path: list[str], other: Segment) -> Segment:
+        """This segment and a later part of it: one text, the lines of both, the structure of both (the later one's counts)."""
+        lines = [x for x in (self.start, other.start) if x is not None], [x for x in (self.end, other.end) if x is not None]
+        return Segment(kind, path, self.text + "\n\n" + other.text, min(lines[0], default=None), max(lines[1], default=None), {**self.structure, **other.structure})
+
 
 def estimate(text: str) -> int:
     wide = len(_WIDE.findall(text))
     return len(_WORD.findall(text)) - wide + round(1.5 * wide)
 
 
-def blocks(text: str) -> Iterator[tuple[str, int, str]]:
-    """(kind, heading level or 0, text) of Markdown-like text, by lines."""
+_ITEM = re.compile(r"([ \t]*)([-*+]|\d+[.)])\s+(.*)")
+
+
+def list_block(lines: list[str]) -> tuple[str, dict]:
+    """A list's text, an item a line and two blanks for each level below the first, and its items with their depths. An item
+    is inside another if it is indented to that one's text; a line without a mark goes on with the item before it."""
+    items: list[dict] = []
+    open_: list[tuple[int, int]] = []  # indentation of the mark and of the text
+    ordered = False
+    for line in lines:
+        m = _ITEM.match(line.expandtabs(4))
+        if not m:
+            if items:
+                items[-1]["text"] += "\n" + line.strip()
+            continue
+        indent = len(m[1])
+        while open_ and indent < open_[-1][1] and indent <= open_[-1][0]:
+            open_.pop()
+        if not open_ or indent >= open_[-1][1]:
+            open_.append((indent, indent + len(m[2]) + 1))
+        ordered = ordered if items else m[2][0].isdigit()
+        items.append({"text": m[3].strip(), "depth": len(open_)})
+    out, number = [], 0
+    for x in items:
+        number += x["depth"] == 1
+        out.append("  " * (x["depth"] - 1) + (f"{number}. " if ordered and x["depth"] == 1 else "- ") + x["text"])
+    return "\n".join(out), {"kind": "list", "ordered": ordered, "items": [x["text"] for x in items if x["depth"] == 1], "items_nested": items, "item_count": len(items)}
+
+
+def table_structure(lines: list[str]) -> dict:
+    cells = [[c.strip() for c in re.split(r"(?<!\\)\|", x.strip().removeprefix("|").removesuffix("|"))] for x in lines]
+    rule = len(cells) > 1 and all(re.fullmatch(r":?-+:?", c) for c in cells[1])
+    columns, body = (cells[0], cells[2:]) if rule else ([], cells)
+    rows = [dict(zip(columns, r)) if columns else {f"col{k}": c for k, c in enumerate(r)} for r in body]
+    return {"kind": "markdown_table", "columns": columns, "rows": rows, "row_count": len(rows), "col_count": len(columns)}
+
+
+def html_structure(text: str) -> dict:
+    low = text.lower()
+    rows = low.count("<tr")
+    return {"kind": "html_table", "raw_html_preserved": True, "row_count": max(1, rows), "col_count": max(1, low.count("<td") // max(1, rows))}
+
+
+def blocks(text: str) -> Iterator[Block]:
+    """Blocks of Markdown-like text, by lines."""
     held: list[str] = []
-    kind = ""
+    kind, start = "", 0
     fence = None
 
-    def flush():
+    def flush(end: int):
         nonlocal held, kind
         if held:
-            yield kind, 0, "\n".join(held)
+            body, structure = "\n".join(held), {}
+            if kind == "list":
+                body, structure = list_block(held)
+            elif kind == "table":
+                structure = table_structure(held)
+            elif kind == "html_table":
+                structure = html_structure(body)
+            elif kind == "code":
+                language = held[0].strip().strip("`~").strip()
+                structure = {"kind": "code_block", "language": language} if language else {}
+            elif kind == "paragraph":
+                structure = {"paragraph_count": 1}
+            yield Block(kind, 0, body, start, end, structure)
         held, kind = [], ""
 
-    for line in text.split("\n"):
+    n = -1
+    for n, line in enumerate(text.split("\n")):
         bare = line.strip()
         if fence:
             held.append(line)
             if bare.startswith(fence):
                 fence = None
-                yield from flush()
+                yield from flush(n + 1)
             continue
         heading = re.match(r"(#{1,6})\s+(.+)", bare)
         if bare.startswith(("```", "~~~")):
-            yield from flush()
-            fence, kind, held = bare[:3], "code", [line]
+            yield from flush(n)
+            fence, kind, held, start = bare[:3], "code", [line], n
         elif heading:
-            yield from flush()
-            yield "heading", len(heading[1]), heading[2].rstrip("# ")
+            yield from flush(n)
+            yield Block("heading", len(heading[1]), re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", heading[2].rstrip("# ")).strip(), n, n + 1)
         elif not bare:
-            yield from flush()
+            yield from flush(n)
         else:
             now = "table" if bare.startswith("|") else "list" if re.match(r"([-*+]|\d+[.)])\s", bare) else "blockquote" if bare.startswith(">") else "html_table" if bare.lower().startswith("<table") else "paragraph"
             if kind and now != kind and not (kind == "list" and line[:1] in " \t"):
-                yield from flush()
-            kind = kind or now
+                yield from flush(n)
+            if not kind:
+                kind, start = now, n
             held.append(line)
-    yield from flush()
+    yield from flush(n + 1)
+
+
+@dataclass
+class Section:
+    """A node of the section tree; the root's title is None unless the document's only top section took its place."""
+
+    title: str | None
+    level: int
+    parent: int | None
+    path: list[str]
+
+
+def section_tree(parts: list[Block]) -> tuple[list[Section], list[tuple[Block, int]]]:
+    """The sections of a document, from the root, and its other blocks, each with the number of its section.
+
+    A heading closes the sections of its level and below. If the first heading lies below the highest level, headings of its
+    level or above it count for nothing until one of the highest level comes. A titled section that is the only one at the top
+    becomes the root and owns what stands before it."""
+    highest = min((b.level for b in parts if b.kind == "heading"), default=0)
+    sections, owned = [Section(None, 0, None, [])], []
+    open_, first = [0], None
+    for b in parts:
+        if b.kind != "heading":
+            owned.append((b, open_[-1]))
+            continue
+        if first is None:
+            first = b.level
+        elif first > highest and b.level > highest and b.level <= first:
+            continue
+        if b.level == highest:
+            first = highest
+        while len(open_) > 1 and sections[open_[-1]].level >= b.level:
+            open_.pop()
+        above = open_[-1]
+        sections.append(Section(b.text, b.level, above, sections[above].path + [b.text]))
+        open_.append(len(sections) - 1)
+    top = [k for k, x in enumerate(sections) if x.parent == 0]
+    if len(top) == 1 and sections[top[0]].title:
+        only = sections[top[0]]
+        sections[0] = Section(only.title, only.level, None, only.path)
+        owned = [(b, 0 if k == top[0] else k) for b, k in owned]
+        for x in sections[1:]:
+            x.parent = 0 if x.parent == top[0] else x.parent
+        only.parent = None  # the root has its place
+    return sections, owned
 
 
 def walk(text: str) -> list[Segment]:
-    """Headings become paths; standalone kinds are segments of their own, neighbouring paragraphs are grouped."""
+    """Standalone kinds are segments of their own, neighbouring paragraphs of a section are grouped."""
+    sections, owned = section_tree(list(blocks(text)))
     out: list[Segment] = []
-    path: list[tuple[int, str]] = []
-    for kind, level, body in blocks(text):
-        if kind == "heading":
-            path = [p for p in path if p[0] < level] + [(level, body)]
-            continue
-        titles = [t for _, t in path]
-        if out and kind == "paragraph" and out[-1].kind == "paragraph" and out[-1].path == titles:
-            out[-1] = Segment(kind, titles, out[-1].text + "\n\n" + body)
+    last = None
+    for b, k in owned:
+        path = sections[k].path
+        if out and b.kind == "paragraph" and out[-1].kind == "paragraph" and last == k:
+            counted = {"paragraph_count": out[-1].structure.get("paragraph_count", 0) + 1}
+            out[-1] = out[-1].joined(b.kind, path, Segment(b.kind, path, b.text, b.start, b.end, counted))
         else:
-            out.append(Segment(kind, titles, body))
+            out.append(Segment(b.kind, path, b.text, b.start, b.end, b.structure))
+        last = k
     return out
 
 
@@ -125,7 +248,7 @@ def merge_small(segments: list[Segment], p: Policy) -> list[Segment]:
             lead = last.kind == "paragraph" and last.tokens < p.merge_below and (s.kind == "list" or table and s.tokens <= p.table_alone)
             joins = lead or s.tokens < p.merge_below and s.kind not in CLOSED and last.kind not in CLOSED
         if joins:
-            out[-1] = Segment(stronger(last.kind, s.kind), s.path, last.text + "\n\n" + s.text)
+            out[-1] = last.joined(stronger(last.kind, s.kind), s.path, s)
         else:
             out.append(s)
     return out
@@ -151,7 +274,7 @@ def absorb_orphans(segments: list[Segment], p: Policy) -> list[Segment]:
             j = min(near, key=lambda j: (abs(j - i), j))
             host = out[j]
             if host.tokens + orphan.tokens <= p.most and host.kind not in CLOSED:
-                out[j] = Segment(stronger(host.kind, orphan.kind), host.path, host.text + "\n\n" + orphan.text)
+                out[j] = host.joined(stronger(host.kind, orphan.kind), host.path, orphan)
                 out[i] = None
                 own = at[tuple(orphan.path)]
                 del own[bisect.bisect_left(own, i)]
@@ -168,7 +291,7 @@ def lead_forward(segments: list[Segment], p: Policy) -> list[Segment]:
         if last and last.kind == "paragraph" and last.tokens < p.chunk_below and s.kind not in CLOSED and last.tokens + s.tokens <= p.most:
             shared = min(len(last.path), len(s.path))
             if last.path != s.path and last.path[:shared] == s.path[:shared]:
-                out[-1] = Segment(s.kind, s.path, last.text + "\n\n" + s.text)
+                out[-1] = last.joined(s.kind, s.path, s)
                 continue
         out.append(s)
     return out
@@ -201,7 +324,7 @@ def split_large(segment: Segment, p: Policy) -> list[Segment]:
         else:
             held.append(para)
     texts += _packed(held, p.most, "\n\n")
-    return [Segment(segment.kind, segment.path, x) for x in texts if x.strip()]
+    return [Segment(segment.kind, segment.path, x, segment.start, segment.end, segment.structure) for x in texts if x.strip()]
 
 
 def segment_text(text: str, p: Policy) -> list[Segment]:
@@ -212,18 +335,38 @@ def segment_text(text: str, p: Policy) -> list[Segment]:
 
 
 def segment_documents(docs: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """document, segment_index, block_type, section_path, text, token_count, breadcrumb; docs: document, title, text."""
+    """document, segment_index, block_type, section_title, section_path, text, token_count, line_start, line_end (exclusive),
+    structure (JSON of tables, lists and the like), breadcrumb; docs: document, title, text."""
     policy = policy or Policy()
-    shape = "array<struct<block_type:string,section_path:array<string>,text:string,token_count:int>>"
+    shape = "array<struct<block_type:string,section_title:string,section_path:array<string>,text:string,token_count:int,line_start:int,line_end:int,structure:string>>"
 
     @F.pandas_udf(shape)
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"block_type": s.kind, "section_path": s.path, "text": s.text, "token_count": s.tokens} for s in segment_text(t, policy)])
+        return texts.map(
+            lambda t: [
+                {"block_type": s.kind, "section_title": s.path[-1] if s.path else None, "section_path": s.path, "text": s.text, "token_count": s.tokens, "line_start": s.start, "line_end": s.end, "structure": json.dumps(s.structure, ensure_ascii=False)}
+                for s in segment_text(t, policy)
+            ]
+        )
 
     d = docs.select("document", "title", F.posexplode(cut("text")).alias("segment_index", "s")).select("document", "title", "segment_index", "s.*")
     return d.withColumn("breadcrumb", breadcrumb(F.col("title"), F.col("section_path"))).drop("title")
 
 
+def outline(docs: DataFrame) -> DataFrame:
+    """document, section (0 for the root), parent, level, title, path: the section trees; docs: document, text."""
+
+    @F.pandas_udf("array<struct<section:int,parent:int,level:int,title:string,path:array<string>>>")
+    def sections(texts: pd.Series) -> pd.Series:
+        def rows(text: str | None) -> list[dict]:
+            tree, _ = section_tree(list(blocks(text or "")))
+            return [{"section": k, **vars(x)} for k, x in enumerate(tree) if k == 0 or x.parent is not None]
+
+        return texts.map(rows)
+
+    return docs.select("document", F.explode(sections("text")).alias("s")).select("document", "s.*")
+
+
 def breadcrumb(title: Column, path: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(F.concat(F.array(title), path), lambda x: F.coalesce(x, F.lit("")) != "")), " > ")
 

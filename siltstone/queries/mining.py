@@ -41,7 +41,7 @@ def crumbs(t):
 @query("p11_segments")
 def segments(t):
     """All segments of all documents after merging, absorbing, lead-in and splitting."""
-    return _segments(t).select("document", "segment_index", "block_type", "token_count", "breadcrumb", F.sha2("text", 256).alias("text_hash"))
+    return _segments(t).select("document", "segment_index", "block_type", "token_count", "line_start", "line_end", "structure", "breadcrumb", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("p17_reindex", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system'")

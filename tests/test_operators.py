@@ -40,7 +40,8 @@ def test_merging_within_a_section():
     assert kinds(merge("> said\n\nsmall two")) == ["blockquote"]  # of equal ranks the earlier
     assert kinds(merge("small one\n\n<table><tr><td>x</td></tr></table>")) == ["html_table"]
     assert kinds(merge(f"{'long ' * 120}\n\n{table}")) == ["paragraph", "table"]
-    assert kinds(merge("one\n\n## s\n\ntwo")) == ["paragraph", "paragraph"]
+    assert kinds(merge("one\n\n## s\n\ntwo\n\n## t\n\nthree")) == ["paragraph"] * 3
+    assert kinds(merge("one\n\n## s\n\ntwo")) == ["paragraph"]  # the only section at the top owns what precedes it
 
 
 def test_orphans_join_the_nearest_ancestor():
