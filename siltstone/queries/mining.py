@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import assembly, discourse, graph, retrieval, segment, state, units
+from ..operators import assembly, containment, discourse, graph, retrieval, segment, state, units
 from ..operators.relational import bounded
 from ..sources import html, records
 from ..streaming import ingest as streaming
@@ -317,5 +317,6 @@ def quality(t):
 SELECT count(*) AS questions, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS found FROM benchmark LEFT JOIN r USING (item_id)""")
 def retrieval_eval(t):
     """Share of the benchmark passages whose whole text some document holds."""
-    hit = t.documents.join(bounded(t.benchmark.select("item_id", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("item_id").distinct().withColumn("hit", F.lit(1.0))
+    p = t.benchmark.select("item_id", F.col("text").alias("passage"))
+    hit = containment.holders(p, t.documents.select(F.col("doc_id").alias("unit_id"), "text")).select("item_id").distinct().withColumn("hit", F.lit(1.0))
     return t.benchmark.select("item_id").join(hit, "item_id", "left").agg(F.count("*").alias("questions"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 9).alias("found"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,3 +46,38 @@ def rolling_failures(events: DataFrame, at: str, failed, every: str = "5 minutes
 def expired(tasks: DataFrame, now, lease: str = "lease_expires_at") -> DataFrame:
     """Running tasks whose lease is over."""
     return tasks.where((F.col("status") == "running") & (F.col(lease) <= now))
+
+
+def expiries(claims: DataFrame, lease: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """task, expires_at of each lease that ran out: a claim that no later event of its task followed within the lease. claims:
+    task, at, claims (does the event take the lease, or give it back?).
+
+    A task's last open claim is its state, with a timer at the lease's end; the timer goes off when the stream's time has
+    passed it, so a lease ends even if nothing more is heard of its task. Events later than `late` are left out."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    span = int(pd.Timedelta(lease) / pd.Timedelta(microseconds=1))
+
+    def advance(key, batches, state):
+        ended = []
+        if state.hasTimedOut:
+            ended.append(state.get[0])
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("us", kind="stable")
+            ends = state.get[0] if state.exists else None
+            for at, claims_it in zip(rows["us"].tolist(), rows["claims"].tolist()):
+                if ends is not None and at > ends:
+                    ended.append(ends)
+                ends = at + span if claims_it else None
+            if ends is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((ends,))
+                state.setTimeoutTimestamp(max(ends // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"task": pd.Series([key[0]] * len(ended), dtype="int64"), "us": pd.Series(ended, dtype="int64")})
+
+    d = claims.select(F.col("task").cast("long").alias("task"), F.col("at").cast("timestamp").alias("at"), "claims").withWatermark("at", late).withColumn("us", F.unix_micros("at"))
+    ended = d.groupBy("task").applyInPandasWithState(advance, "task long, us long", "ends long", "append", GroupStateTimeout.EventTimeTimeout)
+    return ended.select("task", F.timestamp_micros("us").alias("expires_at"))
