@@ -12,7 +12,8 @@ Equal vectors are one: each distinct vector stands for its k + 1 smallest vec_id
 query's k best (one may be the query). The curves order distinct vectors, the best ones are expanded to their ids, and a
 query's own vector is always among them.
 
-Cuts are fitted on a bounded sample (SAMPLE vectors by hash, shared out among the bands), every one is indexed. A range holds a fixed share of the
+Cuts are fitted on a bounded sample (about SAMPLE vectors, by a bound on their hash, shared out among the bands), every one is
+indexed. A range holds a fixed share of the
 rows, so the work grows with queries times rows: on vectors without cluster structure no curve can do better at a
 given recall. Ranges are dealt to tasks in tiles of bounded size (TILE_ROWS candidates by TILE_QUERIES queries).
 
@@ -39,6 +40,8 @@ LEAST = 4
 AXES, BITS = 6, 10
 SAMPLE = 20_000
 TILE_ROWS, TILE_QUERIES = 8_000, 4_000
+#: Values of the hash by which the sample is drawn.
+SHARES = 1 << 30
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -177,8 +180,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CUR
     asked = materialize(asked.join(groups.select("v", "node"), "v").select("query_id", "node"), folder + "/queries")
     searched = groups.join(asked.select("node").distinct(), "node", "left_semi").select("node", "v", "tie", "first", "band")
     queries = asked.select("node").distinct().count()
-    drawn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("v", F.lit(1)), "tie"))
-    picked = groups.select("v", "tie", "band", drawn.alias("drawn")).where(F.col("drawn") <= max(windows, sample // len(counts))).drop("drawn").toPandas()
+    # rows whose hash is in the share that makes about as many as are wanted of each band: no order of all rows is needed
+    wanted = max(windows, sample // len(counts))
+    share = F.create_map(*[F.lit(x) for band, n in counts.items() for x in (band, int(min(1.0, wanted / n) * SHARES))])[F.col("band")]
+    picked = groups.select("v", "tie", "band").where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(SHARES)) < share).toPandas().sort_values("tie", kind="stable")
     # for each band its curves, tiles of candidates, windows that a query looks at, and tiles of queries
     plan = {}
     for band, some in picked.groupby("band"):
