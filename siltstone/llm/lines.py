@@ -86,7 +86,7 @@ def with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
     lost = materialize(lost, workspace(docs.sparkSession) + "/lost")
     touched, others = split_by_ids(docs, lost.select("doc_id"))
     per_doc = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
-    return touched.join(per_doc.hint("merge"), "doc_id", "left").select(*docs.columns, "lost").unionByName(others.withColumn("lost", F.lit(None).cast("array<binary>")))
+    return touched.join(per_doc.hint("merge"), "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "lost").unionByName(others.withColumn("lost", F.lit(None).cast("array<binary>")))
 
 
 def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
