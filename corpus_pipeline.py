@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns the rows that the next one works on, with
 the columns of documents; the last one returns the packing plan. A changed text brings n_chars up to date. Rows without
 doc_id are left out by the first stage; rows that repeat a doc_id are documents of their own text, and of those that are
-near duplicates of each other the near-duplicate stage keeps one.
+near duplicates of each other the near-duplicate stage keeps one. Null and empty texts, and texts without words, are what the
+operators say they are: the base quality rule rejects them, and the later stages leave them as they are, one for each doc_id;
+ties are broken by doc_id, text and then the other columns in their order; a very long text is one value in one task, whole, in
+every stage; an empty table stays empty. Other columns may have any names and types: a name that a stage uses itself is set
+aside while it works, and columns that have no order (maps) are compared as JSON.
 """
 
 from __future__ import annotations
@@ -34,16 +38,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: repeated lines go, but for those of the largest doc_id."""
-    clash = "lost" in docs.columns  # a column of the operator's own name
-    named = docs.withColumnRenamed("lost", "__own_lost") if clash else docs
-    every = with_lost(named, repeated_lines(docs))
+    aside = {c: _free(f"own_{k}", docs.columns) for k, c in enumerate(docs.columns) if c.lower() == "lost"}  # the operator's own name
+    every = with_lost(docs.withColumnsRenamed(aside), repeated_lines(docs))
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, lost: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or gone is None else kept_lines(t, gone, MIN_POINTS) for t, gone in zip(texts, lost)], dtype=object)
 
     out = _with_text(every, F.when(F.col("lost").isNull(), F.col("text")).otherwise(rewrite("text", "lost"))).drop("lost")
-    return out.withColumnRenamed("__own_lost", "lost") if clash else out
+    return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+
+def _free(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _ordered(docs: DataFrame) -> list:
+    """The columns of row, a struct of a document's, that break ties after its text; those without an order as JSON."""
+    fields = [(F.col("row")[c], c, t) for c, t in docs.dtypes if c not in ("doc_id", "text")]
+    return [F.to_json(F.struct(x.alias("x"))) if "map<" in t or "variant" in t else x for x, _, t in fields]
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +78,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         sets = [shingle_set(t) for t in texts]
         return pd.DataFrame({"n": pd.Series([len(g) for g in sets], dtype="int32"), "id": pd.Series([set_id(g) for g in sets], dtype="int64")})
 
-    some = touched.join(stays.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    named = some.withColumn("__set", name(F.coalesce(F.col("text").cast("string"), F.lit("")))).select(*docs.columns, F.col("__set.n").alias("__n"), F.col("__set.id").alias("__id"))
-    first = F.row_number().over(Window.partitionBy("doc_id", "__n", "__id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    kept = named.join(stays.hint("merge"), ["doc_id", "__n", "__id"], "left_semi").withColumn("__first", first)
-    return kept.where("__first = 1").select(*docs.columns).unionByName(others.select(*docs.columns))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    packed = touched.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*names).alias("row"))
+    some = packed.join(stays.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    named = some.withColumn("set", name("text")).select("doc_id", "row", F.col("set.n").alias("__n"), F.col("set.id").alias("__id"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "__n", "__id").orderBy(F.col("row")["text"], *_ordered(docs)))
+    kept = named.join(stays.hint("merge"), ["doc_id", "__n", "__id"], "left_semi").withColumn("first", first)
+    return kept.where("first = 1").select("row.*").unionByName(others.select(*names))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
