@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import npmi, npmi_confidence
 from ..functions.text import alias_form
-from .relational import both_directions
+from .relational import both_directions, bounded
 
 
 def cooccurrence(mentions: DataFrame, corpus_segments: int | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def relation_candidates(mentions: DataFrame, rules: DataFrame) -> DataFrame:
     t = m.select("segment", F.col("entity").alias("tail"), F.col("type").alias("tail_type"))
     pairs = h.join(t, "segment").where("head <> tail")
     r = rules.select("relation_type", F.col("head_type").alias("rh"), F.col("tail_type").alias("rt"))
-    return pairs.join(F.broadcast(r), F.expr("(rh = '*' OR rh = head_type) AND (rt = '*' OR rt = tail_type)"), "left").drop("rh", "rt")
+    return pairs.join(bounded(r), F.expr("(rh = '*' OR rh = head_type) AND (rt = '*' OR rt = tail_type)"), "left").drop("rh", "rt")
 
 
 def edges(mentions: DataFrame, rules: DataFrame, threshold: float = 0.3) -> DataFrame:

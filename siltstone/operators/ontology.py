@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import contained_pairs
+
 UNTYPED = "__untyped__"
 
 
@@ -156,9 +158,13 @@ def suggest(mentions: DataFrame, entities: DataFrame, most: int = 5) -> DataFram
     """mention, entity, place: entities of the mention's type of which one name contains the other, case aside, the most
     mentioned first. mentions: mention, text, type; entities: entity, name, type, mention_count."""
     a = mentions.where("text <> '' AND type <> ''").select("mention", F.lower("text").alias("t"), "type")
-    b = entities.select("entity", F.lower("name").alias("n"), "type", "mention_count")
-    met = a.join(b, "type").where(F.contains(F.col("t"), F.col("n")) | F.contains(F.col("n"), F.col("t")))
-    w = Window.partitionBy("mention").orderBy(F.desc("mention_count"), "entity")
+    b = entities.where("name <> ''").select("entity", F.lower("name").alias("n"), "type", "mention_count")
+    names = a.select("type", F.col("t").alias("name")).unionByName(b.select("type", F.col("n").alias("name"))).distinct()
+    pairs = contained_pairs(names, ["type"])
+    same = names.select("type", F.col("name").alias("t"), F.col("name").alias("n"))
+    either = pairs.toDF("type", "t", "n").unionByName(pairs.toDF("type", "n", "t")).unionByName(same)
+    met = a.join(either, ["type", "t"]).join(b, ["type", "n"])
+    w = Window.partitionBy("mention").orderBy(F.desc("mention_count"), "entity")  # cut to `most` before the shuffle too
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("mention", "entity", "place")
 
 

@@ -52,21 +52,28 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int)
     return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
-def spread_rank(df: DataFrame, keys: Sequence[str], score: str, tie: str, bins: int = 4_096) -> DataFrame:
+def spread_rank(df: DataFrame, keys: Sequence[str], score: str, tie: str, bins: int = 128, sample: int = 100_000) -> DataFrame:
     """Adds rank within keys, from 1: greatest score first (null last), then by tie, as a window over keys would; but no
-    group is one task's. Rows are dealt to bins of equal width of their group's scores, ranked in their bin, and moved by
-    the rows of the bins before it. The exact extremes decide the bins, so every evaluation deals alike."""
-    ends = df.groupBy(*keys).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
-    met = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
-    width = F.nullif(F.col("__high") - F.col("__low"), F.lit(0))
-    at = F.coalesce(F.floor((F.col("__high") - F.col(score)) / width * (bins - 1)), F.when(F.col(score).isNull(), bins).otherwise(0)).cast("int")
+    group is one task's. Rows are dealt to bins between cuts, ranked in their bin, and moved by the rows of the bins before
+    it. Cuts are places in the order of (score, tie) in a sample of about `sample` rows, drawn by hash, so that bins fill
+    evenly whatever the scores are, equal ones too, and every evaluation deals alike."""
+    every = df.count()
+    place = [F.when(F.col(score).isNull(), 1).otherwise(0).alias("absent"), (-F.coalesce(F.col(score).cast("double"), F.lit(0.0))).alias("score"), F.col(tie).alias("tie")]
+    drawn = F.pmod(F.xxhash64(*keys, score, tie), F.lit(1 << 30)) < int(min(1.0, sample / max(1, every)) * (1 << 30))
+    some = df.where(drawn).select(*keys, F.struct(*place).alias("__at"))
+    ordered = Window.partitionBy(*keys).orderBy("__at")
+    placed = some.withColumn("__r", F.row_number().over(ordered)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    step = F.greatest(F.lit(1), F.ceil(F.col("__n") / bins))
+    cuts = placed.where(F.col("__r") % step == 0).groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__cuts"))  # bins a group at most
     all_of = lambda cs: functools.reduce(lambda x, y: x & y, cs)
-    dealt = df.alias("__l").join(ends.alias("__r"), all_of(met)).select("__l.*", at.alias("__bin"))
+    met = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+    at = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__at"))), F.lit(0))
+    dealt = df.withColumn("__at", F.struct(*place)).alias("__l").join(cuts.alias("__r"), all_of(met), "left").select("__l.*", F.when(F.col("__cuts").isNull(), 0).otherwise(at).alias("__bin"))
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(*keys, "__bin").count().select(*keys, "__bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
     inside = F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy(F.desc_nulls_last(score), tie))
-    placed = dealt.withColumn("rank", inside).alias("__l").join(offsets.alias("__r"), all_of([*met, F.col("__l.__bin") == F.col("__r.__bin")]))
-    return placed.select(*[F.col(f"__l.{c}") for c in df.columns], (F.col("__l.rank") + F.col("__r.__offset")).alias("rank"))
+    ranked = dealt.withColumn("rank", inside).alias("__l").join(offsets.alias("__r"), all_of([*met, F.col("__l.__bin") == F.col("__r.__bin")]))
+    return ranked.select(*[F.col(f"__l.{c}") for c in df.columns], (F.col("__l.rank") + F.col("__r.__offset")).alias("rank"))
 
 
 def best_of(df: DataFrame, keys: Sequence[str], by: Sequence[Column], values: Sequence[str]) -> DataFrame:
@@ -112,14 +119,15 @@ def latest_not_after(left: DataFrame, right: DataFrame, keys: Sequence[str], at:
     return met.select(*keys, "__l.*", F.col(f"__r.{event}").alias(event), *[F.col(f"__r.{v}").alias(v) for v in values])
 
 
-def contained_pairs(names: DataFrame) -> DataFrame:
-    """outer, inner: distinct names (one column, name) of which the outer one contains the other, which isn't empty. Names
-    meet where the beginning of the inner one, up to three characters, is a piece of the outer one."""
-    n = names.where("name <> ''").select("name").distinct()
+def contained_pairs(names: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """outer, inner, after the columns of within: distinct names (name), of equal ones of these, of which the outer one contains
+    the other, which isn't empty. Names meet where the beginning of the inner one, up to three characters, is a piece of the
+    outer one."""
+    n = names.where("name <> ''").select(*within, "name").distinct()
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.array(*[F.substring("name", i, F.lit(k)) for k in (1, 2, 3)])))
-    outer = n.select(F.col("name").alias("outer"), F.explode(F.array_distinct(pieces)).alias("piece"))
-    inner = n.select(F.col("name").alias("inner"), F.substring("name", 1, 3).alias("piece"))
-    return outer.join(inner, "piece").where((F.col("outer") != F.col("inner")) & F.contains(F.col("outer"), F.col("inner"))).select("outer", "inner")
+    outer = n.select(*within, F.col("name").alias("outer"), F.explode(F.array_distinct(pieces)).alias("piece"))
+    inner = n.select(*within, F.col("name").alias("inner"), F.substring("name", 1, 3).alias("piece"))
+    return outer.join(inner, [*within, "piece"]).where((F.col("outer") != F.col("inner")) & F.contains(F.col("outer"), F.col("inner"))).select(*within, "outer", "inner")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, most_hops: int | None = None) -> DataFrame:

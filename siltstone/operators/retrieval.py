@@ -228,11 +228,34 @@ def identity_fusion(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("query_id", "unit_id").agg(F.max("score").alias("score"))
 
 
-def expand_queries(queries: DataFrame, variants: DataFrame, most: int = 2) -> DataFrame:
-    """The queries and their first `most` variants as one pool; variants: query_id, n, text."""
+def expand_queries(queries: DataFrame, variants: DataFrame, most: int = 2, sub_queries: DataFrame | None = None, most_subs: int = 4) -> DataFrame:
+    """The queries, their first `most` variants and, after these, their first `most_subs` sub-queries as one pool; variants
+    and sub_queries: query_id, n (from 1), text."""
     own = queries.select("query_id", F.lit(0).alias("variant"), "text")
-    more = variants.where(F.col("n") <= most).select("query_id", F.col("n").cast("int").alias("variant"), "text")
-    return own.unionByName(more)
+    out = own.unionByName(variants.where(F.col("n") <= most).select("query_id", F.col("n").cast("int").alias("variant"), "text"))
+    if sub_queries is None:
+        return out
+    return out.unionByName(sub_queries.where(F.col("n") <= most_subs).select("query_id", (F.col("n") + most).cast("int").alias("variant"), "text"))
+
+
+def pooled(candidates: DataFrame) -> DataFrame:
+    """What a query's variants and sub-queries found as the query's own candidates, before fusion: of each route a unit's best
+    score. candidates: query_id, variant, unit_id, score, source."""
+    return candidates.groupBy("query_id", "unit_id", "source").agg(F.max("score").alias("score")).select(*CANDIDATE)
+
+
+def query_entities(queries: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """query_id, type, name, normalized: every match of a domain's rules (type, pattern; type unknown if null), and the
+    command unless a rule found it under its name."""
+    text = F.coalesce("text", F.lit(""))
+    command = queries.select("query_id", F.lit("command").alias("type"), command_of(text).alias("name")).where("name IS NOT NULL")
+    if rules is None:
+        return command.withColumn("normalized", F.col("name"))
+    fine = bounded(rules.where(F.trim(F.coalesce("pattern", F.lit(""))) != "").select(F.coalesce("type", F.lit("unknown")).alias("type"), "pattern"))
+    met = queries.select("query_id", text.alias("text")).join(fine)
+    found = met.select("query_id", "type", F.explode(F.expr("regexp_extract_all(text, pattern, 0)")).alias("name"))
+    rest = command.join(found.select("query_id", "name").distinct(), ["query_id", "name"], "left_anti").select("query_id", "type", "name")
+    return found.unionByName(rest).withColumn("normalized", F.upper("name"))
 
 
 def tiers(candidates: DataFrame, *conditions: Column) -> DataFrame:
@@ -351,21 +374,28 @@ def route_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "complexity string, source string, weight double, top_k int")
 
 
-def route_plan(queries: DataFrame, policy: DataFrame | None = None) -> DataFrame:
-    """query_id, source, weight, top_k, fusion, rerank: the routes of each query (query_id, intent, complexity). A policy
-    (intent, source, weight, top_k) takes the table's place for the intents it names; an unknown complexity counts as
-    medium. A missing weight is 1, a missing size 50; one route alone needs no fusion."""
+def route_plan(queries: DataFrame, policy: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """query_id, source, weight, top_k, fusion, rerank: the routes of each query (query_id, intent, complexity, and
+    needs_comparison if there is such a column). A policy (intent, source, weight, top_k) takes the table's place for the
+    intents it names; an unknown complexity counts as medium. A missing weight is 1, a missing size 50; one route alone needs
+    no fusion. An override (intent, rerank) that isn't blank decides how an intent is reranked; else the cascade serves its own
+    intents, complex queries and those that need a comparison."""
     spark = queries.sparkSession
-    q = queries.select("query_id", "intent", F.when(F.col("complexity").isin(*ROUTES), F.col("complexity")).otherwise("medium").alias("complexity"))
+    compares = F.coalesce(F.col("needs_comparison"), F.lit(False)) if "needs_comparison" in queries.columns else F.lit(False)
+    q = queries.select("query_id", "intent", compares.alias("compares"), F.when(F.col("complexity").isin(*ROUTES), F.col("complexity")).otherwise("medium").alias("complexity"))
     table = F.broadcast(route_table(spark))
     if policy is None:
         routed = q.join(table, "complexity")
     else:
-        own = F.broadcast(policy.select("intent", "source", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("top_k", F.lit(50)).alias("top_k")))
-        ruled = F.broadcast(policy.select("intent").distinct())
+        own = bounded(policy.select("intent", "source", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("top_k", F.lit(50)).alias("top_k")))
+        ruled = bounded(policy.select("intent").distinct())
         routed = q.join(own, "intent").unionByName(q.join(ruled, "intent", "left_anti").join(table, "complexity"))
     n = F.count("*").over(Window.partitionBy("query_id"))
-    rerank = F.when(F.col("intent").isin(*CASCADE) | (F.col("complexity") == "complex"), "cascade").otherwise("score")
+    rerank = F.when(F.col("intent").isin(*CASCADE) | (F.col("complexity") == "complex") | F.col("compares"), "cascade").otherwise("score")
+    if overrides is not None:
+        said = overrides.where(F.trim(F.coalesce("rerank", F.lit(""))) != "").groupBy("intent").agg(F.max("rerank").alias("__rerank"))
+        routed = routed.join(bounded(said), "intent", "left")
+        rerank = F.coalesce("__rerank", rerank)
     return routed.select("query_id", "source", "weight", "top_k", F.when(n > 1, "weighted_rrf").otherwise("identity").alias("fusion"), rerank.alias("rerank"))
 
 

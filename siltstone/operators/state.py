@@ -38,6 +38,20 @@ def build_problems(selections: DataFrame, segments: DataFrame) -> DataFrame:
     return selections.where("status = 'active'").join(segments.select("snapshot").distinct(), "snapshot", "left_anti")
 
 
+def invalid_builds(builds: DataFrame, selections: DataFrame, segments: DataFrame) -> DataFrame:
+    """build, problem, snapshot of everything that keeps a build from being published: missing_parent of an incremental one,
+    no_active (a withdrawal may be empty), and no_segments of an active snapshot. builds: build, mode, parent, operation;
+    selections: build, snapshot, status; segments: snapshot."""
+    parents = builds.select(F.col("build").alias("parent")).distinct()
+    orphan = builds.where("mode = 'incremental' AND parent IS NOT NULL").join(parents, "parent", "left_anti")
+    active = selections.where("status = 'active'")
+    empty = builds.where("coalesce(operation, '') <> 'withdrawal'").join(active.select("build").distinct(), "build", "left_anti")
+    bare = active.join(builds.select("build").distinct(), "build", "left_semi").join(segments.select("snapshot").distinct(), "snapshot", "left_anti")
+    none = F.lit(None).cast(dict(selections.dtypes)["snapshot"]).alias("snapshot")
+    one = lambda d, name, s=none: d.select("build", F.lit(name).alias("problem"), s)
+    return one(orphan, "missing_parent").unionByName(one(empty, "no_active")).unionByName(one(bare, "no_segments", F.col("snapshot")))
+
+
 def publish(releases: DataFrame, build: str, channel: str, at: str) -> DataFrame:
     """The channel's active release retired, the new one active: exactly one is active per channel."""
     old = releases.withColumn("status", F.when((F.col("channel") == channel) & (F.col("status") == "active"), "retired").otherwise(F.col("status")))

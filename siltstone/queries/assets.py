@@ -76,7 +76,7 @@ def all_units(t):
     return u.groupBy("unit_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.sum(F.length("text")).alias("chars"))
 
 
-MENTIONS = "m AS (SELECT DISTINCT l_orderkey AS s, p_brand AS e FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 3 = 0)"
+MENTIONS = "m AS (SELECT DISTINCT l_orderkey AS s, p_brand AS e FROM lineitem JOIN part ON l_partkey = p_partkey)"
 NPMI = f"""{MENTIONS}, n AS (SELECT count(DISTINCT s)::DOUBLE AS n FROM m), c AS (SELECT e, count(*) AS c FROM m GROUP BY 1),
 b AS (SELECT x.e AS h, y.e AS t, count(*) AS nb FROM m x JOIN m y ON x.s = y.s AND x.e <> y.e GROUP BY ALL),
 p AS (SELECT h, t, nb, ln((nb / n) / ((ch.c / n) * (ct.c / n))) / -ln(nb / n) AS npmi FROM b JOIN c ch ON ch.e = h JOIN c ct ON ct.e = t, n)"""
@@ -84,7 +84,7 @@ p AS (SELECT h, t, nb, ln((nb / n) / ((ch.c / n) * (ct.c / n))) / -ln(nb / n) AS
 
 def _mentions(t):
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity"))
-    return t.lineitem.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("segment"), "l_partkey").join(p, "l_partkey").select("segment", "entity", F.lit("brand").alias("type")).distinct()
+    return t.lineitem.select(F.col("l_orderkey").alias("segment"), "l_partkey").join(p, "l_partkey").select("segment", "entity", F.lit("brand").alias("type")).distinct()
 
 
 @query("m12_edges", f"WITH {NPMI} SELECT h AS head, t AS tail, 'with' AS relation_type, nb AS evidence, round(greatest(0, least(1, (npmi + 1) / 2)), 9) AS confidence FROM p WHERE npmi >= -0.01")
@@ -130,11 +130,11 @@ def preflight_counts(t):
     return state.preflight(d, s, none, "w").groupBy("classification").agg(F.count("*").alias("n"))
 
 
-ITEMS = "f AS (SELECT 'p' || p_partkey AS item_id, p_brand AS snapshot FROM part WHERE p_partkey % 4 = 0), r AS (SELECT l_orderkey % 5000 AS relation_id, 'p' || min(l_partkey) AS src, 'p' || max(l_partkey) AS dst FROM lineitem GROUP BY 1)"
+ITEMS = "f AS (SELECT 'p' || p_partkey AS item_id, p_brand AS snapshot FROM part), r AS (SELECT l_orderkey % 5000 AS relation_id, 'p' || min(l_partkey) AS src, 'p' || max(l_partkey) AS dst FROM lineitem GROUP BY 1)"
 
 
 def _items(t):
-    f = t.part.where("p_partkey % 4 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("item_id"), F.col("p_brand").alias("snapshot"))
+    f = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("item_id"), F.col("p_brand").alias("snapshot"))
     r = t.lineitem.groupBy((F.col("l_orderkey") % 5000).alias("relation_id")).agg(F.concat(F.lit("p"), F.min("l_partkey")).alias("src"), F.concat(F.lit("p"), F.max("l_partkey")).alias("dst"))
     return f, r
 

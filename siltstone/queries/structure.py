@@ -8,10 +8,11 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..catalog import query
 from ..operators import layout, segment
-from ..sources import docx
+from ..sources import docx, toc
 
 #: Lines of documents as laid-out blocks: four on a page, the first a running head, some numbered or in larger fonts.
 LAID_OUT = """SELECT doc_id, i, i // 4 + 1 AS page, CASE WHEN i % 4 = 0 THEN 'Seite ' || (i // 4 + 1) || ' von 9' WHEN i % 5 = 2 THEN (i // 5 + 1) || '.' || (i % 3) || ' ' || trim(x) WHEN i % 7 = 3 THEN 'Table ' || i || ' ' || trim(x) WHEN i % 11 = 5 THEN '第' || i || '章 ' || trim(x) ELSE trim(x) END AS text,
@@ -60,7 +61,7 @@ def docx_structure(t):
     return d.select(F.col("document").cast("bigint").alias("doc_id"), "place", "block_type", "level", F.sha2("text", 256).alias("h"), F.array_join("path", " > ").alias("path"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _word_file(source: pd.Series, lang: pd.Series, lines: pd.Series) -> pd.Series:
     name = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     styles = f'<w:styles {name}>' + "".join(f'<w:style w:type="paragraph" w:styleId="{i}"{d}><w:name w:val="{n}"/></w:style>' for i, n, d in (("Normal", "Normal", ' w:default="1"'), ("h1", "heading 1", ""), ("h2", "Heading 2", ""), ("lp", "List Paragraph", ""))) + "</w:styles>"
@@ -94,3 +95,26 @@ def section_tree(t):
     s = segment.segment_documents(d, one)
     at = s.select("document", "section_path", F.explode(F.sequence("line_start", F.col("line_end") - 1, F.lit(2))).alias("line_start"))
     return at.select(F.col("document").cast("bigint").alias("doc_id"), "line_start", F.array_join("section_path", " > ").alias("path"))
+
+
+SITE = "regexp_extract(url, '^https?://([^/]+)', 1)"
+
+
+@query("s06_toc_order", f"""WITH p AS (SELECT {SITE} AS archive, page_id, row_number() OVER (PARTITION BY {SITE} ORDER BY page_id DESC) - 1 AS n FROM pages)
+SELECT archive, n * 2 AS place, (1 + n % 2)::BIGINT AS depth, 'Topic ' || page_id AS title, page_id FROM p WHERE page_id % 5 <> 0""")
+def toc_order(t):
+    """Each site as an archive whose contents list its pages backwards, every one twice; each fifth topic is missing."""
+    p = t.pages.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("archive"), "page_id", "html")
+    item = F.concat(F.lit('<li><object type="text/sitemap"><param name="Name" value="Topic '), F.col("page_id").cast("string"), F.lit('"><param name="Local" value="p'), F.col("page_id").cast("string"), F.lit('.htm"></object>'))
+    listed = p.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("page_id", item.alias("x"))), False).alias("l"))  # of a made-up archive
+    text = F.concat(F.lit("<ul>"), F.array_join(F.transform("l", lambda e, k: F.concat(F.when(k % 2 == 1, F.concat(F.lit("<ul>"), e["x"], F.lit("</ul>"))).otherwise(e["x"]), e["x"])), ""), F.lit("</ul>"))
+    topics = p.where("page_id % 5 <> 0").select("archive", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".htm")).alias("local"), F.col("page_id").cast("string").alias("text"))
+    return toc.ordered_topics(listed.select("archive", text.alias("text")), topics).select("archive", "place", "depth", "title", F.col("text").cast("bigint").alias("page_id"))
+
+
+@query("s06_toc_summary", f"SELECT {SITE} AS archive, 2 * count(*) AS entries, count(*) FILTER (WHERE page_id % 5 <> 0) AS converted, count(*) FILTER (WHERE page_id % 5 = 0) AS missing FROM pages GROUP BY 1")
+def toc_summary(t):
+    p = t.pages.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("archive"), F.col("page_id").cast("string").alias("page"), (F.col("page_id") % 5 != 0).alias("there"))
+    item = F.concat(F.lit('<object type="text/sitemap"><param name="name" value="t"><param name="local" value="'), "page", F.lit('"></object>'))
+    listed = p.groupBy("archive").agg(F.concat(F.array_join(F.collect_list(item), ""), F.array_join(F.collect_list(item), "")).alias("text"))
+    return toc.toc_summary(listed, p.where("there").select("archive", F.col("page").alias("local")))

@@ -26,7 +26,9 @@ class Markdown(HTMLParser):
         self.tables: list[dict] = []
 
     def _add(self, text: str) -> None:
-        if self.tables and self.tables[-1]["cell"] is not None:
+        if self.tables and self.tables[-1]["named"]:
+            self.tables[-1]["caption"] += text
+        elif self.tables and self.tables[-1]["cell"] is not None:
             self.tables[-1]["cell"]["text"] += text
         else:
             self.out.append(text)
@@ -62,7 +64,11 @@ class Markdown(HTMLParser):
         elif tag == "img" and a.get("alt"):
             self._add(f"![{a['alt']}]")
         elif tag == "table":
-            self.tables.append({"rows": [], "cell": None, "caption": None})
+            self.tables.append({"rows": [], "cell": None, "caption": "", "head": False, "named": False, "first": None})
+        elif tag == "caption" and self.tables:
+            self.tables[-1]["named"] = True
+        elif tag in ("thead", "tbody", "tfoot") and self.tables:
+            self.tables[-1]["head"] = tag == "thead"
         elif tag == "tr" and self.tables:
             self.tables[-1]["rows"].append([])
         elif tag in ("td", "th") and self.tables:
@@ -71,6 +77,8 @@ class Markdown(HTMLParser):
                 t["rows"].append([])
             t["cell"] = {"text": "", "across": span(a.get("colspan"), 1_000), "down": span(a.get("rowspan"), 65_534), "head": tag == "th"}
             t["rows"][-1].append(t["cell"])
+            if len([r for r in t["rows"] if r]) == 1:  # is the first row a header?
+                t["first"] = bool(t["first"] or t["head"] or tag == "th")
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -87,11 +95,16 @@ class Markdown(HTMLParser):
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
             self._add("\n")
+        elif tag == "caption" and self.tables:
+            self.tables[-1]["named"] = False
+        elif tag == "thead" and self.tables:
+            self.tables[-1]["head"] = False
         elif tag in ("td", "th") and self.tables:
             self.tables[-1]["cell"] = None
         elif tag == "table" and self.tables:
             t = self.tables.pop()
-            self._add("\n\n" + pipe_table(t["rows"]) + "\n\n")
+            caption = " ".join(t["caption"].split())
+            self._add("\n\n" + (f"{caption}\n\n" if caption and any(t["rows"]) else "") + pipe_table([r for r in t["rows"] if r], bool(t["first"])) + "\n\n")
 
     def handle_data(self, data):
         if not self.skip:
@@ -104,8 +117,9 @@ def span(value: str | None, most: int) -> int:
     return max(1, min(most, int(value))) if value.isascii() and value.isdecimal() else 1
 
 
-def pipe_table(rows: list[list[dict]]) -> str:
-    """Spans are filled with the cell they cover; the first row is the header."""
+def pipe_table(rows: list[list[dict]], headed: bool = True) -> str:
+    """Spans are filled with the cell they cover, below the last row too; the first row is the header, or a blank one goes
+    before it."""
     grid: list[list[str]] = []
     down: dict[int, tuple[str, int]] = {}
     for row in rows:
@@ -127,9 +141,20 @@ def pipe_table(rows: list[list[dict]]) -> str:
                 line.append(text)
             cell = next(cells, None)
         grid.append(line)
+    while down:  # cells that reach below the last row, from the left as far as they stand side by side
+        line = []
+        while len(line) in down:
+            text, left = down.pop(len(line))
+            if left > 1:
+                down[len(line)] = (text, left - 1)
+            line.append(text)
+        if not line:
+            break
+        grid.append(line)
     width = max(map(len, grid), default=0)
     if not width:
         return ""
+    grid = grid if headed else [[], *grid]
     lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in grid]
     return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
 

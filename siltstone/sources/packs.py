@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import bounded
+
 PARTS = {
     "entity_rules": "type string, pattern string",
     "relation_rules": "relation_type string, head_type string, tail_type string",
@@ -37,6 +39,6 @@ def load_pack(spark: SparkSession, text: str) -> dict[str, DataFrame]:
 def rule_entities(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """id, type, name, hits: what the rules find in the texts (id, text), each name once for its type. The rules are few
     and go to every task."""
-    met = texts.join(F.broadcast(rules.select("type", "pattern")))
+    met = texts.join(bounded(rules.select("type", "pattern")))
     names = met.select("id", "type", F.explode(F.expr("regexp_extract_all(text, pattern, 0)")).alias("name"))
     return names.where("name <> ''").groupBy("id", "type", "name").agg(F.count("*").alias("hits"))
