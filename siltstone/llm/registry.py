@@ -140,6 +140,77 @@ FROM ranked JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
 
+# What SQL can say of operators that it can't state as a whole: their exact columns, as queries of their own.
+
+TEXTS = "d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL)"
+
+
+def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+BASE_PII_SQL = rf"""
+WITH {TEXTS},
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS cards, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones FROM d)
+SELECT doc_id, n_email, len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda y: coalesce(try_cast(y AS HUGEINT) > 255, true))) = 0)) AS n_ip,
+  len(list_filter(cards, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(x, i, 1)::INT ELSE 2 * substr(x, i, 1)::INT - CASE WHEN substr(x, i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+  len(list_filter(phones, lambda n: n BETWEEN 10 AND 15)) AS n_phone FROM m
+"""
+
+
+def base_license_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_LICENSE_SQL = rf"""
+WITH {TEXTS},
+w AS (SELECT row, doc_id, list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')) v(phrase, label)),
+h AS (SELECT row, label, unnest(list_filter(range(len(w) - len(phrase) + 1), lambda i: list_slice(w, i + 1, i + len(phrase)) = phrase)) AS pos FROM w, p WHERE len(w) >= len(phrase)),
+g AS (SELECT row, count(*) AS n, min(pos) AS a, max(pos) AS b, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM h GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (row)
+"""
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+BASE_SECRET_SQL = rf"""
+WITH {TEXTS}
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d
+"""
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_QUALITY_SQL = rf"""
+WITH {TEXTS},
+w AS (SELECT row, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+k AS (SELECT row, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM w WHERE len(w) > 2),
+g AS (SELECT row, unnest(list(i)) AS i FROM k GROUP BY row, g HAVING count(*) > 1),
+r AS (SELECT row, count(DISTINCT pos) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS pos FROM g) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN r USING (row)
+"""
+
+
+def base_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
+BASE_DEVIATION_SQL = """
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS k, floor(64 * unnest(embedding)::DOUBLE)::BIGINT + 1000000 AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT k, sum(x) AS s, count(*) AS n FROM x GROUP BY k)
+SELECT vec_id, any_value(n) AS n, sum((n * x - s) * (n * x - s))::BIGINT AS deviation FROM x JOIN s USING (k) GROUP BY vec_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -155,9 +226,17 @@ def queries() -> dict:
         "op11_byte_bpe": op11_byte_bpe,
         "op12_whitening": op12_whitening,
         "op13_phrases": op13_phrases,
+        "base_pii_counts": base_pii_counts,
+        "base_license_words": base_license_words,
+        "base_secret_counts": base_secret_counts,
+        "base_quality_counts": base_quality_counts,
+        "base_deviations": base_deviations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op3_line_dedup": OP3_SQL, "op13_phrases": OP13_SQL}
+    return {
+        "op1_ngram_join": OP1_SQL, "op3_line_dedup": OP3_SQL, "op13_phrases": OP13_SQL, "base_pii_counts": BASE_PII_SQL, "base_license_words": BASE_LICENSE_SQL,
+        "base_secret_counts": BASE_SECRET_SQL, "base_quality_counts": BASE_QUALITY_SQL, "base_deviations": BASE_DEVIATION_SQL,
+    }
