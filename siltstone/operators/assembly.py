@@ -41,6 +41,16 @@ def inner_relations(relations: DataFrame, found: DataFrame) -> DataFrame:
     return d.dropDuplicates(["relation_id"])
 
 
+def group_relations(found: DataFrame, relations: DataFrame) -> DataFrame:
+    """snapshot, item_ids, relation_ids: a snapshot's items, and the relations that touch one of them, once each. Both are of
+    one pack, so the lists are short. found: item_id, snapshot."""
+    ends = relations.select("relation_id", F.col("src").alias("item_id")).unionByName(relations.select("relation_id", F.col("dst").alias("item_id")))
+    touch = found.join(ends, "item_id").groupBy("snapshot").agg(F.sort_array(F.collect_set("relation_id")).alias("relation_ids"))
+    own = found.where("snapshot IS NOT NULL AND trim(snapshot) <> ''").groupBy("snapshot").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+    empty = F.array().cast(relations.select(F.array("relation_id").alias("a")).schema["a"].dataType)
+    return own.join(touch, "snapshot", "left").withColumn("relation_ids", F.coalesce("relation_ids", empty))
+
+
 def groups(found: DataFrame, relations: DataFrame) -> DataFrame:
     """snapshot, items, relations: how many items and touching relations a snapshot has. found: item_id, snapshot."""
     ends = relations.select("relation_id", F.col("src").alias("item_id")).unionByName(relations.select("relation_id", F.col("dst").alias("item_id")))

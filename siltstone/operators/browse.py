@@ -5,12 +5,12 @@ Lists are pages in a full order; "latest" is decided by a maximum over a struct,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import best_of, page
+from .relational import best_of, page, top_per
 
 
 def total_and_page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
@@ -79,6 +79,48 @@ def quality_summary(units: DataFrame, relations: DataFrame) -> DataFrame:
     return d.withColumn("warnings", F.array_join(F.filter(F.array(*said), lambda x: x.isNotNull()), ","))
 
 
+def quality_counts(units: DataFrame, relations: DataFrame) -> DataFrame:
+    """build, kind (unit or relation), name, n: units of each type, and discourse relations of each type. units: build,
+    unit_type; relations: build, type, source."""
+    u = units.select("build", F.lit("unit").alias("kind"), F.col("unit_type").alias("name"))
+    r = relations.where("source = 'discourse_llm'").select("build", F.lit("relation").alias("kind"), F.col("type").alias("name"))
+    return u.unionByName(r).groupBy("build", "kind", "name").agg(F.count("*").alias("n"))
+
+
+def first_of_each(rows: DataFrame, key: str, order: Sequence[Column], most: int) -> DataFrame:
+    """The first rows of each key, with the key's total: a first page of every list at once. The totals combine and the pages are
+    cut before the shuffle."""
+    totals = rows.groupBy(key).agg(F.count("*").alias("total"))
+    return top_per(rows, [key], order, most).join(totals, key)
+
+
+def artifact_counts(owners: DataFrame, key: str, parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Owners (key) with a count of each kind of artifact that they have, zero if none. parts: frames with the key."""
+    every = None
+    for name, rows in parts.items():
+        own = rows.select(key, F.lit(name).alias("__kind"))
+        every = own if every is None else every.unionByName(own)
+    counts = every.groupBy(key).agg(*[F.count_if(F.col("__kind") == n).alias(n) for n in parts])
+    return owners.select(key).distinct().join(counts, key, "left").fillna(0, list(parts))
+
+
+def active_links(links: DataFrame, now: Column) -> DataFrame:
+    """document, link: each document's last link that is neither revoked nor over. links: document, link, expires_at, revoked,
+    created_no."""
+    live = links.where(~F.coalesce("revoked", F.lit(False)) & (F.col("expires_at") > now))
+    return best_of(live, ["document"], [F.col("created_no")], ["link"])
+
+
+def paradigm_of(domains: DataFrame, paradigms: DataFrame) -> DataFrame:
+    """domain, paradigm: the domain's last published paradigm, else the last published default one; null without any. domains:
+    domain; paradigms: paradigm, domain, status, is_default, version."""
+    out = paradigms.where("status = 'published'")
+    own = best_of(out.where("domain IS NOT NULL"), ["domain"], [F.col("version"), F.col("paradigm")], ["paradigm"])
+    default = out.where("is_default").agg(F.max_by("paradigm", F.struct("version", "paradigm")).alias("__default"))
+    d = domains.select("domain").distinct().join(own, "domain", "left").crossJoin(F.broadcast(default))  # one row
+    return d.select("domain", F.coalesce("paradigm", "__default").alias("paradigm"))
+
+
 def run_outcome(documents: DataFrame) -> DataFrame:
     """run, committed, failed, status: failed if no document is committed, partial if some failed. documents: run, status."""
     d = documents.groupBy("run").agg(F.count_if(F.col("status") == "committed").alias("committed"), F.count_if(F.col("status") == "failed").alias("failed"))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import contained_pairs
+from .relational import contained_pairs, top_per
 
 UNTYPED = "__untyped__"
 
@@ -60,11 +60,33 @@ def entity_counts(mentions: DataFrame) -> DataFrame:
     return sure.groupBy("entity").agg(F.count("*").alias("mention_count"), F.count_distinct("document").alias("document_count"))
 
 
-def relation_proposals(pairs: DataFrame) -> DataFrame:
-    """head_type, tail_type, cooccur, examples: pairs that no relation allows, by their types, with the distinct pairs of
-    names. pairs: head, head_type, tail, tail_type."""
+def relation_proposals(pairs: DataFrame, most_examples: int = 100) -> DataFrame:
+    """head_type, tail_type, cooccur, examples: pairs that no relation allows, by their types, with the first distinct pairs
+    of names, in order. pairs: head, head_type, tail, tail_type."""
+    key = ["head_type", "tail_type"]
     fine = pairs.where((F.coalesce("head_type", F.lit("")) != "") & (F.coalesce("tail_type", F.lit("")) != ""))
-    return fine.groupBy("head_type", "tail_type").agg(F.count("*").alias("cooccur"), F.sort_array(F.collect_set(F.struct("head", "tail"))).alias("examples"))
+    counted = fine.groupBy(*key, "head", "tail").agg(F.count("*").alias("n"))
+    some = top_per(counted, key, [F.col("head"), F.col("tail")], most_examples)
+    examples = some.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("head", "tail"))).alias("examples"))
+    return counted.groupBy(*key).agg(F.sum("n").alias("cooccur")).join(examples, key)
+
+
+def type_form(name: Column) -> Column:
+    """A type's name without white space, in lower case."""
+    return F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", ""))
+
+
+def duplicate_types(proposals: DataFrame, existing: DataFrame) -> DataFrame:
+    """name, duplicate_of: of each proposed name the first existing type that it repeats: an equal name, one that contains it or
+    that it contains, or one with it as an example (blanks and case aside). proposals: name; existing: place, name, examples."""
+    p = proposals.select("name", type_form(F.col("name")).alias("form")).where("form <> ''").distinct()
+    e = existing.select("place", F.col("name").alias("type"), type_form(F.col("name")).alias("form"), "examples").where("form <> ''")
+    pairs = contained_pairs(p.select(F.col("form").alias("name")).unionByName(e.select(F.col("form").alias("name"))))
+    near = pairs.toDF("mine", "form").unionByName(pairs.toDF("form", "mine"))
+    named = e.select("place", "type", F.col("form").alias("mine")).unionByName(near.join(e, "form").select("place", "type", "mine"))
+    given = e.select("place", "type", F.explode(F.transform("examples", type_form)).alias("mine")).where("mine <> ''")
+    met = p.join(named.unionByName(given), F.col("form") == F.col("mine"))
+    return met.groupBy("name").agg(F.min_by("type", "place").alias("duplicate_of"))
 
 
 def merge_proposals(old: DataFrame, new: DataFrame, most_examples: int = 20) -> DataFrame:

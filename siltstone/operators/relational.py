@@ -107,15 +107,26 @@ def window_join(targets: DataFrame, rows: DataFrame, keys: Sequence[str], at: st
     return reach.join(dealt, [*keys, "__bin"]).where(F.abs(F.col(position) - F.col(at)) <= radius).drop("__bin")
 
 
-def latest_not_after(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, event: str) -> DataFrame:
+def latest_not_after(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, event: str, bins: int = 64) -> DataFrame:
     """As-of join: each left row with the last right row of its keys whose event time is not after the left time.
 
-    Both sides go through one window over the union, ordered by time; no pair is formed."""
+    Both sides go through one window over the union, ordered by time; no pair is formed. Times are cut into bins at their
+    approximate quantiles, so a key's whole history is not one group: a window sees a key's bin, and rows before the bin's first
+    event take the last event of the bins before, of which there is one row a bin."""
     values = [c for c in right.columns if c not in keys and c != event]
     l = left.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*[c for c in left.columns if c not in keys]).alias("__l"), F.lit(None).cast(right.select(F.struct(event, *values).alias("s")).schema["s"].dataType).alias("__r"))
     r = right.select(*keys, F.col(event).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), F.struct(event, *values).alias("__r"))
-    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    met = l.unionByName(r).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    every = l.unionByName(r)
+    cuts = every.agg(F.percentile_approx("__t", [k / bins for k in range(1, bins)], 1_000)).first()[0]
+    kind = every.schema["__t"].dataType
+    placed = every.withColumn("__bin", F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts or []))]), lambda c: c < F.col("__t"))))
+    w = Window.partitionBy(*keys, "__bin").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    lasts = placed.groupBy(*keys, "__bin").agg(F.max_by("__r", F.when(F.col("__side") == 0, F.col("__t"))).alias("__last"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last").where("__carried IS NOT NULL")
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in keys] + [F.col("__a.__bin") == F.col("__b.__bin")])
+    met = own.alias("__a").join(carried.alias("__b"), same, "left").select(*[F.col(f"__a.{k}").alias(k) for k in keys], "__l", F.coalesce("__r", "__carried").alias("__r"))
     return met.select(*keys, "__l.*", F.col(f"__r.{event}").alias(event), *[F.col(f"__r.{v}").alias(v) for v in values])
 
 

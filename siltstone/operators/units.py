@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 UNIT = "document string, segment_index int, unit_type string, title string, text string, weight double"
 
 
+def search_text(segments: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """Segments with search_text: the breadcrumb if it isn't in the text, else the section titles that aren't; a model's context
+    of the segment, if there is one; the text. segments: document, segment_index, breadcrumb, section_path, text; contexts:
+    document, segment_index, context."""
+    d = segments.withColumn("__c", F.lit("")) if contexts is None else segments.join(contexts.select("document", "segment_index", F.col("context").alias("__c")), ["document", "segment_index"], "left")
+    titles = F.filter("section_path", lambda x: (F.coalesce(x, F.lit("")) != "") & ~F.contains(F.col("text"), x))
+    crumb = F.coalesce("breadcrumb", F.lit(""))
+    before = F.when((crumb != "") & ~F.contains(F.col("text"), crumb), crumb).otherwise(F.array_join(titles, " > "))
+    parts = F.filter(F.array(before, F.coalesce("__c", F.lit(""))), lambda x: x != "")
+    return d.withColumn("search_text", F.array_join(F.concat(parts, F.array("text")), "\n")).drop("__c")
+
+
 def raw_text(segments: DataFrame) -> DataFrame:
     """segments: document, segment_index, block_type, breadcrumb, text."""
     d = segments.where("block_type <> 'heading'")

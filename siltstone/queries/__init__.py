@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "relational", "retrieval", "mining", "structure", "upkeep", "knowledge", "assets"]
+MODULES = ["text", "relational", "retrieval", "mining", "structure", "upkeep", "reads", "knowledge", "assets"]
 
 
 def load() -> None:

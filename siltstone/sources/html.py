@@ -186,3 +186,29 @@ def scan_files(spark, folder: str):
     """path, type, content (bytes), size of every file below the folder; unknown types have a null type."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return d.select("path", document_type(F.col("path")).alias("type"), "content", F.col("length").alias("size"))
+
+
+#: Types of the files that an ingestion takes, and names that it passes over.
+INGESTED = {"md": "markdown", "markdown": "markdown", "txt": "txt", "html": "html", "htm": "html", "pdf": "pdf", "doc": "doc", "docx": "docx", "chm": "markdown", "hdx": "markdown"}
+PASSED_OVER = ("manifest.jsonl", "manifest.json", "html_to_md_mapping.json", "html_to_md_mapping.csv", ".ds_store", "thumbs.db", ".gitkeep")
+
+
+def ingested_type(path):
+    """The type of a file that is ingested, null for one that is skipped."""
+    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
+    return F.when(~name.isin(*PASSED_OVER), F.create_map(*[F.lit(x) for kv in INGESTED.items() for x in kv])[ext])
+
+
+def ingest_summary(files):
+    """discovered, parsed, unparsed, archives, pdfs, skipped, failed: one row about files (path, error: null unless reading or
+    converting failed). Text formats and what becomes text are parsed."""
+    kind, ext = ingested_type(F.col("path")), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    d = files.select(kind.alias("kind"), ext.alias("ext"), F.col("error").isNull().alias("fine"))
+    known, fine = F.col("kind").isNotNull(), F.col("fine")
+    parsed = F.col("kind").isin("markdown", "txt", "html", "pdf", "docx", "doc")
+    return d.agg(
+        F.count_if(known).alias("discovered"), F.count_if(known & fine & parsed).alias("parsed"), F.count_if(known & fine & ~parsed).alias("unparsed"),
+        F.count_if(known & fine & F.col("ext").isin("chm", "hdx")).alias("archives"), F.count_if(known & fine & (F.col("kind") == "pdf")).alias("pdfs"),
+        F.count_if(~known).alias("skipped"), F.count_if(known & ~fine).alias("failed"),
+    )
