@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import npmi, npmi_confidence
 from ..functions.text import alias_form
-from .relational import both_directions, bounded
+from .relational import both_directions, bounded, top_per
 
 
 def cooccurrence(mentions: DataFrame, corpus_segments: int | None = None) -> DataFrame:
@@ -32,10 +32,14 @@ def resolve(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     return d.withColumn("canonical", F.coalesce("__found", "name")).withColumn("status", F.when(F.col("__found").isNotNull(), "auto").otherwise("pending")).drop("__form", "__found")
 
 
-def relation_candidates(mentions: DataFrame, rules: DataFrame) -> DataFrame:
+def relation_candidates(mentions: DataFrame, rules: DataFrame, most: int = 20) -> DataFrame:
     """Ordered pairs of different entities in a segment with the relation types that allow their types ('*' allows
-    any); relation_type is null where no rule does. rules: relation_type, head_type, tail_type."""
+    any); relation_type is null where no rule does. rules: relation_type, head_type, tail_type. Where mentions have a
+    confidence, the `most` surest entities of a segment (ties by name) form pairs, as an extraction's rule asks."""
     m = mentions.select("segment", "entity", "type").distinct()
+    if "confidence" in mentions.columns:
+        own = mentions.groupBy("segment", "entity", "type").agg(F.max("confidence").alias("confidence"))
+        m = top_per(own, ["segment"], [F.desc("confidence"), F.col("entity"), F.col("type")], most).drop("confidence")
     h = m.select("segment", F.col("entity").alias("head"), F.col("type").alias("head_type"))
     t = m.select("segment", F.col("entity").alias("tail"), F.col("type").alias("tail_type"))
     pairs = h.join(t, "segment").where("head <> tail")

@@ -265,18 +265,16 @@ def unit_checks(t):
     return ontology.quality_checks(*_units(t), "h5")
 
 
-@query("e2_first_rank", f"""WITH q AS (SELECT item_id, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 5) AS t, proof FROM (SELECT item_id, {TOK.format('text')} AS w, lower(substr(text, 1, 40)) AS proof FROM benchmark)), u AS (SELECT doc_id, n_chars, lower(text) AS text, list_distinct({TOK.format('text')}) AS t FROM documents),
+@query("e2_first_rank", f"""WITH q AS (SELECT item_id, list_distinct(w) AS t, proof FROM (SELECT item_id, {TOK.format('text')} AS w, lower(text) AS proof FROM benchmark)), u AS (SELECT doc_id, n_chars, lower(text) AS text, list_distinct({TOK.format('text')}) AS t FROM documents),
 h AS (SELECT item_id, contains(u.text, proof) AS good, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS rank FROM q JOIN u ON list_has_all(u.t, q.t) WHERE len(q.t) > 0)
 SELECT item_id, min(rank) FILTER (WHERE good AND rank <= 10) AS rank FROM q LEFT JOIN h USING (item_id) GROUP BY item_id""")
 def first_rank(t):
-    """Of each benchmark passage the first rank, among the ten longest documents with its first five words, of one that
-    holds its beginning."""
+    """Of each benchmark passage the first rank, among the ten longest documents with all its words, of one that holds it."""
     return _first_rank(t)
 
 
 def _first_rank(t):
-    words = F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, 5)
-    q = t.benchmark.select("item_id", words.alias("t"), F.lower(F.substring("text", 1, 40)).alias("proof"))
+    q = t.benchmark.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"), F.lower("text").alias("proof"))
     asked = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     u = t.documents.select(F.col("doc_id").alias("unit_id"), "text", F.col("n_chars").alias("weight"))
     met = R.postings(u, asked).join(asked, "token").groupBy("item_id", "unit_id", "n").agg(F.count("*").alias("k")).where("k = n").select("item_id", "unit_id")
@@ -286,7 +284,7 @@ def _first_rank(t):
     return q.select("item_id").join(held, "item_id", "left")
 
 
-@query("a21_recall_at", f"""WITH q AS (SELECT item_id, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 5) AS t, proof FROM (SELECT item_id, {TOK.format('text')} AS w, lower(substr(text, 1, 40)) AS proof FROM benchmark)), u AS (SELECT doc_id, n_chars, lower(text) AS text, list_distinct({TOK.format('text')}) AS t FROM documents),
+@query("a21_recall_at", f"""WITH q AS (SELECT item_id, list_distinct(w) AS t, proof FROM (SELECT item_id, {TOK.format('text')} AS w, lower(text) AS proof FROM benchmark)), u AS (SELECT doc_id, n_chars, lower(text) AS text, list_distinct({TOK.format('text')}) AS t FROM documents),
 h AS (SELECT item_id, contains(u.text, proof) AS good, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS rank FROM q JOIN u ON list_has_all(u.t, q.t)), f AS (SELECT item_id, min(rank) FILTER (WHERE good AND rank <= 10) AS rank FROM q LEFT JOIN h USING (item_id) GROUP BY item_id)
 SELECT count(*) AS questions, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS recall_10, count(*) FILTER (WHERE rank IS NULL) AS misses FROM f""")
 def recall_at(t):
