@@ -36,12 +36,13 @@ SIGN = "▁"
 N_BEST = 4
 #: Zipf-Mandelbrot offset, and the score of a byte piece.
 OFFSET, BYTE_SCORE = 2.7, -16.0
-MEMORY = 300_000
+#: Chunks of each of the two generations that are remembered (the young one takes a batch's more).
+MEMORY = 400_000
 #: Characters of the longest chunk that is remembered, or scored beside others of its length.
 LONG = 64
 _CHUNK = re.compile(f"{SIGN}+[^{SIGN}]*")
 _BASE = 0x9E3779B97F4A7C15
-_known: dict[str, dict[str, tuple[bytes, float, float]]] = {}
+_known: dict[str, tuple[dict[str, tuple[bytes, float, float]], dict[str, tuple[bytes, float, float]]]] = {}
 
 
 def model_file(name: str) -> str:
@@ -82,7 +83,7 @@ class PieceModel:
         # whether any piece's hash begins with these bits: small enough for a cache, it spares most searches
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        self.known = _known.setdefault(path, {})
+        self.known, self.old = _known.setdefault(path, ({}, {}))
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -281,10 +282,11 @@ class PieceModel:
         for k, chunks in enumerate(split):
             if chunks and max(map(len, chunks)) > LONG:
                 split[k] = [p for c in chunks for p in self.fall_apart(c)]
-        new = self.learn(list(set().union(*split) - self.known.keys()))
-        if len(self.known) + len(new) <= MEMORY:
-            self.known.update(new)
-            new = {c: self.known.pop(c) for c in new if len(c) > LONG}
+        missing = set().union(*split) - self.known.keys()
+        new = {c: x for c in missing if (x := self.old.get(c)) is not None}
+        new.update(self.learn([c for c in missing if c not in new]))
+        self.known.update((c, x) for c, x in new.items() if len(c) <= LONG)
+        new = {c: x for c, x in new.items() if len(c) > LONG}
         known, out = self.known, []
         for chunks in split:
             got = [known.get(c) or new[c] for c in chunks] if new else list(map(known.__getitem__, chunks))
@@ -304,6 +306,10 @@ class PieceModel:
                     ids[k] = p
                 own.append((rest + score, b"".join(ids)))
             out.append(own)
+        if len(known) > MEMORY:  # the young generation becomes the old one; what is met again there moves on
+            self.old.clear()
+            self.old.update(known)
+            known.clear()
         return out
 
     def decode(self, ids: bytes) -> str:
