@@ -34,12 +34,13 @@ SEQUENCE, BATCH_SEQUENCES = 2_048, 64
 END_ID = 1
 #: Rows that one file gets on average.
 FILE_ROWS = 20_000
-MEMORY = 1_000_000
+#: Chunks of each of the two generations that are remembered (the young one takes a batch's more).
+MEMORY = 600_000
 #: Characters of the longest chunk that is remembered.
 LONG = 64
 #: Chunks of one call to the tokenizer, and the sign between them: alone between spaces it is a token by itself.
 TOGETHER, SIGN = 200, "→"
-_memory: dict[tuple, dict[str, bytes]] = {}
+_memory: dict[tuple, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def tokenizer_file(name: str) -> str:
@@ -56,7 +57,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), memory
-        self.known = _memory.setdefault((path, memory), {})
+        self.known, self.old = _memory.setdefault((path, memory), ({}, {}))
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.sign = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
@@ -79,18 +80,23 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of self.type. What is met first is remembered, up to the limit; the most common
-        chunks come early, and the rest is encoded once a batch."""
+        """The ids of each text, as bytes of self.type. Chunks are remembered in two generations: when the young one has
+        reached the limit it becomes the old one, and what is met again there moves on."""
         if not self.drops_space:
             return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.type).tobytes() for t in texts]
         split = [t.split(" ") for t in texts]
-        new = self._ids(list(set().union(*split) - self.known.keys()))
-        room = self.limit - len(self.known)
-        if room >= len(new):
-            self.known.update((c, x) for c, x in new.items() if len(c) <= LONG)
-            new = {c: x for c, x in new.items() if len(c) > LONG}
+        missing = set().union(*split) - self.known.keys()
+        new = {c: x for c in missing if (x := self.old.get(c)) is not None}
+        new.update(self._ids([c for c in missing if c not in new]))
         known = self.known
-        return [b"".join([known[c] if c in known else new[c] for c in chunks]) for chunks in split]
+        known.update((c, x) for c, x in new.items() if len(c) <= LONG)
+        new = {c: x for c, x in new.items() if len(c) > LONG}
+        out = [b"".join([known[c] if c in known else new[c] for c in chunks] if new else map(known.__getitem__, chunks)) for chunks in split]
+        if len(known) > self.limit:
+            self.old.clear()
+            self.old.update(known)
+            known.clear()
+        return out
 
 
 def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, ends: Sequence[int] = ()) -> DataFrame:
