@@ -6,8 +6,9 @@ name order hold the corpus in doc_id order. A file is one Arrow stream; each of
 false where the last sequence is padded). Sequences have equal length, so sequence k of a batch is at a fixed offset
 of its buffer and is read without a copy from a memory map. Documents run on from one sequence to the next; an index table tells where each one lies.
 
-Encoding: white-space-separated chunks repeat a lot, and this tokenizer drops white space before it merges, so a
-document's ids are its chunks' ids one after another; each task keeps a bounded memory of chunks it has encoded.
+Encoding: space-separated chunks repeat a lot, and this tokenizer drops white space before it merges, so a document's ids
+are its chunks' ids one after another; each worker keeps a bounded memory of chunks it has encoded. Whether a tokenizer does so,
+and whether case counts for nothing and stops part from letters, it is asked by a few words; if not, it gets whole texts.
 
 Cases: a null or empty text has the end id alone; rows that repeat a doc_id follow each other, ordered by text hash, and
 rows that tie in both are equal; a very long text is one value in one task, whole, and may fill many sequences;
@@ -34,6 +35,14 @@ SEQUENCE, BATCH_SEQUENCES = 2_048, 64
 END_ID = 1
 #: Rows that one file gets on average.
 FILE_ROWS = 20_000
+STOPS = ".,;:!?"
+#: What a code point below 128 is to chunks (127 stands for all others), and where a chunk begins after another, by both.
+BLANK, LOWER, UPPER, STOP = 1, 2, 4, 5
+KINDS = np.array([BLANK if c == 32 else LOWER if 97 <= c <= 122 else UPPER if 65 <= c <= 90 else STOP if chr(c) in STOPS else 0 for c in range(128)], np.uint8)
+ENDS_AT_BLANKS = np.array([a == BLANK for a in range(8) for _ in range(8)])
+ENDS = np.array([a == BLANK or {a, b} in ({LOWER, STOP}, {UPPER, STOP}) for a in range(8) for b in range(8)])
+#: Characters of the texts that are encoded together.
+TOGETHER_CHARS = 3_000_000
 #: Chunks of each of the two generations that are remembered (the young one takes a batch's more).
 MEMORY = 600_000
 #: Characters of the longest chunk that is remembered.
@@ -63,6 +72,9 @@ class ChunkEncoder:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         # only then are a text's ids those of its chunks; other tokenizers encode whole texts
         self.drops_space = ids(" ab  cd ") == ids("ab") + ids("cd")
+        # more texts share chunks if case counts for nothing, and if letters part from the stops beside them
+        self.lowers = self.drops_space and ids("Ab BA") == ids("ab ba")
+        self.parts = self.drops_space and all(ids(f"ab{p}{p}cd,.") == ids("ab") + ids(p + p) + ids("cd") + ids(",.") for p in STOPS)
 
     def _ids(self, chunks: list[str]) -> dict[str, bytes]:
         plain = [c for c in chunks if SIGN not in c]
@@ -80,23 +92,59 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of self.type. Chunks are remembered in two generations: when the young one has
-        reached the limit it becomes the old one, and what is met again there moves on."""
+        """The ids of each text, as bytes of self.type. Texts are taken some TOGETHER_CHARS at a time; a longer one is alone."""
         if not self.drops_space:
             return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.type).tobytes() for t in texts]
-        split = [t.split(" ") for t in texts]
-        missing = set().union(*split) - self.known.keys()
-        new = {c: x for c in missing if (x := self.old.get(c)) is not None}
-        new.update(self._ids([c for c in missing if c not in new]))
-        known = self.known
-        known.update((c, x) for c, x in new.items() if len(c) <= LONG)
-        new = {c: x for c, x in new.items() if len(c) > LONG}
-        out = [b"".join([known[c] if c in known else new[c] for c in chunks] if new else map(known.__getitem__, chunks)) for chunks in split]
-        if len(known) > self.limit:
-            self.old.clear()
-            self.old.update(known)
-            known.clear()
-        return out
+        part = (np.cumsum([len(t) for t in texts]) - 1) // TOGETHER_CHARS if texts else np.empty(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return [ids for i, j in zip(cuts, cuts[1:]) if i < j for ids in self._encode(texts[i:j])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Each distinct chunk is looked up once. Chunks are remembered in two generations: when the young one has reached the
+        limit it becomes the old one, and what is met again there moves on."""
+        from .byte_bpe import run_of_runs
+
+        chunks = chunks_of(texts, self.lowers, self.parts)
+        models, like = chunks.distinct()
+        names = [c.removesuffix(" ") for c in chunks.strings(models)]
+        known = [self.known.get(c) for c in names]
+        missing = [k for k, x in enumerate(known) if x is None]
+        if missing:
+            new = {names[k]: self.old.get(names[k]) for k in missing}  # a chunk may be there with and without its blank
+            new.update(self._ids([c for c, x in new.items() if x is None]))
+            for k in missing:
+                known[k] = new[names[k]]
+            self.known.update((c, x) for c, x in new.items() if len(c) <= LONG)
+            if len(self.known) > self.limit:
+                self.old.clear()
+                self.old.update(self.known)
+                self.known.clear()
+        sizes = np.array([len(x) // self.type.itemsize for x in known], np.int64)
+        counts = sizes[like]
+        ids = np.frombuffer(b"".join(known), self.type)[run_of_runs((np.cumsum(sizes) - sizes)[like], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[chunks.signs].tolist()
+        return [ids[i:j].tobytes() for i, j in zip([0, *ends], ends)]
+
+
+def chunks_of(texts: list[str], lowers: bool, parts: bool):
+    """The space-separated chunks of all texts, one after another, each with the blank that ends it; with lowers A-Z are a-z, with
+    parts a chunk also ends between an ASCII letter and one of STOPS. signs has the number of chunks up to each text's end."""
+    from .byte_bpe import Slices
+
+    class Chunks(Slices):
+        def __init__(self):
+            self.joined = " ".join(texts) + " "
+            p = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), "<u4")
+            kind = KINDS[np.minimum(p, 127)]
+            if lowers:
+                p = p + (kind == UPPER) * np.uint32(32)
+                self.joined = p.tobytes().decode("utf-32-le", "surrogatepass")
+            begins = np.concatenate([[True], (ENDS if parts else ENDS_AT_BLANKS)[kind[:-1] * 8 + kind[1:]]])
+            self.points, self.at = p, np.flatnonzero(begins)
+            self.lengths = np.diff(self.at, append=len(p))
+            self.signs = np.searchsorted(self.at, np.cumsum([len(t) + 1 for t in texts]) - 1, side="right")
+
+    return Chunks()
 
 
 def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID, ends: Sequence[int] = ()) -> DataFrame:
