@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 BLOCK = "document string, place int, block_type string, level int, text string, row_count int, col_count int"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: Names of styles that make headings and lists, and signs that begin an item.
 _HEADING, _LIST, _BULLET = re.compile(r"^Heading\s*(\d+)$", re.IGNORECASE), re.compile(r"^List", re.IGNORECASE), re.compile(r"^[•\-*●○]\s+")
 
 
