@@ -74,7 +74,7 @@ def test_entity_cards_skip_but_do_not_mark(spark):
 
 def test_html_spans_are_numbers():
     assert html.span("²", 10) == html.span("x", 10) == html.span(None, 10) == html.span("0", 10) == 1 and html.span(" 7 ", 5) == 5
-    assert html.to_markdown("<table><tr><td colspan='²'>a</td></tr></table>").startswith("| a |")
+    assert html.to_markdown("<table><tr><th colspan='²'>a</th></tr></table>").startswith("| a |")
     assert html.to_markdown("<table><tr><td colspan=150>a</td></tr></table>").count("a") == 150
 
 
