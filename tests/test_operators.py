@@ -200,3 +200,12 @@ def test_archives_stay_inside(spark):
         z.writestr("../evil.txt", "y")
     d = spark.createDataFrame([("p.zip", bytearray(raw.getvalue())), ("bad.zip", bytearray(b"no"))], "path string, content binary")
     assert [(r.path, r.member, bytes(r.content)) for r in records.unpack(d).collect()] == [("p.zip", "a/b.txt", b"x")]
+
+
+def test_as_of_of_one_table_read_twice(spark):
+    """The bins of the times are carried through the union of two reads of a table, whatever filters they have."""
+    path = "/root/testdata/sf0.1/events.parquet"
+    view = spark.read.parquet(path).where("event_type = 'view'").groupBy("user_id", F.col("ts").alias("view_ts")).agg(F.max("event_id").alias("view_id"))
+    bought = spark.read.parquet(path).where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    got = relational.latest_not_after(bought, view, ["user_id"], "ts", "view_ts")
+    assert got.count() == bought.count()
