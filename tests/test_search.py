@@ -1,11 +1,12 @@
 """Dense tiles, the text ladder, compression, section search and charsets against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import assembly, dense, retrieval
+from siltstone.operators import assembly, dense, retrieval, sparse
 from siltstone.sources import records
 
 VECTOR = "scope string, section string, v array<float>"
@@ -124,3 +125,36 @@ def test_declared_charsets():
     late = b" " * 4_000 + b"<meta charset=latin-1>" + b"\xe9"
     assert records.decoded(late).endswith("é") and records.decoded(b" " * 100 + late).endswith("�")
     assert records.decoded(b"charset=ascii \x80") == "charset=ascii �"
+
+
+def test_terms_by_tiles(spark, monkeypatch):
+    """Small tiles, blocks and slices, ties, nulls and equal queries give what the rule gives, by pairs and by products."""
+    texts = {i: " ".join(w for j, w in enumerate(("alpha", "beta", "gamma", "delta", "eps")) for _ in range((i * (j + 2)) % 4)) for i in range(40)} | {40: None, 41: ""}
+    asked = {1: "alpha beta", 2: "beta alpha", 3: "gamma eps zeta", 4: "nowhere", 5: "delta"}
+    u = spark.createDataFrame(list(texts.items()), "unit_id long, text string")
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    want = set()
+    for a, words in asked.items():
+        hits = [(-sum(min((t or "").split().count(w), 2) for w in words.split()) / len(words.split()), i) for i, t in texts.items()]
+        want |= {(a, i, -s) for s, i in sorted(h for h in hits if h[0] < 0)[:3]}
+    for name, value in (("UNIT_ROWS", 7), ("SLICE_BYTES", 40)):
+        monkeypatch.setattr(sparse, name, value)
+    assert {(r.query_id, r.unit_id, r.score) for r in retrieval.full_text(q, u, 3, 2).collect()} == want
+
+
+def test_points_by_products_and_by_pairs(monkeypatch):
+    """Both ways add up the same, in blocks of any size."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    lists = [sorted(set(rng.choice(words, rng.integers(1, 9)))) for _ in range(11)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 20))) for _ in range(17)]
+    for rows, dense, pairs in ((2, 1, 5), (4, 10**9, 5), (100, 10**9, 10**6), (100, 6, 3)):
+        for name, value in (("QUERY_ROWS", rows), ("DENSE", dense), ("PAIRS", pairs)):
+            monkeypatch.setattr(sparse, name, value)
+        q = sparse.Queries(pa.table({"id": list(range(11)), "terms": lists}))
+        unit, term, value, _ = sparse.entries(pa.array(texts), sparse.tokens, q.vocabulary, 2)
+        got = np.zeros((11, 17))
+        for block in q.blocks:
+            some, sums = sparse.points(block, 17, unit, term, value)
+            got[block[0] + some] = sums
+        assert (got == [[sum(min(t.split().count(w), 2) for w in own) for t in texts] for own in lists]).all()
