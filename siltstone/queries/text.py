@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import SQL, query
 from ..functions import text as T
-from ..operators.relational import contained_pairs
+from ..operators.relational import contained_pairs, settled
 
 TOKENS = "regexp_extract_all(lower(text), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
 
@@ -45,12 +45,15 @@ def simhash(t):
 
 @query("x05_near_fingerprints", SIMHASH + ", d AS (SELECT DISTINCT f FROM every) SELECT a.f AS a, b.f AS b, bit_count(xor(a.f, b.f))::BIGINT AS distance FROM d a JOIN d b ON a.f < b.f AND bit_count(xor(a.f, b.f)) <= 3")
 def near_fingerprints(t):
-    """Pairs of distinct fingerprints at most 3 bits apart, by keys of three of six blocks."""
+    """Pairs of distinct fingerprints at most 3 bits apart, by keys of three of six blocks; a pair counts at its first key."""
     d = t.documents.select(T.simhash(T.tokens(F.col("text"))).alias("f")).distinct()
-    d = d.select("f", F.explode(T.near_keys(F.col("f"))).alias("key"))
+    d = settled(d.repartition(t.spark.sparkContext.defaultParallelism))  # few bytes, which grow by their keys
+    d = d.select("f", F.explode(T.near_keys(F.col("f"))).alias("key")).select("f", "key.*")
+    # merged: the keys are many times the fingerprints, by whose size the optimizer would send them all through the driver
+    a, b = d.withColumnRenamed("f", "a").hint("merge"), d.withColumnRenamed("f", "b")
     distance = T.hamming(F.col("a"), F.col("b"))
-    pairs = d.select("key", F.col("f").alias("a")).join(d.select("key", F.col("f").alias("b")), "key").where((F.col("a") < F.col("b")) & (distance <= 3))
-    return pairs.select("a", "b", distance.alias("distance")).distinct()
+    pairs = a.join(b, ["choice", "value"]).where((F.col("a") < F.col("b")) & (distance <= 3) & (T.near_choice(F.col("a"), F.col("b")) == F.col("choice")))
+    return pairs.select("a", "b", distance.alias("distance"))
 
 
 @query("x06_set_jaccard", f"""WITH s AS (SELECT doc_id, list_distinct({TOKENS}) AS t FROM documents)
