@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone import catalog
 from siltstone.functions import text as T
+from siltstone.operators import relational
 from siltstone.queries import load
 
 from .conftest import SF
@@ -28,3 +29,16 @@ def test_near_choice_is_the_first_shared_key(spark):
     shared = F.array_min(F.transform(F.array_intersect(T.near_keys(F.col("a")), T.near_keys(F.col("b"))), lambda k: k["choice"]))
     for r in d.select(shared.alias("want"), T.near_choice(F.col("a"), F.col("b")).alias("got")).collect():
         assert r.got == r.want
+
+
+def test_turns_of_a_fixpoint_are_not_broadcast(spark):
+    seeds, edges = spark.range(3).withColumnRenamed("id", "seed"), spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src long, dst long")
+    seen = spark._jvm.java.util.ArrayList()
+    settled = relational.settled
+    relational.settled = lambda df: (seen.add(df._jdf.queryExecution().sparkPlan().toString()), settled(df))[1]
+    try:
+        assert relational.reachable(seeds, edges).count() == 9
+    finally:
+        relational.settled = settled
+    turns = list(seen)[2:]
+    assert turns and all(p.count("SortMergeJoin") == 2 and "Broadcast" not in p for p in turns)
