@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as T
-from ..operators import assembly, browse, ontology, scope
+from ..operators import assembly, browse, ontology, scope, sparse
 from ..operators import retrieval as R
 
 TOK = "regexp_extract_all(lower({0}), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
@@ -275,9 +275,8 @@ def first_rank(t):
 
 def _first_rank(t):
     q = t.benchmark.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"), F.lower("text").alias("proof"))
-    asked = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     u = t.documents.select(F.col("doc_id").alias("unit_id"), "text", F.col("n_chars").alias("weight"))
-    met = R.postings(u, asked).join(asked, "token").groupBy("item_id", "unit_id", "n").agg(F.count("*").alias("k")).where("k = n").select("item_id", "unit_id")
+    met = sparse.holding_all(q.select(F.col("item_id").alias("query_id"), F.col("t").alias("terms")), u, sparse.tokens).withColumnRenamed("query_id", "item_id")
     top = R.top_per_query(met.join(u.select("unit_id", F.col("weight").alias("score")), "unit_id").withColumnRenamed("item_id", "query_id"), 10)
     placed = R.ranked(top.withColumn("source", F.lit("fts"))).select(F.col("query_id").alias("item_id"), "unit_id", "rank")
     held = placed.join(u.select("unit_id", "text"), "unit_id").join(q.select("item_id", "proof"), "item_id").where(F.contains(F.lower("text"), F.col("proof"))).groupBy("item_id").agg(F.min("rank").alias("rank"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone import catalog
 from siltstone.functions import text as T
-from siltstone.operators import relational
+from siltstone.operators import relational, sparse
 from siltstone.queries import load
 
 from .conftest import SF
@@ -42,3 +42,12 @@ def test_turns_of_a_fixpoint_are_not_broadcast(spark):
         relational.settled = settled
     turns = list(seen)[2:]
     assert turns and all(p.count("SortMergeJoin") == 2 and "Broadcast" not in p for p in turns)
+
+
+def test_units_with_all_terms_are_found_where_they_are_read(spark):
+    q = spark.createDataFrame([(1, ["a1", "b2"]), (2, ["b2"]), (3, [])], "query_id long, terms array<string>")
+    u = spark.createDataFrame([(7, "A1 b2 b2"), (8, "b2 c3"), (9, None), (10, "a1b2")], "unit_id long, text string")
+    found = sparse.holding_all(q, u, sparse.tokens)
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 7), (2, 8)]
+    plan = catalog.QUERIES["e2_first_rank"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan  # no word of a document is a row
