@@ -51,3 +51,9 @@ def test_units_with_all_terms_are_found_where_they_are_read(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 7), (2, 8)]
     plan = catalog.QUERIES["e2_first_rank"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" not in plan  # no word of a document is a row
+
+
+def test_documents_and_groups_have_no_frames_of_their_own(spark):
+    plans = {n: catalog.QUERIES[n](spark, SF)._jdf.queryExecution().sparkPlan().toString() for n in ("p08_docx", "u08_all_units")}
+    assert "MapInArrow" in plans["p08_docx"] and "MapInPandas" not in plans["p08_docx"]
+    assert "FlatMapGroupsInArrow" in plans["u08_all_units"] and "FlatMapGroupsInPandas" not in plans["u08_all_units"]
