@@ -158,3 +158,29 @@ def test_points_by_products_and_by_pairs(monkeypatch):
             some, sums = sparse.points(block, 17, unit, term, value)
             got[block[0] + some] = sums
         assert (got == [[sum(min(t.split().count(w), 2) for w in own) for t in texts] for own in lists]).all()
+
+
+def test_pieces_are_looked_up_by_word(monkeypatch):
+    """Trigrams, sizes of their sets, and pieces of words as the plain rule gives them; a word of many texts is taken apart once."""
+    texts = ["the blue ring the ring", None, "", "汉字 汉x a", "éé-a rings", "ring"]
+    grams = [{f"  {w} "[i : i + 3] for w in set((t or "").replace("-", " ").replace("汉字", " ").replace("汉", " ").split()) for i in range(len(w) + 1)} for t in texts]
+    words = [{"the", "blue", "ring"}, set(), set(), {"汉", "字", "x", "a"}, {"éé", "a", "rings"}, {"ring"}]
+    pieces = [{w[i : i + n] for w in own for n in (1, 2, 4, 5) for i in range(len(w) - n + 1)} for own in words]
+    seen = []
+    look = sparse.Terms._pieces
+    monkeypatch.setattr(sparse.Terms, "_pieces", lambda self, words, every: (seen.extend(words), look(self, words, every))[1])
+    for split, every, sets in ((sparse.trigrams, True, grams), (sparse.parts([5, 1, 4, 2]), False, pieces)):
+        vocabulary = [w for i, w in enumerate(sorted(set().union(*sets))) if i % 2] + ["~" * (3 if every else 5)]
+        unit, term, hits, sizes = sparse.Terms(split, pa.array(vocabulary)).entries(pa.array(texts), 5, every)
+        assert [*zip(term, unit)] == sorted((vocabulary.index(w), i) for i, own in enumerate(sets) for w in own if w in vocabulary) and set(hits) == {1}
+        assert not every or list(sizes) == [len(own) for own in sets]
+    assert seen.count("ring") == 2
+
+
+def test_units_that_can_give_too_little_are_left_out():
+    """Of two units one has the terms that a query needs to be among its best; the other has no term of the block at all."""
+    q = sparse.Queries(pa.table({"id": [1, 2], "terms": [["a", "b"], ["b"]]}))
+    unit, term, value, _ = sparse.entries(pa.array(["a a b", "b", "x"]), sparse.tokens, q.vocabulary, 5)
+    live, *own = sparse.worth(q.blocks[0], 3, unit, term, value.astype(float), np.array([3.0, 2.0]))
+    assert list(live) == [0] and sparse.points(q.blocks[0], 1, *own)[1].tolist() == [[3.0], [1.0]]
+    assert sorted(sparse.alike(pa.table({"id": [1, 2, 3], "terms": [["a", "b"], ["b"], ["c"]]}))["id"].to_pylist()) == [1, 2, 3]
