@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import functools
+import re
 
-from ..functions import text as T
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A role of an item and its order when an item has several.
 ROLE_ORDER = {"seed": 0, "context": 1, "support": 2}
@@ -80,31 +83,39 @@ def seed_budget(found: DataFrame, budget: int = 12_000, share: float = 0.6, leas
     return found.withColumn("given", F.least(F.length("text"), F.greatest(F.lit(least), F.floor(F.lit(budget * share) / n))))
 
 
-def pack_sentences(text: Column) -> Column:
-    """Pieces after a stop or at line ends, without white space around them; empty ones are dropped."""
-    strip = lambda s: F.regexp_replace(s, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?])\s*|\n+"), strip), lambda s: s != "")
+#: White space around a sentence; where a sentence ends.
+AROUND, END = "".join(map(chr, range(0x21))), re.compile(r"(?<=[。！？!?])[ \t\n\x0b\f\r]*|\n+")
+
+
+@functools.lru_cache(1 << 10)
+def _bigrams(text: str) -> frozenset[tuple[str, str]]:
+    return frozenset(zip(text, text[1:]))
 
 
-def extract(text: Column, most: Column, asked: Column) -> Column:
-    """The text within `most` characters: sentences by the share of the query's bigrams (asked) that they have, the earlier one
-    of equals first, each if it still fits with a blank before it; in their own order. If none fits, the beginning of the best
-    one; a text of one sentence, or a query without bigrams, gives the beginning of the text and dots."""
-    parts = pack_sentences(text)
-    scored = F.transform(parts, lambda s, i: F.struct((-F.size(F.array_intersect(T.char_bigrams(s), asked))).alias("o"), i.alias("i"), s.alias("s")))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,s:string>>").alias("picked"))
+def _extract(text: str, most: int, asked: str) -> str:
+    """One text of extract(). A sentence's bigrams meet the query's in one pass, and no list is copied."""
+    wanted = _bigrams(asked)
+    parts = [p for p in (s.strip(AROUND) for s in END.split(text)) if p]
+    if len(parts) <= 1 or not wanted:
+        return text[:most] + "..."
+    score = [len(wanted.intersection(zip(p, p[1:]))) for p in parts]
+    ranked = sorted(range(len(parts)), key=lambda i: (-score[i], i))
+    picked, used = [], 0
+    for i in ranked:
+        need = len(parts[i]) + bool(picked)
+        if used + need <= most:
+            picked.append(i)
+            used += need
+    return " ".join(parts[i] for i in sorted(picked)) if picked else parts[ranked[0]][:most]
 
-    def take(acc: Column, x: Column) -> Column:
-        need = F.length(x["s"]) + F.when(F.size(acc["picked"]) > 0, 1).otherwise(0)
-        more = F.struct((acc["used"] + need).alias("used"), F.array_append(acc["picked"], F.struct(x["i"].alias("i"), x["s"].alias("s"))).alias("picked"))
-        return F.when(acc["used"] + need <= most, more).otherwise(acc)
 
-    ranked = F.array_sort(scored)
-    picked = F.aggregate(ranked, start, take)["picked"]
-    joined = F.array_join(F.transform(F.array_sort(picked), lambda x: x["s"]), " ")
-    begun = F.substring(F.get(ranked, F.lit(0))["s"], F.lit(1), most)
-    cut = F.concat(F.substring(text, F.lit(1), most), F.lit("..."))
-    return F.when((F.size(parts) <= 1) | (F.size(asked) == 0), cut).when(F.size(picked) > 0, joined).otherwise(begun)
+@F.pandas_udf(StringType())
+def extract(text: pd.Series, most: pd.Series, asked: pd.Series) -> pd.Series:
+    """The text within `most` characters: sentences (pieces after a stop or at line ends, without white space around them) by the
+    number of the query's (asked) bigrams that they have, the earlier one of equals first, each if it still fits with a blank
+    before it; in their own order. If none fits, the beginning of the best one; a text of one sentence, or a query without
+    bigrams, gives the beginning of the text and dots. Null texts stay null."""
+    return pd.Series([None if t is None else _extract(t, int(m), a or "") for t, m, a in zip(text, most, asked)], dtype=object)
 
 
 def compress(found: DataFrame, queries: DataFrame, budget: int = 12_000, share: float = 0.6, least_seed: int = 200, least_other: int = 100) -> DataFrame:
@@ -114,16 +125,16 @@ def compress(found: DataFrame, queries: DataFrame, budget: int = 12_000, share:
     keywords."""
     w = Window.partitionBy("query_id")
     seed = F.col("role") == "seed"
-    asked = T.char_bigrams(F.trim(F.array_join(F.concat(F.array(F.coalesce("text", F.lit(""))), F.coalesce("keywords", F.array().cast("array<string>"))), " ")))
+    asked = F.trim(F.array_join(F.concat(F.array(F.coalesce("text", F.lit(""))), F.coalesce("keywords", F.array().cast("array<string>"))), " "))
     d = found.join(queries.select("query_id", asked.alias("__asked")), "query_id", "left")
     d = d.withColumn("__all", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(w))
     d = d.withColumn("__seeds", F.count_if(seed).over(w)).withColumn("__others", F.count_if(~seed).over(w))
     first = int(budget * share)
     each = F.when(seed, F.greatest(F.lit(least_seed), F.floor(F.lit(first) / F.col("__seeds")))).otherwise(F.greatest(F.lit(least_other), F.floor(F.lit(budget - first) / F.col("__others")))).cast("int")
-    none = F.array().cast("array<string>")
-    short = F.when(seed, F.concat(F.substring("text", F.lit(1), each), F.lit("..."))).otherwise(extract(F.col("text"), each, F.coalesce("__asked", none)))
     fits = (F.col("__all") <= budget) | F.col("text").isNull() | (F.length("text") <= each)
-    return d.withColumn("text", F.when(fits, F.col("text")).otherwise(short)).select(*found.columns)
+    cut = F.concat(F.substring("text", F.lit(1), each), F.lit("..."))
+    kept = extract(F.when(~fits & ~seed, F.col("text")), each, F.col("__asked"))  # of no other texts
+    return d.withColumn("text", F.when(fits, F.col("text")).when(seed, cut).otherwise(kept)).select(*found.columns)
 
 
 #: Relations whose expansion items support a seed.

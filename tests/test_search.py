@@ -184,3 +184,12 @@ def test_units_that_can_give_too_little_are_left_out():
     live, *own = sparse.worth(q.blocks[0], 3, unit, term, value.astype(float), np.array([3.0, 2.0]))
     assert list(live) == [0] and sparse.points(q.blocks[0], 1, *own)[1].tolist() == [[3.0], [1.0]]
     assert sorted(sparse.alike(pa.table({"id": [1, 2, 3], "terms": [["a", "b"], ["b"], ["c"]]}))["id"].to_pylist()) == [1, 2, 3]
+
+
+def test_compression_is_no_chain_of_lists(spark):
+    """Sentences are ranked and taken in one pass over a text; no expression copies lists of them."""
+    found = spark.createDataFrame([(1, 1, "context", "a b! " * 3_000)], "query_id int, item_id int, role string, text string")
+    queries = spark.createDataFrame([(1, "a b", None)], "query_id int, text string, keywords array<string>")
+    got = assembly.compress(found, queries)
+    assert "aggregate(" not in got._jdf.queryExecution().toString()
+    assert len(got.first().text) == 4_799
