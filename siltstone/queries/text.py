@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import SQL, query
 from ..functions import text as T
+from ..operators import sparse
 from ..operators.relational import contained_pairs, settled
 
 TOKENS = "regexp_extract_all(lower(text), '[一-鿿]|[0-9A-Za-zÀ-ÖØ-öø-ÿ]+')"
@@ -152,9 +153,9 @@ def trigram_similarity(t):
 
 @query("x33_trigram_similarity_documents", SQL["x33_trigram_similarity"].replace("benchmark", "documents").replace("item_id", "doc_id"))
 def trigram_similarity_documents(t):
-    g = t.documents.select("doc_id", T.trigrams(F.col("text")).alias("g"))
-    q = g.orderBy("doc_id").limit(1).select(F.col("g").alias("q"))
-    return g.join(F.broadcast(q)).select("doc_id", F.round(T.set_jaccard(F.col("g"), F.col("q")), 9).alias("similarity"))
+    d = t.documents.select("doc_id", "text")
+    q = d.orderBy("doc_id").limit(1).select(T.trigrams(F.col("text")).alias("q"))
+    return sparse.set_similarity(d, q, sparse.trigrams).select("doc_id", F.round("similarity", 9).alias("similarity"))
 
 
 @query("x36_state_token", "SELECT o_orderkey, sha256(o_orderkey::VARCHAR || chr(10) || o_custkey::VARCHAR || chr(10) || o_orderstatus || chr(10) || o_orderpriority) AS token FROM orders")

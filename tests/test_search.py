@@ -186,6 +186,16 @@ def test_units_that_can_give_too_little_are_left_out():
     assert sorted(sparse.alike(pa.table({"id": [1, 2, 3], "terms": [["a", "b"], ["b"], ["c"]]}))["id"].to_pylist()) == [1, 2, 3]
 
 
+def test_sets_of_trigrams_are_compared_where_texts_are_read(spark):
+    u = spark.createDataFrame([(1, "The blue ring"), (2, "blue"), (3, ""), (4, None), (5, "汉")], "unit_id int, text string")
+    for asked, want in (("the ring", {1: 9 / 14, 2: 0.0, 3: 0.0, 4: None, 5: 0.0}), ("", {1: 0.0, 2: 0.0, 3: 1.0, 4: None, 5: 1.0})):
+        q = spark.createDataFrame([(asked,)], "text string").select(T.trigrams(F.col("text")).alias("q"))
+        got = sparse.set_similarity(u, q, sparse.trigrams)
+        plain = u.join(q).select("unit_id", T.set_jaccard(T.trigrams(F.col("text")), F.col("q")).alias("s"))
+        assert {r.unit_id: r.similarity for r in got.collect()} == want == {r.unit_id: r.s for r in plain.collect()}
+        assert "ArrayTransform" not in got._jdf.queryExecution().toString() and "transform(" not in got._jdf.queryExecution().toString()
+
+
 def test_compression_is_no_chain_of_lists(spark):
     """Sentences are ranked and taken in one pass over a text; no expression copies lists of them."""
     found = spark.createDataFrame([(1, 1, "context", "a b! " * 3_000)], "query_id int, item_id int, role string, text string")
