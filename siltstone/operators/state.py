@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relational import first_per, upsert
+from .relational import first_per, tasks_for, upsert
 
 
 def classify(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -42,11 +42,13 @@ def invalid_builds(builds: DataFrame, selections: DataFrame, segments: DataFrame
     """build, problem, snapshot of everything that keeps a build from being published: missing_parent of an incremental one,
     no_active (a withdrawal may be empty), and no_segments of an active snapshot. builds: build, mode, parent, operation;
     selections: build, snapshot, status; segments: snapshot."""
-    parents = builds.select(F.col("build").alias("parent")).distinct()
-    orphan = builds.where("mode = 'incremental' AND parent IS NOT NULL").join(parents, "parent", "left_anti")
-    active = selections.where("status = 'active'")
-    empty = builds.where("coalesce(operation, '') <> 'withdrawal'").join(active.select("build").distinct(), "build", "left_anti")
-    bare = active.join(builds.select("build").distinct(), "build", "left_semi").join(segments.select("snapshot").distinct(), "snapshot", "left_anti")
+    tasks = tasks_for(builds, selections, segments)
+    every, active = builds.repartition(tasks, "build"), selections.where("status = 'active'").repartition(tasks, "build")
+    parents = builds.select(F.col("build").alias("parent")).repartition(tasks, "parent")
+    orphan = builds.where("mode = 'incremental' AND parent IS NOT NULL").repartition(tasks, "parent").join(parents, "parent", "left_anti")
+    empty = every.where("coalesce(operation, '') <> 'withdrawal'").join(active.select("build"), "build", "left_anti")
+    known = active.join(every.select("build"), "build", "left_semi")
+    bare = known.repartition(tasks, "snapshot").join(segments.select("snapshot").repartition(tasks, "snapshot"), "snapshot", "left_anti")
     none = F.lit(None).cast(dict(selections.dtypes)["snapshot"]).alias("snapshot")
     one = lambda d, name, s=none: d.select("build", F.lit(name).alias("problem"), s)
     return one(orphan, "missing_parent").unionByName(one(empty, "no_active")).unionByName(one(bare, "no_segments", F.col("snapshot")))

@@ -57,3 +57,10 @@ def test_documents_and_groups_have_no_frames_of_their_own(spark):
     plans = {n: catalog.QUERIES[n](spark, SF)._jdf.queryExecution().sparkPlan().toString() for n in ("p08_docx", "u08_all_units")}
     assert "MapInArrow" in plans["p08_docx"] and "MapInPandas" not in plans["p08_docx"]
     assert "FlatMapGroupsInArrow" in plans["u08_all_units"] and "FlatMapGroupsInPandas" not in plans["u08_all_units"]
+
+
+def test_builds_are_dealt_by_their_rows(spark, monkeypatch):
+    """Tasks that check builds are as many as their rows ask for, whatever bytes a shuffle has."""
+    monkeypatch.setattr(relational.tasks_for, "__kwdefaults__", {"rows": 1_000})
+    plan = catalog.QUERIES["d06_invalid_builds"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("REPARTITION_BY_NUM") >= 6 and "HashAggregate" not in plan
