@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sparse
 from .relational import is_small
 
 #: Words of an anchor at most.
 WIDTH = 5
+#: Words of a lower-cased text between blanks, as the expressions below part them.
+WORDS = sparse.Split(r"[^ \t\n\x0b\f\r]+")
 
 
 def _runs(words: Column, width: Column) -> Column:
@@ -24,23 +27,29 @@ def holders(passages: DataFrame, texts: DataFrame) -> DataFrame:
 
     The words of a passage, but for its first and last, which may begin or end inside a word, stand in the text as they are.
     Of their runs of WIDTH words (fewer, if there are no more) the one that fewest texts have is the passage's anchor, and
-    texts with the anchor are looked through. Passages without an inner word meet the words of texts by their first characters."""
+    texts with the anchor are looked through. Few passages are sent to the tasks that read the texts instead, which find those with
+    all inner words, so that no run is a row (ids are integers then). Passages without an inner word meet the words of texts by their first characters."""
     p = passages.where(F.length("passage") > 0).withColumn("w", F.split("passage", r"\s"))
     inner = F.filter(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != "")
     # runs of blanks give empty words: the words of both sides are those between them
     p = p.withColumn("inner", inner).withColumn("width", F.least(F.lit(WIDTH), F.size("inner")))
     long = p.where("width > 0").select("item_id", "width", F.explode(_runs(F.col("inner"), F.col("width"))).alias("run"))
-    send = F.broadcast if is_small(long) else (lambda df: df)
+    few = is_small(long)
+    send = F.broadcast if few else (lambda df: df)
     words = F.filter(F.split("text", r"\s"), lambda x: x != "")
-    widths = [r.width for r in long.select("width").distinct().collect()]  # WIDTH numbers at most
     every = texts.where(F.col("text").isNotNull()).select("unit_id", words.alias("w"))
-    runs = F.flatten(F.array(*[_runs(F.col("w"), F.lit(k)) for k in widths])) if widths else F.array().cast("array<bigint>")
-    there = every.select("unit_id", F.explode(F.array_distinct(runs)).alias("run"))
-    met = there.join(send(long.select("run").distinct()), "run", "left_semi")
-    often = met.groupBy("run").agg(F.count("*").alias("f"))
-    rarest = Window.partitionBy("item_id").orderBy(F.coalesce("f", F.lit(0)), "run")
-    anchors = long.join(often, "run", "left").withColumn("r", F.row_number().over(rarest)).where("r = 1 AND f IS NOT NULL").select("item_id", "run")
-    by_anchor = met.join(send(anchors), "run").select("item_id", "unit_id")
+    if few:
+        asked = p.where("width > 0").select(F.col("item_id").alias("query_id"), F.array_distinct(F.transform("inner", F.lower)).alias("terms"))
+        by_anchor = sparse.holding_all(asked, texts.select("unit_id", "text"), WORDS).select(F.col("query_id").alias("item_id"), "unit_id")
+    else:
+        widths = [r.width for r in long.select("width").distinct().collect()]  # WIDTH numbers at most
+        runs = F.flatten(F.array(*[_runs(F.col("w"), F.lit(k)) for k in widths])) if widths else F.array().cast("array<bigint>")
+        there = every.select("unit_id", F.explode(F.array_distinct(runs)).alias("run"))
+        met = there.join(send(long.select("run").distinct()), "run", "left_semi")
+        often = met.groupBy("run").agg(F.count("*").alias("f"))
+        rarest = Window.partitionBy("item_id").orderBy(F.coalesce("f", F.lit(0)), "run")
+        anchors = long.join(often, "run", "left").withColumn("r", F.row_number().over(rarest)).where("r = 1 AND f IS NOT NULL").select("item_id", "run")
+        by_anchor = met.join(send(anchors), "run").select("item_id", "unit_id")
     short = p.where("width = 0").select("item_id", F.explode(F.array_distinct(F.filter("w", lambda x: x != ""))).alias("word"))
     short = short.groupBy("item_id").agg(F.max_by(F.substring("word", 1, 3), F.length("word")).alias("piece"))
     pieces = F.array_distinct(F.flatten(F.transform("w", lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.array(*[F.substring(x, i, F.lit(k)) for k in (1, 2, 3)]))))))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone import catalog
 from siltstone.functions import text as T
-from siltstone.operators import relational, sparse
+from siltstone.operators import containment, relational, sparse
 from siltstone.queries import load
 
 from .conftest import SF
@@ -64,3 +64,11 @@ def test_builds_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(relational.tasks_for, "__kwdefaults__", {"rows": 1_000})
     plan = catalog.QUERIES["d06_invalid_builds"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("RepartitionByExpression") + plan.count("REPARTITION_BY_NUM") >= 6 and "HashAggregate" not in plan
+
+
+def test_few_passages_are_found_where_texts_are_read(spark):
+    p = spark.createDataFrame([(1, "the Blue ring  lies here"), (2, "x y"), (3, "a BΣ c"), (4, "")], "item_id long, passage string")
+    u = spark.createDataFrame([(7, "see the Blue ring  lies hereby"), (8, "the blue ring  lies here"), (9, None), (10, "xx y, aa BΣ cc"), (11, "here lies Blue ring")], "unit_id long, text string")
+    assert sorted(map(tuple, containment.holders(p, u).select("item_id", "unit_id").collect())) == [(1, 7), (2, 10), (3, 10)]
+    plan = catalog.QUERIES["e2_containing_documents"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "xxhash64" not in plan  # no run of a text is a row
