@@ -1,5 +1,9 @@
 """What must not grow with the input: frames sent through the driver, repeated work, lists held by one task."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone import catalog
@@ -72,3 +76,29 @@ def test_few_passages_are_found_where_texts_are_read(spark):
     assert sorted(map(tuple, containment.holders(p, u).select("item_id", "unit_id").collect())) == [(1, 7), (2, 10), (3, 10)]
     plan = catalog.QUERIES["e2_containing_documents"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" in plan and "xxhash64" not in plan  # no run of a text is a row
+
+
+def test_many_passages_are_found_by_one_key_of_all_their_words(spark, monkeypatch):
+    """Not by all runs of all texts; small chunks and a full filter lose nothing."""
+    rng = random.Random(8)
+    words, blanks = ["alpha", "beta", "gamma", "de", "x", "漢字", "é"], [" ", " ", "  ", "\t", "\n"]
+    texts = [(k, "".join(rng.choice(words) + rng.choice(blanks) for _ in range(rng.randint(0, 60)))) for k in range(80)]
+    texts += [(100, None), (101, "one  two\tthree four"), (102, ""), (103, " "), (104, "x " * 200), (105, texts[7][1])]
+    passages = [(k, t[a:b]) for k, (_, t) in enumerate(texts) if t for a, b in [sorted((rng.randint(0, len(t)), rng.randint(0, len(t))))]]
+    passages += [(200, "pha be"), (201, "  "), (202, ""), (203, None), (204, "ne  two\tth"), (205, "ne two th"), (206, "nowhere to be found at all"), (207, "x " * 150), (208, texts[7][1]), (209, texts[7][1])]
+    want = sorted((i, u) for i, p in passages for u, t in texts if p and p.strip() and t and p in t)
+    p, u = spark.createDataFrame(passages, "item_id int, passage string"), spark.createDataFrame(texts, "unit_id int, text string")
+    monkeypatch.setattr(containment, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, containment.holders(p, u).collect())) == want and len(want) > 150
+    plan = catalog.QUERIES["e2_quoted_turns"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "xxhash64" not in plan  # no run of a text is a row
+    # chunks of a text or a few, and a filter that lets everything through: all runs of the sizes, once each
+    monkeypatch.setattr(containment, "CHUNK", 50)
+    monkeypatch.setattr(containment, "RUNS", 10)
+    some = [t for _, t in texts if t is not None]
+    found, sizes = [], {0: np.array([1]), 1: np.array([2, 3])}
+    for a, _, words in containment._chunks(pa.array(some)):
+        for at, n, _ in containment._runs_of(words, sizes, np.full(8, 255, np.uint8)):
+            t = words.text[at]
+            found += zip((a + t).tolist(), (at - words.first[t]).tolist(), n.tolist())
+    assert sorted(found) == [(t, a, n) for t, x in enumerate(some) for a in range(len(x.split())) for n in (1, 2, 3) if a + n <= len(x.split())]
