@@ -43,6 +43,12 @@ def test_whole_tables_are_asked(spark):
         assert catalog.QUERIES[name](spark, SF).count() == documents.count()
 
 
+def test_every_conversation_is_pooled(spark):
+    """Not one conversation of ten."""
+    found = {r.conv_id for r in catalog.QUERIES["r13_pooled"](spark, SF).select("conv_id").distinct().collect()}
+    assert found == {r.conv_id for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().collect()}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
